@@ -11,14 +11,13 @@ on the driver (its path is a parameter) and broadcast: its size is that of the f
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 import json
 import re
 import sys
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from functools import cached_property, lru_cache
 from pathlib import Path
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import map_arrow
 
 #: Chunks and fragments kept by a worker, and characters taken from a text at once.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 PIECE_CHARS = 1 << 20
 #: Fragments longer than this are merged with a heap, in n log n steps.
 LONG_FRAGMENT = 48
@@ -63,28 +62,38 @@ class _Table(dict):
 
 
 class Bpe:
-    """Encoder and decoder of one vocabulary file."""
+    """Encoder and decoder of one vocabulary file. What only one of the two needs is built when it is first used."""
 
     def __init__(self, spec: str):
         parsed = json.loads(spec)
-        model, vocab = parsed["model"], parsed["model"]["vocab"]
-        suffix = model.get("end_of_word_suffix") or ""
-        symbols = byte_symbols()
+        self._model = parsed["model"]
         self.special = {x["content"]: x["id"] for x in parsed["added_tokens"]}
-        self.tokens = {i: t for t, i in [*vocab.items(), *self.special.items()]}
-        self._first = [vocab[s] for s in symbols]
-        self._last = [vocab[s + suffix] for s in symbols]
-        self._merges = {}
-        for rank, pair in enumerate(model["merges"]):
-            a, b = pair.split(" ") if isinstance(pair, str) else pair
-            self._merges[vocab[a], vocab[b]] = (rank, vocab[a + b])
-        self.inside = self._inside_pairs(vocab, suffix, symbols)
+        self.tokens = {i: t for t, i in [*self._model["vocab"].items(), *self.special.items()]}
         self._pattern = regex.compile(next(x["pattern"]["Regex"] for x in parsed["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self._special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._spec, self._library = spec, None
         self._fragments = _Table(self._merge, CACHE_ENTRIES)
         self._chunks = _Table(self._encode_chunk, CACHE_ENTRIES)
 
+    @cached_property
+    def _symbol_ids(self) -> tuple[list[int], list[int]]:
+        """The id of each byte inside a word and at its end."""
+        vocab, suffix = self._model["vocab"], self._model.get("end_of_word_suffix") or ""
+        return [vocab[s] for s in byte_symbols()], [vocab[s + suffix] for s in byte_symbols()]
+
+    @cached_property
+    def _merges(self) -> dict[tuple[int, int], tuple[int, int]]:
+        """Rank and id of what two ids merge to."""
+        vocab, out = self._model["vocab"], {}
+        for rank, pair in enumerate(self._model["merges"]):
+            a, b = pair.split(" ") if isinstance(pair, str) else pair
+            out[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        return out
+
+    @cached_property
+    def inside(self) -> np.ndarray:
+        return self._inside_pairs(self._model["vocab"], self._model.get("end_of_word_suffix") or "", byte_symbols())
+
     @staticmethod
     def _inside_pairs(vocab: dict[str, int], suffix: str, symbols: list[str]) -> np.ndarray:
         """inside[x, y]: y follows x within some token. The last byte of a word counts as another symbol (256 more)."""
@@ -117,12 +126,13 @@ class Bpe:
         cuts = [i for i in range(1, len(codes)) if not self.inside[codes[i - 1], codes[i]]]
         return [(word[a:b], b == len(word)) for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
-    def _merge(self, fragment: tuple[bytes, bool]) -> tuple[int, ...]:
+    def _merge(self, fragment: tuple[bytes, bool]) -> bytes:
         """Ids of one fragment: the neighbours of lowest rank are merged, leftmost first, until none can be."""
         data, ends = fragment
-        ids = [self._first[b] for b in data]
+        first, last = self._symbol_ids
+        ids = [first[b] for b in data]
         if ends:
-            ids[-1] = self._last[data[-1]]
+            ids[-1] = last[data[-1]]
         if len(ids) > LONG_FRAGMENT:
             return self._merge_long(ids)
         merges = self._merges
@@ -132,9 +142,9 @@ class Bpe:
                 break
             _, i, new = min(found)
             ids[i : i + 2] = [new]
-        return tuple(ids)
+        return packed(ids)
 
-    def _merge_long(self, ids: list[int]) -> tuple[int, ...]:
+    def _merge_long(self, ids: list[int]) -> bytes:
         after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
         merges, n = self._merges, len(ids)
         heap = [(m[0], i, m[1], pair) for i, pair in enumerate(zip(ids, ids[1:])) if (m := merges.get(pair))]
@@ -150,23 +160,21 @@ class Bpe:
             for a, b in ((before[i], i), (i, after[i])):
                 if a >= 0 and b < n and (m := merges.get((ids[a], ids[b]))):
                     heapq.heappush(heap, (m[0], a, m[1], (ids[a], ids[b])))
-        return tuple(x for x in ids if x >= 0)
+        return packed([x for x in ids if x >= 0])
 
-    def _encode_chunk(self, chunk: str) -> tuple[int, ...]:
-        return tuple(chain.from_iterable(self._fragments[f] for w in self._split(chunk) for f in self.fragments(w)))
+    def _encode_chunk(self, chunk: str) -> bytes:
+        return b"".join(self._fragments[f] for w in self._split(chunk) for f in self.fragments(w))
 
-    def encode(self, text: str) -> Iterator[list[int]]:
-        """The ids of a text, in pieces, so that a very long text is never held as one list."""
+    def encode(self, text: str) -> Iterator[bytes]:
+        """The packed ids of a text, piece by piece."""
         for piece in pieces(text):
             parts = self._special_pattern.split(piece) if self._special_pattern and any(s in piece for s in self.special) else [piece]
-            ids: list[int] = []
             for part in parts:
                 if part in self.special:
-                    ids.append(self.special[part])
+                    yield packed([self.special[part]])
                 else:
                     chunks = regex.split(r"\s+", part) if any(c in part for c in ODD_SPACES) else part.split()
-                    ids.extend(chain.from_iterable(map(self._chunks.__getitem__, filter(None, chunks))))
-            yield ids
+                    yield b"".join(map(self._chunks.__getitem__, filter(None, chunks)))
 
     def decode(self, ids) -> str:
         """The tokens joined by spaces, as a vocabulary file without a decoder asks for."""
@@ -193,15 +201,10 @@ def packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-_loaded: dict[str, Bpe] = {}
-
-
+@lru_cache(maxsize=2)
 def loaded(spec: str) -> Bpe:
     """The encoder of a vocabulary, one for each worker process."""
-    key = hashlib.sha256(spec.encode()).hexdigest()
-    if key not in _loaded:
-        _loaded[key] = Bpe(spec)
-    return _loaded[key]
+    return Bpe(spec)
 
 
 def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +217,7 @@ def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def rows(batch: pa.RecordBatch) -> dict:
         bpe = loaded(spec.value)
-        return {"_id": batch.column(0), "_ids": [b"".join(map(packed, bpe.encode(t or ""))) for t in batch.column(1).to_pylist()]}
+        return {"_id": batch.column(0), "_ids": [b"".join(bpe.encode(t or "")) for t in batch.column(1).to_pylist()]}
 
     rows_in = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     return map_arrow(rows_in, rows, f"_id {rows_in.schema['_id'].dataType.simpleString()}, _ids binary").select(F.col("_id").alias(id_col), F.col("_ids").alias("ids"))
@@ -225,10 +228,9 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", into: str
     spec = encoded.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
     names = encoded.columns
 
-    def text(data: bytes | None) -> str | None:
-        return None if data is None else loaded(spec.value).decode(np.frombuffer(data, "<u4").tolist())
-
     def rows(batch: pa.RecordBatch) -> dict:
-        return dict(zip(names, batch.columns)) | {into: list(map(text, batch.column(names.index(ids_col)).to_pylist()))}
+        bpe = loaded(spec.value)
+        texts = [None if data is None else bpe.decode(np.frombuffer(data, "<u4").tolist()) for data in batch.column(names.index(ids_col)).to_pylist()]
+        return dict(zip(names, batch.columns)) | {into: texts}
 
     return map_arrow(encoded, rows, encoded.withColumn(into, F.lit("")).schema)
