@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,18 +66,19 @@ def text_or_empty(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
-def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
-    """mapInArrow with a function from one batch to columns (None: nothing to give)."""
-    from pyspark.sql.types import StructType
+#: Rows of an Arrow batch that Python objects are made of at once.
+ROWS_AT_ONCE = 1024
 
-    out = StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    from pyspark.sql.pandas.types import to_arrow_schema
 
+def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], schema: str | StructType) -> DataFrame:
+    """mapInArrow with a function from a few rows to columns (None: nothing to give)."""
+    out = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     arrow = to_arrow_schema(out)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (columns := rows(batch)) is not None:
-                yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
+            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
+                if (columns := rows(batch.slice(start, ROWS_AT_ONCE))) is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in arrow], schema=arrow)
 
     return df.mapInArrow(run, out)
