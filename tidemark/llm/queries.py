@@ -5,10 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, exact_dedup, mixing, simhash, substring_dedup
+from tidemark.llm import bpe, exact_dedup, langid, mixing, simhash, substring_dedup, url_filter
+
+
+#: verdict, host, path
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +53,29 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
+def held_out(col: str = "doc_id") -> Column:
+    """Whether a document is kept from learning: the crc32 of its id as text leaves 1 when divided by 3."""
+    return F.crc32(F.col(col).cast("string").cast("binary")) % 3 == 1
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    found = langid.identify(docs, langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False)))))
+    return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), URL_RULES, url_filter.default_model(spark))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_language_id": op7_language_id,
+    "op9_url_filter": op9_url_filter,
 }
 
 ORACLES: dict[str, str] = {
