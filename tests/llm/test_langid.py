@@ -76,8 +76,9 @@ def test_what_has_no_letter_is_und(spark, model):
     assert len(got) == len(rows)
     assert {r.doc_id: r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == dict.fromkeys((1, 2, 3), "und")
     assert all(r.lang_pred in model.languages for r in got if r.doc_id not in (1, 2, 3))
-    kept = langid.accepted(spark.createDataFrame(rows, "doc_id long, text string"), model)
-    assert sorted(r.doc_id or 0 for r in kept.where("doc_id <> 4 or doc_id is null").collect()) == [0, 5]
+    kept = langid.accepted(spark.createDataFrame(rows, "doc_id long, text string"), model, 0.9)
+    assert {r.doc_id for r in kept.collect()} - {4} == {None, 5}
+    assert langid.accepted(spark.createDataFrame(rows, "doc_id long, text string"), None).count() == 0
 
 
 def test_nothing_to_learn_from(spark):

@@ -16,7 +16,7 @@ import json
 import re
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import cached_property, lru_cache
 from pathlib import Path
 
@@ -207,20 +207,22 @@ def loaded(spec: str) -> Bpe:
     return Bpe(spec)
 
 
-def encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id and `ids` (binary: little-endian unsigned 32-bit integers) of every row, whole texts.
+def encode(docs: DataFrame, vocabulary: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", into: str = "ids") -> DataFrame:
+    """The columns `keep` and the packed ids (binary: little-endian unsigned 32-bit integers) of every row's whole text.
 
     A null text counts as empty and has no ids. Null and repeated ids of rows pass through, each row
-    by itself; an empty table gives no rows; other columns are not read.
+    by itself; an empty table gives no rows; columns not in `keep` are not read.
     """
     spec = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
+    kept = [f"_{i}" for i in range(len(keep))]
 
     def rows(batch: pa.RecordBatch) -> dict:
         bpe = loaded(spec.value)
-        return {"_id": batch.column(0), "_ids": [b"".join(bpe.encode(t or "")) for t in batch.column(1).to_pylist()]}
+        return dict(zip(kept, batch.columns)) | {"_ids": [b"".join(bpe.encode(t or "")) for t in batch.column(len(kept)).to_pylist()]}
 
-    rows_in = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return map_arrow(rows_in, rows, f"_id {rows_in.schema['_id'].dataType.simpleString()}, _ids binary").select(F.col("_id").alias(id_col), F.col("_ids").alias("ids"))
+    rows_in = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, kept)), F.col(text_col).alias("_text"))
+    out = map_arrow(rows_in, rows, rows_in.drop("_text").withColumn("_ids", F.lit(b"")).schema)
+    return out.toDF(*keep, into)
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:

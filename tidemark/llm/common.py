@@ -47,13 +47,18 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete what `cut` has written in this session. Call it once the results that depend on it are stored."""
+def tables() -> list[str]:
+    """The paths that `cut` and `new_path` have given out and `sweep` has not dropped."""
+    return [path for _, path in _tables]
+
+
+def sweep(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
+    """Delete what `cut` has written in this session, or the given paths of it. Call it once the results that depend on them are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for owner, path in [x for x in _tables if x[0] is spark]:
-        where = jvm.org.apache.hadoop.fs.Path(path)
+    for entry in [x for x in _tables if x[0] is spark and (paths is None or x[1] in set(paths))]:
+        where = jvm.org.apache.hadoop.fs.Path(entry[1])
         where.getFileSystem(conf).delete(where, True)
-        _tables.remove((owner, path))
+        _tables.remove(entry)
 
 
 def partitions(spark: SparkSession) -> int:

@@ -18,6 +18,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -191,7 +192,17 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     return map_arrow(rows, predicted, f"_id {kind}, lang_pred string, score double").withColumnRenamed("_id", id_col)
 
 
-def accepted(docs: DataFrame, model: Model | None, min_score: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`docs` without the rows whose language cannot be told: `und`, or a score under `min_score`. All columns stay."""
-    told = identify(docs, model, id_col, text_col).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < min_score)).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(told, docs[id_col].eqNullSafe(told["_gone"]), "left_anti")
+def accepted(docs: DataFrame, model: Model | None, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """`docs` without the rows whose language cannot be told: `und`, or a score under `min_score`. All columns stay as they are."""
+    if model is None:
+        return docs.limit(0)
+    shared, place = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def told(text: str | None) -> bool:
+        return text is not None and regex.search(r"\p{L}", text) is not None and _kept(shared.value).predict(text)[1] >= min_score
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(map(told, batch.column(place).to_pylist()), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
