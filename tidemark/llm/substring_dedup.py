@@ -55,26 +55,37 @@ def run_hashes(hashes: np.ndarray, length: int) -> np.ndarray:
     return hashes if size == length else _mixed(hashes[: len(hashes) - (length - size)], hashes[length - size :])
 
 
+def _cover_places(n: int, period: int) -> np.ndarray:
+    return np.flatnonzero(np.isin(np.arange(period), COVERS[period])[np.arange(n) % period])
+
+
 def anchors(text: str | None, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and places of the runs that start on the cover."""
+    """Hashes of the runs that start on the cover, each once, and the first place of each."""
     words = (text or "").encode().split()
     if len(words) < window:
         return np.empty(0, np.int64), np.empty(0, np.int32)
     period = period_for(window)
     runs = run_hashes(word_hashes(words, SEEDS[0]), window - period + 1)
-    places = np.flatnonzero(np.isin(np.arange(period), COVERS[period])[np.arange(len(runs)) % period])
-    return runs[places].view(np.int64), places.astype(np.int32)
+    places = _cover_places(len(runs), period)
+    found, first = np.unique(runs[places], return_index=True)
+    return found.view(np.int64), places[first].astype(np.int32)
 
 
 def windows(text: str, places: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and (32 further hash bits, start) of the windows that contain an anchor at one of the places."""
+    """Of the windows that contain an anchor as at one of the places, each once: hash, and (32 further hash bits, first start)."""
     words = text.encode().split()
     last, period = len(words) - window, period_for(window)
+    hashes = word_hashes(words, SEEDS[0])
+    runs = run_hashes(hashes, window - period + 1)
+    cover = _cover_places(len(runs), period)
+    places = cover[np.isin(runs[cover], runs[places])]
     edge = np.zeros(last + 2, np.int64)
     np.add.at(edge, np.maximum(places - period + 1, 0), 1)
     np.add.at(edge, np.minimum(places, last) + 1, -1)
     starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-    one, two = (run_hashes(word_hashes(words, s), window)[starts] for s in SEEDS)
+    one, first = np.unique(run_hashes(hashes, window)[starts], return_index=True)
+    starts = starts[first]
+    two = run_hashes(word_hashes(words, SEEDS[1]), window)[starts]
     return one.view(np.int64), (two >> np.uint64(32) << np.uint64(32) | starts.astype(np.uint64)).view(np.int64)
 
 
@@ -124,7 +135,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     and must repeat its text. Other columns are not read; an empty table gives no rows.
     """
     n = partitions(docs.sparkSession)
-    rows = docs.select(F.col(id_col).cast("long").alias("_doc"), F.col(text_col).alias("_text"))
+    no_id = F.lit(-(2**63))  # in place of a null, so that both joins read the very same exchange of the texts
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), no_id).alias("_doc"), F.col(text_col).alias("_text"))
 
     def of_anchors(batch: pa.RecordBatch) -> dict | None:
         found = [anchors(t, window) for t in batch.column(1).to_pylist()]
@@ -143,20 +155,22 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
             words = (text or "").encode().split()
             edge = np.zeros(len(words) + 1, np.int64)
             if starts:
-                np.add.at(edge, starts, 1)
-                np.add.at(edge, np.array(starts) + window, -1)
+                runs = run_hashes(word_hashes(words, SEEDS[0]), window)
+                every = np.flatnonzero(np.isin(runs, runs[starts]))
+                edge[every] += 1
+                edge[every + window] -= 1
             stays = np.cumsum(edge[:-1]) == 0
             total.append(len(words))
             gone.append(len(words) - int(stays.sum()))
             texts.append(b" ".join(words if not gone[-1] else [words[i] for i in np.flatnonzero(stays)]).decode())
         return {"_doc": batch.column(0), "n_words": total, "n_removed": gone, "kept": texts}
 
-    placed = map_arrow(rows.where("_doc IS NOT NULL"), of_anchors, "_h long, _doc long, _pos int")
+    placed = map_arrow(rows.where(F.col("_doc") != no_id), of_anchors, "_h long, _doc long, _pos int")
     shared = placed.repartition(n, "_h").sortWithinPartitions("_h", "_doc").mapInArrow(_shared, "_doc long, _pos int")
     by_doc = shared.groupBy("_doc").agg(F.collect_set("_pos").alias("_places"))
-    dealt = rows.repartition(n, "_doc")  # one exchange of the texts serves both joins
+    dealt = rows.repartition(n, "_doc")
     wide = map_arrow(dealt.join(by_doc, "_doc").select("_doc", "_text", "_places"), of_windows, "_h long, _rest long, _doc long")
     again = wide.repartition(n, "_h").sortWithinPartitions("_h", F.shiftright("_rest", 32), "_doc").mapInArrow(_repeated, "_doc long, _pos int")
     starts = again.groupBy("_doc").agg(F.collect_set("_pos").alias("_starts"))
     done = map_arrow(dealt.join(starts, "_doc", "left").select("_doc", "_text", "_starts"), kept, "_doc long, n_words long, n_removed long, kept string")
-    return done.select(F.col("_doc").alias(id_col), "n_words", "n_removed", "kept")
+    return done.select(F.when(F.col("_doc") != no_id, F.col("_doc")).alias(id_col), "n_words", "n_removed", "kept")
