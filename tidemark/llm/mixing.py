@@ -27,7 +27,7 @@ from tidemark.llm.common import WORD, cut, text_or_empty
 
 WEIGHTS = (5.0, 2.0, 1.0)
 LIMIT = 3.0
-BUCKET = 20_000
+BUCKET = 2_000
 SEED = 42
 #: Closer to 0 or 1 than this, a probability is decided.
 TINY = 1e-9
