@@ -38,4 +38,4 @@ def classification(df: DataFrame, label: str, predicted: str, chances: dict[str,
 
 def confusion(df: DataFrame, label: str, predicted: str, labels: Sequence[str]) -> DataFrame:
     """Counts of each label against each prediction, over a pinned list."""
-    return df.groupBy(F.col(label).alias("label")).pivot(predicted, list(labels)).agg(F.count("*")).na.fill(0)
+    return df.groupBy(F.col(label).alias("label")).pivot(predicted, list(labels)).agg(F.count(F.lit(1))).na.fill(0)

@@ -42,7 +42,7 @@ def value_counts(df: DataFrame, column: str, null_label: str = "null") -> DataFr
 
 def cross_table(df: DataFrame, rows: str, columns: str, values: Sequence) -> DataFrame:
     """Counts of each row value against a pinned list of column values."""
-    return df.groupBy(rows).pivot(columns, list(values)).agg(F.count("*")).na.fill(0, [str(v) for v in values])
+    return df.groupBy(rows).pivot(columns, list(values)).agg(F.count(F.lit(1))).na.fill(0, [str(v) for v in values])
 
 
 def flag_counts(df: DataFrame, flags: Column) -> DataFrame:
