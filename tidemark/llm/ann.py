@@ -33,7 +33,8 @@ CURVES = 4
 DIRECTIONS = 6
 CURVE_BITS = 8
 SEED = 42
-BLOCK = 4096
+#: Vectors of a block: half a half-width, between these.
+LEAST_BLOCK, MOST_BLOCK = 4096, 1 << 16
 SAMPLE_QUERIES = 64
 RECALL = 0.96
 #: Standard deviations that the grid of a curve spans on either side.
@@ -174,7 +175,7 @@ def measured_window(reps: DataFrame, positions: DataFrame, k: int, recall: float
     return int(np.quantile(apart, recall, method="higher")) + 1
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL, curves: int = CURVES, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding", half_width: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL, curves: int = CURVES, block: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", half_width: int | None = None) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found by inner product, itself left out.
 
     Ties go to the smaller id. Vectors that are null, zero, or hold a null or non-finite component take
@@ -196,6 +197,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     members = cut(ids.join(reps, "vector").select("rep", "id"), "members")
     positions, lengths = _indexed(reps, widths["n"], longest, curves)
     w = half_width or measured_window(reps, positions, k, recall)
+    block = block or min(max(LEAST_BLOCK, w // 2), MOST_BLOCK)
 
     blocked = positions.select("curve", "rep", "vector", F.floor(F.col("position") / block).alias("block")).toDF("at_curve", "rep", "vector", "at_block")
     last = F.floor((F.col("length") - 1) / block)
@@ -210,13 +212,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
             near = q @ x.T
             for i, rep in enumerate(left["rep"]):
                 best, score = _best(q[i], near[i], x, found, k + 1)
-                out.append(pd.DataFrame({"q": rep, "rep": best, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"q": pd.Series(dtype="int64"), "rep": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+                out.append((rep, score, -best))
+        return pd.DataFrame(out, columns=["q", "score", "back"])
 
-    met = asked.groupBy("curve", "block").cogroup(blocked.groupBy("at_curve", "at_block")).applyInPandas(ranked, "q long, rep long, score double")
-    merged = met.distinct()
-    nearest = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
-    best = merged.withColumn("place", F.row_number().over(nearest)).where(F.col("place") <= k + 1)
+    met = asked.groupBy("curve", "block").cogroup(blocked.groupBy("at_curve", "at_block")).applyInPandas(ranked, "q long, score array<double>, back array<long>")
+    # A query has a list for each block that its windows touch; of equal scores the smaller id, of which `back` is the negative, sorts first.
+    lists = met.groupBy("q").agg(F.flatten(F.collect_list(F.arrays_zip("score", "back"))).alias("all"))
+    best = lists.select("q", F.explode(F.slice(F.sort_array(F.array_distinct("all"), asc=False), 1, k + 1)).alias("x")).select("q", (-F.col("x.back")).alias("rep"), "x.score")
     each = rows.where("query").select("id", "vector").distinct().join(reps, "vector").select(F.col("id").alias("query_id"), F.col("rep").alias("q"))
     expanded = each.join(best, "q").join(members, "rep").where("id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
