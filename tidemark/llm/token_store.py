@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import sys
 import uuid
 import zlib
@@ -36,12 +35,18 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ROWS_AT_ONCE, cut, partitions
+from tidemark.llm.common import cut, partitions
+from tidemark.llm.pretokens import WIDE, plain
 
 MAGIC = b"TIDEIDS1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-KNOWN = 200_000
+KNOWN = 250_000
+NEW_AT_ONCE = 10_000
+#: Texts that are split at once.
+TEXTS_AT_ONCE = 512
+#: Fixed value: the pattern of byte-level vocabularies.
+PRE_TOKEN = plain(r"'(?:[stmd]|re|ve|ll)| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|[\s]+(?![^\s])|[\s]+")
 BYTES_AT_ONCE = 8 << 20
 
 
@@ -150,8 +155,9 @@ class ShardReader:
 class Encoder:
     """Whole texts to packed ids with the tokenizers library.
 
-    The vocabulary's pre-tokens never run on over a space that follows other than white space, so a text
-    is cut there and each distinct piece is encoded once; texts with special tokens are encoded as they are.
+    A byte-level vocabulary encodes each pre-token by itself. Texts are split with the same pattern, and
+    the library is given each distinct pre-token once; a worker keeps the ids of those it has met in a
+    bounded table. Texts with special tokens, or with characters beyond U+024F, go to the library whole.
     """
 
     def __init__(self, spec: str):
@@ -163,25 +169,31 @@ class Encoder:
         self._tokenizer.no_truncation()
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
+        self._before: dict[str, bytes] = {}  # the table before it was full: what recurs moves over
 
-    def _pieces(self, text: str) -> list[str]:
-        if any(s in text for s in self._special):
-            return [text]
-        if re.search(r"\s ", text):
-            edges = [0, *(m.start() + 1 for m in re.finditer(r"\S ", text)), len(text)]
-            return [text[a:b] for a, b in zip(edges, edges[1:])]
-        first, *rest = text.split(" ")
-        return [first, *(f" {x}" for x in rest)]
+    def _pieces(self, text: str) -> list[str] | None:
+        """The pre-tokens, or None if the text is for the library as it is."""
+        return None if any(s in text for s in self._special) or WIDE.search(text) else PRE_TOKEN.findall(text)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut_up = [self._pieces(t) for t in texts]
-        needed = set(chain.from_iterable(cut_up))
+    def _learn(self, texts: list[list[str] | None]) -> None:
+        needed = set(chain.from_iterable(filter(None, texts)))
         new = needed - self._known.keys()
         if len(self._known) + len(new) > KNOWN:
-            self._known, new = {}, needed
-        new = list(new)
-        self._known.update(zip(new, (packed(e.ids) for e in self._tokenizer.encode_batch_fast(new, add_special_tokens=False))))
-        return [b"".join(map(self._known.__getitem__, pieces)) for pieces in cut_up]
+            self._before, self._known, new = self._known, {}, needed
+        again = new & self._before.keys()
+        self._known.update((x, self._before[x]) for x in again)
+        new = list(new - again)
+        for i in range(0, len(new), NEW_AT_ONCE):
+            some = new[i : i + NEW_AT_ONCE]
+            found = self._tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
+            data = np.array(found.ids, "<u4").tobytes()
+            ends = (4 * np.cumsum(np.bincount(found.word_ids, minlength=len(some)))).tolist()
+            self._known.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends))))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [self._pieces(t) for t in texts]
+        self._learn(split)
+        return [packed(self._tokenizer.encode(t, add_special_tokens=False).ids) if s is None else b"".join(map(self._known.__getitem__, s)) for s, t in zip(split, texts)]
 
 
 def packed(ids: list[int]) -> bytes:
@@ -217,8 +229,8 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
         name = f"{root}/shard-{shard:06d}.tids"
         own = f"{name}.{uuid.uuid4().hex}"
         for batch in batches:
-            for start in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(start, ROWS_AT_ONCE)
+            for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
+                part = batch.slice(start, TEXTS_AT_ONCE)
                 if writer is None:
                     fs.create_dir(root, recursive=True)
                     stream = fs.open_output_stream(own)
