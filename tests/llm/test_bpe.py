@@ -12,7 +12,7 @@ LIBRARY = Tokenizer.from_file(PATH)
 OWN = bpe.Bpe(open(PATH).read())
 TEXTS = [
     "", " ", "Hello  World, it's 3.14!\n\tÉMILE's déjà-vu", "<|endoftext|>a<|startoftext|> <|ENDOFTEXT|>", "ΣΑΣ Σ ß İ ﬁ", "a\x1cb\x1d c\x85d\xa0e", "日本語 текст العربية 👩‍👩‍👧 é ́x",
-    "'s 't're we've I'll'd", "x" * 500, "abc" * 300, "é" * 200, " a b　c", "²½Ⅷ٣", "a_b__c--d...", "�\u0000​",
+    "'s 't're we've I'll'd", "x" * 500, "abc" * 300, "é" * 200, " a b　c", "²½Ⅷ٣", "a_b__c--d...", "�\u0000​", "Ⱥ ȾZ İx ŉ ǅ", "it's  x\x1fy²³a½ªº",
 ]
 
 
@@ -50,6 +50,7 @@ def test_dataframes(spark):
     rows = [(i, t, "clash") for i, t in enumerate(TEXTS)] + [(None, None, None), (3, TEXTS[3], "clash")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = bpe.decode(bpe.encode(docs, PATH), PATH).collect()
+    assert sorted(got, key=str) == sorted(bpe.encode(docs, PATH, decoded="decoded").collect(), key=str)
     assert len(got) == len(rows)
     want = {t or "": LIBRARY.encode(t or "", add_special_tokens=False).ids for _, t, _ in rows}
     for r in got:

@@ -22,21 +22,17 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow
+from tidemark.llm.pretokens import WIDE, plain
 
-#: Chunks and fragments kept by a worker, and characters taken from a text at once.
-CACHE_ENTRIES = 200_000
+#: Words and fragments kept by a worker, and characters taken from a text at once.
+CACHE_ENTRIES = 120_000
 PIECE_CHARS = 1 << 20
 #: Fragments longer than this are merged with a heap, in n log n steps.
 LONG_FRAGMENT = 48
-#: Control characters that Python's split() takes as white space and the tokenizer does not.
-ODD_SPACES = "\x1c\x1d\x1e\x1f"
-#: Below this character the patterns of this module and of the tokenizers library agree.
-PLAIN_BELOW = "ɐ"
 
 
 def byte_symbols() -> list[str]:
@@ -47,15 +43,18 @@ def byte_symbols() -> list[str]:
 
 
 class _Table(dict):
-    """A dict that computes what it lacks and starts anew when it is full."""
+    """A dict that computes what it lacks. When it is full it starts anew and takes over from the full one what recurs."""
 
     def __init__(self, make, limit: int):
         super().__init__()
-        self._make, self._limit = make, limit
+        self._make, self._limit, self._before = make, limit, {}
 
     def __missing__(self, key):
-        value = self._make(key)
+        value = self._before.get(key)
+        if value is None:
+            value = self._make(key)
         if len(self) >= self._limit:
+            self._before = dict(self)
             self.clear()
         self[key] = value
         return value
@@ -69,11 +68,11 @@ class Bpe:
         self._model = parsed["model"]
         self.special = {x["content"]: x["id"] for x in parsed["added_tokens"]}
         self.tokens = {i: t for t, i in [*self._model["vocab"].items(), *self.special.items()]}
-        self._pattern = regex.compile(next(x["pattern"]["Regex"] for x in parsed["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
+        self._words = plain(next(x["pattern"]["Regex"] for x in parsed["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"))
         self._special_pattern = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self._spec, self._library = spec, None
         self._fragments = _Table(self._merge, CACHE_ENTRIES)
-        self._chunks = _Table(self._encode_chunk, CACHE_ENTRIES)
+        self._known = _Table(lambda word: self._encode_word(word.encode()), CACHE_ENTRIES)
 
     @cached_property
     def _symbol_ids(self) -> tuple[list[int], list[int]]:
@@ -94,6 +93,10 @@ class Bpe:
     def inside(self) -> np.ndarray:
         return self._inside_pairs(self._model["vocab"], self._model.get("end_of_word_suffix") or "", byte_symbols())
 
+    @cached_property
+    def _inside_flags(self) -> bytes:
+        return self.inside.tobytes()
+
     @staticmethod
     def _inside_pairs(vocab: dict[str, int], suffix: str, symbols: list[str]) -> np.ndarray:
         """inside[x, y]: y follows x within some token. The last byte of a word counts as another symbol (256 more)."""
@@ -108,22 +111,20 @@ class Bpe:
                 inside[x, y] = True
         return inside
 
-    def _split(self, chunk: str) -> list[bytes]:
-        """The normalised words of a text without white space."""
-        if max(chunk) < PLAIN_BELOW:
-            return [w.encode() for w in self._pattern.findall(chunk.lower())]
+    def _split(self, text: str) -> list[bytes]:
+        """The normalised words of a text with any characters, by the library's normaliser and splitter."""
         if self._library is None:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_str(self._spec)
         byte = {s: b for b, s in enumerate(byte_symbols())}
-        words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(chunk))
+        words = self._library.pre_tokenizer.pre_tokenize_str(self._library.normalizer.normalize_str(text))
         return [bytes(byte[c] for c in w) for w, _ in words]
 
     def fragments(self, word: bytes) -> list[tuple[bytes, bool]]:
         """A word cut at the certain boundaries: (bytes, whether the word ends there)."""
-        codes = [*word[:-1], word[-1] + 256]
-        cuts = [i for i in range(1, len(codes)) if not self.inside[codes[i - 1], codes[i]]]
+        codes, inside = [*word[:-1], word[-1] + 256], self._inside_flags
+        cuts = [i for i, (x, y) in enumerate(zip(codes, codes[1:]), 1) if not inside[x << 9 | y]]
         return [(word[a:b], b == len(word)) for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
     def _merge(self, fragment: tuple[bytes, bool]) -> bytes:
@@ -135,13 +136,16 @@ class Bpe:
             ids[-1] = last[data[-1]]
         if len(ids) > LONG_FRAGMENT:
             return self._merge_long(ids)
-        merges = self._merges
-        while len(ids) > 1:
-            found = [(m[0], i, m[1]) for i, pair in enumerate(zip(ids, ids[1:])) if (m := merges.get(pair))]
-            if not found:
-                break
-            _, i, new = min(found)
-            ids[i : i + 2] = [new]
+        lookup = self._merges.get
+        steps = list(map(lookup, zip(ids, ids[1:])))  # of each neighbour pair: (rank, merged id), or None
+        while any(steps):
+            i = steps.index(min(filter(None, steps)))
+            ids[i : i + 2] = [steps[i][1]]
+            del steps[i]
+            if i:
+                steps[i - 1] = lookup((ids[i - 1], ids[i]))
+            if i < len(steps):
+                steps[i] = lookup((ids[i], ids[i + 1]))
         return packed(ids)
 
     def _merge_long(self, ids: list[int]) -> bytes:
@@ -162,8 +166,8 @@ class Bpe:
                     heapq.heappush(heap, (m[0], a, m[1], (ids[a], ids[b])))
         return packed([x for x in ids if x >= 0])
 
-    def _encode_chunk(self, chunk: str) -> bytes:
-        return b"".join(self._fragments[f] for w in self._split(chunk) for f in self.fragments(w))
+    def _encode_word(self, word: bytes) -> bytes:
+        return b"".join(self._fragments[f] for f in self.fragments(word))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """The packed ids of a text, piece by piece."""
@@ -172,14 +176,18 @@ class Bpe:
             for part in parts:
                 if part in self.special:
                     yield packed([self.special[part]])
+                elif WIDE.search(low := part.lower()):
+                    yield b"".join(map(self._encode_word, self._split(part)))
                 else:
-                    chunks = regex.split(r"\s+", part) if any(c in part for c in ODD_SPACES) else part.split()
-                    yield b"".join(map(self._chunks.__getitem__, filter(None, chunks)))
+                    yield b"".join(map(self._known.__getitem__, self._words.findall(low)))
 
     def decode(self, ids) -> str:
         """The tokens joined by spaces, as a vocabulary file without a decoder asks for."""
         return " ".join(map(self.tokens.__getitem__, ids))
 
+    def decode_packed(self, data: bytes) -> str:
+        return self.decode(np.frombuffer(data, "<u4").tolist())
+
 
 def pieces(text: str, chars: int = PIECE_CHARS) -> Iterator[str]:
     """A text cut at spaces into pieces of about `chars` characters; no piece boundary lies inside a word."""
@@ -207,22 +215,26 @@ def loaded(spec: str) -> Bpe:
     return Bpe(spec)
 
 
-def encode(docs: DataFrame, vocabulary: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, keep: Sequence[str] = ("doc_id",), text_col: str = "text", into: str = "ids", decoded: str | None = None) -> DataFrame:
     """The columns `keep` and the packed ids (binary: little-endian unsigned 32-bit integers) of every row's whole text.
 
-    A null text counts as empty and has no ids. Null and repeated ids of rows pass through, each row
-    by itself; an empty table gives no rows; columns not in `keep` are not read.
+    With `decoded` a column of that name holds the ids decoded again, in the same pass. A null text
+    counts as empty and has no ids. Null and repeated ids of rows pass through, each row by itself; an
+    empty table gives no rows; columns not in `keep` are not read.
     """
     spec = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
     kept = [f"_{i}" for i in range(len(keep))]
 
     def rows(batch: pa.RecordBatch) -> dict:
         bpe = loaded(spec.value)
-        return dict(zip(kept, batch.columns)) | {"_ids": [b"".join(bpe.encode(t or "")) for t in batch.column(len(kept)).to_pylist()]}
+        ids = [b"".join(bpe.encode(t or "")) for t in batch.column(len(kept)).to_pylist()]
+        out = dict(zip(kept, batch.columns)) | {"_ids": ids}
+        return out | {"_decoded": list(map(bpe.decode_packed, ids))} if decoded else out
 
     rows_in = docs.select(*(F.col(c).alias(k) for c, k in zip(keep, kept)), F.col(text_col).alias("_text"))
-    out = map_arrow(rows_in, rows, rows_in.drop("_text").withColumn("_ids", F.lit(b"")).schema)
-    return out.toDF(*keep, into)
+    shape = rows_in.drop("_text").withColumn("_ids", F.lit(b""))
+    shape = shape.withColumn("_decoded", F.lit("")) if decoded else shape
+    return map_arrow(rows_in, rows, shape.schema).toDF(*keep, into, *([decoded] if decoded else []))
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", into: str = "decoded") -> DataFrame:
@@ -232,7 +244,7 @@ def decode(encoded: DataFrame, vocabulary: str, ids_col: str = "ids", into: str
 
     def rows(batch: pa.RecordBatch) -> dict:
         bpe = loaded(spec.value)
-        texts = [None if data is None else bpe.decode(np.frombuffer(data, "<u4").tolist()) for data in batch.column(names.index(ids_col)).to_pylist()]
+        texts = [None if data is None else bpe.decode_packed(data) for data in batch.column(names.index(ids_col)).to_pylist()]
         return dict(zip(names, batch.columns)) | {into: texts}
 
     return map_arrow(encoded, rows, encoded.withColumn(into, F.lit("")).schema)

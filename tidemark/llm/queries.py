@@ -28,8 +28,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(documents(spark, sf_dir), vocabulary)
-    return bpe.decode(encoded, vocabulary).select(
+    return bpe.encode(documents(spark, sf_dir), vocabulary, decoded="decoded").select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
