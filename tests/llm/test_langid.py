@@ -60,7 +60,7 @@ def test_code_lengths_are_those_of_a_plain_coder(model):
 
 def test_chances_sum_to_one(model):
     for i in range(len(model.languages)):
-        assert np.allclose(model.chances(i).sum(axis=-1), 1)
+        assert all(np.allclose(block.sum(axis=-1), 1) for block in model.blocks(i))
 
 
 def test_held_out_accuracy(spark, model):

@@ -28,8 +28,8 @@ UNKNOWN = "und"
 #: Bound of the sample that statistics are taken from, and of what they take in a worker.
 DOCS_PER_LANGUAGE = 2000
 ORDER = 3
-TABLE_MB = 128
-SYMBOLS = 56
+TABLE_MB = 96
+SYMBOLS = 44
 #: Symbols looked up at once.
 CODES_AT_ONCE = 1 << 18
 
@@ -48,32 +48,28 @@ class Model:
     def codes(self, text: str) -> np.ndarray:
         return symbol_codes(text, self.symbol, self.size, self.order)
 
-    def chances(self, language: int) -> np.ndarray:
-        """The chance of each symbol (last axis) in each context of full length."""
+    def blocks(self, language: int) -> Iterator[np.ndarray]:
+        """The chance of each symbol (columns) in each context of full length (rows), one oldest symbol after another."""
         size, order = self.size, self.order
-        full = np.zeros(size ** (order + 1))
+        full = np.zeros(size ** (order + 1), np.float32)
         codes, counts = self.counts[language]
         full[codes] = counts
         below = np.full((1, size), 1 / size)
-        for k in range(order + 1):
-            seen_times = full.reshape(-1, size ** (k + 1)).sum(axis=0).reshape(-1, size)
-            below = np.tile(below, (len(seen_times) // len(below), 1)) if k else below
-            seen = seen_times > 0
-            times, kinds = seen_times.sum(axis=1, keepdims=True), seen.sum(axis=1, keepdims=True)
-            rest = np.where(seen, 0, below).sum(axis=1, keepdims=True)
-            escape = np.where(kinds < size, kinds, 0)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                mixed = np.where(seen, seen_times / (times + escape), escape / (times + escape) * below / rest)
-            below = np.where(times > 0, mixed, below)
-        return below
+        for k in range(order):
+            seen_times = full.reshape(-1, size ** (k + 1)).sum(axis=0, dtype=np.float64).reshape(-1, size)
+            below = mixed(seen_times, np.tile(below, (len(seen_times) // len(below), 1)))
+        for block in full.reshape(size, -1, size):
+            yield mixed(block, below)
 
     @property
     def costs(self) -> np.ndarray:
-        """Bits of each (context, symbol), a column for each language. Built once in a worker."""
+        """Bits of each (context, symbol), a column for each language. Built once in a worker, block by block."""
         if self._costs is None:
+            step = self.size**self.order
             table = np.empty((self.size ** (self.order + 1), len(self.languages)), np.float32)
             for i in range(len(self.languages)):
-                table[:, i] = -np.log2(self.chances(i)).ravel()
+                for j, block in enumerate(self.blocks(i)):
+                    table[j * step : (j + 1) * step, i] = -np.log2(block).ravel()
             self._costs = table
         return self._costs
 
@@ -91,6 +87,17 @@ class Model:
         return self.languages[best], float(1 / np.exp2(bits[best] - bits).sum())
 
 
+def mixed(seen_times: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Chances in contexts with the given counts, where `below` are the chances in the next shorter contexts."""
+    seen = seen_times > 0
+    times, kinds = seen_times.sum(axis=1, keepdims=True, dtype=np.float64), seen.sum(axis=1, keepdims=True)
+    rest = np.where(seen, 0, below).sum(axis=1, keepdims=True)
+    escape = np.where(kinds < seen.shape[1], kinds, 0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        out = np.where(seen, seen_times / (times + escape), escape / (times + escape) * below / rest)
+    return np.where(times > 0, out, below)
+
+
 def symbol_codes(text: str, symbol: np.ndarray, size: int, order: int) -> np.ndarray:
     """For each symbol of the text the number of (its context of `order` symbols, it)."""
     symbols = symbol[np.frombuffer(text.encode(), np.uint8)]
