@@ -132,3 +132,12 @@ def test_probabilities(spark):
     out = m.outcome_chances(grid, ["k"]).first()
     assert grid.count() == 121 and out.p_home + out.p_draw + out.p_away == pytest.approx(1) and 0 < out.tail < 1e-5
     assert [r.score for r in m.top_scores(grid, ["k"], 2).orderBy("place").collect()] == ["1-0", "1-1"]
+
+
+def test_locked_players_and_relaxation():
+    pdf = pool(3, 40)
+    got = p.greedy_squad(pdf, QUOTAS, 60, 3, locked=[0, 5])
+    assert {0, 5} <= set(got["player_id"]) and got["position"].value_counts().to_dict() == QUOTAS and got["price"].sum() <= 60
+    assert len(p.greedy_squad(pdf, QUOTAS, 60, 3, locked=[0, 4])) == 0 and len(p.greedy_squad(pdf, QUOTAS, 60, 3, locked=[999])) == 0
+    chosen, step = p.relaxed_squad(pdf, [(1, 1), (2, 3), (60, 2)], QUOTAS)
+    assert step == 2 and chosen["price"].sum() <= 60 and p.relaxed_squad(pdf, [(1, 1)], QUOTAS)[1] == -1

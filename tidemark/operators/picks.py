@@ -6,7 +6,7 @@ club, a player goes who at least as many others as a club may give beat in point
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -34,10 +34,20 @@ def _cheapest(rest: dict[str, list[int]], need: Mapping[str, int]) -> int | None
     return sum(sum(sorted(rest[p])[:n]) for p, n in need.items())
 
 
-def greedy_squad(pool: pd.DataFrame, quotas: Mapping[str, int] = QUOTAS, budget: int = BUDGET, per_club: int = PER_CLUB) -> pd.DataFrame:
-    """Picks by points and by points per price in turn, taking only players after whom the squad can still be completed."""
+def greedy_squad(pool: pd.DataFrame, quotas: Mapping[str, int] = QUOTAS, budget: int = BUDGET, per_club: int = PER_CLUB, locked: Sequence[int] = ()) -> pd.DataFrame:
+    """Picks by points and by points per price in turn, taking only players after whom the squad can still be completed.
+
+    Locked players are in from the start; no rows if that or the rest cannot be made legal.
+    """
     rows = pool.to_dict("records")
     need, clubs, left, taken = dict(quotas), {}, budget, []
+    for r in (r for r in rows if r["player_id"] in set(locked)):
+        taken.append(r)
+        need[r["position"]] = need.get(r["position"], 0) - 1
+        clubs[r["club"]] = clubs.get(r["club"], 0) + 1
+        left -= r["price"]
+    if len(taken) < len(set(locked)) or left < 0 or min(need.values()) < 0 or max(clubs.values(), default=0) > per_club:
+        return pd.DataFrame(columns=pool.columns)
     by_points = sorted(rows, key=lambda r: (-r["points"], r["price"], r["player_id"]))
     by_value = sorted(rows, key=lambda r: (-r["points"] / max(r["price"], 1), r["price"], r["player_id"]))
 
@@ -126,6 +136,42 @@ def squads(pool: DataFrame, exact: bool, quotas: Mapping[str, int] = QUOTAS, bud
     return pool.groupBy("scenario").applyInPandas(pick, pool.withColumn("proved", F.lit(True)).schema)
 
 
+def locked_squads(pool: DataFrame, locked: Sequence[int], quotas: Mapping[str, int] = QUOTAS, budget: int = BUDGET, per_club: int = PER_CLUB) -> DataFrame:
+    """The greedy squad of each scenario around players that are in it for certain."""
+    columns = ["scenario", "player_id", "position", "club", "price", "points"]
+    quotas, locked = dict(quotas), list(locked)
+    rows = pool.select("scenario", "player_id", "position", "club", F.col("price").cast("long").alias("price"), F.col("points").cast("double").alias("points"))
+    return rows.groupBy("scenario").applyInPandas(lambda pdf: greedy_squad(pdf, quotas, budget, per_club, locked)[columns], rows.schema)
+
+
+def relaxed_squad(pool: pd.DataFrame, ladder: Sequence[tuple[int, int]], quotas: Mapping[str, int] = QUOTAS) -> tuple[pd.DataFrame, int]:
+    """The best squad under the first (budget, club limit) of the ladder that allows one, and which step that was (-1: none)."""
+    for step, (budget, per_club) in enumerate(ladder):
+        chosen, _ = exact_squad(pool, quotas, budget, per_club)
+        if len(chosen):
+            return chosen, step
+    return pool.iloc[:0], -1
+
+
+def lineups(squad: DataFrame, scenario: str = "scenario") -> DataFrame:
+    """Each squad's players with `starts` by the legal formation of most points. A group is one squad."""
+    rows = squad.select(scenario, "player_id", "position", F.col("points").cast("double").alias("points"))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.assign(starts=pdf["player_id"].isin(best_lineup(pdf)))
+
+    return rows.groupBy(scenario).applyInPandas(pick, rows.withColumn("starts", F.lit(True)).schema)
+
+
+def backtest(before: DataFrame, after: DataFrame, actual: DataFrame) -> DataFrame:
+    """One row: players out and in, the actual points of both squads, and what the change brought."""
+    a, b = before.select("player_id").distinct(), after.select("player_id").distinct()
+    both = a.withColumn("_a", F.lit(True)).join(b.withColumn("_b", F.lit(True)), "player_id", "full").join(actual.select("player_id", "points"), "player_id", "left")
+    total = lambda side: F.coalesce(F.sum(F.when(F.col(side).isNotNull(), F.col("points"))), F.lit(0))
+    out = both.agg(F.count_if(F.col("_b").isNull()).alias("out"), F.count_if(F.col("_a").isNull()).alias("in"), total("_a").alias("points_before"), total("_b").alias("points_after"))
+    return out.withColumn("delta", F.col("points_after") - F.col("points_before"))
+
+
 def starting_eleven(squad: DataFrame, formation: Mapping[str, int] | None = None, scenario: str = "scenario") -> DataFrame:
     """Each squad with `starts`, by the best of each position for a fixed formation, and a bench order."""
     counts = dict(formation or {"GKP": 1, "DEF": 3, "MID": 4, "FWD": 3})

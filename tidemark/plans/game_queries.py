@@ -321,3 +321,38 @@ def rollover(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("before_id"), F.col("c_name").alias("name"), F.lit("c").alias("web"), F.col("c_nationkey").alias("team"))
     after = c.where("c_custkey % 4 <> 0").select((F.col("c_custkey") + 100000).alias("after_id"), changed.alias("name"), F.lit("c").alias("web"), F.col("c_nationkey").alias("team"))
     return idt.rollover_map(before, after, "before_id", "after_id", "name", "web", "team")
+
+
+@query("r03_locked_squad")
+def locked_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A squad around two players that are in it for certain."""
+    return p.locked_squads(_pool(spark, sf_dir), [r[0] for r in _pool(spark, sf_dir).where("position IN ('GKP', 'FWD')").groupBy("position").agg(F.min("player_id").alias("i")).select("i").collect()])
+
+
+@query("r14_best_lineup")
+def best_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The starting players of most points over all legal formations, of the best squad."""
+    return p.lineups(p.squads(_pool(spark, sf_dir), exact=True))
+
+
+@query(
+    "r10_backtest",
+    f"""WITH {TEAM}, b AS (SELECT player_id FROM pool WHERE player_id % 40 = 7), a AS (SELECT player_id FROM pool WHERE player_id % 40 = 7 AND player_id % 3 <> 0 OR player_id % 200 = 1), u AS (SELECT coalesce(b.player_id, a.player_id) AS player_id, b.player_id IS NOT NULL AS was, a.player_id IS NOT NULL AS stays FROM b FULL JOIN a ON a.player_id = b.player_id) SELECT count(*) FILTER (NOT stays) AS "out", count(*) FILTER (NOT was) AS "in", CAST(coalesce(sum(points) FILTER (was), 0) AS BIGINT) AS points_before, CAST(coalesce(sum(points) FILTER (stays), 0) AS BIGINT) AS points_after, CAST(coalesce(sum(points) FILTER (stays), 0) - coalesce(sum(points) FILTER (was), 0) AS BIGINT) AS delta FROM u JOIN pool USING (player_id)""",
+)
+def backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = _pool(spark, sf_dir)
+    return p.backtest(pool.where("player_id % 40 = 7"), pool.where("player_id % 40 = 7 AND player_id % 3 <> 0 OR player_id % 200 = 1"), pool)
+
+
+@query(
+    "e03_lineup_legality",
+    f"""WITH {PLAYER_POINTS}, m AS (SELECT player_id % 130 AS squad_id, player_id, {ROLES} AS position, size % 4 <> 0 AS starts, size = 1 AS captain, size = 2 AS vice FROM player_points WHERE position IN ('SMALL', 'LARGE', 'PROMO', 'ECONOMY')),
+    c AS (SELECT squad_id, count(*) FILTER (starts) AS s, count(*) FILTER (NOT starts) AS b, count(*) FILTER (starts AND position = 'GKP') AS g, count(*) FILTER (starts AND position = 'DEF') AS d, count(*) FILTER (starts AND position = 'MID') AS mi, count(*) FILTER (starts AND position = 'FWD') AS f,
+            count(*) FILTER (NOT starts AND position = 'GKP') AS bg, count(*) FILTER (captain) AS c, count(*) FILTER (captain AND NOT starts) AS cn, count(*) FILTER (vice) AS v, count(*) FILTER (vice AND NOT starts) AS vn FROM m GROUP BY 1)
+    SELECT squad_id, concat_ws('|', CASE WHEN s <> 11 THEN 'starting_size' END, CASE WHEN b <> 4 THEN 'bench_size' END, CASE WHEN g <> 1 OR d NOT BETWEEN 3 AND 5 OR mi NOT BETWEEN 2 AND 5 OR f NOT BETWEEN 1 AND 3 THEN 'formation' END, CASE WHEN bg <> 1 THEN 'bench_goalkeepers' END,
+        CASE WHEN c <> 1 THEN 'captain' END, CASE WHEN cn > 0 THEN 'captain_not_starting' END, CASE WHEN v <> 1 THEN 'vice_captain' END, CASE WHEN vn > 0 THEN 'vice_not_starting' END) AS errors FROM c""",
+)
+def lineup_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = player_points(spark, sf_dir).select("player_id", "size")
+    lines = _pool(spark, sf_dir).join(sizes, "player_id").select((F.col("player_id") % 130).alias("squad_id"), "player_id", "position", (F.col("size") % 4 != 0).alias("starts"), (F.col("size") == 1).alias("captain"), (F.col("size") == 2).alias("vice"))
+    return ru.lineup_legality(lines).select("squad_id", F.concat_ws("|", "errors").alias("errors"))
