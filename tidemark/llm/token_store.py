@@ -41,10 +41,10 @@ from tidemark.llm.pretokens import WIDE, plain
 MAGIC = b"TIDEIDS1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
-KNOWN = 250_000
+KNOWN = 400_000
 NEW_AT_ONCE = 10_000
 #: Texts that are split at once.
-TEXTS_AT_ONCE = 512
+TEXTS_AT_ONCE = 1024
 #: Fixed value: the pattern of byte-level vocabularies.
 PRE_TOKEN = plain(r"'(?:[stmd]|re|ve|ll)| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|[\s]+(?![^\s])|[\s]+")
 BYTES_AT_ONCE = 8 << 20
