@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, map_arrow, partitions
@@ -37,9 +37,14 @@ PAIRS = 1 << 20
 SHINGLES_AT_ONCE = 1 << 16
 #: Masks of the similarity search, and the radius within their groups.
 TABLES = 64
-NEAR_RADIUS = 12
+NEAR_RADIUS = 14
 NEAR_SHINGLE = 2
-EDGES_EACH = 3
+#: Partners that a fingerprint proposes in a group, and of all its proposals those that are decided on whole texts.
+PARTNERS = 5
+EDGES_EACH = 10
+#: Minima of a sketch, and how far below the asked similarity its estimate may lie (three deviations and more).
+MINIMA = 48
+SLACK = 0.2
 
 
 # Fingerprints
@@ -73,14 +78,28 @@ def fingerprint(text: str | None, k: int) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0]) if n else 0
 
 
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """_id and _code (long) of every row."""
+_factors = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def sketch(text: str | None, k: int) -> bytes:
+    """For each of MINIMA hash orders 16 bits of the shingle that comes first: equal ones estimate the share of common shingles."""
+    least = np.full(MINIMA, ~np.uint64(0))
+    for hashes in shingle_hashes(text, k):
+        for i in range(0, len(hashes), 4096):
+            least = np.minimum(least, (hashes[i : i + 4096, None] * _factors).min(axis=0))
+    return (least & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", sketched: int | None = None) -> DataFrame:
+    """_id and _code (long) of every row, and with `sketched` the _sketch of its shingles of so many words."""
     rows_in = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def rows(batch: pa.RecordBatch) -> dict:
-        return {"_id": batch.column(0), "_code": [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]}
+        texts = batch.column(1).to_pylist()
+        out = {"_id": batch.column(0), "_code": [fingerprint(t, shingle) for t in texts]}
+        return out | {"_sketch": [sketch(t, sketched) for t in texts]} if sketched else out
 
-    return map_arrow(rows_in, rows, f"_id {rows_in.schema['_id'].dataType.simpleString()}, _code long")
+    return map_arrow(rows_in, rows, f"_id {rows_in.schema['_id'].dataType.simpleString()}, _code long" + ", _sketch binary" * bool(sketched))
 
 
 # The index
@@ -181,14 +200,20 @@ def joined(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
     return u, parent[u], np.zeros(len(u), np.int64)
 
 
-def nearest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each member that has a partner the nearest one: (member, partner, distance). At most n rows."""
-    best = np.full(n, np.iinfo(np.int64).max)
+def nearest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int = PARTNERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each member the k nearest partners: (member, partner, distance). At most k n rows whatever the number of pairs."""
+    member, key = np.empty(0, np.int64), np.empty(0, np.int64)
     for u, v, d in pairs:
-        for x, y in ((u, v), (v, u)):
-            np.minimum.at(best, x, d.astype(np.int64) << 40 | y)
-    u = np.flatnonzero(best != np.iinfo(np.int64).max)
-    return u, best[u] & ((1 << 40) - 1), best[u] >> 40
+        d = d.astype(np.int64) << 40
+        member, key = np.concatenate([member, u, v]), np.concatenate([key, d | v, d | u])
+        if not len(member):
+            continue
+        order = np.lexsort((key, member))
+        member, key = member[order], key[order]
+        first = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
+        keep = np.arange(len(member)) - np.repeat(first, np.diff(np.append(first, len(member)))) < k
+        member, key = member[keep], key[keep]
+    return member, key & ((1 << 40) - 1), key >> 40
 
 
 def _search(grouped: DataFrame, radius: int, reduce: Callable) -> DataFrame:
@@ -288,23 +313,31 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
 
     Candidates come from fingerprints over pairs of words, where an edited word changes few bits: each
     of TABLES fixed bit masks deals them to groups, and in a group each fingerprint proposes its
-    nearest. The width of the masks follows the number of fingerprints, so groups stay small as the
-    corpus grows. Each document's EDGES_EACH best proposals are then decided on the whole texts.
-    Candidates are those of a sketch: pairs near the threshold can be missed, no pair below it links.
-    Rows with a null id take no part.
+    PARTNERS nearest. The width of the masks follows the number of fingerprints, so groups stay small as
+    the corpus grows. Sketches of the shingles rank the proposals; each document's EDGES_EACH best are
+    then decided on the whole texts. Candidates are those of a sketch: a pair near the threshold can be
+    missed, no pair below it links. Rows with a null id take no part.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull())
-    found = cut(fingerprints(rows, NEAR_SHINGLE, "_id", "_text"), "fingerprints")
+    found = cut(fingerprints(rows, NEAR_SHINGLE, "_id", "_text", shingle), "fingerprints")
     codes = cut(found.groupBy("_code").agg(F.min("_id").alias("_least")), "codes")
     width = max(12, min(40, codes.count().bit_length()))
     near = hamming_links(codes.select("_code"), NEAR_RADIUS, sample_masks(width), nearest)
-    least = lambda c: codes.select(F.col("_code").alias(c), F.col("_least").alias(f"{c}_id"))
-    between = near.groupBy("src", "dst").agg(F.min("distance").alias("distance")).join(least("src"), "src").join(least("dst"), "dst").select(F.col("src_id").alias("a"), F.col("dst_id").alias("b"), "distance")
-    equal = found.join(codes, "_code").where(F.col("_id") != F.col("_least")).select(F.col("_id").alias("a"), F.col("_least").alias("b"), F.lit(0).alias("distance"))
-    from pyspark.sql import Window
+    every = found.select(F.col("_code").alias("src"), F.col("_id").alias("a"))  # all that have the fingerprint make its proposals
+    least = codes.select(F.col("_code").alias("dst"), F.col("_least").alias("b"))
+    between = near.select("src", "dst").distinct().join(least, "dst").join(every, "src").select("a", "b")
+    equal = found.join(codes, "_code").where(F.col("_id") != F.col("_least")).select(F.col("_id").alias("a"), F.col("_least").alias("b"))
+    drawn = lambda c: found.select(F.col("_id").alias(c), F.col("_sketch").alias(f"{c}_sketch"))
+    proposed = between.unionByName(equal).join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", "a_sketch", "b_sketch")
+
+    def estimated(batch: pa.RecordBatch) -> dict:
+        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, MINIMA) for c in (2, 3))
+        return {"a": batch.column(0), "b": batch.column(1), "_alike": (x == y).mean(axis=1)}
 
-    best = Window.partitionBy("a").orderBy("distance", "b")
-    edges = between.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= EDGES_EACH).select("a", "b").unionByName(equal.select("a", "b"))
+    kind = rows.schema["_id"].dataType.simpleString()
+    ranked = map_arrow(proposed, estimated, f"a {kind}, b {kind}, _alike double").where(F.col("_alike") >= similarity - SLACK)
+    best = Window.partitionBy("a").orderBy(F.desc("_alike"), "b")
+    edges = ranked.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= EDGES_EACH)
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     ids = edges.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
     texts = cut(rows.join(ids, "_id", "left_semi"), "texts")
@@ -316,7 +349,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         keep = pa.array(same, pa.bool_())
         return {"src": batch.column(0).filter(keep), "dst": batch.column(1).filter(keep)}
 
-    kind = rows.schema["_id"].dataType.simpleString()
     roots = components(map_arrow(pairs, decided, f"src {kind}, dst {kind}"))
     return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
 
