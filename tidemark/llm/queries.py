@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, langid, mixing, simhash, substring_dedup, token_store, url_filter
+from tidemark.llm import ann, bpe, exact_dedup, langid, mixing, simhash, substring_dedup, token_counts, token_store, url_filter
 from tidemark.llm.common import new_path
 
 
@@ -53,6 +53,19 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.verdicts(documents(spark, sf_dir))
 
 
+#: Numbers of three digits and more, and mail addresses: what op6 masks.
+MASKED = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d{3,}"
+MASK = "[masked]"
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document, and after every number and mail address in it is masked, counted from the edits alone."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    trees = token_counts.build_trees(documents(spark, sf_dir), vocabulary, keep=("text",)).withColumn("n_tokens", token_counts.count())
+    after = token_counts.apply_edits(trees, vocabulary, finder=token_counts.replacing(MASKED, MASK), keep=("n_tokens",))
+    return after.select("doc_id", "n_tokens", F.col("n_edits").cast("long").alias("n_edits"), token_counts.count().alias("n_tokens_after"), F.col("encoded").alias("chars_encoded"))
+
+
 def held_out(col: str = "doc_id") -> Column:
     """Whether a document is kept from learning: the crc32 of its id as text leaves 1 when divided by 3."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % 3 == 1
@@ -85,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_mixing": op4_mixing,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_token_counts": op6_token_counts,
     "op7_language_id": op7_language_id,
     "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
