@@ -115,7 +115,7 @@ POSITION = "CASE user_id % 4 WHEN 0 THEN 'GKP' WHEN 1 THEN 'DEF' WHEN 2 THEN 'MI
 @query(
     "e01_match_score",
     f"""WITH {USER_DAYS}, m AS (SELECT *, {POSITION} AS position, minutes * 20 AS played FROM user_days)
-    SELECT user_id, day, CASE WHEN played >= 60 THEN 2 WHEN played >= 1 THEN 1 ELSE 0 END AS appearance_points, goals * CASE position WHEN 'GKP' THEN 10 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END AS goal_points,
+    SELECT user_id, day, CAST(CASE WHEN played >= 60 THEN 2 WHEN played >= 1 THEN 1 ELSE 0 END AS BIGINT) AS appearance_points, goals * CASE position WHEN 'GKP' THEN 10 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END AS goal_points,
         CASE WHEN cards >= 3 THEN (cards // 3) * -3 ELSE cards * -1 END AS card_points, CASE WHEN position = 'GKP' THEN saves // 3 ELSE 0 END AS save_points,
         CASE WHEN position <> 'GKP' AND saves > 0 THEN 'saves_without_goalkeeper' END AS problem,
         CASE WHEN position = 'GKP' OR saves = 0 THEN CASE WHEN played >= 60 THEN 2 WHEN played >= 1 THEN 1 ELSE 0 END + goals * CASE position WHEN 'GKP' THEN 10 WHEN 'DEF' THEN 6 WHEN 'MID' THEN 5 ELSE 4 END + assists * 3

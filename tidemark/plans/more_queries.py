@@ -85,7 +85,7 @@ def any_and_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_days(spark, sf_dir).groupBy("user_id").agg(F.bool_or(F.col("cards") > 1).alias("any_card"), F.bool_and(F.col("minutes") > 0).alias("always_played"))
 
 
-@query("a34_discounted_utility", f"WITH {USER_DAYS} SELECT user_id, round(sum(points * [1.0, 0.85, 0.7225][day - 20]), 4) AS discounted, count(DISTINCT day) = 3 AS complete FROM user_days WHERE day BETWEEN 21 AND 23 GROUP BY 1")
+@query("a34_discounted_utility", f"WITH {USER_DAYS} SELECT user_id, round(sum(points * CAST([1.0, 0.85, 0.7225][day - 20] AS DOUBLE)), 4) AS discounted, count(DISTINCT day) = 3 AS complete FROM user_days WHERE day BETWEEN 21 AND 23 GROUP BY 1")
 def discounted(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pre.discounted_total(user_days(spark, sf_dir), ["user_id"], "day", "points", {21: 1.0, 22: 0.85, 23: 0.7225})
     return out.withColumn("discounted", F.round("discounted", 4))
@@ -321,7 +321,7 @@ def recent_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.concat_ws("|", ordered).alias("minutes"))
 
 
-@query("x20_risk_utility", f"WITH {PLAYER_POINTS} SELECT player_id, round(points - 0.25 * (size % 10) - CASE WHEN games < 60 THEN 0.5 ELSE 0 END - CASE WHEN size % 3 = 0 THEN 0.3 ELSE 0 END, 6) AS utility FROM player_points")
+@query("x20_risk_utility", f"WITH {PLAYER_POINTS} SELECT player_id, round(CAST(points AS DOUBLE) - 0.25 * (size % 10) - CASE WHEN games < 60 THEN 0.5 ELSE 0 END - CASE WHEN size % 3 = 0 THEN 0.3 ELSE 0 END, 6) AS utility FROM player_points")
 def risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = h.risk_adjusted(F.col("points"), F.lit(0.0), (F.col("size") % 10).cast("double"), F.col("games"), F.col("size") % 3 == 0)
     return player_points(spark, sf_dir).select("player_id", F.round(u, 6).alias("utility"))

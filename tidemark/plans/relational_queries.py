@@ -25,7 +25,7 @@ def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "s06_live_document",
-    """SELECT CAST(date_diff('day', DATE '2023-12-31', CAST(ts AS DATE)) AS BIGINT) AS period, event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 0 AS missing FROM events""",
+    """SELECT CAST(date_diff('day', DATE '2023-12-31', CAST(ts AS DATE)) AS BIGINT) AS period, event_id AS id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CAST(0 AS BIGINT) AS missing FROM events""",
 )
 def live_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document per day with its elements, flattened again; a measure that no element has is 0."""
