@@ -75,7 +75,8 @@ def test_empty_repeated_and_null_ids(spark):
 
 
 def test_mixed_repeats_rows(spark):
-    docs = spark.createDataFrame([(i, s, "w " * (i % 9)) for i in range(200) for s in ["a" if i < 20 else "b"]], "doc_id long, source string, text string")
+    rows = [(i, s, "w " * (i % 9), 1, 2) for i in range(200) for s in ["a" if i < 20 else "b"]]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, times int, _copy int")
     times = {r.doc_id: r.times for r in mixing.mix(docs).collect()}
     got = mixing.mixed(docs)
     assert got.columns == docs.columns

@@ -160,4 +160,6 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, limit: float =
     """`docs` as the mix takes them: rows that it takes several times are repeated, the others go. All columns stay as they are."""
     chosen = mix(docs, weights, limit, BUCKET, id_col, text_col, source_col).select(F.col(id_col).alias("_taken"), "times").where("times > 0").distinct()
     together = docs.join(chosen, docs[id_col].eqNullSafe(chosen["_taken"]))
-    return together.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*(docs[c] for c in docs.columns))
+    rows = together.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), chosen["times"])))
+    places = [f"_{i}" for i in range(len(docs.columns))]
+    return rows.toDF(*places, "_copy").select(*(F.col(p).alias(c) for p, c in zip(places, docs.columns)))
