@@ -163,6 +163,21 @@ def lineups(squad: DataFrame, scenario: str = "scenario") -> DataFrame:
     return rows.groupBy(scenario).applyInPandas(pick, rows.withColumn("starts", F.lit(True)).schema)
 
 
+#: What the points of a role count for.
+ROLE_WEIGHTS = {"starter": 1.0, "captain": 2.0, "vice": 1.05, "bench": 0.1}
+
+
+def objective(lines: DataFrame, discounts: Mapping[int, float], weights: Mapping[str, float] = ROLE_WEIGHTS) -> DataFrame:
+    """Value of each squad by period and player, by period, and in all (nulls in the columns summed over), in one pass.
+
+    `lines` has scenario, period, player_id, role, points. Periods without a discount do not count.
+    """
+    table = lambda m: F.create_map(*(F.lit(x) for pair in m.items() for x in pair))
+    worth = F.col("points") * F.try_element_at(table(weights), F.col("role")) * F.try_element_at(table(discounts), F.col("period").cast("int"))
+    rows = lines.withColumn("_worth", worth).where("_worth IS NOT NULL")
+    return rows.groupingSets([("scenario", "period", "player_id"), ("scenario", "period"), ("scenario",)], "scenario", "period", "player_id").agg(F.sum("_worth").alias("value"))
+
+
 def backtest(before: DataFrame, after: DataFrame, actual: DataFrame) -> DataFrame:
     """One row: players out and in, the actual points of both squads, and what the change brought."""
     a, b = before.select("player_id").distinct(), after.select("player_id").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -132,6 +132,23 @@ def bank_after(weeks: DataFrame, top_ups: Mapping[int, int] | None = None, cap:
     return weeks.groupBy("manager_id").agg(F.aggregate(ordered, F.lit(1).cast("int"), step).alias("free_transfers"))
 
 
+def chip_problems(uses: DataFrame, windows: DataFrame, never_in_a_row: tuple[str, ...] = ("free_hit",)) -> DataFrame:
+    """Uses of chips with the first rule that they break, or null: outside every window, over the allowance, two in a row, two in one week.
+
+    uses: manager_id, week, chip; windows as for `chip_inventory`. Uses count in order of weeks.
+    """
+    u = uses.select("manager_id", "week", "chip").distinct()
+    inside = (F.col("u.chip") == F.col("w.chip")) & F.col("u.week").between(F.col("w.first"), F.col("w.last"))
+    rows = u.alias("u").join(F.broadcast(windows.alias("w")), inside, "left").select("u.*", "w.window", "w.allowed")
+    by = Window.partitionBy("manager_id", "chip")
+    nth = F.row_number().over(Window.partitionBy("manager_id", "chip", "window").orderBy("week"))
+    in_a_row = F.col("chip").isin(*never_in_a_row) & (F.col("week") - F.lag("week").over(by.orderBy("week")) == 1)
+    same_week = F.count(F.lit(1)).over(Window.partitionBy("manager_id", "week")) > 1
+    rows = rows.withColumns({"_nth": nth, "_row": F.coalesce(in_a_row, F.lit(False)), "_same": same_week})
+    problem = F.when(F.col("window").isNull(), "outside_windows").when(F.col("_nth") > F.col("allowed"), "over_allowance").when(F.col("_row"), "in_a_row").when(F.col("_same"), "two_in_one_week")
+    return rows.select("manager_id", "week", "chip", problem.alias("problem"))
+
+
 def chip_inventory(uses: DataFrame, windows: DataFrame, managers: DataFrame) -> DataFrame:
     """For each manager and chip window: allowed, used, left. windows: chip, window, first, last, allowed (a short table)."""
     inside = (F.col("u.chip") == F.col("w.chip")) & F.col("u.week").between(F.col("w.first"), F.col("w.last"))

@@ -356,3 +356,29 @@ def lineup_legality(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = player_points(spark, sf_dir).select("player_id", "size")
     lines = _pool(spark, sf_dir).join(sizes, "player_id").select((F.col("player_id") % 130).alias("squad_id"), "player_id", "position", (F.col("size") % 4 != 0).alias("starts"), (F.col("size") == 1).alias("captain"), (F.col("size") == 2).alias("vice"))
     return ru.lineup_legality(lines).select("squad_id", F.concat_ws("|", "errors").alias("errors"))
+
+
+@query(
+    "r15_objective",
+    f"""WITH {USER_DAYS}, l AS (SELECT user_id % 10 AS scenario, day AS period, user_id AS player_id, points * [1.0, 0.5, 0.25][day] * CASE user_id % 4 WHEN 0 THEN 2.0 WHEN 1 THEN 1.5 WHEN 2 THEN 1.0 ELSE 0.25 END AS worth FROM user_days WHERE day <= 3)
+    SELECT scenario, period, player_id, CAST(sum(worth) AS DOUBLE) AS value FROM l GROUP BY GROUPING SETS ((scenario, period, player_id), (scenario, period), (scenario))""",
+)
+def objective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    role = F.element_at(F.array(*map(F.lit, ("captain", "vice", "starter", "bench"))), (F.col("user_id") % 4 + 1).cast("int"))
+    lines = user_days(spark, sf_dir).select((F.col("user_id") % 10).alias("scenario"), F.col("day").alias("period"), F.col("user_id").alias("player_id"), role.alias("role"), "points")
+    return p.objective(lines, {1: 1.0, 2: 0.5, 3: 0.25}, {"captain": 2.0, "vice": 1.5, "starter": 1.0, "bench": 0.25})
+
+
+@query(
+    "e08_chip_problems",
+    """WITH w AS (SELECT * FROM (VALUES ('click', 1, 1, 10, 2), ('click', 2, 11, 25, 3), ('purchase', 1, 1, 30, 1)) t(chip, wnd, f, l, allowed)),
+    u AS (SELECT DISTINCT user_id AS manager_id, CAST(date_diff('day', DATE '2023-12-31', CAST(ts AS DATE)) AS BIGINT) AS week, event_type AS chip FROM events WHERE event_type IN ('click', 'purchase')),
+    r AS (SELECT u.*, w.wnd, w.allowed, row_number() OVER (PARTITION BY manager_id, u.chip, w.wnd ORDER BY week) AS nth, coalesce(u.chip = 'click' AND week - lag(week) OVER (PARTITION BY manager_id, u.chip ORDER BY week) = 1, false) AS in_row, count(*) OVER (PARTITION BY manager_id, week) > 1 AS same
+          FROM u LEFT JOIN w ON w.chip = u.chip AND u.week BETWEEN w.f AND w.l)
+    SELECT manager_id, week, chip, CASE WHEN wnd IS NULL THEN 'outside_windows' WHEN nth > allowed THEN 'over_allowance' WHEN in_row THEN 'in_a_row' WHEN same THEN 'two_in_one_week' END AS problem FROM r""",
+)
+def chip_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").where(F.col("event_type").isin("click", "purchase"))
+    uses = events.select(F.col("user_id").alias("manager_id"), F.datediff(F.to_date("ts"), F.lit("2023-12-31")).cast("long").alias("week"), F.col("event_type").alias("chip"))
+    windows = spark.createDataFrame([("click", 1, 1, 10, 2), ("click", 2, 11, 25, 3), ("purchase", 1, 1, 30, 1)], "chip string, window int, first int, last int, allowed int")
+    return ru.chip_problems(uses, windows, never_in_a_row=("click",))
