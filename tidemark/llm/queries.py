@@ -54,7 +54,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Numbers of three digits and more, and mail addresses: what op6 masks.
-MASKED = r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\d{3,}"
+MASKED = r"(?<![\w.+-])[\w.+-]++@[\w-]+(?:\.[\w-]+)+|\d{3,}"
 MASK = "[masked]"
 
 

@@ -16,8 +16,9 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -66,9 +67,9 @@ class Counter:
             at = place + len(s)
         return out
 
-    def learn(self, pieces: Sequence[str]) -> None:
+    def learn(self, pieces: Iterable[str]) -> None:
         needed = set(pieces)
-        new = needed - self._known.keys()
+        new = {x for x in needed if x not in self._known}
         if len(self._known) + len(new) > KNOWN:
             self._before, self._known, new = self._known, {}, needed
         again = new & self._before.keys()
@@ -200,7 +201,7 @@ def build_trees(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_c
         own = counter(spec.value)
         texts = [t or "" for t in batch.column(len(names)).to_pylist()]
         split = list(map(own.pieces, texts))
-        own.learn([p for pieces in split for p in pieces])
+        own.learn(chain.from_iterable(split))
         trees = [Tree.of(np.fromiter(map(len, p), np.int64, len(p)), own.counts(p)) for p in split]
         return dict(zip(names, batch.columns)) | {"_chars": [t.chars for t in trees], "_tokens": [t.tokens for t in trees]}
 
@@ -220,6 +221,12 @@ def replacing(pattern: str, put: str) -> Callable[[str], list[Edit]]:
     return lambda text: [(m.start(), m.end(), put) for m in found.finditer(text)]
 
 
+def _slices(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column as views of its values."""
+    values, offsets = column.values.to_numpy(), column.offsets.to_pylist()
+    return [values[a:b] for a, b in zip(offsets, offsets[1:])]
+
+
 def apply_edits(rows: DataFrame, vocabulary: str, edits_col: str = "edits", finder: Callable[[str], list[Edit]] | None = None, id_col: str = "doc_id", text_col: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """id, the columns `keep`, text, chars, tokens, n_edits, encoded after the edits of each row.
 
@@ -235,9 +242,11 @@ def apply_edits(rows: DataFrame, vocabulary: str, edits_col: str = "edits", find
     def done(batch: pa.RecordBatch) -> dict:
         own, out = counter(spec.value), []
         listed = batch.column(n + 3).to_pylist() if finder is None else [None] * batch.num_rows
-        for text, chars, tokens, given in zip(*(batch.column(i).to_pylist() for i in range(n, n + 3)), listed):
-            text, tree, encoded = text or "", Tree(np.array(chars, np.int64), np.array(tokens, np.int64)), 0
+        for text, chars, tokens, given in zip(batch.column(n).to_pylist(), _slices(batch.column(n + 1)), _slices(batch.column(n + 2)), listed):
+            text, tree, encoded = text or "", Tree(chars, tokens), 0
             edits = finder(text) if finder else [(e["start"], e["end"], e["put"]) for e in given or []]
+            if edits:
+                tree = Tree(chars.astype(np.int64), tokens.astype(np.int64))
             for change in sorted(edits, reverse=True):
                 text, tree, size = edit(text, tree, change, own)
                 encoded += size
