@@ -29,7 +29,7 @@ UNKNOWN = "und"
 DOCS_PER_LANGUAGE = 2000
 ORDER = 3
 TABLE_MB = 96
-SYMBOLS = 44
+SYMBOLS = 36
 #: Symbols looked up at once.
 CODES_AT_ONCE = 1 << 18
 

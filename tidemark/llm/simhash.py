@@ -33,7 +33,7 @@ FANOUT = 8
 GROUP_LIMIT = 1 << 16
 #: Fingerprints and node pairs that a task looks at together.
 BUFFER = 200_000
-PAIRS = 1 << 20
+PAIRS = 1 << 18
 SHINGLES_AT_ONCE = 1 << 16
 #: Masks of the similarity search, and the radius within their groups.
 TABLES = 64
@@ -251,7 +251,8 @@ def hamming_links(codes: DataFrame, radius: int, masks: list[int], reduce: Calla
     fingerprints that are connected within the radius. `nearest` gives each its nearest partner instead.
     """
     spark, out = codes.sparkSession, None
-    grouped = codes.select("_code", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("_mask"))
+    spread = codes.repartition(partitions(spark))  # each fingerprint becomes a row for every mask: many small tasks, not a few large ones
+    grouped = spread.select("_code", F.explode(F.array(*(F.lit(signed(m)) for m in masks))).alias("_mask"))
     left = codes.count() > group_limit
     while True:
         grouped = grouped.withColumn("_value", F.col("_code").bitwiseAND(F.col("_mask")))
