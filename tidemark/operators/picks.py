@@ -34,10 +34,10 @@ def _cheapest(rest: dict[str, list[int]], need: Mapping[str, int]) -> int | None
     return sum(sum(sorted(rest[p])[:n]) for p, n in need.items())
 
 
-def greedy_squad(pool: pd.DataFrame, quotas: Mapping[str, int] = QUOTAS, budget: int = BUDGET, per_club: int = PER_CLUB, locked: Sequence[int] = ()) -> pd.DataFrame:
+def greedy_squad(pool: pd.DataFrame, quotas: Mapping[str, int] = QUOTAS, budget: int = BUDGET, per_club: int = PER_CLUB, locked: Sequence[int] = (), by_position: bool = False) -> pd.DataFrame:
     """Picks by points and by points per price in turn, taking only players after whom the squad can still be completed.
 
-    Locked players are in from the start; no rows if that or the rest cannot be made legal.
+    With `by_position` one position after another is filled, by points. Locked players are in from the start; no rows if that or the rest cannot be made legal.
     """
     rows = pool.to_dict("records")
     need, clubs, left, taken = dict(quotas), {}, budget, []
@@ -61,7 +61,8 @@ def greedy_squad(pool: pd.DataFrame, quotas: Mapping[str, int] = QUOTAS, budget:
         return least is not None and least <= left - r["price"]
 
     while any(need.values()):
-        order = by_points if len(taken) % 2 == 0 else by_value
+        position = next(p for p, n in need.items() if n)
+        order = [r for r in by_points if r["position"] == position] if by_position else by_points if len(taken) % 2 == 0 else by_value
         pick = next((r for r in order if fits(r)), None)
         if pick is None:
             return pd.DataFrame(columns=pool.columns)
@@ -144,6 +145,25 @@ def locked_squads(pool: DataFrame, locked: Sequence[int], quotas: Mapping[str, i
     return rows.groupBy("scenario").applyInPandas(lambda pdf: greedy_squad(pdf, quotas, budget, per_club, locked)[columns], rows.schema)
 
 
+def wildcard_squads(horizon: DataFrame, first: int, last: int, locked: Sequence[int] = (), quotas: Mapping[str, int] = QUOTAS, budget: int = BUDGET, per_club: int = PER_CLUB) -> DataFrame:
+    """Each scenario's squad for a whole horizon: filled position by position by the sum of points, with `starts`, `captain` and `vice`.
+
+    `horizon` has scenario, player_id, position, club, price, period, points; unknown points add nothing.
+    Captain and vice are the starters of most points in the first period, ties by the whole horizon and id.
+    """
+    columns, quotas, locked = ["scenario", "player_id", "position", "club", "price", "points", "first_points"], dict(quotas), list(locked)
+    inside = horizon.where(F.col("period").between(first, last))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    rows = inside.groupBy("scenario", "player_id", "position", "club", F.col("price").cast("long").alias("price")).agg(
+        total("points").alias("points"), total(F.when(F.col("period") == first, F.col("points"))).alias("first_points")
+    )
+    squad = rows.groupBy("scenario").applyInPandas(lambda pdf: greedy_squad(pdf, quotas, budget, per_club, locked, by_position=True)[columns], rows.select(columns).schema)
+    starts = lineups(squad).select("scenario", "player_id", "starts")
+    place = F.row_number().over(Window.partitionBy("scenario", "starts").orderBy(F.desc("first_points"), F.desc("points"), "player_id"))
+    out = squad.join(starts, ["scenario", "player_id"]).withColumn("_place", place)
+    return out.withColumns({"captain": F.col("starts") & (F.col("_place") == 1), "vice": F.col("starts") & (F.col("_place") == 2)}).drop("_place")
+
+
 def relaxed_squad(pool: pd.DataFrame, ladder: Sequence[tuple[int, int]], quotas: Mapping[str, int] = QUOTAS) -> tuple[pd.DataFrame, int]:
     """The best squad under the first (budget, club limit) of the ladder that allows one, and which step that was (-1: none)."""
     for step, (budget, per_club) in enumerate(ladder):

@@ -156,3 +156,36 @@ def chip_inventory(uses: DataFrame, windows: DataFrame, managers: DataFrame) ->
     grid = managers.select("manager_id").join(F.broadcast(windows), F.lit(True))
     out = grid.join(used, ["manager_id", "chip", "window"], "left").withColumn("used", F.coalesce("used", F.lit(0)))
     return out.select("manager_id", "chip", "window", "allowed", "used", F.greatest(F.lit(0), F.col("allowed") - F.col("used")).alias("left"))
+
+
+def transfer_legality(current: DataFrame, outgoing: DataFrame, incoming: DataFrame, quotas: Mapping[str, int] = QUOTAS, budget: int = BUDGET, per_club: int = PER_CLUB) -> DataFrame:
+    """Each squad's whole set of transfers and the rules that it breaks.
+
+    `current` and `incoming` have squad_id, player_id, position, club, price; `outgoing` squad_id, player_id.
+    Squads are those of `current`. The squad before and after the transfers must be legal, each player go
+    or come once, and as many come as go.
+    """
+    members = ["squad_id", "player_id", "position", "club", "price"]
+    gone, owned = outgoing.select("squad_id", "player_id").distinct(), current.select("squad_id", "player_id").distinct()
+    remaining = current.select(*members).join(gone, ["squad_id", "player_id"], "left_anti")
+    legal = lambda df, name: squad_legality(df, quotas, budget, per_club).select("squad_id", F.col("valid").alias(name))
+    went = outgoing.join(owned.withColumn("_owned", F.lit(True)), ["squad_id", "player_id"], "left").groupBy("squad_id").agg(
+        F.count("*").alias("_out"), (F.count_distinct("player_id") < F.count("*")).alias("_out_twice"), F.count_if(F.col("_owned").isNull()).alias("_not_owned")
+    )
+    stays = remaining.select("squad_id", "player_id").distinct().withColumn("_stays", F.lit(True))
+    came = incoming.join(stays, ["squad_id", "player_id"], "left").groupBy("squad_id").agg(
+        F.count("*").alias("_in"), (F.count_distinct("player_id") < F.count("*")).alias("_in_twice"), F.count_if("_stays").alias("_already")
+    )
+    rows = legal(current, "_before").join(legal(remaining.unionByName(incoming.select(*members)), "_after"), "squad_id", "left").join(went, "squad_id", "left").join(came, "squad_id", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    found = {
+        "squad_before": ~yes("_before"),
+        "repeated_outgoing": yes("_out_twice"),
+        "outgoing_not_owned": n("_not_owned") > 0,
+        "repeated_incoming": yes("_in_twice"),
+        "counts_differ": n("_in") != n("_out"),
+        "incoming_owned": n("_already") > 0,
+        "squad_after": ~yes("_after"),
+    }
+    return rows.select("squad_id", F.greatest(n("_in"), n("_out")).alias("transfers"), _errors(found).alias("errors")).withColumn("valid", F.size("errors") == 0)
