@@ -104,7 +104,8 @@ T1, T2 = datetime(2025, 1, 1), datetime(2025, 1, 2)
         ({}, []),
         ({"run_type": None}, ["unknown_run_type"]),
         ({"season": "2025"}, ["season_format"]),
-        ({"source_season": "2026-27"}, ["source_after_target"]),
+        ({"season": "2025_27"}, ["season_format"]),
+        ({"source_season": "2026_27"}, ["source_after_target"]),
         ({"period": 36}, ["horizon_too_long"]),
         ({"period": 34}, []),
         ({"horizon": None}, ["horizon_required"]),
@@ -117,15 +118,15 @@ T1, T2 = datetime(2025, 1, 1), datetime(2025, 1, 2)
     ],
 )
 def test_run_records(spark, changed, problems):
-    run = {"run_id": "r", "run_type": "prediction", "season": "2025-26", "source_season": "2024-25", "period": 1, "horizon": 5, "as_of": T1, "created_at": T2, "started_at": None, "completed_at": None, "parents": [], **dict.fromkeys(("feature_version", "artifact_version", "model_version", "manifest_version", "rules_version"), "v1")} | changed
+    run = {"run_id": "r", "run_type": "prediction", "season": "2025_26", "source_season": "2024_25", "period": 1, "horizon": 5, "as_of": T1, "created_at": T2, "started_at": None, "completed_at": None, "parents": [], **dict.fromkeys(("feature_version", "artifact_version", "model_version", "manifest_version", "rules_version"), "v1")} | changed
     got = li.run_problems(spark.createDataFrame([tuple(run[c.split()[0]] for c in RUN.split(", "))], RUN)).first()
     assert got.problems == problems and got.valid == (not problems)
 
 
 def test_run_ids(spark):
-    rows = [("model", "My  Model!", "2025-26", None, T1), ("model", None, "2025-26", 3, T1)]
+    rows = [("model", "My  Model!", "2025_26", None, T1), ("model", None, "2025_26", 3, T1)]
     got = [r[0] for r in spark.createDataFrame(rows, "run_type string, artifact string, season string, period long, created_at timestamp").select(li.run_id()).collect()]
-    assert got[0].startswith("my-model_2025-26_season_20250101T000000000000Z_") and got[1].startswith("model_2025-26_gw3_") and len(set(got)) == 2
+    assert got[0].startswith("my-model_2025_26_season_20250101T000000000000Z_") and got[1].startswith("model_2025_26_gw3_") and len(set(got)) == 2
 
 
 def test_registries(spark):
@@ -151,10 +152,10 @@ def test_older_rows(spark):
 
 def test_staging_rows(spark):
     raw = spark.createDataFrame([("7.0", " A ", "3", "12.0", None), ("x9", "nan", "three", "NaN", " kept "), (" ", "B", "1", "1", None), (None, None, None, None, None)], "raw_id string, name string, points string, canonical_id string, mapping_status string")
-    got = st.staging_rows(raw, "2025-26", ["raw_id"], ["name", "absent"], {"points": "long"}, "canonical_id").collect()
-    assert [tuple(r) for r in got] == [("2025-26", "7", "A", None, 3, 12, "mapped"), ("2025-26", "x9", None, None, None, None, "kept")]
+    got = st.staging_rows(raw, "2025_26", ["raw_id"], ["name", "absent"], {"points": "long"}, "canonical_id").collect()
+    assert [tuple(r) for r in got] == [("2025_26", "7", "A", None, 3, 12, "mapped"), ("2025_26", "x9", None, None, None, None, "kept")]
     with pytest.raises(ValueError, match="raw_id"):
-        st.staging_rows(raw.drop("raw_id"), "2025-26", ["raw_id"])
+        st.staging_rows(raw.drop("raw_id"), "2025_26", ["raw_id"])
 
 
 def test_the_pool_and_its_problems(spark):

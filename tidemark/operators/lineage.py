@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import season_start, season_valid
+
 LAST_PERIOD = 38
 #: The versions that a run of each type must name.
 REQUIRED_VERSIONS = {
@@ -17,7 +19,6 @@ REQUIRED_VERSIONS = {
     "optimization": ("model_version", "manifest_version", "artifact_version", "rules_version"),
     "publishing": ("manifest_version", "artifact_version"),
 }
-SEASON = r"^(\d{4})-(\d{2})$"
 
 
 def slug(c: Column) -> Column:
@@ -37,15 +38,15 @@ def run_id(kind: str = "run_type", artifact: str = "artifact", season: str = "se
 def run_problems(runs: DataFrame, last_period: int = LAST_PERIOD) -> DataFrame:
     """Each run with the rules that its record breaks.
 
-    `runs` has run_id, run_type, season, source_season (the latest), period, horizon, as_of, created_at,
+    `runs` has run_id, run_type, season (YYYY_YY), source_season (the latest), period, horizon, as_of, created_at,
     started_at, completed_at, parents (ids) and the version columns. A missing time breaks no order.
     """
     c = F.col
     version_missing = [F.when((c("run_type") == kind) & c(v).isNull(), F.lit(f"{v}_required")) for kind, names in REQUIRED_VERSIONS.items() for v in names]
     rules = {
         "unknown_run_type": ~F.coalesce(c("run_type").isin(*REQUIRED_VERSIONS), F.lit(False)),
-        "season_format": ~F.coalesce(c("season").rlike(SEASON), F.lit(False)),
-        "source_after_target": F.substring("source_season", 1, 4) > F.substring("season", 1, 4),
+        "season_format": ~season_valid("season"),
+        "source_after_target": season_start("source_season") > season_start("season"),
         "horizon_required": c("period").isNotNull() & c("horizon").isNull(),
         "horizon_without_period": c("period").isNull() & c("horizon").isNotNull(),
         "horizon_too_long": c("period") + c("horizon") - 1 > last_period,

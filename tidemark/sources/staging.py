@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import raw_id
 from tidemark.sources.readers import require_columns
 
 
@@ -23,11 +24,6 @@ def number_or_null(c: str, kind: str) -> Column:
     return F.coalesce(text.try_cast(kind), text.try_cast("double").try_cast(kind))
 
 
-def raw_id(c: str) -> Column:
-    """An id as text: a whole number written with a fraction of zero loses it."""
-    return F.regexp_replace(text_or_null(c), r"^(-?\d+)\.0+$", "$1")
-
-
 def staging_rows(df: DataFrame, season: str, key: Sequence[str], texts: Sequence[str] = (), numbers: Mapping[str, str] | None = None, canonical: str | None = None) -> DataFrame:
     """Typed rows of a season: raw ids as text, texts trimmed, numbers cast (null where they are none). Rows without an id go.
 
@@ -38,7 +34,7 @@ def staging_rows(df: DataFrame, season: str, key: Sequence[str], texts: Sequence
     absent = lambda c, kind: F.lit(None).cast(kind).alias(c)
     number = lambda c, kind: number_or_null(c, kind).alias(c) if c in df.columns else absent(c, kind)
     text = lambda c: text_or_null(c).alias(c) if c in df.columns else absent(c, "string")
-    columns = [F.lit(season).alias("season"), *(raw_id(c).alias(c) for c in key), *map(text, texts), *(number(c, kind) for c, kind in types.items())]
+    columns = [F.lit(season).alias("season"), *(raw_id(text_or_null(c)).alias(c) for c in key), *map(text, texts), *(number(c, kind) for c, kind in types.items())]
     if canonical:
         said = text_or_null("mapping_status") if "mapping_status" in df.columns else F.lit(None).cast("string")
         columns.append(said.alias("mapping_status"))
@@ -73,7 +69,7 @@ def player_pool(df: DataFrame) -> DataFrame:
 
 def mapping_template(df: DataFrame, key: str, name: str) -> DataFrame:
     """One row per raw id with its most frequent name (of equals the first) and empty columns for the mapping."""
-    rows = df.select(raw_id(key).alias(key), text_or_null(name).alias(name)).where(F.col(key).isNotNull())
+    rows = df.select(raw_id(text_or_null(key)).alias(key), text_or_null(name).alias(name)).where(F.col(key).isNotNull())
     named = rows.groupBy(key, name).agg(F.count("*").alias("_n")).groupBy(key)
     best = named.agg(F.min(F.struct((-F.col("_n")).alias("n"), F.col(name).isNull().alias("none"), F.col(name).alias("name"))).alias("_best"), F.sum("_n").alias("rows"))
     return best.select(key, F.col("_best.name").alias(name), "rows", F.lit(None).cast("long").alias("canonical_id"), F.lit("unmapped").alias("mapping_status"))
