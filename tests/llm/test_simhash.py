@@ -132,3 +132,67 @@ def test_gray_rank_orders_like_the_gray_sequence(spark):
     codes = [i ^ (i >> 1) for i in range(64)]
     got = spark.createDataFrame([(c,) for c in codes], "c long").select(simhash.gray_rank(F.col("c")).alias("r")).collect()
     assert [r.r for r in got] == list(range(64))
+
+
+def near_rows(spark, rows):
+    return {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def brute_near(rows):
+    """Root of every row that shares 0.8 or more with another, over all pairs."""
+    sets = {i: simhash.shingle_set(t, 5) for i, t in rows}
+    root = {i: i for i, _ in rows}
+    for a in root:
+        for b in root:
+            if a < b and root[a] != root[b] and simhash.alike(sets[a], sets[b]) >= 0.8:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return {i: r for i, r in root.items() if list(root.values()).count(r) > 1}
+
+
+def test_every_pair_at_the_threshold_is_found(spark):
+    """Pairs from just below to just above 0.8, as many edits as that takes, are told apart as all pairs tell them."""
+    draw, rows = random.Random(11), []
+    for i in range(300):
+        words = [f"{draw.choice(WORDS)}{draw.randint(0, 9999)}" for _ in range(draw.choice([12, 60, 200]))]
+        copy = list(words)
+        for j in draw.sample(range(len(words)), max(1, round(len(words) * draw.choice([0.015, 0.02, 0.025])))):
+            copy[j] = f"edit{i}x{j}"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+    assert near_rows(spark, rows) == brute_near(rows)
+
+
+def test_copies_that_only_the_template_joins_are_found(spark):
+    """Many edited copies of one template, each alike to it alone: the template is not crowded out of the proposals."""
+    draw = random.Random(12)
+    words = [f"{draw.choice(WORDS)}{draw.randint(0, 9999)}" for _ in range(200)]
+    rows = [(70, " ".join(words))]
+    for i in range(150):
+        copy = list(words)
+        for j in draw.sample(range(200), 4):
+            copy[j] = f"edit{i}x{j}"
+        rows.append((i if i < 70 else i + 1, " ".join(copy)))
+    want = brute_near(rows)
+    assert len(want) == len(rows) and near_rows(spark, rows) == want
+
+
+def test_proposals_that_do_not_fit_a_round_are_left_for_the_next():
+    group, part = np.zeros(9, np.int64), np.arange(9)
+    u, v, more = simhash.proposals(group, group, group + 10, part, 2, 0.8)
+    assert len(u) == 15 and (v < u).all() and more.tolist() == [0]
+    u, v, more = simhash.proposals(group, group, group + 10, part, 8, 0.8)
+    assert len(u) == 36 and not len(more)
+    u, v, more = simhash.proposals(group, group, group + 10, part // 5, 8, 0.8)
+    assert len(u) == 20 and not len(more)
+
+
+def test_texts_that_share_a_fingerprint_are_compared_with_each_other(spark):
+    """One frequent line gives unlike texts one fingerprint; copies that repeat passages differ in theirs. Both are told by their sets."""
+    draw = random.Random(13)
+    line = " ".join(f"line{i}" for i in range(13))
+    unlike = [[f"w{draw.randint(0, 10**6)}" for _ in range(60)] for _ in range(3)]
+    rows = [(0, " ".join([line] * 400 + unlike[0]))]
+    rows += [(i, " ".join([line] * 400 + unlike[1][: 60 - i])) for i in (1, 2)]
+    rows += [(10, " ".join(unlike[2])), (11, " ".join(unlike[2] + unlike[2][:30] * 20))]
+    assert len({simhash.fingerprint(t, 2) for _, t in rows[:3]}) == 1
+    assert near_rows(spark, rows) == brute_near(rows) == {1: 1, 2: 1, 10: 10, 11: 10}

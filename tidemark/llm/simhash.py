@@ -14,13 +14,13 @@ with 16 free bits are 65,536 at most, so this ends.
 
 from __future__ import annotations
 
-import random
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, map_arrow, partitions
@@ -35,16 +35,13 @@ GROUP_LIMIT = 1 << 16
 BUFFER = 200_000
 PAIRS = 1 << 18
 SHINGLES_AT_ONCE = 1 << 16
-#: Masks of the similarity search, and the radius within their groups.
-TABLES = 64
-NEAR_RADIUS = 14
-NEAR_SHINGLE = 2
-#: Partners that a fingerprint proposes in a group, and of all its proposals those that are decided on whole texts.
-PARTNERS = 5
-EDGES_EACH = 10
-#: Minima of a sketch, and how far below the asked similarity its estimate may lie (three deviations and more).
-MINIMA = 48
-SLACK = 0.2
+#: One row in so many is looked at for common shingles: those that so many of its texts hold, of these the most common.
+SAMPLE_STEP = 16
+SAMPLE_TIMES = 3
+COMMON = 1 << 17
+#: Pairs that a member of a group proposes in the first round, and how this grows from round to round.
+PARTNERS = 1
+GROWTH = 8
 
 
 # Fingerprints
@@ -78,28 +75,14 @@ def fingerprint(text: str | None, k: int) -> int:
     return int(np.packbits(2 * votes > n, bitorder="little").view("<i8")[0]) if n else 0
 
 
-_factors = np.random.default_rng(SEED).integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-def sketch(text: str | None, k: int) -> bytes:
-    """For each of MINIMA hash orders 16 bits of the shingle that comes first: equal ones estimate the share of common shingles."""
-    least = np.full(MINIMA, ~np.uint64(0))
-    for hashes in shingle_hashes(text, k):
-        for i in range(0, len(hashes), 4096):
-            least = np.minimum(least, (hashes[i : i + 4096, None] * _factors).min(axis=0))
-    return (least & np.uint64(0xFFFF)).astype("<u2").tobytes()
-
-
-def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text", sketched: int | None = None) -> DataFrame:
-    """_id and _code (long) of every row, and with `sketched` the _sketch of its shingles of so many words."""
+def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """_id and _code (long) of every row."""
     rows_in = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
 
     def rows(batch: pa.RecordBatch) -> dict:
-        texts = batch.column(1).to_pylist()
-        out = {"_id": batch.column(0), "_code": [fingerprint(t, shingle) for t in texts]}
-        return out | {"_sketch": [sketch(t, sketched) for t in texts]} if sketched else out
+        return {"_id": batch.column(0), "_code": [fingerprint(t, shingle) for t in batch.column(1).to_pylist()]}
 
-    return map_arrow(rows_in, rows, f"_id {rows_in.schema['_id'].dataType.simpleString()}, _code long" + ", _sketch binary" * bool(sketched))
+    return map_arrow(rows_in, rows, f"_id {rows_in.schema['_id'].dataType.simpleString()}, _code long")
 
 
 # The index
@@ -200,22 +183,6 @@ def joined(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]]) -
     return u, parent[u], np.zeros(len(u), np.int64)
 
 
-def nearest(n: int, pairs: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray]], k: int = PARTNERS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each member the k nearest partners: (member, partner, distance). At most k n rows whatever the number of pairs."""
-    member, key = np.empty(0, np.int64), np.empty(0, np.int64)
-    for u, v, d in pairs:
-        d = d.astype(np.int64) << 40
-        member, key = np.concatenate([member, u, v]), np.concatenate([key, d | v, d | u])
-        if not len(member):
-            continue
-        order = np.lexsort((key, member))
-        member, key = member[order], key[order]
-        first = np.flatnonzero(np.concatenate([[True], member[1:] != member[:-1]]))
-        keep = np.arange(len(member)) - np.repeat(first, np.diff(np.append(first, len(member)))) < k
-        member, key = member[keep], key[keep]
-    return member, key & ((1 << 40) - 1), key >> 40
-
-
 def _search(grouped: DataFrame, radius: int, reduce: Callable) -> DataFrame:
     """src, dst, distance out of rows _mask, _value, _rank, _code dealt and sorted by group and rank."""
 
@@ -248,7 +215,7 @@ def hamming_links(codes: DataFrame, radius: int, masks: list[int], reduce: Calla
     """src, dst, distance between the distinct fingerprints in `codes` (_code) that share a group and lie within the radius.
 
     With the masks of `runs(range(64), radius + 1)` and `joined`, the links connect exactly the
-    fingerprints that are connected within the radius. `nearest` gives each its nearest partner instead.
+    fingerprints that are connected within the radius.
     """
     spark, out = codes.sparkSession, None
     spread = codes.repartition(partitions(spark))  # each fingerprint becomes a row for every mask: many small tasks, not a few large ones
@@ -296,62 +263,173 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, "<u8")
 
 
+@lru_cache(maxsize=64)
+def recent_set(text: str | None, k: int) -> np.ndarray:
+    """The set of a text that many pairs name, taken apart once."""
+    return shingle_set(text, k)
+
+
 def jaccard(a: str | None, b: str | None, k: int) -> float:
     """Share of common shingles; two texts without words are alike."""
-    x, y = shingle_set(a, k), shingle_set(b, k)
+    return alike(shingle_set(a, k), shingle_set(b, k))
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> float:
+    """The same of two sets."""
     common = len(np.intersect1d(x, y, assume_unique=True))
     return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
 
 
-def sample_masks(bits: int, tables: int = TABLES, seed: int = SEED) -> list[int]:
-    """Fixed random masks of so many bits."""
-    draw = random.Random(seed)
-    return [sum(1 << b for b in draw.sample(range(BITS), bits)) for _ in range(tables)]
+def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of a sample of the rows, sorted, and their places from 1 on, the less common first.
+
+    They only order the shingles, so the sample and its bounds decide how long a search takes, not what it finds.
+    """
+
+    def each(batch: pa.RecordBatch) -> dict:
+        return {"_shingle": np.concatenate([shingle_set(t, shingle) for t in batch.column(0).to_pylist()] or [np.empty(0, "<u8")]).view("<i8")}
+
+    sample = rows.where(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE_STEP)) == 0).select("_text")
+    counts = map_arrow(sample, each, "_shingle long").groupBy("_shingle").count().where(F.col("count") >= SAMPLE_TIMES)
+    found = counts.orderBy(F.desc("count"), "_shingle").limit(COMMON).toPandas()["_shingle"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(found)
+    return found[order], (len(found) - np.arange(len(found)))[order]
+
+
+def _prefix(found: np.ndarray, common: np.ndarray, places: np.ndarray, similarity: float) -> np.ndarray:
+    """The first shingles of a set, common ones last: two sets that share `similarity` have one of them in common."""
+    if not len(found):
+        return np.zeros(1, "<u8")  # texts without words meet each other
+    at = np.minimum(np.searchsorted(common, found), max(0, len(common) - 1))
+    place = np.where(common[at] == found, places[at], 0) if len(common) else np.zeros(len(found), np.int64)
+    return found[np.lexsort((found, place))[: len(found) - int(np.ceil(similarity * len(found) - 1e-9)) + 1]]
+
+
+def _postings(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """_shingle, _at (its place in the order), _n (shingles of the text) and _id of the prefix of every row."""
+    shared = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
+
+    def each(batch: pa.RecordBatch) -> dict:
+        sets = [shingle_set(t, shingle) for t in batch.column(1).to_pylist()]
+        firsts = [_prefix(s, *shared.value, similarity) for s in sets]
+        sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
+        owner, at = _spread(np.zeros(len(sizes), np.int64), sizes)
+        return {"_shingle": np.concatenate(firsts).view("<i8"), "_at": at, "_n": np.fromiter(map(len, sets), np.int64, len(sets))[owner], "_id": batch.column(0).take(pa.array(owner))}
+
+    return map_arrow(rows, each, f"_shingle long, _at int, _n int, _id {rows.schema['_id'].dataType.simpleString()}")
+
+
+def proposals(group: np.ndarray, at: np.ndarray, n: np.ndarray, part: np.ndarray, k: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each member up to k earlier members of its group and another part that may share `similarity`; and the groups with more.
+
+    group: ascending. A group's largest part comes first, so that what has been joined is not gone
+    through again; otherwise the order is that given.
+    """
+    _, first, inverse, count = np.unique(np.stack([group, part]), axis=1, return_index=True, return_inverse=True, return_counts=True)
+    inverse = inverse.ravel()
+    order = np.lexsort((np.arange(len(group)), first[inverse], -count[inverse], group))
+    group, at, n, inverse = group[order], at[order].astype(np.int64), n[order].astype(np.int64), inverse[order]
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    start = np.repeat(starts, np.diff(np.append(starts, len(group))))
+    given, u, v, more = np.zeros(len(group), np.int64), [], [], []
+    rows, step = np.flatnonzero(inverse != inverse[start]), 0
+    while len(rows):
+        lead = start[rows] + step
+        both = n[rows] + n[lead]
+        need = np.ceil(similarity / (1 + similarity) * both - 1e-9)
+        most = np.minimum(n[rows] - at[rows], n[lead] - at[lead])  # if this is the first shingle that they share
+        may = (inverse[rows] != inverse[lead]) & (most >= need) & (np.minimum(n[rows], n[lead]) >= need)
+        full = may & (given[rows] >= k)
+        more.append(group[rows[full]])
+        good = may & ~full
+        u.append(rows[good])
+        v.append(lead[good])
+        given[rows[good]] += 1
+        step += 1
+        rows = rows[~full]
+        rows = rows[rows - start[rows] > step]
+    joined_up = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (u, v, more)]
+    return order[joined_up[0]], order[joined_up[1]], np.unique(joined_up[2])
+
+
+def _by_group(batches: Iterable[pa.RecordBatch], work: Callable[[pa.Table], Iterable[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
+    """`work` over whole groups (column 0, sorted), many at a time."""
+    held, rows = [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        rows += batch.num_rows
+        if rows < BUFFER:
+            continue
+        table = pa.Table.from_batches(held)
+        keys = table.column(0).to_numpy()
+        whole = int(np.searchsorted(keys, keys[-1]))
+        if whole:
+            yield from work(table.slice(0, whole))
+        held = table.slice(whole).combine_chunks().to_batches()
+        rows = sum(b.num_rows for b in held)
+    if held:
+        yield from work(pa.Table.from_batches(held))
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and component_id of the rows that have a near-duplicate: texts whose word-shingle sets share `similarity` or more.
 
-    Candidates come from fingerprints over pairs of words, where an edited word changes few bits: each
-    of TABLES fixed bit masks deals them to groups, and in a group each fingerprint proposes its
-    PARTNERS nearest. The width of the masks follows the number of fingerprints, so groups stay small as
-    the corpus grows. Sketches of the shingles rank the proposals; each document's EDGES_EACH best are
-    then decided on the whole texts. Candidates are those of a sketch: a pair near the threshold can be
-    missed, no pair below it links. Rows with a null id take no part.
+    Exact, up to equal 64-bit hashes of different shingles. All shingles have one order, the common ones
+    last; sets of n shingles that share `similarity` have one of their first n - ceil(similarity n) + 1 in common, so the
+    pairs within the groups of these shingles are all there can be. Of them only those between two
+    components matter: in each round the members of a group propose a few partners of other components, which
+    are decided on the whole texts, and the components are joined; groups with pairs left are gone
+    through again with more partners, until none has any. Rows with a null id take no part.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull())
-    found = cut(fingerprints(rows, NEAR_SHINGLE, "_id", "_text", shingle), "fingerprints")
-    codes = cut(found.groupBy("_code").agg(F.min("_id").alias("_least")), "codes")
-    width = max(12, min(40, codes.count().bit_length()))
-    near = hamming_links(codes.select("_code"), NEAR_RADIUS, sample_masks(width), nearest)
-    every = found.select(F.col("_code").alias("src"), F.col("_id").alias("a"))  # all that have the fingerprint make its proposals
-    least = codes.select(F.col("_code").alias("dst"), F.col("_least").alias("b"))
-    between = near.select("src", "dst").distinct().join(least, "dst").join(every, "src").select("a", "b")
-    equal = found.join(codes, "_code").where(F.col("_id") != F.col("_least")).select(F.col("_id").alias("a"), F.col("_least").alias("b"))
-    drawn = lambda c: found.select(F.col("_id").alias(c), F.col("_sketch").alias(f"{c}_sketch"))
-    proposed = between.unionByName(equal).join(drawn("a"), "a").join(drawn("b"), "b").select("a", "b", "a_sketch", "b_sketch")
-
-    def estimated(batch: pa.RecordBatch) -> dict:
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, MINIMA) for c in (2, 3))
-        return {"a": batch.column(0), "b": batch.column(1), "_alike": (x == y).mean(axis=1)}
-
-    kind = rows.schema["_id"].dataType.simpleString()
-    ranked = map_arrow(proposed, estimated, f"a {kind}, b {kind}, _alike double").where(F.col("_alike") >= similarity - SLACK)
-    best = Window.partitionBy("a").orderBy(F.desc("_alike"), "b")
-    edges = ranked.withColumn("_place", F.row_number().over(best)).where(F.col("_place") <= EDGES_EACH)
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
-    ids = edges.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    texts = cut(rows.join(ids, "_id", "left_semi"), "texts")
-    side = lambda c: texts.select(F.col("_id").alias(c), F.col("_text").alias(f"{c}_text"))
-    pairs = edges.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+    spark, kind = docs.sparkSession, rows.schema["_id"].dataType.simpleString()
+    posted = _postings(rows, shingle, similarity)
+
+    def several(table: pa.Table) -> Iterable[pa.RecordBatch]:
+        keys = table.column(0).to_numpy()
+        same = keys[1:] == keys[:-1]
+        return table.filter(pa.array(np.concatenate([[False], same]) | np.concatenate([same, [False]]))).to_batches()
+
+    by_shingle = lambda df: df.repartition(partitions(spark), "_shingle").sortWithinPartitions("_shingle", "_at", "_n", "_id")
+    groups = cut(by_shingle(posted).mapInArrow(lambda batches: _by_group(batches, several), posted.schema), "groups")
+
+    def proposed(limit: int) -> Callable:
+        def work(table: pa.Table) -> Iterable[pa.RecordBatch]:
+            table = table.combine_chunks()
+            ids, part = table.column("_id").chunk(0), table.column("_part").chunk(0).dictionary_encode().indices.to_numpy()
+            u, v, more = proposals(*(table.column(c).to_numpy() for c in ("_shingle", "_at", "_n")), part, limit, similarity)
+            a, b = (pa.concat_arrays([ids.take(pa.array(x)), pa.nulls(len(more), ids.type)]) for x in (u, v))
+            yield pa.record_batch({"a": a, "b": b, "_open": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(more, pa.int64())])})
+
+        return lambda batches: _by_group(batches, work)
 
     def decided(batch: pa.RecordBatch) -> dict:
-        same = [jaccard(x, y, shingle) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        same = [alike(recent_set(x, shingle), recent_set(y, shingle)) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
         keep = pa.array(same, pa.bool_())
         return {"src": batch.column(0).filter(keep), "dst": batch.column(1).filter(keep)}
 
-    roots = components(map_arrow(pairs, decided, f"src {kind}, dst {kind}"))
-    return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+    here, limit = groups.withColumn("_part", F.col("_id")), PARTNERS
+    tried = links = None
+    while True:
+        met = cut(by_shingle(here).select("_shingle", "_at", "_n", "_id", "_part").mapInArrow(proposed(limit), f"a {kind}, b {kind}, _open long"), "proposals")
+        pairs = met.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        texts = cut(rows.join(ids, "_id", "left_semi"), "texts")
+        side = lambda c: texts.select(F.col("_id").alias(c), F.col("_text").alias(f"{c}_text"))
+        whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+        found = cut(map_arrow(whole, decided, f"src {kind}, dst {kind}"), "links")
+        links = found if links is None else links.unionByName(found)
+        roots = components(links)
+        left = met.where("_open IS NOT NULL").select(F.col("_open").alias("_shingle")).distinct()
+        if left.isEmpty():
+            return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
+        again = groups.join(left, "_shingle", "left_semi")
+        here = again.join(roots, again["_id"] == roots["node"], "left").select(again["*"], F.coalesce("root", "_id").alias("_part"))
+        limit *= GROWTH
 
 
 def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
