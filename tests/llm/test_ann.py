@@ -64,3 +64,14 @@ def test_hilbert_visits_every_cell_by_single_steps(dims):
     assert sorted(keys.tolist()) == list(range(8**dims))
     walk = cells[np.argsort(keys)]
     assert (np.abs(np.diff(walk, axis=0)).sum(axis=1) == 1).all()
+
+
+def test_queries_come_in_bounded_slices_and_chunks(spark):
+    rows = vectors()
+    got, want = found(ann.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 5 == 0, k=7, half_width=10_000, block=64, queries_at_once=10)), brute(rows, 7)
+    assert got.keys() == want.keys()
+    for q in want:
+        assert [s for _, s in got[q]] == pytest.approx([s for _, s in want[q]])
+    q, x = np.random.default_rng(3).normal(size=(50, 8)), np.random.default_rng(4).normal(size=(30, 8))
+    near = list(ann.products(q, x, 100))
+    assert np.allclose(near, q @ x.T) and max(n.base.size for n in near) <= 100

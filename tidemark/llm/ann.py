@@ -35,6 +35,9 @@ CURVE_BITS = 8
 SEED = 42
 #: Vectors of a block: half a half-width, between these.
 LEAST_BLOCK, MOST_BLOCK = 4096, 1 << 16
+#: Queries that meet a block in one task, and products that it forms at once.
+QUERIES = 1 << 16
+PRODUCTS = 1 << 23
 SAMPLE_QUERIES = 64
 RECALL = 0.96
 #: Standard deviations that the grid of a curve spans on either side.
@@ -105,6 +108,13 @@ def _best(query: np.ndarray, near: np.ndarray, vectors: np.ndarray, ids: np.ndar
     return ids[pick][order], exact[order]
 
 
+def products(queries: np.ndarray, vectors: np.ndarray, at_once: int = PRODUCTS) -> Iterator[np.ndarray]:
+    """The products of each query with all vectors, query by query, formed for a few queries at a time."""
+    step = max(1, at_once // max(1, len(vectors)))
+    for start in range(0, len(queries), step):
+        yield from queries[start : start + step] @ vectors.T
+
+
 def usable(vector: Column) -> Column:
     """Neither null nor zero, all components there and finite."""
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -175,13 +185,14 @@ def measured_window(reps: DataFrame, positions: DataFrame, k: int, recall: float
     return int(np.quantile(apart, recall, method="higher")) + 1
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL, curves: int = CURVES, block: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", half_width: int | None = None) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RECALL, curves: int = CURVES, block: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", half_width: int | None = None, queries_at_once: int = QUERIES) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k nearest found by inner product, itself left out.
 
     Ties go to the smaller id. Vectors that are null, zero, or hold a null or non-finite component take
     no part, nor do null ids, nor vectors of another length than the most frequent one (of equals the
     longest). Rows that repeat id and vector are one. Other columns are not read; an empty table, or one
-    vector alone, gives no rows. `half_width` fixes the window instead of measuring it.
+    vector alone, gives no rows. `half_width` fixes the window instead of measuring it. A block meets
+    at most about `queries_at_once` queries in one task; where there are more it is repeated for each slice of them.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), F.coalesce(is_query, F.lit(False)).alias("query")).where(F.col("id").isNotNull() & usable(F.col("vector")))
     widths = rows.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
@@ -199,23 +210,23 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
     w = half_width or measured_window(reps, positions, k, recall)
     block = block or min(max(LEAST_BLOCK, w // 2), MOST_BLOCK)
 
-    blocked = positions.select("curve", "rep", "vector", F.floor(F.col("position") / block).alias("block")).toDF("at_curve", "rep", "vector", "at_block")
+    slices = max(1, -(-reps.where("query").count() // queries_at_once))
+    blocked = positions.select("curve", "rep", "vector", F.floor(F.col("position") / block).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")).toDF("at_curve", "rep", "vector", "at_block", "at_slice")
     last = F.floor((F.col("length") - 1) / block)
     reach = F.sequence(F.greatest(F.lit(0), F.floor((F.col("position") - w) / block)), F.least(last, F.floor((F.col("position") + w) / block)))
-    asked = positions.where("query").join(F.broadcast(lengths), "curve").select("curve", "rep", "vector", F.explode(reach).alias("block"))
+    asked = positions.where("query").join(F.broadcast(lengths), "curve").select("curve", "rep", "vector", F.pmod(F.xxhash64("rep"), F.lit(slices)).cast("int").alias("slice"), F.explode(reach).alias("block"))
 
     def ranked(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
             x, found = np.array(right["vector"].tolist(), np.float64), right["rep"].to_numpy()
             q = np.array(left["vector"].tolist(), np.float64)
-            near = q @ x.T
-            for i, rep in enumerate(left["rep"]):
-                best, score = _best(q[i], near[i], x, found, k + 1)
+            for i, (rep, near) in enumerate(zip(left["rep"], products(q, x))):
+                best, score = _best(q[i], near, x, found, k + 1)
                 out.append((rep, score, -best))
         return pd.DataFrame(out, columns=["q", "score", "back"])
 
-    met = asked.groupBy("curve", "block").cogroup(blocked.groupBy("at_curve", "at_block")).applyInPandas(ranked, "q long, score array<double>, back array<long>")
+    met = asked.groupBy("curve", "block", "slice").cogroup(blocked.groupBy("at_curve", "at_block", "at_slice")).applyInPandas(ranked, "q long, score array<double>, back array<long>")
     # A query has a list for each block that its windows touch; of equal scores the smaller id, of which `back` is the negative, sorts first.
     lists = met.groupBy("q").agg(F.flatten(F.collect_list(F.arrays_zip("score", "back"))).alias("all"))
     best = lists.select("q", F.explode(F.slice(F.sort_array(F.array_distinct("all"), asc=False), 1, k + 1)).alias("x")).select("q", (-F.col("x.back")).alias("rep"), "x.score")
