@@ -57,3 +57,10 @@ def test_dataframes(spark):
         source = TEXTS[r.doc_id] if r.doc_id is not None else ""
         assert np.frombuffer(r.ids, "<u4").tolist() == want[source] and r.decoded == LIBRARY.decode(want[source], skip_special_tokens=False)
     assert bpe.encode(docs.limit(0), PATH).count() == 0
+
+
+@pytest.mark.parametrize("text", ["z\u0307o\u0142ty", "e\u0307 c\u0307 g\u0307", "Z\u0307ebbug\u0307", "I\u0307 \u0130 i\u0307", "\u0307x", "a\u0323\u0307b \u0130"])
+def test_a_dot_above_of_the_text_composes_as_in_the_library(text):
+    want = LIBRARY.encode(text, add_special_tokens=False).ids
+    assert ids(text) == want
+    assert OWN.decode(want) == LIBRARY.decode(want, skip_special_tokens=False)

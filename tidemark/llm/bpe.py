@@ -176,7 +176,7 @@ class Bpe:
             for part in parts:
                 if part in self.special:
                     yield packed([self.special[part]])
-                elif WIDE.search(low := part.lower()):
+                elif "\u0307" in part or WIDE.search(low := part.lower()):  # a mark of the text's own may compose with the letter before it
                     yield b"".join(map(self._encode_word, self._split(part)))
                 else:
                     yield b"".join(map(self._known.__getitem__, self._words.findall(low)))
