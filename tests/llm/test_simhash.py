@@ -1,11 +1,15 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
+from tidemark.llm.common import meeting
+from tidemark.llm.components import components
 
 
 def brute_code(text, k):
@@ -134,8 +138,8 @@ def test_gray_rank_orders_like_the_gray_sequence(spark):
     assert [r.r for r in got] == list(range(64))
 
 
-def near_rows(spark, rows):
-    return {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+def near_rows(spark, rows, **how):
+    return {r.doc_id: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), **how).collect()}
 
 
 def brute_near(rows):
@@ -162,7 +166,8 @@ def test_every_pair_at_the_threshold_is_found(spark):
     assert near_rows(spark, rows) == brute_near(rows)
 
 
-def test_copies_that_only_the_template_joins_are_found(spark):
+@pytest.mark.parametrize("cell", [simhash.CELL, 20])
+def test_copies_that_only_the_template_joins_are_found(spark, cell):
     """Many edited copies of one template, each alike to it alone: the template is not crowded out of the proposals."""
     draw = random.Random(12)
     words = [f"{draw.choice(WORDS)}{draw.randint(0, 9999)}" for _ in range(200)]
@@ -173,7 +178,7 @@ def test_copies_that_only_the_template_joins_are_found(spark):
             copy[j] = f"edit{i}x{j}"
         rows.append((i if i < 70 else i + 1, " ".join(copy)))
     want = brute_near(rows)
-    assert len(want) == len(rows) and near_rows(spark, rows) == want
+    assert len(want) == len(rows) and near_rows(spark, rows, cell=cell) == want
 
 
 def test_proposals_that_do_not_fit_a_round_are_left_for_the_next():
@@ -196,3 +201,40 @@ def test_texts_that_share_a_fingerprint_are_compared_with_each_other(spark):
     rows += [(10, " ".join(unlike[2])), (11, " ".join(unlike[2] + unlike[2][:30] * 20))]
     assert len({simhash.fingerprint(t, 2) for _, t in rows[:3]}) == 1
     assert near_rows(spark, rows) == brute_near(rows) == {1: 1, 2: 1, 10: 10, 11: 10}
+
+
+def test_rows_without_company_are_left_out():
+    """However the rows are dealt to batches, those whose shingle another row has stay, and no others."""
+    draw = random.Random(14)
+    for _ in range(60):
+        shingles = [draw.randrange(40) for _ in range(draw.randint(0, 60))]
+        rows = []
+        for start in range(0, len(shingles), 12):  # as the map tasks see them
+            part = np.array(shingles[start : start + 12])
+            key, state = meeting(part, np.arange(len(part)), np.arange(len(part)) * simhash.STRIDE)
+            rows += list(zip(key.tolist(), state.tolist(), part.tolist()))
+        rows.sort(key=lambda r: r[0])
+        cuts = sorted(draw.sample(range(len(rows) + 1), min(len(rows), 4)))
+        batches = [pa.record_batch({"_key": pa.array([r[0] for r in b], pa.int64()), "_state": pa.array([r[1] for r in b], pa.int8()), "_shingle": pa.array([r[2] for r in b], pa.int64())}) for x, y in zip([0, *cuts], [*cuts, len(rows)]) for b in [rows[x:y]]]
+        got = Counter(s for b in simhash._company(batches) for s in b.column("_shingle").to_pylist())
+        assert got == Counter({s: n for s, n in Counter(shingles).items() if n > 1})
+
+
+def test_a_third_of_the_rows_in_one_group_of_copies(spark):
+    """One task meets a cell of the group, not all of it, and the result is that of all pairs."""
+    draw = random.Random(15)
+    words = [f"{draw.choice(WORDS)}{draw.randint(0, 9999)}" for _ in range(120)]
+    rows = []
+    for i in range(180):
+        copy = list(words) if i < 60 else [f"{draw.choice(WORDS)}{draw.randint(0, 9999)}" for _ in range(40)]
+        copy[draw.randrange(40)] = f"own{i}"
+        rows.append((i, " ".join(copy)))
+    want = brute_near(rows)
+    assert len(want) == 60 and near_rows(spark, rows, cell=8) == want
+
+
+def test_a_hub_of_links(spark):
+    """Fingerprints that all link to one are one component, as are chains; the hub's links lie in many partitions."""
+    edges = [(7, n) for n in range(100, 2100)] + [(n, n + 1) for n in range(3000, 3100)]
+    roots = {r.node: r.root for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert all(roots[n] == 7 for n in [7, *range(100, 2100)]) and all(roots[n] == 3000 for n in range(3000, 3101))

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, map_arrow, partitions
+from tidemark.llm.common import FIRST, FURTHER, cut, map_arrow, meeting, partitions
 from tidemark.llm.components import components
 
 BITS = 64
@@ -39,9 +39,13 @@ SHINGLES_AT_ONCE = 1 << 16
 SAMPLE_STEP = 16
 SAMPLE_TIMES = 3
 COMMON = 1 << 17
-#: Pairs that a member of a group proposes in the first round, and how this grows from round to round.
+#: Pairs that a member of a group of shingles proposes in the first round, and how this grows from round to round.
 PARTNERS = 1
 GROWTH = 8
+#: Rows of one shingle that a task goes through together; those of a larger group are dealt to cells.
+CELL = 1 << 16
+#: An odd number whose multiples lie far apart.
+STRIDE = 0x9E3779B97F4A7C15 - (1 << 64)
 
 
 # Fingerprints
@@ -306,7 +310,10 @@ def _prefix(found: np.ndarray, common: np.ndarray, places: np.ndarray, similarit
 
 
 def _postings(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """_shingle, _at (its place in the order), _n (shingles of the text) and _id of the prefix of every row."""
+    """_shingle, _at (its place in the order), _n (shingles of the text) and _id of the prefix of every row that may have company.
+
+    Rows whose shingle no other row has are left out.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(_common(rows, shingle))
 
     def each(batch: pa.RecordBatch) -> dict:
@@ -314,9 +321,38 @@ def _postings(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         firsts = [_prefix(s, *shared.value, similarity) for s in sets]
         sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
         owner, at = _spread(np.zeros(len(sizes), np.int64), sizes)
-        return {"_shingle": np.concatenate(firsts).view("<i8"), "_at": at, "_n": np.fromiter(map(len, sets), np.int64, len(sets))[owner], "_id": batch.column(0).take(pa.array(owner))}
+        found = np.concatenate(firsts).view("<i8")
+        key, state = meeting(found, np.arange(len(found)), np.arange(len(found)) * STRIDE)
+        return {"_key": key, "_state": state, "_shingle": found, "_at": at, "_n": np.fromiter(map(len, sets), np.int64, len(sets))[owner], "_id": batch.column(0).take(pa.array(owner))}
+
+    kind = rows.schema["_id"].dataType.simpleString()
+    posted = map_arrow(rows, each, f"_key long, _state byte, _shingle long, _at int, _n int, _id {kind}")
+    met = posted.repartition(partitions(rows.sparkSession), "_key").sortWithinPartitions("_key").mapInArrow(_company, posted.schema)
+    return met.select("_shingle", "_at", "_n", "_id")
+
 
-    return map_arrow(rows, each, f"_shingle long, _at int, _n int, _id {rows.schema['_id'].dataType.simpleString()}")
+def _company(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows sorted by _key those that share their _shingle with another row; holds one row between batches."""
+    held, before = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        key, state = table.column("_key").to_numpy(), table.column("_state").to_numpy()
+        known = state == FURTHER
+        # Only rows that are there to meet count as company; the others have theirs already.
+        shared, meet = known | (state == FIRST), np.flatnonzero(~known)
+        same = key[meet][1:] == key[meet][:-1]
+        shared[meet] |= np.concatenate([[len(meet) > 0 and before == key[meet[0]]], same])[: len(meet)] | np.concatenate([same, [False]])[: len(meet)]
+        if len(meet):
+            last = meet[-1]
+            if not shared[last]:  # the next batch may bring its company
+                held = table.slice(last, 1).to_batches()[0]
+                before = key[meet[-2]] if len(meet) > 1 else before
+            else:
+                held, before = None, key[last]
+        out = table.filter(pa.array(shared))
+        yield from out.to_batches()
 
 
 def proposals(group: np.ndarray, at: np.ndarray, n: np.ndarray, part: np.ndarray, k: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -373,66 +409,100 @@ def _by_group(batches: Iterable[pa.RecordBatch], work: Callable[[pa.Table], Iter
         yield from work(pa.Table.from_batches(held))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def in_cells(parted: DataFrame, large: DataFrame, cell: int) -> DataFrame:
+    """`parted` (_shingle, _id, _part, ...) with _key: rows that are to be gone through together, at most about `cell` of them.
+
+    A group of ordinary size has its shingle as key. In a large one the rows of its largest part, which
+    are joined already, need no pairs among themselves: they are cut into blocks, and each block meets
+    each block of the other rows; blocks of the other rows meet each other too. If all rows are of one part nothing is left to do.
+    """
+    small = parted.join(large, "_shingle", "left_anti").withColumn("_key", F.col("_shingle"))
+    if large.isEmpty():
+        return small
+    rows = parted.join(large, "_shingle", "left_semi")
+    parts = rows.groupBy("_shingle", "_part").count()
+    half = max(1, cell // 2)
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / half)).cast("int")
+    shape = parts.groupBy("_shingle").agg(F.max_by("_part", F.struct("count", "_part")).alias("_main"), F.max("count").alias("_inside"), F.sum("count").alias("_all"))
+    shape = shape.where("_all > _inside").select("_shingle", "_main", blocks(F.col("_inside")).alias("_i"), blocks(F.col("_all") - F.col("_inside")).alias("_o"))
+    dealt = rows.join(shape, "_shingle").withColumn("_mine", F.xxhash64("_id"))
+    numbers = lambda n: F.sequence(F.lit(0), n - 1)
+    inner, outer = F.pmod("_mine", "_i").cast("int"), F.pmod("_mine", "_o").cast("int")
+    inside = F.transform(numbers(F.col("_o")), lambda o: F.struct(F.lit("in").alias("what"), inner.alias("x"), o.alias("y")))
+    outside = F.transform(numbers(F.col("_i")), lambda i: F.struct(F.lit("in").alias("what"), i.alias("x"), outer.alias("y")))
+    others = F.transform(numbers(F.col("_o")), lambda o: F.struct(F.lit("out").alias("what"), F.least(o, outer).alias("x"), F.greatest(o, outer).alias("y")))
+    cells = F.when(F.col("_part") == F.col("_main"), inside).otherwise(F.concat(outside, F.filter(others, lambda c: c["x"] != c["y"])))
+    met = dealt.withColumn("_cell", F.explode(cells)).withColumn("_key", F.xxhash64("_shingle", "_cell"))
+    return small.unionByName(met.select(small.columns))
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text", cell: int = CELL) -> DataFrame:
     """id and component_id of the rows that have a near-duplicate: texts whose word-shingle sets share `similarity` or more.
 
-    Exact, up to equal 64-bit hashes of different shingles. All shingles have one order, the common ones
-    last; sets of n shingles that share `similarity` have one of their first n - ceil(similarity n) + 1 in common, so the
-    pairs within the groups of these shingles are all there can be. Of them only those between two
-    components matter: in each round the members of a group propose a few partners of other components, which
-    are decided on the whole texts, and the components are joined; groups with pairs left are gone
-    through again with more partners, until none has any. Rows with a null id take no part.
+    The index gives the components of fingerprints within `radius`. Each member of such a class is decided on the
+    whole texts against the class's representative, its smallest id: a class of n gives n - 1 decisions.
+
+    Fingerprints of texts at the threshold can lie farther apart than any radius that an index can search, so what the index
+    leaves is completed by exact candidates: all shingles have one order, the common ones last; sets of n
+    shingles that share `similarity` have one of their first n - ceil(similarity n) + 1 in common, so the pairs within
+    the groups of these shingles are all there can be. Of them only those between two components matter: in each
+    round the members of a group propose a few partners of other components, these are decided and the components
+    joined; groups with pairs left are gone through again with more partners, until none has any. The components
+    are those over all pairs, up to equal 64-bit hashes of different shingles. A group of more than `cell` rows is
+    dealt to cells, so that no task holds it whole. Rows with a null id take no part.
     """
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull())
     spark, kind = docs.sparkSession, rows.schema["_id"].dataType.simpleString()
-    posted = _postings(rows, shingle, similarity)
 
-    def several(table: pa.Table) -> Iterable[pa.RecordBatch]:
-        keys = table.column(0).to_numpy()
-        same = keys[1:] == keys[:-1]
-        return table.filter(pa.array(np.concatenate([[False], same]) | np.concatenate([same, [False]]))).to_batches()
+    def alike_enough(batch: pa.RecordBatch) -> dict:
+        same = [alike(recent_set(x, shingle), recent_set(y, shingle)) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        keep = pa.array(same, pa.bool_())
+        return {"src": batch.column(0).filter(keep), "dst": batch.column(1).filter(keep)}
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        """Of the pairs (a, b) those that share enough, as src and dst."""
+        ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+        texts = cut(rows.join(ids, "_id", "left_semi"), "texts")
+        side = lambda c: texts.select(F.col("_id").alias(c), F.col("_text").alias(f"{c}_text"))
+        whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
+        return cut(map_arrow(whole, alike_enough, f"src {kind}, dst {kind}"), "links")
 
-    by_shingle = lambda df: df.repartition(partitions(spark), "_shingle").sortWithinPartitions("_shingle", "_at", "_n", "_id")
-    groups = cut(by_shingle(posted).mapInArrow(lambda batches: _by_group(batches, several), posted.schema), "groups")
+    classes = near_components(rows, shingle, radius, "_id", "_text").where(F.col("_id") != F.col("component_id"))
+    tried = cut(classes.select(F.col("component_id").alias("a"), F.col("_id").alias("b")).distinct(), "pairs")
+    links = decided(tried)
+    roots = components(links)
+
+    groups = cut(_postings(rows, shingle, similarity), "groups")
+    large = cut(groups.groupBy("_shingle").count().where(F.col("count") > cell).select("_shingle"), "large")
 
     def proposed(limit: int) -> Callable:
         def work(table: pa.Table) -> Iterable[pa.RecordBatch]:
             table = table.combine_chunks()
             ids, part = table.column("_id").chunk(0), table.column("_part").chunk(0).dictionary_encode().indices.to_numpy()
-            u, v, more = proposals(*(table.column(c).to_numpy() for c in ("_shingle", "_at", "_n")), part, limit, similarity)
+            key, at, n = (table.column(c).to_numpy() for c in ("_key", "_at", "_n"))
+            u, v, more = proposals(key, at, n, part, limit, similarity)
+            more = table.column("_shingle").to_numpy()[np.searchsorted(key, more)]
             a, b = (pa.concat_arrays([ids.take(pa.array(x)), pa.nulls(len(more), ids.type)]) for x in (u, v))
             yield pa.record_batch({"a": a, "b": b, "_open": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(more, pa.int64())])})
 
         return lambda batches: _by_group(batches, work)
 
-    def decided(batch: pa.RecordBatch) -> dict:
-        same = [alike(recent_set(x, shingle), recent_set(y, shingle)) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        keep = pa.array(same, pa.bool_())
-        return {"src": batch.column(0).filter(keep), "dst": batch.column(1).filter(keep)}
-
-    here, limit = groups.withColumn("_part", F.col("_id")), PARTNERS
-    tried = links = None
+    here, limit = groups, PARTNERS
     while True:
-        met = cut(by_shingle(here).select("_shingle", "_at", "_n", "_id", "_part").mapInArrow(proposed(limit), f"a {kind}, b {kind}, _open long"), "proposals")
+        parted = here.join(roots, here["_id"] == roots["node"], "left").select(here["*"], F.coalesce("root", "_id").alias("_part"))
+        dealt = in_cells(parted, large, cell).repartition(partitions(spark), "_key").sortWithinPartitions("_key", "_at", "_n", "_id")
+        met = cut(dealt.mapInArrow(proposed(limit), f"a {kind}, b {kind}, _open long"), "proposals")
         pairs = met.where("a IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-        texts = cut(rows.join(ids, "_id", "left_semi"), "texts")
-        side = lambda c: texts.select(F.col("_id").alias(c), F.col("_text").alias(f"{c}_text"))
-        whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
-        found = cut(map_arrow(whole, decided, f"src {kind}, dst {kind}"), "links")
-        links = found if links is None else links.unionByName(found)
+        pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        tried, links = tried.unionByName(pairs), links.unionByName(decided(pairs))
         roots = components(links)
         left = met.where("_open IS NOT NULL").select(F.col("_open").alias("_shingle")).distinct()
         if left.isEmpty():
             return roots.select(F.col("node").alias(id_col), F.col("root").alias("component_id"))
-        again = groups.join(left, "_shingle", "left_semi")
-        here = again.join(roots, again["_id"] == roots["node"], "left").select(again["*"], F.coalesce("root", "_id").alias("_part"))
-        limit *= GROWTH
+        here, limit = groups.join(left, "_shingle", "left_semi"), limit * GROWTH
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row of each group of near-duplicates, that of the smallest id. All columns stay as they are."""
-    gone = near_duplicates(docs, shingle, similarity, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
+    gone = near_duplicates(docs, shingle, similarity, radius, id_col, text_col).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone"))
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
