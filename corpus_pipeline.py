@@ -16,8 +16,8 @@ from tidemark.llm import bpe, exact_dedup, langid, mixing, simhash
 from tidemark.llm.common import shared_dir, sweep, tables
 from tidemark.llm.queries import held_out
 
-#: What a language is taken as told from.
-MIN_SCORE = 0.5
+#: The calibrated share of its language under which a text counts as not told.
+MIN_SCORE = 0.6
 VOCABULARY = "word_bpe_49k.json"
 
 
