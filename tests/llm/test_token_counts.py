@@ -34,18 +34,47 @@ def test_edits_give_what_counting_anew_gives(parts, changes):
     holds(tree, text)
     for start, size, put in changes:
         want = text[: min(start, len(text))] + "".join(put) + text[min(start + size, len(text)) :]
-        text, tree, _ = tc.edit(text, tree, (start, start + size, "".join(put)), OWN, leaf=2)
+        text, tree, _ = tc.edit(text, tree, [(start, start + size, "".join(put))], OWN, leaf=2)
         assert text == want
         holds(tree, text)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(ALPHABET), max_size=80), st.lists(st.tuples(st.integers(0, 150), st.integers(0, 9), st.lists(st.sampled_from(ALPHABET), max_size=6)), max_size=12))
+def test_many_edits_at_once_give_what_counting_anew_gives(parts, changes):
+    text, at, want = "".join(parts), 0, ""
+    edits = [(start, start + size, "".join(put)) for start, size, put in changes]
+    for start, end, put in sorted(edits):
+        start = min(max(start, at), len(text))
+        end = min(max(start, end), len(text))
+        want, at = want + text[at:start] + put, end
+    want += text[at:]
+    got, tree, _ = tc.edit(text, tc.build(text, OWN, leaf=2), edits, OWN, leaf=2)
+    assert got == want
+    holds(tree, want)
+
+
+def test_very_many_edits_in_a_very_long_text_are_one_pass():
+    import time
+
+    draw = random.Random(2)
+    text = " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 9))) for _ in range(850_000))
+    every = sorted(draw.sample(range(len(text) - 10), 100_000))
+    edits = [(a, a + draw.randint(0, 5), draw.choice(["", "x", " new "])) for a in every]
+    tree = tc.build(text, OWN)
+    began = time.perf_counter()
+    after, tree, _ = tc.edit(text, tree, edits, OWN)
+    assert time.perf_counter() - began < 30
+    holds(tree, after)
+
+
 def test_an_edit_in_a_long_text_encodes_little():
     draw = random.Random(1)
     text = " ".join("".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 9))) for _ in range(40_000))
     tree = tc.build(text, OWN)
     for _ in range(50):
         at = draw.randrange(len(text))
-        text, tree, encoded = tc.edit(text, tree, (at, at + draw.randint(0, 30), draw.choice(["", "x", " new words here ", "  "])), OWN)
+        text, tree, encoded = tc.edit(text, tree, [(at, at + draw.randint(0, 30), draw.choice(["", "x", " new words here ", "  "]))], OWN)
         assert encoded < 2500
     holds(tree, text)
 

@@ -117,24 +117,25 @@ class Tree:
     def total(self) -> int:
         return int(self.tokens[1])
 
-    def find(self, position: int) -> tuple[int, int]:
-        """(leaf, its first character) of the leaf that holds a character; the last leaf that has any, at the end of the text."""
-        position, k, start = min(position, max(0, int(self.chars[1]) - 1)), 1, 0
-        while k < self.leaves:
-            k *= 2
-            if position - start >= self.chars[k]:
-                start += int(self.chars[k])
-                k += 1
+    def find(self, positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(leaf, its first character) of the leaf that holds each character; the last leaf that has any, at the end of the text."""
+        positions = np.minimum(positions, max(0, int(self.chars[1]) - 1))
+        k, start = np.ones(len(positions), np.int64), np.zeros(len(positions), np.int64)
+        width = 1
+        while width < self.leaves:
+            k, width = 2 * k, 2 * width
+            right = positions - start >= self.chars[k]
+            start += np.where(right, self.chars[k], 0)
+            k += right
         return k - self.leaves, start
 
-    def put(self, leaf: int, chars: int, tokens: int) -> None:
-        """Set a leaf and add the difference on its path to the root."""
-        k = self.leaves + leaf
-        d_chars, d_tokens = chars - self.chars[k], tokens - self.tokens[k]
-        while k:
-            self.chars[k] += d_chars
-            self.tokens[k] += d_tokens
-            k //= 2
+    def put(self, leaves: np.ndarray, chars: np.ndarray, tokens: np.ndarray) -> None:
+        """Set leaves and add up their paths to the root, level by level."""
+        k = self.leaves + leaves
+        self.chars[k], self.tokens[k] = chars, tokens
+        while len(k := np.unique(k // 2)) and k[0]:
+            for heap in (self.chars, self.tokens):
+                heap[k] = heap[2 * k] + heap[2 * k + 1]
 
 
 def build(text: str, counter_: Counter, leaf: int = LEAF) -> Tree:
@@ -143,47 +144,76 @@ def build(text: str, counter_: Counter, leaf: int = LEAF) -> Tree:
     return Tree.of(np.fromiter(map(len, pieces), np.int64, len(pieces)), counter_.counts(pieces), leaf)
 
 
-def edit(text: str, tree: Tree, change: Edit, counter_: Counter, leaf: int = LEAF) -> tuple[str, Tree, int]:
-    """The text with [start, end) replaced, its tree, and how many characters were encoded again.
+def edit(text: str, tree: Tree, changes: Sequence[Edit], counter_: Counter, leaf: int = LEAF) -> tuple[str, Tree, int]:
+    """The text with each [start, end) replaced, its tree, and how many characters were encoded again.
 
-    A text that has a special token before or after is counted anew, as such a token may reach over
-    any boundary; so is one without leaves.
+    Places are those of the text as it is given and are brought into it. Edits are taken in order of place;
+    where one starts before the end of the one before, it starts there. The text is put together once, and edits
+    whose surroundings meet are one region. A text that has a special token before or after is counted
+    anew, as such a token may reach over any boundary; so is one without leaves.
     """
-    start, end, put = change
-    start = max(0, min(start, len(text)))
-    end = max(start, min(end, len(text)))
-    after = text[:start] + put + text[end:]
-    around = max(map(len, counter_.special), default=0)
-    if not text or any(s in text or s in after[max(0, start - around) : start + len(put) + around] for s in counter_.special):
+    parts, spans, at, n = [], [], 0, len(text)
+    for start, end, put in sorted(changes):
+        start = min(max(start, at), n)
+        end = min(max(start, end), n)
+        parts += [text[at:start], put]
+        spans.append((start, end, len(put) - (end - start)))
+        at = end
+    if not spans:
+        return text, tree, 0
+    after = "".join([*parts, text[at:]])
+    if not text or any(s in text or s in after for s in counter_.special):
         return after, build(after, counter_, leaf), len(after)
-    first, first_at = tree.find(max(0, start - 1))
+    starts, ends, shifts = (np.array(x, np.int64) for x in zip(*spans))
+    shifted = [0, *np.cumsum(shifts).tolist()]
+    first, first_at = tree.find(np.maximum(starts - 1, 0))
     for _ in range(2):  # two leaves that have characters: two pre-tokens at least
-        if first_at:
-            first, first_at = tree.find(first_at - 1)
-    last, last_at = tree.find(end)
-    last_end = last_at + int(tree.chars[tree.leaves + last])
-    shift = len(put) - (end - start)
-    while True:
-        ahead = last_end
-        if last_end < len(text):
-            leaf_after, at = tree.find(last_end)
-            ahead = at + int(tree.chars[tree.leaves + leaf_after])
-        region = after[first_at : ahead + shift]
-        pieces = counter_.split(region)
-        ends = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
-        want = last_end + shift - first_at
-        place = int(np.searchsorted(ends, want))
-        if want == 0 or (place < len(ends) and ends[place] == want):
-            pieces = pieces[: place + 1] if want else []
-            break
-        last, last_end = leaf_after, ahead
-    counter_.learn(pieces)
-    lengths, counts = np.fromiter(map(len, pieces), np.int64, len(pieces)), counter_.counts(pieces)
-    if len(pieces) > 4 * leaf * (last - first + 1):  # the leaves would grow without bound: the tree is laid out anew
+        first, first_at = tree.find(np.maximum(first_at - 1, 0))
+    last, last_at = tree.find(ends)
+    last_end = (last_at + tree.chars[tree.leaves + last]).tolist()
+    first, first_at, last = first.tolist(), first_at.tolist(), last.tolist()
+
+    def following(end: int, leaves: int) -> tuple[int, int]:
+        """The leaf reached and its end, some leaves that have characters further on."""
+        found = -1
+        while leaves and end < n:
+            (place,), (from_,) = tree.find(np.array([end]))
+            found, end, leaves = int(place), int(from_ + tree.chars[tree.leaves + place]), leaves - 1
+        return found, end
+
+    regions, encoded, i = [], 0, 0
+    while i < len(spans):
+        to, to_end, j, step = last[i], last_end[i], i + 1, 1
+        while True:
+            next_leaf, ahead = following(to_end, step)
+            if next_leaf < 0:
+                next_leaf = to
+            if j < len(spans) and first[j] <= next_leaf:
+                while j < len(spans) and first[j] <= max(next_leaf, to):
+                    to, to_end, j = max(to, last[j]), max(to_end, last_end[j]), j + 1
+                continue
+            region = after[first_at[i] + shifted[i] : ahead + shifted[j]]
+            pieces = counter_.split(region)
+            bounds = np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces)))
+            want = to_end + shifted[j] - first_at[i] - shifted[i]
+            place = int(np.searchsorted(bounds, want))
+            encoded += len(region)
+            if want == 0 or (place < len(bounds) and bounds[place] == want):
+                regions.append((first[i], to, pieces[: place + 1] if want else []))
+                break
+            to, to_end, step = next_leaf, ahead, 2 * step
+        i = j
+    counter_.learn(chain.from_iterable(pieces for *_, pieces in regions))
+    if any(len(pieces) > 4 * leaf * (to - from_ + 1) for from_, to, pieces in regions):  # the leaves would grow without bound: the tree is laid out anew
         return after, build(after, counter_, leaf), len(after)
-    for i, part in enumerate(np.array_split(np.arange(len(pieces)), last - first + 1)):
-        tree.put(first + i, int(lengths[part].sum()), int(counts[part].sum()))
-    return after, tree, len(region)
+    leaves, chars, tokens = [], [], []
+    for from_, to, pieces in regions:
+        edges = np.arange(to - from_ + 2) * len(pieces) // (to - from_ + 1)
+        leaves.append(np.arange(from_, to + 1))
+        chars.append(np.diff(np.append(0, np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))))[edges]))
+        tokens.append(np.diff(np.append(0, np.cumsum(counter_.counts(pieces)))[edges]))
+    tree.put(np.concatenate(leaves), np.concatenate(chars), np.concatenate(tokens))
+    return after, tree, encoded
 
 
 # DataFrames
@@ -231,9 +261,8 @@ def apply_edits(rows: DataFrame, vocabulary: str, edits_col: str = "edits", find
     """id, the columns `keep`, text, chars, tokens, n_edits, encoded after the edits of each row.
 
     `rows` has text and the columns chars and tokens of its tree. Edits are an array of
-    struct(start, end, put) on the original text (null: none), or what `finder` finds in the text. Edits of
-    a row must not overlap; they are applied from the last to the first. `encoded` counts the characters
-    that were encoded again. Edits that come as a table are collected by document and joined first.
+    struct(start, end, put) on the original text (null: none), or what `finder` finds in the text. All edits of
+    a row are applied in one pass, as `edit` says. `encoded` counts the characters that were encoded again. Edits that come as a table are collected by document and joined first.
     """
     spec = rows.sparkSession.sparkContext.broadcast(Path(vocabulary).read_text())
     names = [f"_{i}" for i in range(1 + len(keep))]
@@ -246,10 +275,7 @@ def apply_edits(rows: DataFrame, vocabulary: str, edits_col: str = "edits", find
             text, tree, encoded = text or "", Tree(chars, tokens), 0
             edits = finder(text) if finder else [(e["start"], e["end"], e["put"]) for e in given or []]
             if edits:
-                tree = Tree(chars.astype(np.int64), tokens.astype(np.int64))
-            for change in sorted(edits, reverse=True):
-                text, tree, size = edit(text, tree, change, own)
-                encoded += size
+                text, tree, encoded = edit(text, Tree(chars.astype(np.int64), tokens.astype(np.int64)), edits, own)
             out.append((text, tree.chars, tree.tokens, len(edits), encoded))
         return dict(zip(names, batch.columns)) | dict(zip(("_text", "_chars", "_tokens", "_n", "_encoded"), map(list, zip(*out))))
 
