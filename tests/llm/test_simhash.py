@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
-from tidemark.llm.common import meeting
+from tidemark.llm.common import STRIDE, meeting
 from tidemark.llm.components import components
 
 
@@ -211,7 +211,7 @@ def test_rows_without_company_are_left_out():
         rows = []
         for start in range(0, len(shingles), 12):  # as the map tasks see them
             part = np.array(shingles[start : start + 12])
-            key, state = meeting(part, np.arange(len(part)), np.arange(len(part)) * simhash.STRIDE)
+            key, state = meeting([part], np.arange(len(part)), np.arange(len(part)) * STRIDE)
             rows += list(zip(key.tolist(), state.tolist(), part.tolist()))
         rows.sort(key=lambda r: r[0])
         cuts = sorted(draw.sample(range(len(rows) + 1), min(len(rows), 4)))

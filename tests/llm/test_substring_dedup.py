@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from tidemark.llm import substring_dedup as sd
@@ -57,11 +59,29 @@ def test_covers_hold_every_difference():
         assert {(a - b) % period for a in cover for b in cover} == set(range(period))
 
 
-def test_shared_passes_hold_across_batches():
-    import pyarrow as pa
+def shared_batch(*rows):
+    return pa.record_batch({"_key": pa.array([r[0] for r in rows], pa.int64()), "_doc": pa.array([r[1] for r in rows], pa.int64()), "_place": pa.array([r[2] << 2 for r in rows], pa.int64())})
 
-    def batch(*rows):
-        return pa.record_batch({"_h": [r[0] for r in rows], "_doc": [r[1] for r in rows], "_pos": pa.array([r[2] for r in rows], pa.int32())})
 
-    got = [r for b in sd._shared([batch((1, 1, 0), (2, 1, 1)), batch((2, 1, 5)), batch((2, 3, 2)), batch((2, 4, 9), (3, 1, 1))]) for r in zip(*b.to_pydict().values())]
+def test_shared_passes_hold_across_batches():
+    got = [r for b in sd._shared([shared_batch((1, 1, 0), (2, 1, 1)), shared_batch((2, 1, 5)), shared_batch((2, 3, 2)), shared_batch((2, 4, 9), (3, 1, 1))]) for r in zip(*b.to_pydict().values())]
     assert got == [(1, 1), (1, 5), (3, 2), (4, 9)]
+
+
+def test_a_passage_that_most_documents_have_loads_its_task_with_one_row_a_batch(spark, monkeypatch):
+    draw = random.Random(8)
+    passage = " ".join(f"p{i}" for i in range(60))
+    data = [(i, " ".join([*(f"w{draw.randrange(10**6)}" for _ in range(20)), *([passage] if i % 3 else [])])) for i in range(1, 400)]
+    doc = np.array([d for d, t in data if passage in t])
+    dealt = sd._dealt(doc, np.full(len(doc), 20), np.full(len(doc), 77), np.full(len(doc), 5))
+    assert (dealt["_key"] == 77).sum() == 1 and len(set(dealt["_key"].tolist())) == len(doc)
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept) for r in sd.substring_dedup(spark.createDataFrame(data, "doc_id long, text string"), 50).collect()}
+    assert got == brute(data, 50)
+
+
+def test_a_very_long_text(spark):
+    draw = random.Random(9)
+    words = [f"w{draw.randrange(10**5)}" for _ in range(300_000)]
+    data = [(1, " ".join(words[200_000:200_070])), (2, " ".join(words)), (3, " ".join(words[100:155]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in sd.substring_dedup(spark.createDataFrame(data, "doc_id long, text string"), 50).collect()}
+    assert got == {1: (70, 0), 2: (300_000, 70), 3: (55, 55)}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -93,17 +93,23 @@ def map_arrow(df: DataFrame, rows: Callable[[pa.RecordBatch], dict | None], sche
 # Hot keys: rows that share a key within a batch need not all travel to the task of that key.
 
 ALONE, FIRST, FURTHER = 0, 1, 2
+#: An odd number whose multiples lie far apart.
+STRIDE = 0x9E3779B97F4A7C15 - (1 << 64)
 
 
-def meeting(keys: np.ndarray, order: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key to deal by, state) of each row of a batch, so that a key that very many rows have loads its task with one row a batch.
+def meeting(keys: Sequence[np.ndarray], order: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(number to deal by, state) of each row of a batch, so that a key that very many rows have loads its task with one row a batch.
 
-    Of the rows of one key the smallest by `order` goes to the key's task (ALONE, or FIRST where the batch has
-    more of them); what the batch itself shows of the others (FURTHER) needs no meeting, and they are spread by `salt`.
+    A key is all of `keys` together, dealt by the first. Of the rows of one key the smallest by `order` goes to
+    the key's task (ALONE, or FIRST where the batch has more of them); what the batch itself shows of the
+    others (FURTHER) needs no meeting, and they are spread by `salt`.
     """
-    place = np.lexsort((order, keys))
-    first = np.concatenate([[True], keys[place][1:] != keys[place][:-1]]) if len(keys) else np.empty(0, bool)
-    several = np.diff(np.append(np.flatnonzero(first), len(keys))) > 1
-    state = np.empty(len(keys), np.int8)
-    state[place] = np.where(first, np.repeat(several, np.diff(np.append(np.flatnonzero(first), len(keys)))).astype(np.int8), FURTHER)
-    return np.where(state == FURTHER, salt, keys), state
+    place = np.lexsort((order, *keys[::-1]))
+    first = np.zeros(len(place), bool)
+    first[:1] = True
+    for key in keys:
+        first[1:] |= key[place][1:] != key[place][:-1]
+    sizes = np.diff(np.append(np.flatnonzero(first), len(place)))
+    state = np.empty(len(place), np.int8)
+    state[place] = np.where(first, np.repeat(np.where(sizes > 1, FIRST, ALONE), sizes), FURTHER)
+    return np.where(state == FURTHER, salt, keys[0]), state

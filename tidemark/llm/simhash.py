@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FIRST, FURTHER, cut, map_arrow, meeting, partitions
+from tidemark.llm.common import FIRST, FURTHER, STRIDE, cut, map_arrow, meeting, partitions
 from tidemark.llm.components import components
 
 BITS = 64
@@ -44,8 +44,6 @@ PARTNERS = 1
 GROWTH = 8
 #: Rows of one shingle that a task goes through together; those of a larger group are dealt to cells.
 CELL = 1 << 16
-#: An odd number whose multiples lie far apart.
-STRIDE = 0x9E3779B97F4A7C15 - (1 << 64)
 
 
 # Fingerprints
@@ -322,7 +320,7 @@ def _postings(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
         owner, at = _spread(np.zeros(len(sizes), np.int64), sizes)
         found = np.concatenate(firsts).view("<i8")
-        key, state = meeting(found, np.arange(len(found)), np.arange(len(found)) * STRIDE)
+        key, state = meeting([found], np.arange(len(found)), np.arange(len(found)) * STRIDE)
         return {"_key": key, "_state": state, "_shingle": found, "_at": at, "_n": np.fromiter(map(len, sets), np.int64, len(sets))[owner], "_id": batch.column(0).take(pa.array(owner))}
 
     kind = rows.schema["_id"].dataType.simpleString()
