@@ -10,8 +10,10 @@ chunk without the others.
     shard := magic  (plane ...) ...  documents  index  uint64 length of index  magic
     index := JSON: plane kind, block size, chunks [offset, ids, [plane lengths], crc32], documents [offset, length, count]
 
-Documents are range-partitioned and sorted by id, so the shards in order are one stream. A task
-writes under a name of its own and renames it when it is complete; a repeated task writes the same bytes.
+Documents are range-partitioned and sorted by id, so the shards in order are one stream. Every attempt of a
+task writes a file of its own name, and the manifest names those of the attempts that Spark has committed: nothing
+is renamed or deleted, so lost executors and speculative tasks leave unnamed files at most. Paths are those that
+pyarrow's file systems know (a local or mounted folder, hdfs, viewfs, s3, gs, abfs; s3a is read as s3).
 """
 
 from __future__ import annotations
@@ -211,6 +213,11 @@ def encoder(spec: str) -> Encoder:
 # The operator
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a URI and the path in it."""
+    return pa.fs.FileSystem.from_uri("s3://" + path.removeprefix("s3a://") if path.startswith("s3a://") else path)
+
+
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None = 0, planes: str = "byte", block_ids: int = BLOCK_IDS, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of all rows to shard files under `path` (a URI that the cluster shares) and return the manifest.
 
@@ -225,25 +232,21 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int | None
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, stream = None, None
         shard = TaskContext.get().partitionId()
-        fs, root = pa.fs.FileSystem.from_uri(path)
-        name = f"{root}/shard-{shard:06d}.tids"
-        own = f"{name}.{uuid.uuid4().hex}"
+        fs, root = file_system(path)
+        name = f"shard-{shard:06d}-{uuid.uuid4().hex}.tids"
         for batch in batches:
             for start in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(start, TEXTS_AT_ONCE)
                 if writer is None:
                     fs.create_dir(root, recursive=True)
-                    stream = fs.open_output_stream(own)
+                    stream = fs.open_output_stream(f"{root}/{name}")
                     writer = ShardWriter(stream, planes, block_ids)
                 for doc, ids in zip(part.column(0).to_pylist(), encoder(spec.value).encode(part.column(1).to_pylist())):
                     writer.add(doc, ids + end)
         if writer is not None:
             n_docs, n_ids = writer.close()
             stream.close()
-            if fs.get_file_info(name).type != pa.fs.FileType.NotFound:
-                fs.delete_file(name)
-            fs.move(own, name)
-            yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "file": [f"shard-{shard:06d}.tids"], "n_docs": [n_docs], "n_ids": [n_ids]})
+            yield pa.record_batch({"shard": pa.array([shard], pa.int32()), "file": [name], "n_docs": [n_docs], "n_ids": [n_ids]})
 
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text"))
     dealt = rows.repartitionByRange(shards or partitions(spark), "_id").sortWithinPartitions("_id", "_text")
@@ -256,7 +259,7 @@ def read_tokens(manifest: DataFrame, path: str) -> DataFrame:
     placed = manifest.withColumn("_base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, root = pa.fs.FileSystem.from_uri(path)
+        fs, root = file_system(path)
         for batch in batches:
             for file, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 docs, starts, ids, size = [], [], [], 0
