@@ -227,9 +227,10 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = RE
         return pd.DataFrame(out, columns=["q", "score", "back"])
 
     met = asked.groupBy("curve", "block", "slice").cogroup(blocked.groupBy("at_curve", "at_block", "at_slice")).applyInPandas(ranked, "q long, score array<double>, back array<long>")
-    # A query has a list for each block that its windows touch; of equal scores the smaller id, of which `back` is the negative, sorts first.
-    lists = met.groupBy("q").agg(F.flatten(F.collect_list(F.arrays_zip("score", "back"))).alias("all"))
-    best = lists.select("q", F.explode(F.slice(F.sort_array(F.array_distinct("all"), asc=False), 1, k + 1)).alias("x")).select("q", (-F.col("x.back")).alias("rep"), "x.score")
+    found = met.select("q", F.explode(F.arrays_zip("score", "back")).alias("x")).select("q", (-F.col("x.back")).alias("rep"), "x.score")
+    # A vector that several windows hold has one rank; ranks are cut before and after the exchange, so no list of all blocks is made.
+    nearest = Window.partitionBy("q").orderBy(F.desc("score"), "rep")
+    best = found.withColumn("place", F.dense_rank().over(nearest)).where(F.col("place") <= k + 1).select("q", "rep", "score").distinct()
     each = rows.where("query").select("id", "vector").distinct().join(reps, "vector").select(F.col("id").alias("query_id"), F.col("rep").alias("q"))
     expanded = each.join(best, "q").join(members, "rep").where("id <> query_id")
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
