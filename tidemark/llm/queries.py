@@ -26,9 +26,18 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as it is read, dealt anew where the scan has fewer splits than the cluster has cores: a row group is one split.
+
+    `table` is a bare scan, so that counting its splits runs nothing.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table if table.rdd.getNumPartitions() >= cores else table.repartition(cores)
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    return bpe.encode(documents(spark, sf_dir), vocabulary, decoded="decoded").select(
+    return bpe.encode(spread(documents(spark, sf_dir)), vocabulary, decoded="decoded").select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
@@ -37,11 +46,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_components(documents(spark, sf_dir), shingle=3, radius=3)
+    return simhash.near_components(spread(documents(spark, sf_dir)), shingle=3, radius=3)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = substring_dedup.substring_dedup(documents(spark, sf_dir), window=50)
+    done = substring_dedup.substring_dedup(spread(documents(spark, sf_dir)), window=50)
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
@@ -61,7 +70,7 @@ MASK = "[masked]"
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document, and after every number and mail address in it is masked, counted from the edits alone."""
     vocabulary = public_tokenizers.path("byte_bpe_50k.json")
-    trees = token_counts.build_trees(documents(spark, sf_dir), vocabulary, keep=("text",)).withColumn("n_tokens", token_counts.count())
+    trees = token_counts.build_trees(spread(documents(spark, sf_dir)), vocabulary, keep=("text",)).withColumn("n_tokens", token_counts.count())
     after = token_counts.apply_edits(trees, vocabulary, finder=token_counts.replacing(MASKED, MASK), keep=("n_tokens",))
     return after.select("doc_id", "n_tokens", F.col("n_edits").cast("long").alias("n_edits"), token_counts.count().alias("n_tokens_after"), F.col("encoded").alias("chars_encoded"))
 
@@ -72,7 +81,7 @@ def held_out(col: str = "doc_id") -> Column:
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs = spread(documents(spark, sf_dir))
     found = langid.identify(docs, langid.fit(docs.where(~F.coalesce(held_out(), F.lit(False)))))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
