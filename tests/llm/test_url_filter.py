@@ -1,7 +1,7 @@
 import pytest
 
 from tidemark.llm import url_filter as uf
-from tidemark.llm.queries import URL_RULES
+from tidemark.llm.queries import URL_RULES, op9_url_filter
 
 URLS = [
     "https://M.Ads-Track.example.com/en/40021#top", "http://x.org", "http://x.org/", "http://example.org/es/1?x=/fr/", "http://a.example.org/en/12", "http://notexample.org/es/1",
@@ -46,6 +46,31 @@ def test_the_model_tells_unseen_urls_apart(model):
         assert model.score(host, path) < 0.5
 
 
+def test_held_out_accuracy(spark):
+    """A fifth of the labelled table is kept from training."""
+    rows = uf.labelled()
+    model = uf.train(spark.createDataFrame([r for i, r in enumerate(rows) if i % 5], "url string, label string"))
+    kept = [(*brute(u)[:2], label) for i, (u, label) in enumerate(rows) if i % 5 == 0]
+    said = [("block" if model.score(h, p) > 0.5 else "allow", label) for h, p, label in kept]
+    assert sum(a == b for a, b in said) / len(said) > 0.97
+    assert sum(a == b for a, b in said if b == "block") / sum(b == "block" for _, b in said) > 0.9
+
+
+def test_words_inside_other_words_are_no_ground_to_block(model):
+    for host in ("www.essexgardens.example.com", "blog.badgers.example.net", "m.adverbs.example.org", "thered.example.org"):
+        assert model.score(host, "/en/12.html") < 0.5
+
+
+def test_the_query_over_a_table_with_nulls_repeats_and_clashing_columns(spark, tmp_path):
+    rows = [(i, u, "<p>", 1.0, "x") for i, u in enumerate(URLS)] + [(None, None, None, None, None), (0, URLS[0], None, None, None)]
+    spark.createDataFrame(rows, "page_id long, url string, html string, score double, rule string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = op9_url_filter(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        host, path, rule, verdict = brute(None if r.page_id is None else URLS[r.page_id])
+        assert (r.host, r.path, r.rule) == (host, path, rule) and r.verdict in ("allow", "block") and verdict in (None, r.verdict)
+
+
 def test_training_is_repeatable_and_takes_an_empty_table(spark, model):
     assert (uf.default_model(spark).weights == model.weights).all()
     assert uf.train(spark.createDataFrame([], "url string, label string")).score("a", "/") == 0.5

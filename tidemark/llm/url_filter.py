@@ -15,33 +15,55 @@ from tidemark.llm.common import map_arrow
 ALLOW, BLOCK = "allow", "block"
 SIZES = (3, 4, 5)
 FEATURES = 1 << 15
-ROUNDS = 300
-RATE = 2.0
-PENALTY = 1e-4
-
-#: The small labelled table that the default model is trained from.
-LABELLED = (
-    ("https://docs.library.example/guide/intro.html", ALLOW), ("https://www.university.example/research/papers/2020", ALLOW),
-    ("https://news.daily.example/world/2021/05/story", ALLOW), ("https://blog.gardener.example/posts/growing-tomatoes", ALLOW),
-    ("https://wiki.commons.example/wiki/history_of_science", ALLOW), ("https://forum.makers.example/thread/1234/soldering", ALLOW),
-    ("https://www.museum.example/en/collection/objects", ALLOW), ("https://m.weather.example/forecast/oslo", ALLOW),
-    ("https://journal.medicine.example/articles/77", ALLOW), ("https://www.school.example/lessons/algebra.html", ALLOW),
-    ("https://recipes.kitchen.example/soup/onion", ALLOW), ("https://www.government.example/services/tax", ALLOW),
-    ("https://code.project.example/manual/install", ALLOW), ("https://magazine.travel.example/fr/lisbonne", ALLOW),
-    ("https://www.city.example/de/verkehr/fahrplan", ALLOW), ("https://books.reader.example/es/novela/12", ALLOW),
-    ("https://archive.press.example/en/1999/12", ALLOW), ("https://www.orchestra.example/programme/spring", ALLOW),
-    ("https://help.device.example/support/battery", ALLOW), ("https://m.science.example/en/40217", ALLOW),
-    ("http://ads.network.example/click?id=1", BLOCK), ("http://m.ads-track.example/en/101", BLOCK),
-    ("http://adserver.media.example/banner/728x90", BLOCK), ("http://tracker.stats.example/pixel.gif", BLOCK),
-    ("http://track.click.example/redirect/offer", BLOCK), ("http://www.casino-bonus.example/win/jackpot", BLOCK),
-    ("http://free-pills.example/buy/cheap-viagra", BLOCK), ("http://xxx-videos.example/adult/porn", BLOCK),
-    ("http://promo.popup.example/ad/offer/9", BLOCK), ("http://affiliate.deals.example/aff/out", BLOCK),
-    ("http://www.bet-poker.example/casino/slots", BLOCK), ("http://spam-links.example/seo/backlinks", BLOCK),
-    ("http://ads-track.example/de/55", BLOCK), ("http://doubleads.example/track/imp", BLOCK),
-    ("http://login-verify.example/account/phish", BLOCK), ("http://warez-crack.example/download/keygen", BLOCK),
-    ("http://cheap-replica.example/watches/sale", BLOCK), ("http://www.loan-fast.example/payday/apply", BLOCK),
-    ("http://banner-ads.example/fr/track/3", BLOCK), ("http://sex-cams.example/live/xxx", BLOCK),
-)
+ROUNDS = 600
+RATE = 0.3
+PENALTY = 1e-6
+DIGITS = str.maketrans("123456789", "000000000")
+
+#: Words of hosts and paths that the default model learns to block, and to allow.
+BLOCKED_WORDS = (
+    "casino poker roulette slots jackpot lottery betting bets bookmaker gambling bingo blackjack "
+    "porn xxx sex adult nude escort webcam erotic hentai camgirl "
+    "ads adserver adclick banner popup tracker tracking affiliate clicks pixel sponsor retarget "
+    "viagra cialis pills tramadol steroids slimming "
+    "spam backlinks linkfarm clickbait doorway spammer "
+    "phish malware warez keygen cracked trojan "
+    "payday loans replica getrich pyramid"
+).split()
+ALLOWED_WORDS = (
+    "garden library science history museum school physics algebra weather recipes kitchen travel music orchestra "
+    "theatre cinema poetry novel grammar language dictionary atlas geography biology chemistry medicine nursing "
+    "hospital anatomy astronomy robotics computer software manual compiler network database hardware archive press "
+    "journal magazine newspaper reporter politics parliament council mayor village railway station airport bicycle "
+    "sailing mountain forest river island harbour bakery cheese vineyard orchard farmers market crafts pottery "
+    "painting sculpture gallery camera football tennis chess swimming marathon stadium university college campus "
+    "lecture thesis research institute foundation charity church cathedral abbey castle heritage folklore genealogy "
+    "adder adverb advice badge shadow leader reading better alphabet diabetes essex sussex"
+).split()
+#: What hosts and paths of both kinds are put together from.
+HOST_STARTS = ("", "www.", "blog.", "m.", "news.", "shop.")
+HOST_ADDED = ("{0}", "{0}-online", "my{0}", "{0}hub", "the-{0}", "{0}s", "best-{0}", "{0}24")
+DOMAINS = ("example.com", "example.net", "example.org", "example.info")
+PATHS = ("/", "/en/{1}", "/de/{1}/", "/fr/{1}.html", "/{0}/{1}", "/es/{1}", "/item/{1}", "/{0}.html")
+#: Syllables of names that mean nothing, which are allowed.
+SYLLABLES = "ba ce di fo gu ha je ki lo mu na pe ri so tu va we xi yo ze an er in on st th tr ble sh ou".split()
+FORMS = 8
+NAMES = 700
+
+
+def labelled() -> list[tuple[str, str]]:
+    """The labelled table that the default model is trained from: every word in some forms, and names that mean nothing. By rule, without a draw."""
+    rows = []
+    for verdict, words in ((BLOCK, BLOCKED_WORDS), (ALLOW, ALLOWED_WORDS)):
+        for i, word in enumerate(words):
+            for k in range(FORMS):
+                n = i * FORMS + k
+                host_ = HOST_STARTS[(i + 5 * k) % len(HOST_STARTS)] + HOST_ADDED[k].format(word) + "." + DOMAINS[(i + k) % len(DOMAINS)]
+                rows.append((f"http://{host_}{PATHS[(3 * i + k) % len(PATHS)].format(word, n * 37 % 9973)}", verdict))
+    for n in range(NAMES):
+        name = "".join(SYLLABLES[n * (7 + 4 * j) // (1 + 3 * j) % len(SYLLABLES)] for j in range(2 + n % 3))
+        rows.append((f"https://{HOST_STARTS[n % len(HOST_STARTS)]}{name}.{DOMAINS[n // 3 % len(DOMAINS)]}{PATHS[n // 2 % len(PATHS)].format(name, n * 53 % 9973)}", ALLOW))
+    return rows
 
 
 def host(url: str | Column) -> Column:
@@ -73,9 +95,10 @@ def ruled(host_: Column, path_: Column, rules: Sequence[tuple[str, str, str]]) -
 
 
 def grams(host_: str, path_: str) -> np.ndarray:
-    """The hashed character n-grams of host and path, each marked with where it is from."""
+    """The hashed character n-grams of host and path, each marked with where it is from; all digits count as one."""
     found = set()
     for mark, text in (("h", f"^{host_}$"), ("p", f"^{path_}$")):
+        text = text.translate(DIGITS)
         for n in SIZES:
             found.update(zlib.crc32(f"{mark}{text[i : i + n]}".encode()) % FEATURES for i in range(max(1, len(text) - n + 1)))
     return np.fromiter(found, np.int64, len(found))
@@ -96,7 +119,8 @@ class Model:
 def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", most: int = 10_000) -> Model:
     """Fit on a small labelled table (`allow` or `block`), of which the first `most` URLs in order are taken.
 
-    Gradient descent over all rows from zero weights: the same table gives the same weights.
+    Gradient descent over all rows from zero weights, with steps that shrink with each weight's own past gradients: the
+    same table gives the same weights.
     """
     rows = labelled.where(F.col(label_col).isin(ALLOW, BLOCK)).select(host(url_col).alias("h"), path(url_col).alias("p"), F.col(label_col).alias("y"))
     rows = rows.orderBy("h", "p", "y").limit(most).collect()
@@ -107,16 +131,19 @@ def train(labelled: DataFrame, url_col: str = "url", label_col: str = "label", m
     owner = np.repeat(np.arange(len(rows)), [len(f) for f in found])
     place, scale = np.concatenate(found), 1 / np.sqrt([len(f) for f in found])
     y = np.array([float(r["y"] == BLOCK) for r in rows])
+    past, past_constant = np.full(FEATURES, 1e-8), 1e-8
     for _ in range(ROUNDS):
         z = np.bincount(owner, weights[place], len(rows)) * scale + constant
         off = 1 / (1 + np.exp(-z)) - y
-        weights -= RATE * (np.bincount(place, (off * scale)[owner], FEATURES) / len(rows) + PENALTY * weights)
-        constant -= RATE * off.mean()
+        slope, slope_constant = np.bincount(place, (off * scale)[owner], FEATURES) / len(rows) + PENALTY * weights, off.mean()
+        past, past_constant = past + slope**2, past_constant + slope_constant**2
+        weights = weights - RATE * slope / np.sqrt(past)
+        constant -= RATE * slope_constant / np.sqrt(past_constant)
     return Model(weights, constant)
 
 
 def default_model(spark) -> Model:
-    return train(spark.createDataFrame(list(LABELLED), "url string, label string"))
+    return train(spark.createDataFrame(labelled(), "url string, label string"))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]], model: Model, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
