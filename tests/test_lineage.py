@@ -94,7 +94,7 @@ def test_wildcard_squads(spark):
     assert p.wildcard_squads(horizon, 1, 2, locked=[999]).count() == 0
 
 
-RUN = "run_id string, run_type string, season string, source_season string, period long, horizon long, as_of timestamp, created_at timestamp, started_at timestamp, completed_at timestamp, parents array<string>, feature_version string, artifact_version string, model_version string, manifest_version string, rules_version string"
+RUN = "run_id string, run_type string, season string, source_season string, period long, horizon long, as_of timestamp, created_at timestamp, started_at timestamp, completed_at timestamp, parents array<string>, feature_version string, artifact_version string, model_version string, manifest_version string, rules_versions string"
 T1, T2 = datetime(2025, 1, 1), datetime(2025, 1, 2)
 
 
@@ -113,20 +113,20 @@ T1, T2 = datetime(2025, 1, 1), datetime(2025, 1, 2)
         ({"created_at": T1, "as_of": T2}, ["as_of_after_created"]),
         ({"started_at": T2, "completed_at": T1}, ["started_after_completed"]),
         ({"parents": ["r"]}, ["own_parent"]),
-        ({"rules_version": None}, ["rules_version_required"]),
+        ({"rules_versions": None}, ["rules_versions_required"]),
         ({"run_type": "feature", "model_version": None}, []),
     ],
 )
 def test_run_records(spark, changed, problems):
-    run = {"run_id": "r", "run_type": "prediction", "season": "2025_26", "source_season": "2024_25", "period": 1, "horizon": 5, "as_of": T1, "created_at": T2, "started_at": None, "completed_at": None, "parents": [], **dict.fromkeys(("feature_version", "artifact_version", "model_version", "manifest_version", "rules_version"), "v1")} | changed
+    run = {"run_id": "r", "run_type": "prediction", "season": "2025_26", "source_season": "2024_25", "period": 1, "horizon": 5, "as_of": T1, "created_at": T2, "started_at": None, "completed_at": None, "parents": [], **dict.fromkeys(("feature_version", "artifact_version", "model_version", "manifest_version", "rules_versions"), "v1")} | changed
     got = li.run_problems(spark.createDataFrame([tuple(run[c.split()[0]] for c in RUN.split(", "))], RUN)).first()
     assert got.problems == problems and got.valid == (not problems)
 
 
 def test_run_ids(spark):
-    rows = [("model", "My  Model!", "2025_26", None, T1), ("model", None, "2025_26", 3, T1)]
+    rows = [("model", " My  Model_v1.2! ", "2025_26", None, T1), ("model", None, "2025_26", 3, T1)]
     got = [r[0] for r in spark.createDataFrame(rows, "run_type string, artifact string, season string, period long, created_at timestamp").select(li.run_id()).collect()]
-    assert got[0].startswith("my-model_2025_26_season_20250101T000000000000Z_") and got[1].startswith("model_2025_26_gw3_") and len(set(got)) == 2
+    assert got[0].startswith("My-Model_v1.2_2025_26_season_20250101T000000000000Z_") and got[1].startswith("model_2025_26_gw3_") and len(set(got)) == 2
 
 
 def test_registries(spark):

@@ -94,8 +94,11 @@ def test_relational_rules(spark):
     diff = {r.k: r.status for r in rel.snapshot_diff(a, b, ["k"], ["v", "w"]).collect()}
     assert diff == {1: "unchanged", 2: "changed", 3: "new"}
     assert {r.k: r.status for r in rel.snapshot_diff(b, b, ["k"], ["v", "w"]).collect()} == dict.fromkeys((1, 2, 3), "unchanged")
-    with pytest.raises(ValueError, match="right"):
-        rel.guarded_join(a, b.union(b), ["k"])
+    with pytest.raises(Exception, match="the right side repeats keys"):
+        rel.guarded_join(a, b.union(b), ["k"]).collect()
+    with pytest.raises(Exception, match="the left side repeats keys"):
+        rel.guarded_join(a.union(a), b.drop("v", "w"), ["k"], cardinality="one_to_one").collect()
+    assert rel.guarded_join(a.union(a), b.select("k", F.lit(1).alias("one")), ["k"]).count() == 4
     assert rel.where_given(a, k=None, v=(4.0, None)).count() == 1
     assert spark.createDataFrame([("50%",), ("500",)], "s string").where(rel.contains_text("s", "0%")).count() == 1
     with pytest.raises(ValueError):

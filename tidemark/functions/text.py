@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column
@@ -11,11 +12,16 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 #: Letters with marks and the plain letters that they count as.
-MARKED = "áàâãäåæçéèêëíìîïñóòôõöøúùûüýÿšžćč"
-PLAIN = "aaaaaaaceeeeiiiinoooooouuuuyyszcc"
+MARKED = "áàâãäåæçéèêëíìîïñóòôõöøúùûüýÿšžćčğıł"
+PLAIN = "aaaaaaaceeeeiiiinoooooouuuuyyszccgil"
 
 #: What a position may be called.
-POSITIONS = {"gk": "GKP", "gkp": "GKP", "goalkeeper": "GKP", "def": "DEF", "defender": "DEF", "mid": "MID", "midfielder": "MID", "fwd": "FWD", "forward": "FWD", "striker": "FWD"}
+POSITIONS = {
+    "1": "GKP", "gk": "GKP", "gkp": "GKP", "goalkeeper": "GKP",
+    "2": "DEF", "def": "DEF", "defender": "DEF",
+    "3": "MID", "mid": "MID", "midfielder": "MID",
+    "4": "FWD", "fwd": "FWD", "for": "FWD", "forward": "FWD", "striker": "FWD",
+}
 
 
 def column(x: str | Column) -> Column:
@@ -88,6 +94,16 @@ def kickoff(x: str | Column) -> tuple[Column, Column]:
     return ts, F.when(text.isNull(), "missing").when(ts.isNull(), "invalid").otherwise("known")
 
 
+def nested_get(x: str | Column, keys: Sequence[str], default: str | None = None) -> Column:
+    """The value of nested keys in a JSON object, as text; `default` where a key on the way is missing, null where its value is null."""
+    level, found = column(x), F.lit(True)
+    for key in keys:
+        members = F.from_json(level, "map<string,string>")
+        found = found & F.coalesce(F.map_contains_key(members, F.lit(key)), F.lit(False))
+        level = F.try_element_at(members, F.lit(key))
+    return F.when(found, level).otherwise(F.lit(default).cast("string"))
+
+
 def season_valid(x: str | Column) -> Column:
     """YYYY_YY with consecutive years."""
     c = column(x)

@@ -80,9 +80,9 @@ def attach_opponent(sides: DataFrame, context: DataFrame) -> DataFrame:
     return sides.join(other, ["season", "period", "opponent_id"], "left")
 
 
-def fixture_context(sides: DataFrame) -> DataFrame:
+def fixture_context(sides: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """Sides with opponent context and difficulty: 1 / (conceded + 0.5) against attack, goals scored against defence."""
-    rows = attach_opponent(sides, team_context(sides))
+    rows = attach_opponent(sides, team_context(sides) if context is None else context)
     return rows.withColumn("difficulty_attack", 1.0 / (F.coalesce("opponent_defence_recent", F.lit(1.0)) + 0.5)).withColumn("difficulty_defence", F.coalesce("opponent_attack_recent", F.lit(0.0)))
 
 
@@ -112,8 +112,8 @@ def side_rest(sides: DataFrame, entity: Sequence[str] = ("team_id",)) -> DataFra
     return sides.withColumn("rest_days", days_between(before, F.col("kickoff")))
 
 
-def pair_history(matches: DataFrame, n: int) -> DataFrame:
-    """Of each match the n meetings of the same two teams before it, whoever was at home, seen from its home team.
+def pair_history(matches: DataFrame, n: int, within: Sequence[str] = ()) -> DataFrame:
+    """Of each match the n meetings of the same two teams before it (in its season, say), whoever was at home, seen from its home team.
 
     The pair is keyed by its smaller and larger id; scores are kept from the smaller id's view, so one
     window over the pair serves both directions. Meetings at the same time are ordered by id.
@@ -124,7 +124,7 @@ def pair_history(matches: DataFrame, n: int) -> DataFrame:
         "_high": F.greatest("home_id", "away_id"),
         "_diff": F.when(low_home, F.col("home_score") - F.col("away_score")).otherwise(F.col("away_score") - F.col("home_score")),
     })
-    w = trailing(["_low", "_high"], ["kickoff", "match_id"], n)
+    w = trailing([*within, "_low", "_high"], ["kickoff", "match_id"], n)
     wins = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)).over(w), F.lit(0))
     low_wins, high_wins = wins(F.col("_diff") > 0), wins(F.col("_diff") < 0)
     return rows.select(
@@ -134,6 +134,8 @@ def pair_history(matches: DataFrame, n: int) -> DataFrame:
         wins(F.col("_diff") == 0).alias("draws"),
         F.when(low_home, high_wins).otherwise(low_wins).alias("away_wins"),
         F.avg(F.col("home_score") + F.col("away_score")).over(w).alias("goals_mean"),
+        F.when(low_home, F.avg(points("_diff", F.lit(0))).over(w)).otherwise(F.avg(points(F.lit(0), "_diff")).over(w)).alias("home_points_mean"),
+        (F.avg("_diff").over(w) * F.when(low_home, 1).otherwise(-1)).alias("home_goal_diff_mean"),
     )
 
 

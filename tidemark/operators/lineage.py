@@ -14,16 +14,16 @@ LAST_PERIOD = 38
 REQUIRED_VERSIONS = {
     "feature": ("feature_version", "artifact_version"),
     "model": ("feature_version", "model_version", "artifact_version"),
-    "prediction": ("feature_version", "model_version", "manifest_version", "artifact_version", "rules_version"),
+    "prediction": ("feature_version", "model_version", "manifest_version", "artifact_version", "rules_versions"),
     "evaluation": ("model_version", "manifest_version", "artifact_version"),
-    "optimization": ("model_version", "manifest_version", "artifact_version", "rules_version"),
+    "optimization": ("model_version", "manifest_version", "artifact_version", "rules_versions"),
     "publishing": ("manifest_version", "artifact_version"),
 }
 
 
 def slug(c: Column) -> Column:
-    """Lower case, with a dash for each run of other characters than letters and digits."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^a-z0-9]+", "-"), F.lit("-"))
+    """A dash for each run of characters other than letters, digits, dot, underscore and dash; none of the last three at the ends."""
+    return F.trim(F.regexp_replace(F.trim(c), r"[^A-Za-z0-9._-]+", "-"), F.lit("-._"))
 
 
 def run_id(kind: str = "run_type", artifact: str = "artifact", season: str = "season", period: str = "period", created: str = "created_at") -> Column:

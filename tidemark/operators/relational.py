@@ -40,11 +40,19 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def guarded_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", cardinality: str = "many_to_one") -> DataFrame:
-    """A join that fails if the sides it takes for unique repeat a key: `one_to_one` or `many_to_one`."""
-    for side, df, guarded in (("right", right, True), ("left", left, cardinality == "one_to_one")):
-        if guarded and not duplicate_keys(df, keys).isEmpty():
-            raise ValueError(f"the {side} side repeats keys of {list(keys)}")
-    return left.join(right, list(keys), how)
+    """A join that fails if the sides it takes for unique repeat a key: `one_to_one` or `many_to_one`.
+
+    Keys are counted in the join's own exchange, so the guard is part of the plan and costs no pass of its own;
+    the query fails when it runs. Null keys match nothing and may repeat.
+    """
+
+    def guarded(df: DataFrame, side: str) -> DataFrame:
+        times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+        alone = F.assert_true((F.col("_times") == 1) | ~known, f"the {side} side repeats keys of {list(keys)}")
+        return df.withColumn("_times", times).where(alone.isNull()).drop("_times")
+
+    return (guarded(left, "left") if cardinality == "one_to_one" else left).join(guarded(right, "right"), list(keys), how)
 
 
 def lookup(df: DataFrame, names: DataFrame, key: str, name: str, into: str) -> DataFrame:
@@ -113,5 +121,5 @@ def upsert_counts(diff: DataFrame) -> DataFrame:
 def unknown_keys(rows: DataFrame, known: DataFrame, key: str, show: int = 20) -> DataFrame:
     """One row: how many distinct keys are unknown and the first few of them in order."""
     lost = rows.select(key).join(known.select(key), key, "left_anti").distinct()
-    few = lost.withColumn("_n", F.row_number().over(Window.orderBy(key))).where(F.col("_n") <= show)
+    few = lost.orderBy(key).limit(show)
     return lost.agg(F.count("*").alias("unknown")).crossJoin(few.agg(F.array_sort(F.collect_list(key)).alias("shown")))

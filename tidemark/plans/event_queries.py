@@ -103,26 +103,6 @@ def pair_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.pair_history(matches(spark, sf_dir), 5).select("match_id", "meetings", *(F.col(c).cast("long").alias(c) for c in ("home_wins", "draws", "away_wins")), "goals_mean")
 
 
-@query(
-    "p07_match_dataset_v2",
-    f"""WITH {CONTEXT}, rest AS (SELECT match_id, team_id, (epoch_us(kickoff) - lag(epoch_us(kickoff)) OVER (PARTITION BY team_id ORDER BY kickoff, match_id)) / 86400000000 AS rest_days FROM sides),
-    side AS (SELECT s.match_id, s.is_home, c.rank_before, c.points_per_match, c.goal_diff_per_match, r.rest_days
-             FROM sides s JOIN context c USING (season, period, team_id) JOIN rest r ON r.match_id = s.match_id AND r.team_id = s.team_id)
-    SELECT h.match_id, h.rank_before AS home_rank_before, a.rank_before AS away_rank_before, h.rank_before - a.rank_before AS rank_diff,
-           h.points_per_match AS home_points_per_match, a.points_per_match AS away_points_per_match, h.goal_diff_per_match AS home_goal_diff_per_match, a.goal_diff_per_match AS away_goal_diff_per_match,
-           h.rest_days AS home_rest_days, a.rest_days AS away_rest_days, h.rest_days - a.rest_days AS rest_diff
-    FROM side h JOIN side a ON a.match_id = h.match_id AND h.is_home AND NOT a.is_home""",
-)
-def match_dataset_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Context, rest and their differences, one row per match."""
-    both = e.side_rest(sides(spark, sf_dir))
-    rows = both.join(e.team_context(sides(spark, sf_dir)).drop("points", "scored", "conceded", "matches"), ["season", "period", "team_id"])
-    wanted = ["rank_before", "points_per_match", "goal_diff_per_match", "rest_days"]
-    wide = rows.groupBy("match_id").agg(*(F.max(F.when(F.col("is_home") == home, F.col(c))).alias(f"{side}_{c}") for side, home in (("home", True), ("away", False)) for c in wanted))
-    wide = wide.withColumn("rank_diff", F.col("home_rank_before") - F.col("away_rank_before")).withColumn("rest_diff", F.col("home_rest_days") - F.col("away_rest_days"))
-    return wide.withColumns({c: F.col(c).cast("long") for c in ("home_rank_before", "away_rank_before", "rank_diff")})
-
-
 @query(
     "a05_season_table",
     f"""WITH {SIDES} SELECT season, team_id, count(*) AS played, count(*) FILTER (points = 3) AS won, count(*) FILTER (points = 1) AS drawn, count(*) FILTER (points = 0) AS lost,

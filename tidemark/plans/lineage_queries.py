@@ -95,7 +95,7 @@ def wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.wildcard_squads(horizon.join(needed, "player_id", "left_semi"), 1, 5)
 
 
-RUNS = """runs AS (SELECT event_id, ['feature', 'model', 'prediction', 'other'][event_id % 4 + 1] AS run_type, event_type AS artifact, '2024_25' AS season, CASE WHEN event_id % 3 > 0 THEN event_id % 38 + 1 END AS period, CASE WHEN event_id % 3 = 2 THEN 5 END AS horizon,
+RUNS = """runs AS (SELECT event_id, ['feature', 'model', 'prediction', 'other'][event_id % 4 + 1] AS run_type, upper(event_type) || '.v1_2-x' AS artifact, '2024_25' AS season, CASE WHEN event_id % 3 > 0 THEN event_id % 38 + 1 END AS period, CASE WHEN event_id % 3 = 2 THEN 5 END AS horizon,
     ts AS created_at, ts + INTERVAL 1 HOUR * CAST(event_id % 5 - 3 AS INTEGER) AS as_of FROM events)"""
 
 
@@ -103,7 +103,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("event_id")
     kinds = F.array(*map(F.lit, ("feature", "model", "prediction", "other")))
     hours = F.make_dt_interval(F.lit(0), (n % 5 - 3).cast("int"))
-    rows = table(spark, sf_dir, "events").select("event_id", F.get(kinds, (n % 4).cast("int")).alias("run_type"), F.col("event_type").alias("artifact"), F.lit("2024_25").alias("season"), F.when(n % 3 > 0, n % 38 + 1).alias("period"), F.when(n % 3 == 2, 5).alias("horizon"), F.col("ts").alias("created_at"), (F.col("ts") + hours).alias("as_of"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.get(kinds, (n % 4).cast("int")).alias("run_type"), F.concat(F.lit(" ."), F.upper("event_type"), F.lit(".v1_2 / x-")).alias("artifact"), F.lit("2024_25").alias("season"), F.when(n % 3 > 0, n % 38 + 1).alias("period"), F.when(n % 3 == 2, 5).alias("horizon"), F.col("ts").alias("created_at"), (F.col("ts") + hours).alias("as_of"))
     return rows.withColumn("run_id", li.run_id())
 
 
@@ -122,7 +122,7 @@ def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
         CASE WHEN period + horizon - 1 > 38 THEN 'horizon_too_long' END, CASE WHEN as_of > created_at THEN 'as_of_after_created' END, CASE WHEN run_type = 'model' THEN 'model_version_required' END, CASE WHEN run_type = 'prediction' THEN 'model_version_required' END) AS problems FROM runs""",
 )
 def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = {v: F.lit("v1") for v in ("feature_version", "artifact_version", "manifest_version", "rules_version")} | {"model_version": F.lit(None).cast("string"), "source_season": F.lit("2023_24"), "parents": F.array().cast("array<string>")}
+    given = {v: F.lit("v1") for v in ("feature_version", "artifact_version", "manifest_version", "rules_versions")} | {"model_version": F.lit(None).cast("string"), "source_season": F.lit("2023_24"), "parents": F.array().cast("array<string>")}
     times = {t: F.lit(None).cast("timestamp_ntz") for t in ("started_at", "completed_at")}
     return li.run_problems(_runs(spark, sf_dir).withColumns(given | times)).select("event_id", F.concat_ws("|", "problems").alias("problems"))
 
