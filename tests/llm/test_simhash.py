@@ -215,11 +215,20 @@ def test_rows_without_company_are_left_out():
             rows += list(zip(key.tolist(), state.tolist(), part.tolist()))
         rows.sort(key=lambda r: r[0])
         cuts = sorted(draw.sample(range(len(rows) + 1), min(len(rows), 4)))
-        batches = [pa.record_batch({"_key": pa.array([r[0] for r in b], pa.int64()), "_state": pa.array([r[1] for r in b], pa.int8()), "_shingle": pa.array([r[2] for r in b], pa.int64())}) for x, y in zip([0, *cuts], [*cuts, len(rows)]) for b in [rows[x:y]]]
+        batches = [pa.record_batch({"_place": pa.array([r[1] for r in b], pa.int64()), "_shingle": pa.array([r[2] for r in b], pa.int64())}) for x, y in zip([0, *cuts], [*cuts, len(rows)]) for b in [rows[x:y]]]
         got = Counter(s for b in simhash._company(batches) for s in b.column("_shingle").to_pylist())
         assert got == Counter({s: n for s, n in Counter(shingles).items() if n > 1})
 
 
+def test_parities_never_show_more_than_the_sets_differ_in():
+    draw = np.random.default_rng(3)
+    for n, m in ((0, 0), (0, 3), (1, 1), (300, 290), (1000, 1100), (5000, 400), (70_000, 30_000)):
+        a = np.unique(draw.integers(0, 2**64, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: m // 2], draw.integers(0, 2**64, m - m // 2, dtype=np.uint64)]))
+        assert simhash.shown(simhash.parity(a), simhash.parity(b)) <= len(np.setxor1d(a, b))
+        assert simhash.shown(simhash.parity(a), simhash.parity(a)) == 0
+
+
 def test_a_third_of_the_rows_in_one_group_of_copies(spark):
     """One task meets a cell of the group, not all of it, and the result is that of all pairs."""
     draw = random.Random(15)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FIRST, FURTHER, STRIDE, cut, map_arrow, meeting, partitions
+from tidemark.llm.common import FIRST, FURTHER, cut, map_arrow, meeting, partitions
 from tidemark.llm.components import components
 
 BITS = 64
@@ -40,8 +40,8 @@ SAMPLE_STEP = 16
 SAMPLE_TIMES = 3
 COMMON = 1 << 17
 #: Pairs that a member of a group of shingles proposes in the first round, and how this grows from round to round.
-PARTNERS = 1
-GROWTH = 8
+PARTNERS = 4
+GROWTH = 16
 #: Rows of one shingle that a task goes through together; those of a larger group are dealt to cells.
 CELL = 1 << 16
 
@@ -251,13 +251,19 @@ def near_components(docs: DataFrame, shingle: int = 3, radius: int = 3, id_col:
     through; other columns are not read; an empty table gives no rows.
     """
     found = cut(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    placed = code_components(found, radius, group_limit)
+    return placed.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_code"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def code_components(found: DataFrame, radius: int, group_limit: int = GROUP_LIMIT) -> DataFrame:
+    """_id, _code and component_id of every row of `found` (_id, _code): the smallest id that fingerprints within the radius lead to."""
     codes = cut(found.groupBy("_code").agg(F.min("_id").alias("_least")), "codes")
     links = hamming_links(codes.select("_code"), radius, runs(list(range(BITS)), radius + 1), joined, group_limit)
     roots = components(links)
     placed = codes.join(roots, codes["_code"] == roots["node"], "left").select("_code", "_least", F.coalesce("root", "_code").alias("_root"))
     least = placed.groupBy("_root").agg(F.min("_least").alias("component_id"))
     reached = cut(placed.join(least, "_root").select("_code", "component_id"), "components")
-    return found.join(reached, "_code").select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("_code"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.join(reached, "_code").select("_id", "_code", "component_id")
 
 
 def shingle_set(text: str | None, k: int) -> np.ndarray:
@@ -282,6 +288,29 @@ def alike(x: np.ndarray, y: np.ndarray) -> float:
     return common / (len(x) + len(y) - common) if len(x) or len(y) else 1.0
 
 
+def parity(found: np.ndarray) -> bytes:
+    """Whether an odd number of a set's shingles fall into each place; there are as many places as shingles, to a power of two."""
+    places = 1 << min(20, max(8, (len(found) - 1).bit_length()))
+    return np.packbits(np.bincount((found & np.uint64(places - 1)).astype(np.int64), minlength=places).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def shown(a: bytes, b: bytes) -> int:
+    """How many shingles two sets differ in at least, by their parities. The longer one is folded to the length of the shorter."""
+    x, y = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum())
+
+
+def _sketches(rows: DataFrame, shingle: int) -> DataFrame:
+    """_id, _code (the fingerprint), _n (distinct shingles) and _parity of every row."""
+
+    def each(batch: pa.RecordBatch) -> dict:
+        texts = batch.column(1).to_pylist()
+        sets = [shingle_set(t, shingle) for t in texts]
+        return {"_id": batch.column(0), "_code": [fingerprint(t, shingle) for t in texts], "_n": list(map(len, sets)), "_parity": list(map(parity, sets))}
+
+    return map_arrow(rows, each, f"_id {rows.schema['_id'].dataType.simpleString()}, _code long, _n int, _parity binary")
+
+
 def _common(rows: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
     """Common shingles of a sample of the rows, sorted, and their places from 1 on, the less common first.
 
@@ -320,23 +349,24 @@ def _postings(rows: DataFrame, shingle: int, similarity: float) -> DataFrame:
         sizes = np.fromiter(map(len, firsts), np.int64, len(firsts))
         owner, at = _spread(np.zeros(len(sizes), np.int64), sizes)
         found = np.concatenate(firsts).view("<i8")
-        key, state = meeting([found], np.arange(len(found)), np.arange(len(found)) * STRIDE)
-        return {"_key": key, "_state": state, "_shingle": found, "_at": at, "_n": np.fromiter(map(len, sets), np.int64, len(sets))[owner], "_id": batch.column(0).take(pa.array(owner))}
+        _, state = meeting([found], np.arange(len(found)), found)
+        return {"_shingle": found, "_place": at << 2 | state, "_n": np.fromiter(map(len, sets), np.int64, len(sets))[owner], "_id": batch.column(0).take(pa.array(owner))}
 
     kind = rows.schema["_id"].dataType.simpleString()
-    posted = map_arrow(rows, each, f"_key long, _state byte, _shingle long, _at int, _n int, _id {kind}")
-    met = posted.repartition(partitions(rows.sparkSession), "_key").sortWithinPartitions("_key").mapInArrow(_company, posted.schema)
-    return met.select("_shingle", "_at", "_n", "_id")
+    posted = map_arrow(rows, each, f"_shingle long, _place long, _n int, _id {kind}")
+    key = F.when(F.col("_place").bitwiseAND(3) == FURTHER, F.xxhash64("_shingle", "_id")).otherwise(F.col("_shingle"))
+    met = posted.repartition(partitions(rows.sparkSession), key).sortWithinPartitions(key).mapInArrow(_company, posted.schema)
+    return met.select("_shingle", F.shiftright("_place", 2).cast("int").alias("_at"), "_n", "_id")
 
 
 def _company(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of the rows sorted by _key those that share their _shingle with another row; holds one row between batches."""
+    """Of the rows sorted by the key they are dealt by those that share their _shingle with another row; holds one row between batches."""
     held, before = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        key, state = table.column("_key").to_numpy(), table.column("_state").to_numpy()
+        key, state = table.column("_shingle").to_numpy(), table.column("_place").to_numpy() & 3
         known = state == FURTHER
         # Only rows that are there to meet count as company; the others have theirs already.
         shared, meet = known | (state == FIRST), np.flatnonzero(~known)
@@ -457,15 +487,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         keep = pa.array(same, pa.bool_())
         return {"src": batch.column(0).filter(keep), "dst": batch.column(1).filter(keep)}
 
+    sketches = cut(_sketches(rows, shingle), "sketches")
+
+    def possible(batch: pa.RecordBatch) -> dict:
+        a, b, n, m, x, y = (c.to_pylist() for c in batch.columns)
+        most = [p + q - 2 * int(np.ceil(similarity / (1 + similarity) * (p + q) - 1e-9)) for p, q in zip(n, m)]
+        keep = pa.array([shown(*pair) <= k for k, *pair in zip(most, x, y)], pa.bool_())
+        return {"a": batch.column(0).filter(keep), "b": batch.column(1).filter(keep)}
+
     def decided(pairs: DataFrame) -> DataFrame:
-        """Of the pairs (a, b) those that share enough, as src and dst."""
+        """Of the pairs (a, b) those that share enough, as src and dst: by the parities where they show that it cannot be, else by the texts."""
+        sketch = lambda c: sketches.select(F.col("_id").alias(c), F.col("_n").alias(f"{c}_n"), F.col("_parity").alias(f"{c}_parity"))
+        sketched = pairs.join(sketch("a"), "a").join(sketch("b"), "b").select("a", "b", "a_n", "b_n", "a_parity", "b_parity")
+        pairs = cut(map_arrow(sketched, possible, f"a {kind}, b {kind}"), "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
         texts = cut(rows.join(ids, "_id", "left_semi"), "texts")
         side = lambda c: texts.select(F.col("_id").alias(c), F.col("_text").alias(f"{c}_text"))
         whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
         return cut(map_arrow(whole, alike_enough, f"src {kind}, dst {kind}"), "links")
 
-    classes = near_components(rows, shingle, radius, "_id", "_text").where(F.col("_id") != F.col("component_id"))
+    classes = code_components(sketches.select("_id", "_code"), radius).where(F.col("_id") != F.col("component_id"))
     tried = cut(classes.select(F.col("component_id").alias("a"), F.col("_id").alias("b")).distinct(), "pairs")
     links = decided(tried)
     roots = components(links)
