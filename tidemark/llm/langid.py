@@ -176,7 +176,8 @@ def fit(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, order: int
     place = F.create_map(*(x for i, s in enumerate(languages) for x in (F.lit(s), F.lit(i))))
     spared = (F.pmod(F.xxhash64(F.lit(CALIBRATE), "_id"), F.lit(CALIBRATE)) == 0) & F.col("_lang").isin([s for s in languages if sizes[s] >= SPARES])
     drawn = rows.where(F.pmod(F.xxhash64("_id"), F.lit(steps)) < share[F.col("_lang")])
-    sample = cut(drawn.select(place[F.col("_lang")].alias("_lang"), "_text", spared.alias("_spared")), "sample")
+    # The sample is small by its bound: it is brought together into few files, however many tasks read the table.
+    sample = cut(drawn.select(place[F.col("_lang")].alias("_lang"), "_text", spared.alias("_spared")).hint("rebalance"), "sample")
 
     def of_contexts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
