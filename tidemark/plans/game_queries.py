@@ -34,12 +34,14 @@ def side_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return h.side_sequence(sides(spark, sf_dir)).select("match_id", "team_id", F.col("sequence").cast("long").alias("sequence"), "in_period", "double")
 
 
-#: A day's users play for the nation of their number; a fixture on a day is a match of the month with that number.
-DAY_SIDES = f"{SIDES}, day_sides AS (SELECT team_id, period, match_id, opponent_id, kickoff FROM sides WHERE period BETWEEN 1 AND 5 AND match_id % 5 = 0)"
+#: Here a period is a day, counted from the year of the first matches; the horizon is its first five days. A day's users play for the nation of their number.
+FIRST_DAY = "1994-12-31"
+DAY_SIDES = f"{SIDES}, day_sides AS (SELECT team_id, CAST(date_diff('day', DATE '{FIRST_DAY}', CAST(kickoff AS DATE)) AS BIGINT) AS period, match_id, opponent_id, kickoff FROM sides WHERE date_diff('day', DATE '{FIRST_DAY}', CAST(kickoff AS DATE)) BETWEEN 1 AND 5)"
 
 
 def _day_sides(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sides(spark, sf_dir).where("period BETWEEN 1 AND 5 AND match_id % 5 = 0")
+    day = F.datediff(F.to_date("kickoff"), F.lit(FIRST_DAY)).cast("long")
+    return sides(spark, sf_dir).withColumn("period", day).where(F.col("period").between(1, 5))
 
 
 @query(

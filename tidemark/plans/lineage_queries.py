@@ -42,6 +42,10 @@ def _roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("m20_player_projection", f"WITH {PROJECTED} SELECT player_id, {', '.join(f'round({sql}, 6) AS {name}' for name, sql in zip(SHOWN, SHOWN_SQL))} FROM h")
 def player_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projected(spark, sf_dir).select("player_id", *(F.round(c, 6).alias(c) for c in SHOWN))
+
+
+def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
     size, tiers = F.col("size"), F.array(*map(F.lit, ("none", "tiny", "small", "medium", "large", "full")))
     given = lambda c: F.when(size % 11 != 0, c)
     fallback = {"appearance": 0.5, "start": 0.4, "minutes_if_playing": 70.0, "minutes": 40.0, "points_per_90": 22 / 7, "goals_per_90": 1 / 9, "assists_per_90": 1 / 11, "bonus_per_90": 1 / 7}
@@ -53,7 +57,7 @@ def player_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
         "minutes_signal": F.lit(1.07), "rate_signal": F.lit(0.95), "chance": F.when(size % 5 == 0, 0.4),
         "team_goals": given(1 + size % 3 * 0.5), "opponent_goals": given(0.5 + size % 4 * 0.5),
     } | {f"fallback_{k}": F.lit(v) for k, v in fallback.items()})
-    return project(rows, 1.4, 0.25).select("player_id", *(F.round(c, 6).alias(c) for c in SHOWN))
+    return project(rows, 1.4, 0.25)
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

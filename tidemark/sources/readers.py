@@ -50,6 +50,11 @@ def resolve_aliases(df: DataFrame, aliases: Mapping[str, Sequence[str]], optiona
     return df.select(*out)
 
 
+def table_columns(spark: SparkSession, name: str) -> list[str]:
+    """The columns of a table or view of the catalog, in order; none if it is not there."""
+    return [c.name for c in spark.catalog.listColumns(name)] if spark.catalog.tableExists(name) else []
+
+
 def first_existing(spark: SparkSession, paths: Sequence[str]) -> str | None:
     """The first of the paths that exists in the store it points to."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
