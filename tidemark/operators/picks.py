@@ -1,12 +1,14 @@
 """Constrained picks: squads, line-ups, transfers, captains. Candidates are prepared in Spark; one pick is sequential.
 
-A pick works on one scenario's candidates. `candidates` prunes them exactly before: within a position and
-club, a player goes who at least as many others as a club may give beat in points at no higher price.
+A pick works on one scenario's candidates, which are pruned in Spark before, exactly: within a position
+and club, a player goes who at least as many others as a club may give beat in points at no higher price. What
+is left of a club is a few players, however many it has.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -15,16 +17,40 @@ from pyspark.sql import functions as F
 from tidemark.operators.rules import BUDGET, FORMATION, PER_CLUB, QUOTAS
 
 
+def _undominated(pool: DataFrame, scenario: str, depth: int) -> tuple[DataFrame, Column]:
+    """`pool` with marks of layers, and whether a row is in one of the first `depth`.
+
+    Sorted by price, a layer is what has more points than all before it, leaving out the layers above. A row below
+    `depth` layers has so many before it with as many points at no higher price. Running maxima are all that is kept.
+    """
+    order = Window.partitionBy(scenario, "position", "club").orderBy("price", F.desc("points"), "player_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows, taken = pool, F.lit(False)
+    for i in range(depth):
+        best = F.max(F.when(~taken, F.col("points"))).over(order)
+        rows = rows.withColumn(f"_layer{i}", ~taken & (best.isNull() | (F.col("points") > best)))
+        taken = reduce(lambda a, b: a | b, (F.col(f"_layer{j}") for j in range(i + 1)))
+    return rows, taken
+
+
 def candidates(pool: DataFrame, scenario: str = "scenario", per_club: int = PER_CLUB) -> DataFrame:
     """Players that some best squad can need. `pool` has scenario, player_id, position, club, price, points.
 
-    Sorted by price, a player whose points do not exceed the `per_club`-th largest of the cheaper ones of
-    its position and club is left out; ties go by points and id, so the same players stay on every run.
+    Ties go by price, points and id, so the same players stay on every run.
     """
-    order = Window.partitionBy(scenario, "position", "club").orderBy("price", F.desc("points"), "player_id")
-    before = F.sort_array(F.collect_list("points").over(order.rowsBetween(Window.unboundedPreceding, -1)), asc=False)
-    rows = pool.withColumn("_beat", F.get(before, F.lit(per_club - 1)))
-    return rows.where(F.col("_beat").isNull() | (F.col("points") > F.col("_beat"))).drop("_beat")
+    rows, kept = _undominated(pool, scenario, per_club)
+    return rows.where(kept).select(pool.columns)
+
+
+def greedy_candidates(pool: DataFrame, quotas: Mapping[str, int] = QUOTAS, per_club: int = PER_CLUB, locked: Sequence[int] = (), scenario: str = "scenario") -> DataFrame:
+    """Players that a greedy pick can take or that its test of what is still possible can count: the pick is the same as from all.
+
+    A player whom a club's full share of others beats is never the next to be taken. The test adds up the cheapest
+    players of each position, so the cheapest of each club stay as well; so do locked ones and those of negative points.
+    """
+    rows, kept = _undominated(pool, scenario, per_club)
+    cheap = F.row_number().over(Window.partitionBy(scenario, "position", "club").orderBy("price", "player_id")) <= max(quotas.values()) + per_club
+    rows = rows.withColumn("_kept", kept | cheap | (F.col("points") < 0) | F.col("player_id").isin(list(locked)))
+    return rows.where("_kept").select(pool.columns)
 
 
 def _cheapest(rest: dict[str, list[int]], need: Mapping[str, int]) -> int | None:
@@ -132,7 +158,7 @@ def squads(pool: DataFrame, exact: bool, quotas: Mapping[str, int] = QUOTAS, bud
         chosen, proved = exact_squad(pdf, quotas, budget, per_club) if exact else (greedy_squad(pdf, quotas, budget, per_club), False)
         return chosen.assign(proved=proved).astype({"proved": bool})
 
-    pool = candidates(pool.select(*columns), per_club=per_club) if exact else pool.select(*columns)
+    pool = candidates(pool.select(*columns), per_club=per_club) if exact else greedy_candidates(pool.select(*columns), quotas, per_club)
     pool = pool.select("scenario", "player_id", "position", "club", F.col("price").cast("long").alias("price"), F.col("points").cast("double").alias("points"))
     return pool.groupBy("scenario").applyInPandas(pick, pool.withColumn("proved", F.lit(True)).schema)
 
@@ -142,6 +168,7 @@ def locked_squads(pool: DataFrame, locked: Sequence[int], quotas: Mapping[str, i
     columns = ["scenario", "player_id", "position", "club", "price", "points"]
     quotas, locked = dict(quotas), list(locked)
     rows = pool.select("scenario", "player_id", "position", "club", F.col("price").cast("long").alias("price"), F.col("points").cast("double").alias("points"))
+    rows = greedy_candidates(rows, quotas, per_club, locked)
     return rows.groupBy("scenario").applyInPandas(lambda pdf: greedy_squad(pdf, quotas, budget, per_club, locked)[columns], rows.schema)
 
 
@@ -157,6 +184,7 @@ def wildcard_squads(horizon: DataFrame, first: int, last: int, locked: Sequence[
     rows = inside.groupBy("scenario", "player_id", "position", "club", F.col("price").cast("long").alias("price")).agg(
         total("points").alias("points"), total(F.when(F.col("period") == first, F.col("points"))).alias("first_points")
     )
+    rows = greedy_candidates(rows, quotas, per_club, locked)
     squad = rows.groupBy("scenario").applyInPandas(lambda pdf: greedy_squad(pdf, quotas, budget, per_club, locked, by_position=True)[columns], rows.select(columns).schema)
     starts = lineups(squad).select("scenario", "player_id", "starts")
     place = F.row_number().over(Window.partitionBy("scenario", "starts").orderBy(F.desc("first_points"), F.desc("points"), "player_id"))
@@ -173,6 +201,18 @@ def relaxed_squad(pool: pd.DataFrame, ladder: Sequence[tuple[int, int]], quotas:
     return pool.iloc[:0], -1
 
 
+def relaxed_squads(pool: DataFrame, ladder: Sequence[tuple[int, int]], quotas: Mapping[str, int] = QUOTAS) -> DataFrame:
+    """The best squad of each scenario under the first (budget, club limit) of the ladder that allows one, with `step`; no rows where none does."""
+    columns, quotas, ladder = ["scenario", "player_id", "position", "club", "price", "points"], dict(quotas), list(ladder)
+    rows = candidates(pool.select(*columns), per_club=max(n for _, n in ladder)).select("scenario", "player_id", "position", "club", F.col("price").cast("long").alias("price"), F.col("points").cast("double").alias("points"))
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        chosen, step = relaxed_squad(pdf, ladder, quotas)
+        return chosen.assign(step=step)[[*columns, "step"]]
+
+    return rows.groupBy("scenario").applyInPandas(pick, rows.withColumn("step", F.lit(0)).schema)
+
+
 def lineups(squad: DataFrame, scenario: str = "scenario") -> DataFrame:
     """Each squad's players with `starts` by the legal formation of most points. A group is one squad."""
     rows = squad.select(scenario, "player_id", "position", F.col("points").cast("double").alias("points"))

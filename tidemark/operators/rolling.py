@@ -93,6 +93,20 @@ def top_per_group(df: DataFrame, group: Keys, order: Sequence[Column], k: int, r
     return df.withColumn(rank, F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col(rank) <= k)
 
 
+def ranked(df: DataFrame, score: str, tie: Keys, rank: str = "rank", ranges: int = 64) -> DataFrame:
+    """`df` with the place of each row among all, highest score first, ties by the columns `tie`; scores are not null.
+
+    Rows are dealt to ranges of the score, whose bounds are quantiles; a row's place is that in its range and
+    the size of the ranges above it. So no task sorts the whole table, and the bounds need not be exact.
+    """
+    bounds = df.agg(F.array_distinct(F.percentile_approx(score, F.array(*(F.lit(i / ranges) for i in range(1, ranges))))).alias("_bounds"))  # one row
+    dealt = df.crossJoin(F.broadcast(bounds)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b > F.col(score)))).drop("_bounds")
+    above = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_size")).select("_range", F.coalesce(F.sum("_size").over(above), F.lit(0)).alias("_above"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(F.desc(score), *tie))
+    return dealt.withColumn("_place", place).join(F.broadcast(sizes), "_range").withColumn(rank, F.col("_above") + F.col("_place")).drop("_range", "_above", "_place")
+
+
 def percent_rank_ties(x: str, group: Keys) -> Column:
     """Rank over size with the mean rank for ties: (rank + (ties - 1) / 2) / n."""
     w = Window.partitionBy(*group)

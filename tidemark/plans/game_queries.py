@@ -170,7 +170,13 @@ def transfer_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return user_days(spark, sf_dir).select("user_id", "day", cost.alias("cost"), left.alias("left_over"))
 
 
-@query("e05_transfer_bank")
+@query(
+    "e05_transfer_bank",
+    f"""WITH RECURSIVE {USER_DAYS}, w AS (SELECT user_id AS manager_id, day AS week, goals AS used, cards >= 2 AS chip, row_number() OVER (PARTITION BY user_id ORDER BY day) AS n FROM user_days),
+    f AS (SELECT DISTINCT manager_id, CAST(0 AS BIGINT) AS n, CAST(1 AS BIGINT) AS bank FROM w UNION ALL
+          SELECT f.manager_id, w.n, least(5, greatest(CASE WHEN chip THEN bank ELSE least(5, bank - least(bank, used) + 1) END, CASE WHEN week = 15 THEN 5 ELSE 0 END)) FROM f JOIN w ON w.manager_id = f.manager_id AND w.n = f.n + 1)
+    SELECT manager_id, CAST(arg_max(bank, n) AS INTEGER) AS free_transfers FROM f GROUP BY 1""",
+)
 def transfer_bank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's days folded in order: a sequential rule, tested against a plain loop."""
     weeks = user_days(spark, sf_dir).select(F.col("user_id").alias("manager_id"), F.col("day").alias("week"), F.col("goals").alias("used"), F.when(F.col("cards") >= 2, "wildcard").alias("chip"))
@@ -331,6 +337,12 @@ def locked_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.locked_squads(_pool(spark, sf_dir), [r[0] for r in _pool(spark, sf_dir).where("position IN ('GKP', 'FWD')").groupBy("position").agg(F.min("player_id").alias("i")).select("i").collect()])
 
 
+@query("r12_relaxed_squad")
+def relaxed_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best squad under the first of three budgets and club limits that allows one; the first is out of reach on purpose."""
+    return p.relaxed_squads(_pool(spark, sf_dir), [(1, 1), (ru.BUDGET, 2), (ru.BUDGET, 3)])
+
+
 @query("r14_best_lineup")
 def best_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The starting players of most points over all legal formations, of the best squad."""

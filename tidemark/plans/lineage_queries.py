@@ -94,9 +94,7 @@ def wildcard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A squad for five periods, whose points are the units sold in them; captain by the first period."""
     sold = table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("player_id"), (F.col("l_linenumber").cast("long")).alias("period")).agg(F.sum("l_quantity").alias("points"))
     horizon = _candidates(spark, sf_dir).drop("points").join(sold, "player_id").withColumn("scenario", F.lit("all"))
-    pool = horizon.where("period BETWEEN 1 AND 5").groupBy("scenario", "player_id", "position", "club", "price").agg(F.sum("points").alias("points"))
-    needed = p.candidates(pool).select("player_id")
-    return p.wildcard_squads(horizon.join(needed, "player_id", "left_semi"), 1, 5)
+    return p.wildcard_squads(horizon, 1, 5)
 
 
 RUNS = """runs AS (SELECT event_id, ['feature', 'model', 'prediction', 'other'][event_id % 4 + 1] AS run_type, upper(event_type) || '.v1_2-x' AS artifact, '2024_25' AS season, CASE WHEN event_id % 3 > 0 THEN event_id % 38 + 1 END AS period, CASE WHEN event_id % 3 = 2 THEN 5 END AS horizon,

@@ -228,7 +228,15 @@ def expected_goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _paired(spark, sf_dir).select("match_id", F.round(home, 6).alias("home_goals"), F.round(away, 6).alias("away_goals"))
 
 
-@query("m18_scoreline_preview")
+@query(
+    "m18_scoreline_preview",
+    f"""WITH {SIGNAL}, said AS (SELECT match_id, CASE WHEN h >= d AND h >= a THEN 'H' WHEN d >= a THEN 'D' ELSE 'A' END AS label FROM moved), g AS (SELECT match_id, {GOALS} FROM pair),
+    grid AS (SELECT match_id, h, a, exp(-eh) * pow(eh, h) / factorial(CAST(h AS INTEGER)) * (exp(-ea) * pow(ea, a) / factorial(CAST(a AS INTEGER))) AS p FROM g, (SELECT unnest(range(0, 11)) AS h), (SELECT unnest(range(0, 11)) AS a)),
+    o AS (SELECT match_id, sum(p) AS mass, sum(p) FILTER (h > a) AS ph, sum(p) FILTER (h = a) AS pd, sum(p) FILTER (h < a) AS pa FROM grid GROUP BY 1),
+    best AS (SELECT match_id, h || '-' || a AS score FROM grid QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY p DESC, h, a) = 1),
+    j AS (SELECT match_id, label, CASE WHEN ph >= pd AND ph >= pa THEN 'H' WHEN pd >= pa THEN 'D' ELSE 'A' END AS goal_label, score, mass FROM said JOIN o USING (match_id) JOIN best USING (match_id))
+    SELECT match_id, label, goal_label, score, label <> goal_label AS disagree, round(1 - mass, 6) AS tail FROM j""",
+)
 def scoreline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chances from the signal beside those of the score grid, the likeliest score, and whether the two labels disagree."""
     rows = _paired(spark, sf_dir).withColumn("signal", pre.match_signal())

@@ -25,8 +25,7 @@ def rolling_form(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Latest day of every user with its trailing mean points, today excluded; best first."""
     days = user_days(spark, sf_dir).withColumn("form", r.trailing_mean("points", USER, DAY, 5))
     latest = r.last_per_group(days, USER, [F.desc("day")]).where("form IS NOT NULL")
-    # One row per user is left: the ranking over all users is the report itself.
-    return latest.select("user_id", "day", "form", F.row_number().over(Window.orderBy(F.desc("form"), "user_id")).cast("long").alias("rank"))
+    return r.ranked(latest.select("user_id", "day", "form"), "form", USER).select("user_id", "day", "form", F.col("rank").cast("long").alias("rank"))
 
 
 def _means(measure: str, widths: tuple[int, ...]) -> str:
