@@ -19,12 +19,12 @@ def projected(spark, *rows, fallback=FALLBACK):
     return {r.player_id: r for r in project(df, 1.4, 0.25).collect()}
 
 
-def player(i, position="MID", tier="full", safe=True, unknown=False, chance=None, goals=(1.4, 1.4), own=(1.0, 0.9, 80.0, 80.0, 6.0, 0.4, 0.3, 0.5), price=5.0):
+def player(i, position="MID", tier="high_sample", safe=True, unknown=False, chance=None, goals=(1.4, 1.4), own=(1.0, 0.9, 80.0, 80.0, 6.0, 0.4, 0.3, 0.5), price=5.0):
     return (i, position, 1, price, tier, safe, unknown, *own, 1.05, 0.95, chance, *goals)
 
 
 def test_parts_add_up_and_stay_in_their_ranges(spark):
-    rows = [player(i, position, tier, safe, unknown, chance) for i, (position, tier, safe, unknown, chance) in enumerate(itertools.product(("GKP", "DEF", "MID", "FWD"), ("none", "small", "full", None), (True, False, None), (True, False), (None, 0.0, 0.5)))]
+    rows = [player(i, position, tier, safe, unknown, chance) for i, (position, tier, safe, unknown, chance) in enumerate(itertools.product(("GKP", "DEF", "MID", "FWD"), ("zero_sample", "low_sample", "high_sample", None), (True, False, None), (True, False), (None, 0.0, 0.5)))]
     for r in projected(spark, *rows).values():
         parts = r.appearance_points + r.goal_points + r.assist_points + r.clean_sheet_points + r.bonus_points + r.other_points
         assert parts == pytest.approx(r.points) and 0 <= r.points <= 15
@@ -32,10 +32,12 @@ def test_parts_add_up_and_stay_in_their_ranges(spark):
 
 
 def test_a_prior_counts_as_far_as_its_sample(spark):
-    got = projected(spark, player(1), player(2, safe=False), player(3, tier="none"), player(4, chance=0.0))
+    got = projected(spark, player(1), player(2, safe=False), player(3, tier="zero_sample"), player(4, chance=0.0))
     assert got[1].expected_minutes == pytest.approx(0.85 * 80 + 0.15 * 40)
     assert got[2].expected_minutes == got[3].expected_minutes == pytest.approx(40)
     assert got[4].expected_minutes == got[4].points == 0
+    width = {i: (r.minutes_low, r.minutes_high) for i, r in got.items()}
+    assert width[2] == (pytest.approx(2), pytest.approx(78)) and width[3] == (pytest.approx(0), pytest.approx(80))  # 38 without a safe prior, 40 without a sample
 
 
 def test_values_missing_on_one_side_or_both(spark):

@@ -81,7 +81,8 @@ def prior_weight(gw: Column, last: int = 5) -> Column:
 
 def tier(minutes: Column, rows: Column) -> Column:
     """Sample tiers from minutes and appearances; the first that fits."""
-    return F.when(minutes <= 0, "none").when((minutes < 180) | (rows < 3), "tiny").when((minutes < 450) | (rows < 5), "small").when(minutes < 900, "medium").when(minutes < 1800, "large").otherwise("full")
+    few = F.when(minutes <= 0, "zero_sample").when((minutes < 180) | (rows < 3), "very_low_sample").when((minutes < 450) | (rows < 5), "low_sample")
+    return few.when(minutes < 900, "moderate_sample").when(minutes < 1800, "reliable_sample").otherwise("high_sample")
 
 
 def risk_flags(flags: dict[str, Column]) -> Column:

@@ -18,11 +18,16 @@ RATES = ("points_per_90", "goals_per_90", "assists_per_90", "bonus_per_90")
 class Policy:
     """Weights of a prior by sample tier, what unknown players lose, and what a fixture changes."""
 
-    role_weight: Mapping[str, float] = field(default_factory=lambda: {"full": 0.85, "large": 0.70, "medium": 0.45, "small": 0.20, "tiny": 0.10, "none": 0.0})
-    rate_weight: Mapping[str, float] = field(default_factory=lambda: {"full": 0.85, "large": 0.70, "medium": 0.35, "small": 0.0, "tiny": 0.0, "none": 0.0})
-    half_width: Mapping[str, float] = field(default_factory=lambda: {"full": 14.0, "large": 20.0, "medium": 26.0, "small": 32.0, "tiny": 36.0, "none": 40.0})
-    unknown_workload: Mapping[str, float] = field(default_factory=lambda: {"full": 1.0, "large": 1.0, "medium": 0.85, "small": 0.65, "tiny": 0.50, "none": 0.35})
+    role_weight: Mapping[str, float] = field(default_factory=lambda: {"high_sample": 0.85, "reliable_sample": 0.70, "moderate_sample": 0.45, "low_sample": 0.20, "very_low_sample": 0.10, "zero_sample": 0.0})
+    rate_weight: Mapping[str, float] = field(default_factory=lambda: {"high_sample": 0.85, "reliable_sample": 0.70, "moderate_sample": 0.35, "low_sample": 0.0, "very_low_sample": 0.0, "zero_sample": 0.0})
+    half_width: Mapping[str, float] = field(default_factory=lambda: {"high_sample": 14.0, "reliable_sample": 20.0, "moderate_sample": 26.0, "low_sample": 32.0, "very_low_sample": 36.0, "zero_sample": 40.0})
+    unknown_workload: Mapping[str, float] = field(default_factory=lambda: {"high_sample": 1.0, "reliable_sample": 1.0, "moderate_sample": 0.85, "low_sample": 0.65, "very_low_sample": 0.50, "zero_sample": 0.35})
     unknown: float = 0.75
+    unsafe_half_width: float = 38.0
+    unknown_half_width: float = 40.0
+    position_only_half_width: float = 6.0
+    no_goals_half_width: float = 3.0
+    position_only: Mapping[str, float] = field(default_factory=lambda: {"GKP": 0.35, "DEF": 0.65, "MID": 0.65, "FWD": 0.65})
     keeper_budget: float = 0.98
     keeper_price: float = 1.40
     attack: Mapping[str, float] = field(default_factory=lambda: {"GKP": 0.0, "DEF": 0.15, "MID": 0.40, "FWD": 0.50})
@@ -59,7 +64,8 @@ def project(df: DataFrame, mean_goals: float, mean_clean: float, policy: Policy
 
     `df` has position, club, price, tier, safe_prior, unknown_role, the values in ROLE and RATES and
     their `fallback_` counterparts, minutes_signal, rate_signal (prices against the position's), chance
-    (official, 0 to 1 or null), team_goals and opponent_goals (null: the league's mean). Points are
+    (official, 0 to 1 or null), team_goals and opponent_goals (null: the league's mean), and, if the fallback may be that
+    of the position alone, `position_only`: such a fallback's chances and minutes are reduced. Points are
     limited to a range; what the known parts leave of them is `other_points`, so that parts always add up.
     """
     safe = F.coalesce("safe_prior", F.lit(False))
@@ -68,6 +74,9 @@ def project(df: DataFrame, mean_goals: float, mean_clean: float, policy: Policy
     workload = F.when(unknown, F.when(safe, _of(policy.unknown_workload, "tier", policy.unknown)).otherwise(policy.unknown) * F.coalesce("minutes_signal", F.lit(1.0))).otherwise(1.0)
     by_price = F.when(unknown, F.coalesce("rate_signal", F.lit(1.0))).otherwise(1.0)
 
+    thin = F.coalesce("position_only", F.lit(False)) if "position_only" in df.columns else F.lit(False)
+    less = F.when(thin, F.coalesce(_of(policy.position_only, "position"), F.lit(1.0))).otherwise(1.0)
+    df = df.withColumns({f"fallback_{c}": F.col(f"fallback_{c}") * less for c in ("appearance", "start", "minutes")})
     out = df.withColumn("keeper_share", keeper_share(policy))
     out = out.withColumns({f"_{c}": _trusted(c, role) for c in ROLE} | {f"_{c}": _trusted(c, rate) * by_price for c in RATES})
     out = out.withColumns({f"_{c}": F.col(f"_{c}") * workload for c in ("appearance", "start", "minutes")})
@@ -96,6 +105,7 @@ def project(df: DataFrame, mean_goals: float, mean_clean: float, policy: Policy
         "bonus_points": F.col("_bonus_per_90") * share,
     }
     out = out.withColumns(parts).withColumn("other_points", F.col("points") - sum((F.col(p) for p in parts), F.lit(0.0)))
-    width = _of(policy.half_width, "tier", 40.0)
+    width = F.when(safe, _of(policy.half_width, "tier", policy.unknown_half_width)).otherwise(policy.unsafe_half_width)
+    width = width + F.when(thin, policy.position_only_half_width).otherwise(0.0) + F.when(known, 0.0).otherwise(policy.no_goals_half_width)
     out = out.withColumns({"minutes_low": clamp(F.col("expected_minutes") - width, 0.0, 90.0), "minutes_high": clamp(F.col("expected_minutes") + width, 0.0, 90.0)})
     return out.drop(*(f"_{c}" for c in (*ROLE, *RATES)), "_raw")

@@ -15,16 +15,16 @@ from tidemark.plans.registry import query
 from tidemark.sources import staging as st
 from tidemark.sources.readers import table
 
-PROJECTED = f"""{PLAYER_POINTS}, b AS (SELECT player_id, {ROLES} AS position, club, price / 1000.0::DOUBLE AS price, ['none', 'tiny', 'small', 'medium', 'large', 'full'][size % 6 + 1] AS tier, size % 7 <> 0 AS safe, size % 7 = 0 OR size % 6 < 2 AS unknown,
+PROJECTED = f"""{PLAYER_POINTS}, b AS (SELECT player_id, {ROLES} AS position, club, price / 1000.0::DOUBLE AS price, ['zero_sample', 'very_low_sample', 'low_sample', 'moderate_sample', 'reliable_sample', 'high_sample'][size % 6 + 1] AS tier, size % 7 <> 0 AS safe, size % 11 = 0 AS unscored, size % 4 = 1 AS thin, CASE WHEN size % 4 = 1 THEN CASE position WHEN 'SMALL' THEN 0.35 ELSE 0.65 END ELSE 1 END::DOUBLE AS less, size % 7 = 0 OR size % 6 < 2 AS unknown,
         least(games / 40.0::DOUBLE, 1.0) AS app, points / 101.0::DOUBLE AS p90, size / 97.0::DOUBLE AS g90, size / 193.0::DOUBLE AS a90, size / 149.0::DOUBLE AS b90, CASE WHEN size % 5 = 0 THEN 0.4::DOUBLE END AS chance,
         CASE WHEN size % 11 = 0 THEN 1.4::DOUBLE ELSE 1 + size % 3 * 0.5::DOUBLE END AS ours, CASE WHEN size % 11 = 0 THEN 1.4::DOUBLE ELSE 0.5 + size % 4 * 0.5::DOUBLE END AS theirs
         FROM player_points WHERE position IN ('SMALL', 'LARGE', 'PROMO', 'ECONOMY')),
-    w AS (SELECT *, CASE WHEN safe THEN [0.0, 0.10, 0.20, 0.45, 0.70, 0.85][list_position(['none', 'tiny', 'small', 'medium', 'large', 'full'], tier)] ELSE 0 END::DOUBLE AS rw, CASE WHEN safe THEN [0.0, 0.0, 0.0, 0.35, 0.70, 0.85][list_position(['none', 'tiny', 'small', 'medium', 'large', 'full'], tier)] ELSE 0 END::DOUBLE AS pw,
-        CASE WHEN unknown THEN 1.07 * CASE WHEN safe THEN [0.35, 0.50, 0.65, 0.85, 1.0, 1.0][list_position(['none', 'tiny', 'small', 'medium', 'large', 'full'], tier)] ELSE 0.75 END ELSE 1 END::DOUBLE AS load, CASE WHEN unknown THEN 0.95 ELSE 1 END::DOUBLE AS rs,
-        [40.0, 36.0, 32.0, 26.0, 20.0, 14.0][list_position(['none', 'tiny', 'small', 'medium', 'large', 'full'], tier)]::DOUBLE AS width,
+    w AS (SELECT *, CASE WHEN safe THEN [0.0, 0.10, 0.20, 0.45, 0.70, 0.85][list_position(['zero_sample', 'very_low_sample', 'low_sample', 'moderate_sample', 'reliable_sample', 'high_sample'], tier)] ELSE 0 END::DOUBLE AS rw, CASE WHEN safe THEN [0.0, 0.0, 0.0, 0.35, 0.70, 0.85][list_position(['zero_sample', 'very_low_sample', 'low_sample', 'moderate_sample', 'reliable_sample', 'high_sample'], tier)] ELSE 0 END::DOUBLE AS pw,
+        CASE WHEN unknown THEN 1.07 * CASE WHEN safe THEN [0.35, 0.50, 0.65, 0.85, 1.0, 1.0][list_position(['zero_sample', 'very_low_sample', 'low_sample', 'moderate_sample', 'reliable_sample', 'high_sample'], tier)] ELSE 0.75 END ELSE 1 END::DOUBLE AS load, CASE WHEN unknown THEN 0.95 ELSE 1 END::DOUBLE AS rs,
+        (CASE WHEN safe THEN [40.0, 36.0, 32.0, 26.0, 20.0, 14.0][list_position(['zero_sample', 'very_low_sample', 'low_sample', 'moderate_sample', 'reliable_sample', 'high_sample'], tier)] ELSE 38.0 END + CASE WHEN thin THEN 6 ELSE 0 END + CASE WHEN unscored THEN 3 ELSE 0 END)::DOUBLE AS width,
         greatest(1e-9, exp(1.4 * (price - max(price) OVER (PARTITION BY club, position))) * (0.65 + 0.35 * app)) AS kw FROM b),
     k AS (SELECT *, CASE WHEN position = 'GKP' THEN 0.98 * kw / sum(kw) OVER (PARTITION BY club, position) END AS share FROM w),
-    c AS (SELECT *, (rw * app + (1 - rw) * 0.5) * load AS app0, (rw * app * 0.8 + (1 - rw) * 0.4) * load AS start0, least(greatest((rw * app * 80 + (1 - rw) * 40) * load, 0), 90) AS min0 FROM k),
+    c AS (SELECT *, (rw * app + (1 - rw) * 0.5 * less) * load AS app0, (rw * app * 0.8 + (1 - rw) * 0.4 * less) * load AS start0, least(greatest((rw * app * 80 + (1 - rw) * 40 * less) * load, 0), 90) AS min0 FROM k),
     d AS (SELECT *, least(greatest(CASE WHEN position = 'GKP' THEN least(app0, share) ELSE app0 END, 0), 1) AS app1 FROM c),
     e AS (SELECT *, greatest(0, least(start0, app1)) AS start1, CASE WHEN position = 'GKP' THEN 90 * app1 ELSE min0 END AS min1, CASE WHEN chance < app1 THEN chance / app1 ELSE 1 END AS f FROM d),
     g AS (SELECT *, least(app1, coalesce(chance, app1)) AS app2, start1 * f AS start2, min1 * f AS min2, exp(-theirs) AS clean, least(greatest(ours / 1.4, 0.75), 1.25) AS atk, least(greatest(exp(-theirs) / 0.25, 0.75), 1.25) AS def,
@@ -46,12 +46,12 @@ def player_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def projected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    size, tiers = F.col("size"), F.array(*map(F.lit, ("none", "tiny", "small", "medium", "large", "full")))
+    size, tiers = F.col("size"), F.array(*map(F.lit, ("zero_sample", "very_low_sample", "low_sample", "moderate_sample", "reliable_sample", "high_sample")))
     given = lambda c: F.when(size % 11 != 0, c)
     fallback = {"appearance": 0.5, "start": 0.4, "minutes_if_playing": 70.0, "minutes": 40.0, "points_per_90": 22 / 7, "goals_per_90": 1 / 9, "assists_per_90": 1 / 11, "bonus_per_90": 1 / 7}
     appearance = F.least(F.col("games") / 40.0, F.lit(1.0))
     rows = _roles(spark, sf_dir).withColumns({
-        "price": F.col("price") / 1000.0, "tier": F.get(tiers, (size % 6).cast("int")), "safe_prior": size % 7 != 0, "unknown_role": (size % 7 == 0) | (size % 6 < 2),
+        "price": F.col("price") / 1000.0, "tier": F.get(tiers, (size % 6).cast("int")), "safe_prior": size % 7 != 0, "position_only": size % 4 == 1, "unknown_role": (size % 7 == 0) | (size % 6 < 2),
         "appearance": appearance, "start": appearance * 0.8, "minutes_if_playing": F.lit(80.0), "minutes": appearance * 80,
         "points_per_90": F.col("points") / 101.0, "goals_per_90": size / 97.0, "assists_per_90": size / 193.0, "bonus_per_90": size / 149.0,
         "minutes_signal": F.lit(1.07), "rate_signal": F.lit(0.95), "chance": F.when(size % 5 == 0, 0.4),

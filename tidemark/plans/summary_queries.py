@@ -190,7 +190,7 @@ def top_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.top_scores(grid, ["home", "away"]).select("home", "away", F.col("place").cast("long").alias("place"), "score", F.round("p", 6).alias("p"))
 
 
-@query("x26_sample_tiers", f"WITH {PLAYER_POINTS} SELECT player_id, CASE WHEN points <= 0 THEN 'none' WHEN points < 180 OR games < 3 THEN 'tiny' WHEN points < 450 OR games < 5 THEN 'small' WHEN points < 900 THEN 'medium' WHEN points < 1800 THEN 'large' ELSE 'full' END AS tier FROM player_points")
+@query("x26_sample_tiers", f"WITH {PLAYER_POINTS} SELECT player_id, CASE WHEN points <= 0 THEN 'zero_sample' WHEN points < 180 OR games < 3 THEN 'very_low_sample' WHEN points < 450 OR games < 5 THEN 'low_sample' WHEN points < 900 THEN 'moderate_sample' WHEN points < 1800 THEN 'reliable_sample' ELSE 'high_sample' END AS tier FROM player_points")
 def tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return player_points(spark, sf_dir).select("player_id", m.tier(F.col("points"), F.col("games")).alias("tier"))
 
