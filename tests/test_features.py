@@ -1,3 +1,4 @@
+import itertools
 import random
 from datetime import datetime, timedelta
 
@@ -155,3 +156,30 @@ def test_a_guarded_join_fails_where_its_side_repeats_keys(spark):
     assert one.blank and one.no_prior and one.missing_strength and one.promoted and not one.missing_price and one.mapping_status == "no_safe_accepted_mapping"
     with pytest.raises(Exception, match="right side repeats keys"):
         f.preseason_players(players, teams, *rest, ["a"], [], ["s"]).collect()
+
+
+def test_lineup_plans_against_all_plans(spark):
+    draw = random.Random(12)
+    squads = {s: [(s, 100 * k + i, pos, 4, 50, draw.choice([0, 1, 2, 5, draw.randint(0, 9)])) for i, pos in enumerate(["GKP"] * 2 + ["DEF"] * 5 + ["MID"] * 5 + ["FWD"] * 3)] for k, s in enumerate("abc")}
+    rows = [r for squad in squads.values() for r in squad]
+    got = p.lineup_plans(spark.createDataFrame(rows, "scenario string, player_id long, position string, club long, price long, points long")).toPandas()
+    for s, squad in squads.items():
+        worth, pos = {r[1]: r[5] for r in squad}, {r[1]: r[2] for r in squad}
+
+        def value(starters, captain):
+            rest = sorted((i for i in worth if i not in starters), key=lambda i: (pos[i] != "GKP", -worth[i]))
+            return sum(worth[i] for i in starters) + p.CAPTAIN_BONUS * worth[captain] + sum(w * worth[i] for w, i in zip(p.BENCH_WEIGHTS, rest))
+
+        def legal(starters):
+            return all(low <= sum(pos[i] == x for i in starters) <= high for x, (low, high) in p.FORMATION.items())
+
+        every = [c for c in itertools.combinations(worth, 11) if legal(c)]
+        best = max(value(c, max(c, key=worth.get)) for c in every)
+        plans = {k: v.set_index("player_id") for k, v in got[got["scenario"] == s].groupby("plan")}
+        assert set(plans) == {"primary", "lineup", "captaincy"} and all(len(v) == 15 for v in plans.values())
+        starters = {k: frozenset(v.index[~v["role"].str.startswith("bench")]) for k, v in plans.items()}
+        assert plans["primary"]["value"].iloc[0] == pytest.approx(best)
+        near = [value(c, max(c, key=worth.get)) for c in every if len(starters["primary"] - set(c)) == 1]
+        assert plans["lineup"]["value"].iloc[0] == pytest.approx(max(near)) and starters["lineup"] != starters["primary"] == starters["captaincy"]
+        captain = plans["primary"].index[plans["primary"]["role"] == "captain"][0]
+        assert plans["captaincy"]["value"].iloc[0] == pytest.approx(max(value(starters["primary"], i) for i in starters["primary"] if i != captain))

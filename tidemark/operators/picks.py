@@ -223,6 +223,65 @@ def lineups(squad: DataFrame, scenario: str = "scenario") -> DataFrame:
     return rows.groupBy(scenario).applyInPandas(pick, rows.withColumn("starts", F.lit(True)).schema)
 
 
+#: What the points of the bench count for (its goalkeeper, then the outfield players in order), and what the captain's count for once more.
+BENCH_WEIGHTS = (0.05, 0.12, 0.06, 0.03)
+CAPTAIN_BONUS = 1.0
+
+
+def best_plans(squad: pd.DataFrame, formation: Mapping[str, tuple[int, int]] = FORMATION, starting: int = 11, bench: Sequence[float] = BENCH_WEIGHTS, captain_bonus: float = CAPTAIN_BONUS) -> dict[str, tuple[float, list, list, object, object]]:
+    """(value, starters, bench in order, captain, vice) of the best plan of a squad, of the best with other starters and of the best with another captain.
+
+    Starters count in full, the captain once more by the bonus, the bench by its weights; no weight of the bench is above one.
+    The second plan differs from the first by one swap between bench and starters of a legal formation. Ties go to the smaller ids.
+    """
+    worth, position = dict(zip(squad["player_id"], squad["points"].astype(float))), dict(zip(squad["player_id"], squad["position"]))
+    order = sorted(worth, key=lambda i: (-worth[i], i))
+    keepers = [i for i in order if position[i] == "GKP"]
+
+    def legal(starters: Sequence) -> bool:
+        return all(low <= sum(position[i] == p for i in starters) <= high for p, (low, high) in formation.items())
+
+    def plan(starters: Sequence, captain=None) -> tuple:
+        starters = sorted(starters)
+        ranked = sorted(starters, key=lambda i: (-worth[i], i))
+        captain = ranked[0] if captain is None else captain
+        rest = [i for i in order if i not in starters]
+        seats = [next((i for i in rest if position[i] == "GKP"), None)]
+        seats = [i for i in seats if i is not None] + [i for i in rest if i not in seats]  # outfield by worth: heavier weights come first
+        value = sum(worth[i] for i in starters) + captain_bonus * worth[captain] + sum(w * worth[i] for w, i in zip(bench, seats))
+        return value, starters, seats, captain, next(i for i in ranked if i != captain)
+
+    best_first = lambda plans: min(plans, key=lambda p: (-p[0], p[1], p[2], p[3], p[4]), default=None)
+    outfield = [p for p in formation if p != "GKP"]
+    counts = [()]
+    for p in outfield:
+        counts = [(*c, n) for c in counts for n in range(formation[p][0], formation[p][1] + 1)]
+    line = {p: [i for i in order if position[i] == p] for p in outfield}
+    legal_counts = [c for c in counts if sum(c) == starting - 1 and all(len(line[p]) >= n for p, n in zip(outfield, c))]
+    first = best_first(plan([keepers[0], *(i for p, n in zip(outfield, c) for i in line[p][:n])]) for c in legal_counts) if keepers else None
+    if first is None:
+        return {}
+    _, starters, seats, captain, _ = first
+    swaps = ([*(i for i in starters if i != out), into] for out in starters for into in seats if (position[out] == "GKP") == (position[into] == "GKP"))
+    found = {"primary": first, "lineup": best_first(plan(x) for x in swaps if legal(x)), "captaincy": best_first(plan(starters, i) for i in starters if i != captain)}
+    return {k: v for k, v in found.items() if v is not None}
+
+
+def lineup_plans(squad: DataFrame, scenario: str = "scenario") -> DataFrame:
+    """The plans of each squad as rows: plan, player_id, role (captain, vice, starter, bench_1 ...) and the plan's value. A group is one squad; none legal gives no rows."""
+    rows = squad.select(scenario, "player_id", "position", F.col("points").cast("double").alias("points"))
+
+    def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for name, (value, starters, seats, captain, vice) in best_plans(pdf).items():
+            role = {i: "starter" for i in starters} | {i: f"bench_{k}" for k, i in enumerate(seats)} | {captain: "captain", vice: "vice"}
+            out += [(key[0], name, i, role[i], value) for i in role]
+        return pd.DataFrame(out, columns=[scenario, "plan", "player_id", "role", "value"])
+
+    kind = rows.schema
+    return rows.groupBy(scenario).applyInPandas(pick, f"{scenario} {kind[scenario].dataType.simpleString()}, plan string, player_id {kind['player_id'].dataType.simpleString()}, role string, value double")
+
+
 #: What the points of a role count for.
 ROLE_WEIGHTS = {"starter": 1.0, "captain": 2.0, "vice": 1.05, "bench": 0.1}
 

@@ -349,6 +349,12 @@ def best_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.lineups(p.squads(_pool(spark, sf_dir), exact=True))
 
 
+@query("r14_lineup_plans")
+def lineup_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best plan of the best squad with captain, vice and bench in order, and the two alternatives; tested against all plans."""
+    return p.lineup_plans(p.squads(_pool(spark, sf_dir), exact=True)).withColumn("value", F.round("value", 6))
+
+
 @query(
     "r10_backtest",
     f"""WITH {TEAM}, b AS (SELECT player_id FROM pool WHERE player_id % 40 = 7), a AS (SELECT player_id FROM pool WHERE player_id % 40 = 7 AND player_id % 3 <> 0 OR player_id % 200 = 1), u AS (SELECT coalesce(b.player_id, a.player_id) AS player_id, b.player_id IS NOT NULL AS was, a.player_id IS NOT NULL AS stays FROM b FULL JOIN a ON a.player_id = b.player_id) SELECT count(*) FILTER (NOT stays) AS "out", count(*) FILTER (NOT was) AS "in", CAST(coalesce(sum(points) FILTER (was), 0) AS BIGINT) AS points_before, CAST(coalesce(sum(points) FILTER (stays), 0) AS BIGINT) AS points_after, CAST(coalesce(sum(points) FILTER (stays), 0) - coalesce(sum(points) FILTER (was), 0) AS BIGINT) AS delta FROM u JOIN pool USING (player_id)""",
