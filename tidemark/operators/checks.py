@@ -70,3 +70,16 @@ def chance_rules(*chances: str, tolerance: float = 1e-5) -> dict[str, Column]:
     outside = reduce(lambda a, b: a | b, (~F.col(c).between(0, 1) for c in chances))
     nulls = reduce(lambda a, b: a + b, (F.col(c).isNull().cast("int") for c in chances))
     return {"chance_range": outside, "chance_sum": F.abs(total - 1) > tolerance, "chances_partly_null": (nulls > 0) & (nulls < len(chances))}
+
+
+def output_rules(price: str, cost: str, triple: Sequence[str], low: str, value: str, high: str) -> dict[str, Column]:
+    """A cost that is ten times the price up to rounding, three values that are all there or none, and a value within its bounds."""
+    nulls = reduce(lambda a, b: a + b, (F.col(c).isNull().cast("int") for c in triple))
+    return {"price_and_cost": F.abs(F.col(price) * 10 - F.col(cost)) > 0.51, "triple_partly_null": (nulls > 0) & (nulls < len(triple)), "outside_bounds": (F.col(value) < F.col(low)) | (F.col(value) > F.col(high))}
+
+
+def coverage(df: DataFrame, parent: DataFrame, label: str, key: str, parent_key: str, least: float) -> DataFrame:
+    """Which share of the parent's keys the table has, and whether it is enough. value is the share in per mille, rounded down."""
+    seen = parent.select(F.col(parent_key).alias("_key")).distinct().join(df.select(F.col(key).alias("_key"), F.lit(True).alias("_seen")).distinct(), "_key", "left")
+    share = seen.agg((F.count_if("_seen") / F.count("*")).alias("_share"))
+    return share.select(F.lit(f"{label}.coverage").alias("name"), F.coalesce(F.col("_share") >= least, F.lit(False)).alias("passed"), F.floor(F.coalesce("_share", F.lit(0.0)) * 1000).alias("value"))

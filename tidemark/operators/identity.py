@@ -49,6 +49,16 @@ def match_score(name_score: str | Column, position_match: Column, position_known
     return F.least(F.greatest(base, F.lit(0.0)), F.lit(1.0))
 
 
+def team_score(name_score: str | Column, same_short: Column, same_name: Column) -> tuple[Column, Column, Column]:
+    """(score, kind of match, whether it is safe to approve) of a pair of clubs: short names count most, an exact name raises the score."""
+    name = F.col(name_score) if isinstance(name_score, str) else name_score
+    short, exact = F.coalesce(same_short, F.lit(False)), F.coalesce(same_name, F.lit(False))
+    base = name * 0.35 + F.when(short, 0.65).otherwise(0.0)
+    score = F.when(short & exact, F.lit(1.0)).when(short, F.greatest(base, F.lit(0.96))).when(exact, F.greatest(base, F.lit(0.94))).otherwise(base)
+    kind = F.when(short & exact, "exact_short_name_and_exact_name").when(short, "exact_short_name").when(exact, "exact_name").otherwise("similar_name")
+    return F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), kind, short | exact
+
+
 def rank_candidates(scored: DataFrame, left_id: str, right_id: str, score: str, ambiguous_within: float = 0.03) -> DataFrame:
     """Candidates of each left record in order, the gap to the next, and whether the first is ambiguous."""
     w = Window.partitionBy(left_id).orderBy(F.desc(score), right_id)

@@ -86,6 +86,24 @@ def squad_legality(members: DataFrame, quotas: Mapping[str, int] = QUOTAS, budge
     return rows.withColumn("errors", errors).withColumn("valid", F.size("errors") == 0).drop("_quota", "_most")
 
 
+def legality_issues(members: DataFrame, quotas: Mapping[str, int] = QUOTAS, budget: int = BUDGET, per_club: int = PER_CLUB) -> DataFrame:
+    """One row for each rule that a squad breaks: squad_id, code, scope (what it is about), expected and actual as text. `members` as in squad_legality."""
+    text = lambda c: c.cast("string")
+    issue = lambda broken, code, scope, expected, actual: F.when(broken, F.struct(F.lit(code).alias("code"), text(scope).alias("scope"), text(expected).alias("expected"), text(actual).alias("actual")))
+    n = {p: F.col(f"_{p}") for p in quotas}
+    squads = members.groupBy("squad_id").agg(F.count("*").alias("_players"), F.count_distinct("player_id").alias("_distinct"), F.sum("price").alias("_price"), *(F.count_if(F.col("position") == p).alias(f"_{p}") for p in quotas))
+    size = sum(quotas.values())
+    found = [
+        issue(F.col("_players") != size, "squad_size", F.lit("squad"), F.lit(size), F.col("_players")),
+        issue(F.col("_distinct") != F.col("_players"), "duplicate_players", F.lit("squad"), F.col("_players"), F.col("_distinct")),
+        *(issue(n[p] != want, "position_quota", F.lit(p), F.lit(want), n[p]) for p, want in quotas.items()),
+        issue(F.col("_price") > budget, "budget", F.lit("squad"), F.lit(budget), F.col("_price")),
+    ]
+    whole = squads.select("squad_id", F.inline(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    clubs = members.groupBy("squad_id", "club").agg(F.count("*").alias("_n")).where(F.col("_n") > per_club)
+    return whole.unionByName(clubs.select("squad_id", F.lit("club_limit").alias("code"), text(F.col("club")).alias("scope"), F.lit(str(per_club)).alias("expected"), text(F.col("_n")).alias("actual")))
+
+
 def lineup_legality(lines: DataFrame, formation: Mapping[str, tuple[int, int]] = FORMATION, starting: int = STARTING, bench: int = 4) -> DataFrame:
     """Each line-up and the rules that it breaks. `lines` has squad_id, player_id, position, starts, captain, vice."""
     starts = F.col("starts")

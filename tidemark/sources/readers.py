@@ -50,6 +50,11 @@ def resolve_aliases(df: DataFrame, aliases: Mapping[str, Sequence[str]], optiona
     return df.select(*out)
 
 
+def null_filled(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
+    """`df` with a null column of the given type for each name that it lacks, so that what follows need not ask."""
+    return df.withColumns({name: F.lit(None).cast(kind) for name, kind in columns.items() if name not in df.columns})
+
+
 def table_columns(spark: SparkSession, name: str) -> list[str]:
     """The columns of a table or view of the catalog, in order; none if it is not there."""
     return [c.name for c in spark.catalog.listColumns(name)] if spark.catalog.tableExists(name) else []
