@@ -136,3 +136,25 @@ def test_queries_and_stages_over_nothing_to_work_on(spark, tmp_path, texts):
         n = stage(spark, docs, str(tmp_path)).count()
         assert n == want.get(name, len(texts) if words else 0), name  # a source without words is no part of a mix
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_very_long_texts_and_many_sources(spark):
+    """A text of 400,000 words, a URL of a megabyte, and 300 sources of which one holds a third of all rows."""
+    from tidemark.llm import mixing, simhash, url_filter
+
+    draw = random.Random(4)
+    long = " ".join(f"w{draw.randrange(5000)}" for _ in range(400_000))
+    texts = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short text")], "doc_id long, text string")
+    got = {r.doc_id: (int(r.fingerprint, 16), r.component_id) for r in simhash.near_components(texts).collect()}
+    assert got[1][0] == brute_code(long, 3) and got[2][1] == got[1][1] == 1 and got[3][1] == 3
+    urls = spark.createDataFrame([(1, "http://casino." + "a" * 1_000_000 + ".example/x"), (2, "http://a.example/" + "b/" * 500_000)], "page_id long, url string")
+    assert {r.page_id: (len(r.host), len(r.path)) for r in url_filter.judge(urls, q.URL_RULES, url_filter.default_model(spark)).collect()} == {1: (1_000_015, 2), 2: (9, 1_000_001)}
+    rows = [(i, " ".join("w" * draw.randint(1, 60)), "hot" if i % 3 == 0 else f"s{i % 299:03}") for i in range(6000)]
+    mixed = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), bucket=200).collect()
+    size, taken, target, largest = Counter(), Counter(), {}, Counter()
+    source = {i: s for i, _, s in rows}
+    for r in mixed:
+        s = source[r.doc_id]
+        size[s], taken[s], target[s], largest[s] = size[s] + r.size, taken[s] + r.taken, r.target, max(largest[s], r.size)
+    assert len(target) == 300 and sum(target.values()) == pytest.approx(sum(size.values()))
+    assert all(abs(taken[s] - target[s]) <= largest[s] for s in target)
