@@ -49,17 +49,22 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-_made: list[str] = []
+#: The working tables of the stage before, by application.
+_made: dict[str, list[str]] = {}
+
+
+def drop_working_tables(spark: SparkSession) -> None:
+    sweep(spark, _made.pop(spark.sparkContext.applicationId, []))
 
 
 def _stage(work):
     """The stage, after the working tables of the one before it, whose result is stored by now, are dropped."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        sweep(spark, _made)
+        drop_working_tables(spark)
         before = set(tables())
         out = work(spark, docs, sf_dir)
-        _made[:] = [t for t in tables() if t not in before]
+        _made[spark.sparkContext.applicationId] = [t for t in tables() if t not in before]
         return out
 
     return run_stage
@@ -84,5 +89,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
-    sweep(spark, _made)
+    drop_working_tables(spark)
     return docs
