@@ -183,3 +183,35 @@ def test_lineup_plans_against_all_plans(spark):
         assert plans["lineup"]["value"].iloc[0] == pytest.approx(max(near)) and starters["lineup"] != starters["primary"] == starters["captaincy"]
         captain = plans["primary"].index[plans["primary"]["role"] == "captain"][0]
         assert plans["captaincy"]["value"].iloc[0] == pytest.approx(max(value(starters["primary"], i) for i in starters["primary"] if i != captain))
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_role_squads_against_all_squads(seed):
+    draw = random.Random(seed)
+    quotas, formation, bench = {"GKP": 2, "DEF": 3, "MID": 2, "FWD": 1}, {"GKP": (1, 1), "DEF": (1, 2), "MID": (1, 2), "FWD": (1, 1)}, (0.05, 0.3, 0.1)
+    sizes = {"GKP": 3, "DEF": 5, "MID": 4, "FWD": 3}
+    rows = [(i, pos, draw.randint(1, 5), draw.randint(3, 9), draw.randint(0, 12), draw.choice([0.0, 0.5, 1.0])) for i, pos in enumerate(p_ for p_, n in sizes.items() for _ in range(n))]
+    pdf = pd.DataFrame(rows, columns=["player_id", "position", "club", "price", "points", "risk"])
+    worth, pos = dict(zip(pdf["player_id"], pdf["points"])), dict(zip(pdf["player_id"], pdf["position"]))
+    caps = [p.Caps(), p.Caps(bench_cost=16), p.Caps(overlaps=((frozenset(range(0, 15, 2)), 3),)), p.Caps(risk=3.0)][seed % 4]
+
+    def best_value(squad):
+        found = float("-inf")
+        for c in itertools.combinations(squad, 5):
+            rest = sorted((i for i in squad if i not in c), key=lambda i: (pos[i] != "GKP", -worth[i]))
+            legal = all(low <= sum(pos[i] == x for i in c) <= high for x, (low, high) in formation.items())
+            cheap = caps.bench_cost is None or pdf[pdf["player_id"].isin(rest)]["price"].sum() <= caps.bench_cost
+            if legal and cheap:
+                found = max(found, sum(worth[i] for i in c) + max(worth[i] for i in c) + sum(w * worth[i] for w, i in zip(bench, rest)))
+        return found
+
+    want = float("-inf")
+    for parts in itertools.product(*(itertools.combinations(pdf[pdf["position"] == x]["player_id"], n) for x, n in quotas.items())):
+        squad = [i for part in parts for i in part]
+        mine = pdf[pdf["player_id"].isin(squad)]
+        if mine["price"].sum() > 48 or mine["club"].value_counts().max() > 2 or any(len(ids & set(squad)) > most for ids, most in caps.overlaps) or (caps.risk is not None and mine["risk"].sum() > caps.risk):
+            continue
+        want = max(want, best_value(squad))
+    roles, value, proved = p.role_squad(pdf, quotas, formation, 48, 2, bench, 1.0, caps, starting=5)
+    assert proved and (value == pytest.approx(want) if want > float("-inf") else not roles)
+    assert not roles or (len(roles) == 8 and sorted(roles.values()).count("captain") == 1)

@@ -8,7 +8,9 @@ is left of a club is a few players, however many it has.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from functools import reduce
+from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -267,6 +269,131 @@ def best_plans(squad: pd.DataFrame, formation: Mapping[str, tuple[int, int]] = F
     return {k: v for k, v in found.items() if v is not None}
 
 
+@dataclass(frozen=True)
+class Caps:
+    """Further limits on a squad: what its bench may cost, how many of some players it may share, what its players' risks may add up to. None: no limit."""
+
+    bench_cost: int | None = None
+    overlaps: tuple[tuple[frozenset, int], ...] = ()
+    risk: float | None = None
+
+
+def _role_sets(quotas: Mapping[str, int], formation: Mapping[str, tuple[int, int]], starting: int, bench: Sequence[float]) -> list[dict[str, tuple]]:
+    """For each count of starters by position and each way to give the seats of the bench to positions: the roles of each position as (weight, name), heaviest first."""
+    counts: list[dict] = [{}]
+    for p, (low, high) in formation.items():
+        counts = [c | {p: n} for c in counts for n in range(low, min(high, quotas[p]) + 1)]
+    out = []
+    for starts in (c for c in counts if sum(c.values()) == starting):
+        seats = [(w, f"bench_{k}") for k, w in enumerate(bench)]
+        keepers, rest = quotas["GKP"] - starts["GKP"], [p for p in quotas if p != "GKP" for _ in range(quotas[p] - starts[p])]
+        for given in sorted(set(permutations(rest))):
+            mine = {p: [(1.0, "starter")] * starts[p] for p in quotas}
+            mine["GKP"] += seats[:keepers]
+            for p, seat in zip(given, seats[keepers:]):
+                mine[p].append(seat)
+            out.append({p: tuple(r) for p, r in mine.items()})
+    return out
+
+
+def role_squad(pool: pd.DataFrame, quotas: Mapping[str, int] = QUOTAS, formation: Mapping[str, tuple[int, int]] = FORMATION, budget: int = BUDGET, per_club: int = PER_CLUB, bench: Sequence[float] = BENCH_WEIGHTS, captain_bonus: float = CAPTAIN_BONUS, caps: Caps = Caps(), starting: int = 11, steps: int = 2_000_000) -> tuple[dict, float, bool]:
+    """The squad whose best plan is worth most: (role of each player, value, whether the search has proved it). No players if none is legal.
+
+    Starters count in full, the captain once more by the bonus, the bench by its weights, which fall from seat to seat and are one at most.
+    Branch and bound over positions, and in each over players from the most points down, who take the heaviest role that is
+    open (any open role where the bench's cost is capped) or stay out. What the rest of a position can add at most is
+    tabulated: clubs and caps are left out of it, and prices charged with the multiplier that makes the bound lowest at the
+    root. After `steps` nodes the best so far is returned as not proved.
+    """
+    rows = sorted(pool.to_dict("records"), key=lambda r: (-r["points"], r["price"], r["player_id"]))
+    names = list(quotas)
+    line = {p: [r | {"points": float(r["points"]), "price": int(r["price"]), "risk": float(r.get("risk") or 0.0)} for r in rows if r["position"] == p] for p in names}
+    if any(len(line[p]) < quotas[p] for p in names):
+        return {}, float("-inf"), True
+    sets = _role_sets(quotas, formation, starting, bench)
+
+    def rest_of(p: str, roles: tuple, m: float) -> list[list[float]]:
+        """[i][k]: the most that players from i on can add to roles[k:], price charged."""
+        table = [[float("-inf")] * len(roles) + [0.0]]
+        for r in reversed(line[p]):
+            below = table[-1]
+            table.append([max(below[k], w * r["points"] - m * r["price"] + below[k + 1]) for k, (w, _) in enumerate(roles)] + [0.0])
+        return table[::-1]
+
+    def root(m: float, roles: dict) -> float:
+        return m * budget + sum(rest_of(p, roles[p], m)[0][0] for p in names)
+
+    low, high = 0.0, max((r["points"] / max(r["price"], 1) for own in line.values() for r in own), default=0.0) + 1
+    for _ in range(30):  # the bound is convex in the multiplier, and holds for each
+        a, b = low + (high - low) / 3, high - (high - low) / 3
+        low, high = (low, b) if root(a, sets[0]) <= root(b, sets[0]) else (a, high)
+    m, tables, best, chosen_best, nodes, proved = (low + high) / 2, {}, float("-inf"), (), 0, True
+
+    def most(p: str, roles: tuple, i: int) -> float:
+        if (p, roles) not in tables:
+            tables[p, roles] = [x[0] for x in rest_of(p, roles, m)]
+        return tables[p, roles][i]
+
+    for roles in sorted(sets, key=lambda x: -root(m, x)):
+        after = [0.0] * (len(names) + 1)
+        for k in range(len(names) - 1, -1, -1):
+            after[k] = after[k + 1] + most(names[k], roles[names[k]], 0)
+        leader = [max((line[p][0]["points"] for p in names[k:]), default=0.0) for k in range(len(names))] + [float("-inf")]
+        stack: list[tuple] = [(0, 0, roles[names[0]], budget, 0.0, float("-inf"), ())]
+        while stack:
+            nodes += 1
+            if nodes > steps:
+                proved = False
+                break
+            at, i, left_roles, left, value, captain, chosen = stack.pop()
+            if not left_roles:
+                if at + 1 == len(names):
+                    if value + captain_bonus * captain > best + 1e-9:
+                        best, chosen_best = value + captain_bonus * captain, chosen
+                    continue
+                at, i = at + 1, 0
+                left_roles = roles[names[at]]
+            own = line[names[at]]
+            here = own[i]["points"] if i < len(own) and left_roles[0][1] == "starter" else float("-inf")
+            bound = value + m * left + most(names[at], left_roles, i) + after[at + 1] + captain_bonus * max(captain, here, leader[at + 1])
+            if i >= len(own) or bound <= best + 1e-9:
+                continue
+            r = own[i]
+            stack.append((at, i + 1, left_roles, left, value, captain, chosen))
+            taken = [x for x, _ in chosen]
+            fits = r["price"] <= left and sum(x["club"] == r["club"] for x in taken) < per_club and (caps.risk is None or sum(x["risk"] for x in taken) + r["risk"] <= caps.risk + 1e-9)
+            fits = fits and all(r["player_id"] not in ids or sum(x["player_id"] in ids for x in taken) < n for ids, n in caps.overlaps)
+            open_ = range(1) if caps.bench_cost is None else [k for k in range(len(left_roles)) if k == 0 or left_roles[k] != left_roles[k - 1]]
+            for k in reversed(open_) if fits else ():
+                weight, role = left_roles[k]
+                if role != "starter" and caps.bench_cost is not None and sum(x["price"] for x, y in chosen if y != "starter") + r["price"] > caps.bench_cost:
+                    continue
+                best_starter = max(captain, r["points"]) if role == "starter" else captain
+                stack.append((at, i + 1, (*left_roles[:k], *left_roles[k + 1 :]), left - r["price"], value + weight * r["points"], best_starter, (*chosen, (r, role))))
+    roles_of = {r["player_id"]: role for r, role in chosen_best}
+    ranked = sorted((r for r, role in chosen_best if role == "starter"), key=lambda r: (-r["points"], r["player_id"]))
+    return roles_of | {r["player_id"]: name for r, name in zip(ranked, ("captain", "vice"))}, best, proved
+
+
+def role_squads(pool: DataFrame, quotas: Mapping[str, int] = QUOTAS, budget: int = BUDGET, per_club: int = PER_CLUB, caps: Caps = Caps()) -> DataFrame:
+    """player_id, role, value and proved of the squad of each scenario whose best plan is worth most. `pool` as in `squads`, and risk where it is capped.
+
+    Without a cap on overlap or risk the candidates are pruned in Spark first; those caps forbid it, as a player who is beaten may be the one they allow.
+    """
+    quotas, risky = dict(quotas), caps.risk is not None
+    columns = ["scenario", "player_id", "position", "club", "price", "points", *(["risk"] if risky else [])]
+    rows = pool.select(*columns)
+    rows = rows if risky or caps.overlaps else candidates(rows, per_club=per_club)
+    rows = rows.withColumns({"price": F.col("price").cast("long"), "points": F.col("points").cast("double")})
+
+    def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        roles, value, proved = role_squad(pdf, quotas, FORMATION, budget, per_club, caps=caps)
+        return pd.DataFrame([(key[0], i, role, value, proved) for i, role in roles.items()], columns=["scenario", "player_id", "role", "value", "proved"])
+
+    kind = rows.schema
+    return rows.groupBy("scenario").applyInPandas(pick, f"scenario {kind['scenario'].dataType.simpleString()}, player_id {kind['player_id'].dataType.simpleString()}, role string, value double, proved boolean")
+
+
 def lineup_plans(squad: DataFrame, scenario: str = "scenario") -> DataFrame:
     """The plans of each squad as rows: plan, player_id, role (captain, vice, starter, bench_1 ...) and the plan's value. A group is one squad; none legal gives no rows."""
     rows = squad.select(scenario, "player_id", "position", F.col("points").cast("double").alias("points"))

@@ -349,6 +349,12 @@ def best_lineup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.lineups(p.squads(_pool(spark, sf_dir), exact=True))
 
 
+@query("r11_role_squad")
+def role_squad(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The squad whose best plan is worth most, with every player's role, under a limit on what the bench may cost."""
+    return p.role_squads(_pool(spark, sf_dir), caps=p.Caps(bench_cost=240)).withColumn("value", F.round("value", 6))
+
+
 @query("r14_lineup_plans")
 def lineup_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best plan of the best squad with captain, vice and bench in order, and the two alternatives; tested against all plans."""
