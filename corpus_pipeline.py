@@ -19,6 +19,8 @@ from tidemark.llm.queries import held_out
 #: The calibrated share of its language under which a text counts as not told.
 MIN_SCORE = 0.6
 VOCABULARY = "word_bpe_49k.json"
+#: Rows of a batch that goes to a Python worker: texts can be long, and the JVM and the worker both hold a batch.
+BATCH_ROWS = 2048
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +60,11 @@ def drop_working_tables(spark: SparkSession) -> None:
 
 
 def _stage(work):
-    """The stage, after the working tables of the one before it, whose result is stored by now, are dropped."""
+    """The stage, after the working tables of the one before it, whose result is stored by now, are dropped. It sets the session's Arrow batches to BATCH_ROWS."""
 
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         drop_working_tables(spark)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
         before = set(tables())
         out = work(spark, docs, sf_dir)
         _made[spark.sparkContext.applicationId] = [t for t in tables() if t not in before]
