@@ -26,7 +26,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, filterfalse
 from pathlib import Path
 
 import numpy as np
@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.bpe import byte_symbols
 from tidemark.llm.common import cut, partitions
 from tidemark.llm.pretokens import WIDE, plain
 
@@ -44,12 +45,12 @@ MAGIC = b"TIDEIDS1"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
 KNOWN = 400_000
-NEW_AT_ONCE = 10_000
 #: Texts that are split at once.
-TEXTS_AT_ONCE = 1024
+TEXTS_AT_ONCE = 256
 #: Fixed value: the pattern of byte-level vocabularies.
 PRE_TOKEN = plain(r"'(?:[stmd]|re|ve|ll)| ?[\p{L}]+| ?[\p{N}]+| ?[^\s\p{L}\p{N}]+|[\s]+(?![^\s])|[\s]+")
 BYTES_AT_ONCE = 8 << 20
+BYTE_SYMBOLS = {b: s for b, s in enumerate(byte_symbols())}
 
 
 # Planes
@@ -158,8 +159,8 @@ class Encoder:
     """Whole texts to packed ids with the tokenizers library.
 
     A byte-level vocabulary encodes each pre-token by itself. Texts are split with the same pattern, and
-    the library is given each distinct pre-token once; a worker keeps the ids of those it has met in a
-    bounded table. Texts with special tokens, or with characters beyond U+024F, go to the library whole.
+    the library's model is given each distinct pre-token once, as the symbols of its bytes; a worker keeps the ids
+    of those it has met in a bounded table. Texts with special tokens, or with characters beyond U+024F, go to the library whole.
     """
 
     def __init__(self, spec: str):
@@ -169,6 +170,7 @@ class Encoder:
         self._tokenizer = Tokenizer.from_str(spec)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
+        self._model = self._tokenizer.model
         self._special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, bytes] = {}
         self._before: dict[str, bytes] = {}  # the table before it was full: what recurs moves over
@@ -179,18 +181,15 @@ class Encoder:
 
     def _learn(self, texts: list[list[str] | None]) -> None:
         needed = set(chain.from_iterable(filter(None, texts)))
-        new = needed - self._known.keys()
+        new = list(filterfalse(self._known.__contains__, needed))  # set operations with a dict's keys would go through all of it
         if len(self._known) + len(new) > KNOWN:
             self._before, self._known, new = self._known, {}, needed
-        again = new & self._before.keys()
-        self._known.update((x, self._before[x]) for x in again)
-        new = list(new - again)
-        for i in range(0, len(new), NEW_AT_ONCE):
-            some = new[i : i + NEW_AT_ONCE]
-            found = self._tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            data = np.array(found.ids, "<u4").tobytes()
-            ends = (4 * np.cumsum(np.bincount(found.word_ids, minlength=len(some)))).tolist()
-            self._known.update(zip(some, (data[a:b] for a, b in zip([0, *ends], ends))))
+        for x in new:
+            ids = self._before.get(x)
+            if ids is None:
+                tokens = self._model.tokenize(x.encode().decode("latin-1").translate(BYTE_SYMBOLS))
+                ids = packed([t.id for t in tokens])
+            self._known[x] = ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self._pieces(t) for t in texts]
