@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import map_arrow
 from tidemark.llm.pretokens import WIDE
-from tidemark.llm.token_store import PRE_TOKEN
+from tidemark.llm.token_store import BYTE_SYMBOLS, PRE_TOKEN
 
 LEAF = 32
 KNOWN = 250_000
-NEW_AT_ONCE = 10_000
 
 Edit = tuple[int, int, str]
 
@@ -47,6 +46,7 @@ class Counter:
         self._tokenizer = Tokenizer.from_str(spec)
         self._tokenizer.no_padding()
         self._tokenizer.no_truncation()
+        self._model = self._tokenizer.model
         self.special = [t.content for t in self._tokenizer.get_added_tokens_decoder().values()]
         self._known: dict[str, int] = {}
         self._before: dict[str, int] = {}
@@ -72,14 +72,11 @@ class Counter:
         new = {x for x in needed if x not in self._known}
         if len(self._known) + len(new) > KNOWN:
             self._before, self._known, new = self._known, {}, needed
-        again = new & self._before.keys()
+        again = set(filter(self._before.__contains__, new))
         self._known.update((x, self._before[x]) for x in again)
-        rest = [x for x in new - again if x not in self.special]
         self._known.update(dict.fromkeys(self.special, 1))
-        for i in range(0, len(rest), NEW_AT_ONCE):
-            some = rest[i : i + NEW_AT_ONCE]
-            found = self._tokenizer.encode(some, is_pretokenized=True, add_special_tokens=False)
-            self._known.update(zip(some, np.bincount(np.array(found.word_ids, np.int64), minlength=len(some)).tolist()))
+        for x in (new - again).difference(self.special):
+            self._known[x] = len(self._model.tokenize(x.encode().decode("latin-1").translate(BYTE_SYMBOLS)))
 
     def counts(self, pieces: Sequence[str]) -> np.ndarray:
         return np.fromiter(map(self._known.__getitem__, pieces), np.int64, len(pieces))
