@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
-_tables: list[tuple[SparkSession, str]] = []
+_tables: list[tuple[SparkSession, str, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A new path in the shared folder, dropped by `sweep`."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _tables.append((spark, path))
+    _tables.append((spark, path, ""))
     return path
 
 
@@ -48,15 +48,25 @@ def cut(df: DataFrame, label: str = "cut") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str, label: str = "bucketed") -> DataFrame:
+    """Like `cut`, but stored in buckets of `key`, as many as the shuffle is wide: what groups or joins by `key` later reads it without an exchange."""
+    path, name = new_path(df.sparkSession, label), f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(partitions(df.sparkSession), key).option("path", path).saveAsTable(name)
+    _tables[-1] = (df.sparkSession, path, name)
+    return df.sparkSession.table(name)
+
+
 def tables() -> list[str]:
-    """The paths that `cut` and `new_path` have given out and `sweep` has not dropped."""
-    return [path for _, path in _tables]
+    """The paths that `cut`, `bucketed` and `new_path` have given out and `sweep` has not dropped."""
+    return [path for _, path, _ in _tables]
 
 
 def sweep(spark: SparkSession, paths: Iterable[str] | None = None) -> None:
     """Delete what `cut` has written in this session, or the given paths of it. Call it once the results that depend on them are stored."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for entry in [x for x in _tables if x[0] is spark and (paths is None or x[1] in set(paths))]:
+        if entry[2]:
+            spark.sql(f"DROP TABLE IF EXISTS {entry[2]}")
         where = jvm.org.apache.hadoop.fs.Path(entry[1])
         where.getFileSystem(conf).delete(where, True)
         _tables.remove(entry)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, langid, mixing, simhash, substring_dedup, token_counts, token_store, url_filter
+from tidemark.llm import ann, bpe, exact_dedup, katz, langid, mixing, simhash, substring_dedup, token_counts, token_store, url_filter
 from tidemark.llm.common import new_path
 
 
@@ -101,6 +101,14 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability by a model of those whose crc32 of the id as text does not leave 2 when divided by 7."""
+    docs = spread(documents(spark, sf_dir))
+    apart = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    model = katz.katz(docs, ~apart)
+    return model.scores.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(model.stats[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -112,6 +120,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
     "op10_nearest": op10_nearest,
+    "op12_katz": op12_katz,
 }
 
 ORACLES: dict[str, str] = {
