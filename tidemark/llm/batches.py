@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import partitions
 
-#: Bytes of text of a batch; a longer text is a batch of its own.
-BATCH_BYTES = 32 << 20
 #: Characters of the corpus for each bucket.
 BUCKET_CHARS = 8 << 20
 #: The number of a batch: its partition, then its place there.
@@ -41,6 +39,16 @@ def unpack(data: bytes, dtype=np.int64) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(8, -1).T).view(dtype).ravel()
 
 
+def pack_places(places: np.ndarray) -> bytes:
+    """Numbers below 2 to the 32, as by `pack`."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(places.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def unpack_places(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
 def scattered(values: np.ndarray) -> np.ndarray:
     """A hash of each number."""
     x = values.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
@@ -53,8 +61,8 @@ def buckets_for(docs: DataFrame, text_col: str) -> int:
     return max(partitions(docs.sparkSession), -(-chars // BUCKET_CHARS))
 
 
-def in_batches(rows: Iterable[pa.RecordBatch], limit: int = BATCH_BYTES) -> Iterator[tuple[int, Iterator[tuple]]]:
-    """The number of each batch and its rows, as tuples of Python values; the last column is the text. Rows of a batch are to be read before the next one."""
+def in_batches(rows: Iterable[pa.RecordBatch], limit: int) -> Iterator[tuple[int, Iterator[tuple]]]:
+    """The number of each batch and its rows, as tuples of Python values; the last column is the text. A batch ends with the text that reaches `limit` characters. Its rows are to be read before the next one."""
     part, place, held = TaskContext.get().partitionId() << PLACE_BITS, 0, None
     stream = (row for batch in rows for start in range(0, batch.num_rows, 1024) for row in zip(*(c.to_pylist() for c in batch.slice(start, 1024).columns)))
 

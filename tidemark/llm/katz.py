@@ -35,12 +35,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidemark.llm.batches import BATCH_BYTES, answered, buckets_for, in_batches, pack, scattered, unpack
+from tidemark.llm.batches import answered, buckets_for, in_batches, pack, pack_places, scattered, unpack, unpack_places
 from tidemark.llm.common import bucketed, cut
 
 ORDER = 2
 #: Counts up to this are discounted.
 CUTOFF = 5
+#: Bytes of text of a batch: its n-grams are sorted in the memory of one worker.
+BATCH_BYTES = 32 << 20
 #: The training tokens of a history that stay in one bucket, and how many histories may be dealt over more at most.
 WHOLE_HISTORY = 1 << 20
 SPLIT_HISTORIES = 1 << 17
@@ -109,15 +111,6 @@ class _Slots(dict):
         return slot
 
 
-def _planes(tokens: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(tokens.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-
-
-def _tokens(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return np.ascontiguousarray(planes.reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
-
-
 def _read(buckets: int, limit: int, id_type: pa.DataType):
     """Documents as slots of the batch's words, and the words of the batch by bucket. Slot 0 is the end of a text, which no word equals."""
     docs = pa.schema([("batch", pa.int64()), ("id", id_type), ("learns", pa.bool_()), ("n_tokens", pa.int64()), ("tokens", pa.binary()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ("words", "counts", "slots"))])
@@ -130,7 +123,7 @@ def _read(buckets: int, limit: int, id_type: pa.DataType):
                 tokens = np.array([*found, 0], np.int64)
                 if learns:
                     learnt.append(tokens.astype(np.int32))
-                out.append({"batch": number, "id": doc, "learns": bool(learns), "n_tokens": len(tokens), "tokens": _planes(tokens)})
+                out.append({"batch": number, "id": doc, "learns": bool(learns), "n_tokens": len(tokens), "tokens": pack_places(tokens)})
                 if len(out) == 1024:
                     yield pa.RecordBatch.from_pylist(out, docs)
                     out = []
@@ -152,7 +145,7 @@ class _Batch:
     def __init__(self, docs: pa.Table, answers: pa.Table, stats: list[Stats], split: list[dict]):
         self.ids, self.learns = docs["id"], np.array(docs["learns"].to_pylist(), bool)
         self.lengths = np.array(docs["n_tokens"].to_pylist(), np.int64)
-        self.tokens = np.concatenate([_tokens(t) for t in docs["tokens"].to_pylist()])
+        self.tokens = np.concatenate([unpack_places(t) for t in docs["tokens"].to_pylist()])
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.at = np.arange(len(self.tokens)) - np.repeat(self.starts, self.lengths)  # the place in the text
         self._answers = defaultdict(list)

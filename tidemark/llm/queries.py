@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import ann, bpe, exact_dedup, katz, langid, mixing, simhash, substring_dedup, token_counts, token_store, url_filter
+from tidemark.llm import alignment, ann, bpe, exact_dedup, katz, langid, mixing, simhash, substring_dedup, token_counts, token_store, url_filter
 from tidemark.llm.common import new_path
 
 
@@ -101,6 +101,11 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0, k=20)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.align(spread(documents(spark, sf_dir)), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), links="ends")
+    return found.documents.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability by a model of those whose crc32 of the id as text does not leave 2 when divided by 7."""
     docs = spread(documents(spark, sf_dir))
@@ -120,6 +125,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_store": op8_token_store,
     "op9_url_filter": op9_url_filter,
     "op10_nearest": op10_nearest,
+    "op11_alignment": op11_alignment,
     "op12_katz": op12_katz,
 }
 
