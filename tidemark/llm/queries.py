@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import alignment, ann, bpe, exact_dedup, katz, langid, mixing, simhash, substring_dedup, token_counts, token_store, url_filter
+from tidemark.llm import alignment, ann, bpe, exact_dedup, katz, langid, mixing, resample, simhash, substring_dedup, token_counts, token_store, url_filter
 from tidemark.llm.common import new_path
 
 
@@ -114,6 +114,10 @@ def op12_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.scores.select("doc_id", apart.alias("held_out"), "n_tokens", "n_known", F.lit(model.stats[0].tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(spread(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), percent=10, least_words=20, longest=1, buckets=10_000, seed=2024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_simhash": op2_simhash,
@@ -127,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_nearest": op10_nearest,
     "op11_alignment": op11_alignment,
     "op12_katz": op12_katz,
+    "op13_resample": op13_resample,
 }
 
 ORACLES: dict[str, str] = {
