@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -105,6 +106,7 @@ def test_nothing_to_align(spark, texts):
     assert len(got) == len(texts) and all(r.total == 0 and r.groups_sha256 == "" for r in got)
 
 
-def test_components_by_union_find():
-    assert alignment.components([2, 3, 7, 9], [1, 3, 8, 9]) == [([0, 1], [0, 1]), ([2, 3], [2, 3])]
-    assert alignment.components([4], [1, 2, 4]) == [([0], [0, 1, 2])]
+@pytest.mark.parametrize("ends_a,ends_b,want", [([2, 3, 7, 9], [1, 3, 8, 9], [0, 0, 2, 2, 0, 0, 2, 2]), ([4], [1, 2, 4], [0] * 4), ([1, 2, 3], [1, 2, 3], [0, 1, 2, 0, 1, 2])])
+def test_components_by_union_find(ends_a, ends_b, want):
+    left, right = alignment.overlaps(np.array(ends_a), np.array(ends_b))
+    assert alignment.components(len(ends_a) + len(ends_b), left, right + len(ends_a)).tolist() == want

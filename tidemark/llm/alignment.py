@@ -6,8 +6,7 @@ one side that cover just the bytes of some tokens of the other. The members of a
 how often two ids are linked is counted over the corpus (see `batches`).
 
 Texts are cut where both tokenizers cut for certain, before the space of a word, so each different word with its space
-is encoded and aligned once in a batch and kept by the worker in a bounded table. Where a vocabulary does not promise such cuts
-the text is aligned whole.
+is encoded and aligned once in a batch. Where a vocabulary does not promise such cuts the text is aligned whole.
 """
 
 from __future__ import annotations
@@ -31,11 +30,10 @@ from tidemark.llm.batches import answered, buckets_for, in_batches, pack, pack_p
 from tidemark.llm.bpe import byte_symbols
 from tidemark.llm.common import cut
 
-#: Bytes of text of a batch, and words kept by a worker.
-BATCH_BYTES = 16 << 20
-KNOWN = 200_000
-#: Words of more characters are not kept.
-LONG_WORD = 64
+#: Bytes of text of a batch, pieces that are encoded as one text, and such texts at once.
+BATCH_BYTES = 8 << 20
+RUN = 256
+RUNS_AT_ONCE = 64
 #: What B writes for a space.
 SPACE = "▁"
 #: Before this space both sides cut: it follows no other space and stands before something else than white space.
@@ -50,14 +48,13 @@ _ANSWERS = pa.schema([("kind", pa.string()), ("batch", pa.int64()), ("bucket", p
 
 
 class Aligned(NamedTuple):
-    """A piece of text: its tokens of both sides, groups as text, links as a << 32 | b. ok: both sides give the piece's bytes."""
+    """Pieces of text: place (where each piece is in what follows), ok (both sides give its bytes), counts (n_a, n_b, n_groups and links of each), groups as text, and the links (a << 32 | b) one piece after another."""
 
-    ok: bool
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: str
-    links: tuple[int, ...]
+    place: np.ndarray
+    ok: np.ndarray
+    counts: np.ndarray
+    groups: list[str]
+    links: np.ndarray
 
 
 class Alignment(NamedTuple):
@@ -66,37 +63,24 @@ class Alignment(NamedTuple):
     answers: DataFrame
 
 
-def components(ends_a: list[int], ends_b: list[int]) -> list[tuple[list[int], list[int]]]:
-    """The components of the graph of overlapping tokens, in order: the places of their members on both sides.
+def overlaps(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edges of the graph: pairs of tokens that share a byte. Tokens are given by where they end, each starts where the one before it ends."""
+    first = np.searchsorted(ends_b, np.append(0, ends_a[:-1]), "right")
+    n = np.searchsorted(ends_b, ends_a, "left") - first + 1
+    of_a = np.repeat(np.arange(len(ends_a)), n)
+    return of_a, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[of_a]
 
-    Tokens are given by where they end; each starts where the one before it ends.
-    """
-    parent = list(range(len(ends_a) + len(ends_b)))
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for i, j in overlaps(ends_a, ends_b):
-        x, y = find(i), find(len(ends_a) + j)
-        parent[max(x, y)] = min(x, y)
-    members: dict[int, tuple[list[int], list[int]]] = {}
-    for i in range(len(ends_a)):
-        members.setdefault(find(i), ([], []))[0].append(i)
-    for j in range(len(ends_b)):
-        members[find(len(ends_a) + j)][1].append(j)
-    return list(members.values())
-
-
-def overlaps(ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
-    """The pairs of tokens that share a byte."""
-    i = j = 0
-    while i < len(ends_a) and j < len(ends_b):
-        yield i, j
-        x, y = ends_a[i], ends_b[j]
-        i += x <= y
-        j += y <= x
+
+def components(nodes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The smallest member of each node's component, by union-find over all edges at once: roots that an edge joins are hooked to the smaller one, then every path is halved until it is short."""
+    root = np.arange(nodes)
+    while True:
+        x, y = root[left], root[right]
+        if (x == y).all():
+            return root
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while ((up := root[root]) != root).any():
+            root = up
 
 
 class Aligner:
@@ -124,46 +108,72 @@ class Aligner:
         sure_a = before["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
         sure_b = rules.name == "identity" and rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces
         self.sure = bool(sure_a and sure_b and not any(SPACE in p.lstrip(SPACE) for p in pieces))
-        self._known: dict[str, Aligned] = {}
+        self._size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
+        self._size_b = np.array([len(x) for x in self.bytes_b], np.int64)
+        self._first_b = len(self._size_a)
+        self._written = [f"{i}{mark}" for n in (self._first_b, len(pieces)) for i in range(n) for mark in ",|;\n"]
 
     def pieces(self, text: str) -> list[str]:
         """A text that follows a space, cut at certain places; each piece lacks its first space."""
         return CUT.split(text) if self.sure else [text]
 
-    def align(self, pieces: list[str]) -> list[Aligned]:
-        """What is known of each piece; new ones are encoded together."""
-        new = [p for p in pieces if p not in self._known]
-        ids_a = [e.ids for e in self._a.encode_batch_fast([" " + p for p in new], add_special_tokens=False)]
-        made = dict(zip(new, map(self._aligned, new, ids_a, self._b.encode(new, num_threads=1))))
-        out = [made[p] if p in made else self._known[p] for p in pieces]
-        if len(self._known) > KNOWN:
-            self._known = {}
-        self._known.update((p, x) for p, x in made.items() if len(p) <= LONG_WORD)
-        return out
-
-    def _aligned(self, piece: str, a: list[int], b: list[int]) -> Aligned:
-        ends_a, ends_b, at = [], [], 0
-        left, right = [self.bytes_a[i] for i in a], [self.bytes_b[i] for i in b]
-        data = (" " + piece).encode()
-        if b"".join(left) != data or b"".join(right) != data:
-            return Aligned(False, 0, 0, 0, "", ())
-        for x in left:
-            ends_a.append(at := at + len(x))
-        at = 0
-        for x in right:
-            ends_b.append(at := at + len(x))
-        groups, links = [], []
-        for mine, other in components(ends_a, ends_b) if len(a) > 1 < len(b) else [(range(len(a)), range(len(b)))]:
-            groups.append(",".join([str(a[i]) for i in mine]) + "|" + ",".join([str(b[j]) for j in other]))
-            links += [a[i] << 32 | b[j] for i, j in self._expanded(mine, other, ends_a, ends_b)]
-        return Aligned(True, len(a), len(b), len(groups), ";".join(groups), tuple(links))
-
-    def _expanded(self, mine, other, ends_a: list[int], ends_b: list[int]) -> Iterator[tuple[int, int]]:
-        """The links of a component. Its members are neighbours, so those that meet are found in one walk."""
+    def _encoded(self, runs: list[list[int]], pieces: list[str]) -> Iterator[tuple[list[int], np.ndarray | None, np.ndarray | None]]:
+        """Runs of pieces with the ids of each side, in their order; a run whose bytes one side does not give back comes piece by piece, and such a piece without ids."""
+        for k in range(0, len(runs), RUNS_AT_ONCE):
+            some = runs[k : k + RUNS_AT_ONCE]
+            texts = [" ".join([pieces[i] for i in run]) for run in some]
+            for run, text, found, other in zip(some, texts, self._a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False), self._b.encode(texts, num_threads=1)):
+                data, mine = (" " + text).encode(), found.ids
+                if b"".join([self.bytes_a[i] for i in mine]) == data and b"".join([self.bytes_b[i] for i in other]) == data:
+                    yield run, np.array(mine, np.int32), np.array(other, np.int32)
+                elif len(run) > 1:
+                    yield from self._encoded([[i] for i in run], pieces)
+                else:
+                    yield run, None, None
+
+    def align(self, pieces: list[str]) -> Aligned:
+        """All pieces at once. Those that start and end without white space are encoded in runs, as both sides cut between them."""
+        plain = [i for i, p in enumerate(pieces) if self.sure and p and not p[0].isspace() and not p[-1].isspace()]
+        alone = sorted(set(range(len(pieces))).difference(plain))
+        order, failed, a, b = [], [], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+        for run, mine, other in self._encoded([plain[i : i + RUN] for i in range(0, len(plain), RUN)] + [[i] for i in alone], pieces):
+            if mine is None:
+                failed += run
+            else:
+                order += run
+                a.append(mine)
+                b.append(other)
+        a, b = (np.concatenate(x).astype(np.int64) for x in (a, b))
+        ends_a, ends_b = np.cumsum(self._size_a[a]), np.cumsum(self._size_b[b])
+        ends = np.cumsum([len(pieces[i].encode()) + 1 for i in order]).astype(np.int64)
+        left, right = overlaps(ends_a, ends_b)
+        root = components(len(a) + len(b), left, right + len(a))
+        groups = np.flatnonzero(root[: len(a)] == np.arange(len(a)))
+        piece = lambda tokens, at: np.searchsorted(ends, at[tokens], "left")
         if self._links == "all":
-            return ((i, j) for i in mine for j in other)
-        met = overlaps([ends_a[i] for i in mine], [ends_b[j] for j in other])
-        return ((i + mine[0], j + other[0]) for i, j in met if self._links == "overlaps" or ends_a[i + mine[0]] == ends_b[j + other[0]])
+            size = np.bincount(root[len(a) :], minlength=len(a))[root[: len(a)]]  # of B tokens in each A token's component
+            first = np.searchsorted(root[len(a) :], root[: len(a)], "left")
+            left = np.repeat(np.arange(len(a)), size)
+            right = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + first[left]
+        elif self._links == "ends":
+            together = ends_a[left] == ends_b[right]
+            left, right = left[together], right[together]
+        n = len(pieces)
+        counts = np.stack([np.bincount(piece(tokens, at), minlength=n) for tokens, at in ((slice(None), ends_a), (slice(None), ends_b), (groups, ends_a), (left, ends_a))], axis=1)
+        place = np.empty(n, np.int64)
+        place[order + failed] = np.arange(n)
+        return Aligned(place, np.arange(n) < len(order), counts, self._texts(a, b, root, piece(slice(None), ends_a)) + [""] * len(failed), a[left] << 32 | b[right])
+
+    def _texts(self, a: np.ndarray, b: np.ndarray, root: np.ndarray, piece: np.ndarray) -> list[str]:
+        """`a1,a2|b1;a3|b2,b3` of each piece. The mark after a token says whether the next one is of its side, its component, its piece."""
+        if not len(a):
+            return []
+        side = np.append(np.zeros(len(a), np.int64), np.ones(len(b), np.int64))
+        order = np.argsort(root * 2 + side, kind="stable")
+        of, its = root[order], side[order]
+        mark = np.where(of[1:] == of[:-1], (its[1:] != its[:-1]).astype(np.int64), np.where(piece[of[1:]] == piece[of[:-1]], 2, 3))
+        ids = np.append(a, b + self._first_b)[order]
+        return "".join(map(self._written.__getitem__, (ids * 4 + np.append(mark, 3)).tolist())).split("\n")[:-1]
 
 
 @lru_cache(maxsize=2)
@@ -189,11 +199,10 @@ def _read(a_spec, b_model, links: str, buckets: int, limit: int, keep: bool, id_
             for doc, text in batch:
                 docs.append((doc, np.fromiter(map(slots.__getitem__, made.pieces(text) if text else ()), np.int32)))
             found = made.align(list(slots))
-            fine = np.array([x.ok for x in found], bool)
-            counts = np.array([(x.n_a, x.n_b, x.n_groups, len(x.links)) for x in found], np.int64).reshape(-1, 4)
-            docs = [(doc, words if fine[words].all() else words[:0]) for doc, words in docs]
-            times = np.bincount(np.concatenate([words for _, words in docs]), minlength=len(found))
-            texts, out = [x.groups for x in found], []
+            counts, texts, out = found.counts, found.groups, []
+            docs = [(doc, found.place[words]) for doc, words in docs]
+            docs = [(doc, words if found.ok[words].all() else words[:0]) for doc, words in docs]
+            times = np.bincount(np.concatenate([words for _, words in docs]), minlength=len(texts))
             for doc, words in docs:
                 groups = ";".join([texts[w] for w in words.tolist()])
                 out.append({"batch": number, "id": doc, "groups_sha256": hashlib.sha256(groups.encode()).hexdigest() if groups else "", "groups": groups if keep else None, "words": pack_places(words)} | dict(zip(names, counts[words].sum(axis=0).tolist())))
@@ -201,7 +210,7 @@ def _read(a_spec, b_model, links: str, buckets: int, limit: int, keep: bool, id_
                     yield pa.RecordBatch.from_pylist(out, schema)
                     out = []
             sizes = counts[:, 3]
-            pairs, inverse = np.unique(np.fromiter((x for f in found for x in f.links), np.int64, int(sizes.sum())), return_inverse=True)
+            pairs, inverse = np.unique(found.links, return_inverse=True)
             n = np.bincount(inverse, np.repeat(times, sizes), len(pairs)).astype(np.int64)
             at = (scattered(pairs & 0xFFFFFFFF) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(at, kind="stable")
