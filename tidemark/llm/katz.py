@@ -42,7 +42,7 @@ ORDER = 2
 #: Counts up to this are discounted.
 CUTOFF = 5
 #: Bytes of text of a batch: its n-grams are sorted in the memory of one worker.
-BATCH_BYTES = 32 << 20
+BATCH_BYTES = 12 << 20
 #: The training tokens of a history that stay in one bucket, and how many histories may be dealt over more at most.
 WHOLE_HISTORY = 1 << 20
 SPLIT_HISTORIES = 1 << 17
