@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import compact_name, initial_surname, matching_ratio, name_variants, normal_name
+from tidemark.operators.similarity import contained_pairs, similar_pairs
 
 
 def with_variants(pool: DataFrame, name: str) -> DataFrame:
@@ -40,6 +41,27 @@ def variant_score(pairs: DataFrame, left: str, right: str, keys: list[str]) -> D
     return known.unionByName(fuzzy).groupBy(*keys).agg(F.max("_score").alias("name_score"))
 
 
+def needed_name_score(score: float, position: float = 0.12, team: float = 0.06, weight: float = 0.82) -> float:
+    """The least name score with which `match_score` can still reach `score`."""
+    return (score - position - team) / weight
+
+
+def scored_pairs(left: DataFrame, right: DataFrame, left_id: str, right_id: str, a: str, b: str, minimum: float, **how) -> DataFrame:
+    """Every pair of records with a name score of `minimum` or more, and the score, as `variant_score` over all pairs would give it.
+
+    Spellings meet by similarity joins over the distinct ones, so no pair is lost and none is formed that shares nothing. Records with
+    one spelling meet by it alone: those of a very frequent spelling are pairs that the result has to have.
+    """
+    spelt = lambda df, i, c, out: df.select(i, F.explode(c).alias(out)).distinct()
+    mine, theirs = spelt(left, left_id, a, "_a"), spelt(right, right_id, b, "_b")
+    short, long = F.least(F.length("_a"), F.length("_b")), F.greatest(F.length("_a"), F.length("_b"))
+    plain = F.when(F.col("_a") == F.col("_b"), F.when(short >= 4, 1.0).otherwise(0.85)).otherwise(0.78 + 0.12 * short / long)
+    held = contained_pairs(mine, theirs, "_a", "_b", min(1.0, max(0.0, (minimum - 0.78) / 0.12))).withColumn("_score", plain)
+    like = similar_pairs(mine, theirs, "_a", "_b", minimum, **how).where(~F.contains("_a", "_b") & ~F.contains("_b", "_a")).withColumnRenamed("ratio", "_score")
+    scores = held.unionByName(like).where(F.col("_score") >= minimum)
+    return mine.join(scores, "_a").join(theirs, "_b").groupBy(left_id, right_id).agg(F.max("_score").alias("name_score"))
+
+
 def match_score(name_score: str | Column, position_match: Column, position_known: Column, team_match: Column, exact_initial: Column, exact_name: Column) -> Column:
     """Name, position and team evidence as one score from 0 to 1, raised where an exact name says so."""
     base = F.col(name_score) * 0.82 if isinstance(name_score, str) else name_score * 0.82

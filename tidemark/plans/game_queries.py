@@ -301,14 +301,13 @@ def coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("v07_identity_scores")
 def identity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of parts against the same names written otherwise; candidates come from blocks, scores from the best spelling."""
+    """Names of parts against the same names written otherwise: all pairs that can reach the score of a doubtful runner-up, with the score of the best spelling."""
     names = table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("left_id"), F.min("p_type").alias("kind"))
     left = idt.with_variants(names, "p_name")
     other = names.select((F.col("left_id") + 1_000_000).alias("right_id"), F.concat(F.upper(F.substring("p_name", 1, 1)), F.lit(". "), F.substring_index("p_name", " ", -1)).alias("other"), F.col("kind").alias("other_kind"))
     right = idt.with_variants(other, "other").withColumnRenamed("variants", "other_variants")
-    pairs = idt.blocked_pairs(left, right.withColumnRenamed("other_variants", "variants"), "left_id", "right_id")
-    full = pairs.join(left, "left_id").join(right, "right_id")
-    named = idt.variant_score(full, "variants", "other_variants", ["left_id", "right_id"]).join(full.select("left_id", "right_id", "p_name", "other", "kind", "other_kind"), ["left_id", "right_id"])
+    pairs = idt.scored_pairs(left, right, "left_id", "right_id", "variants", "other_variants", idt.needed_name_score(0.95 - 0.03))
+    named = pairs.join(left, "left_id").join(right, "right_id")
     same = F.col("kind") == F.col("other_kind")
     scored = named.withColumn("score", F.round(idt.match_score("name_score", same, F.lit(True), F.lit(False), idt.same_initial("p_name", "other"), F.lit(False)), 4))
     ranked = idt.rank_candidates(scored, "left_id", "right_id", "score")
