@@ -111,7 +111,11 @@ T1, T2 = datetime(2025, 1, 1), datetime(2025, 1, 2)
         ({"period": 36}, ["horizon_too_long"]),
         ({"period": 34}, []),
         ({"horizon": None}, ["horizon_required"]),
-        ({"period": None}, ["horizon_without_period"]),
+        ({"period": None}, ["period_required", "horizon_without_period"]),
+        ({"period": None, "horizon": None}, ["period_required"]),
+        ({"run_type": "model", "period": None, "horizon": None}, []),
+        ({"run_type": "publishing", "period": None, "horizon": None}, ["period_required"]),
+        ({"rules_versions": ""}, ["rules_versions_required"]),
         ({"created_at": T1, "as_of": T2}, ["as_of_after_created"]),
         ({"started_at": T2, "completed_at": T1}, ["started_after_completed"]),
         ({"parents": ["r"]}, ["own_parent"]),

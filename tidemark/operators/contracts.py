@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import nested_get, season_valid
+from tidemark.functions.text import nested_get
 from tidemark.operators.relational import snapshot_diff
 
 TOLERANCE = 1e-6
@@ -75,36 +75,6 @@ def snapshot_audit(long: DataFrame, period: int, available: Column, eligible: Co
     )
 
 
-#: What a document of scoring rules must have and say.
-REGISTRY_KEYS = ("schema_version", "competition", "effective_season", "rules_version", "status", "source_notes", "positions", "scoring", "deterministic_examples")
-SCORING_KEYS = ("appearance", "goals", "assists", "clean_sheets", "saves", "penalty_saves", "cards", "own_goals", "penalty_misses", "goals_conceded", "bonus", "defensive_contributions")
-REGISTRY_VALUES = {
-    "competition": "FPL",
-    "positions": '["GKP","DEF","MID","FWD"]',
-    "scoring.assists.points": "3",
-    "scoring.clean_sheets.minimum_minutes": "60",
-    "scoring.saves.per_saves": "3",
-    "scoring.saves.points": "1",
-    "scoring.penalty_saves.points": "5",
-    "scoring.cards.yellow_points": "-1",
-    "scoring.cards.red_points": "-3",
-    "scoring.cards.red_points_include_yellow_deductions": "true",
-    "scoring.own_goals.points": "-2",
-    "scoring.penalty_misses.points": "-2",
-}
-
-
-def registry_problems(documents: DataFrame, document: str = "document", season: str | None = None, values: Mapping[str, str] = REGISTRY_VALUES) -> DataFrame:
-    """Each rules document (JSON text) with the problems that it has: missing keys, a wrong season, values that are not those required."""
-    at = lambda path: nested_get(document, path.split("."))
-    missing = [F.when(at(k).isNull(), F.lit(f"missing.{k}")) for k in REGISTRY_KEYS] + [F.when(at("scoring").isNotNull() & at(f"scoring.{k}").isNull(), F.lit(f"missing.scoring.{k}")) for k in SCORING_KEYS]
-    wrong = [F.when(at(path).isNotNull() & (F.regexp_replace(at(path), r"\s", "") != value), F.lit(f"wrong.{path}")) for path, value in values.items()]
-    found = at("effective_season")
-    seasons = F.when(found.isNotNull() & ~season_valid(found), F.lit("wrong.effective_season")).when(F.lit(season is not None) & (found != F.lit(season)), F.lit("other.effective_season"))
-    problems = F.filter(F.array(*missing, *wrong, seasons), lambda x: x.isNotNull())
-    return documents.withColumn("problems", problems).withColumn("valid", F.size("problems") == 0)
-
-
 def training_readiness(reports: DataFrame, training: str = "training", mapping: str = "mapping", join: str = "join") -> DataFrame:
     """Each row of three audit reports (JSON text) with what they allow together.
 

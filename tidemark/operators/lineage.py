@@ -20,6 +20,9 @@ REQUIRED_VERSIONS = {
     "publishing": ("manifest_version", "artifact_version"),
 }
 
+#: The types of runs that are for a period.
+PERIOD_REQUIRED = ("feature", "prediction", "evaluation", "optimization", "publishing")
+
 
 def slug(c: Column) -> Column:
     """A dash for each run of characters other than letters, digits, dot, underscore and dash; none of the last three at the ends."""
@@ -42,11 +45,12 @@ def run_problems(runs: DataFrame, last_period: int = LAST_PERIOD) -> DataFrame:
     started_at, completed_at, parents (ids) and the version columns. A missing time breaks no order.
     """
     c = F.col
-    version_missing = [F.when((c("run_type") == kind) & c(v).isNull(), F.lit(f"{v}_required")) for kind, names in REQUIRED_VERSIONS.items() for v in names]
+    version_missing = [F.when((c("run_type") == kind) & (c(v).isNull() | (c(v) == "")), F.lit(f"{v}_required")) for kind, names in REQUIRED_VERSIONS.items() for v in names]
     rules = {
         "unknown_run_type": ~F.coalesce(c("run_type").isin(*REQUIRED_VERSIONS), F.lit(False)),
         "season_format": ~season_valid("season"),
         "source_after_target": season_start("source_season") > season_start("season"),
+        "period_required": c("run_type").isin(*PERIOD_REQUIRED) & c("period").isNull(),
         "horizon_required": c("period").isNotNull() & c("horizon").isNull(),
         "horizon_without_period": c("period").isNull() & c("horizon").isNotNull(),
         "horizon_too_long": c("period") + c("horizon") - 1 > last_period,

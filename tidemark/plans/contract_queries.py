@@ -119,24 +119,6 @@ def safe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", t.safe_segment(F.element_at(F.split("url", "/"), -1)).alias("safe"))
 
 
-def _document(key: str) -> str:
-    """A rules document that lacks something for some keys, as SQL that both engines read."""
-    return f"""concat('{{"schema_version": "1", "competition": "', CASE WHEN {key} % 5 = 0 THEN 'other' ELSE 'FPL' END, '", "effective_season": "', CASE WHEN {key} % 7 = 0 THEN '2025_27' ELSE '2025_26' END,
-        '", "rules_version": "v1", "status": "draft", "source_notes": ["n"], "positions": ["GKP", "DEF", "MID", "FWD"], ', CASE WHEN {key} % 3 = 0 THEN '' ELSE '"deterministic_examples": [], ' END,
-        '"scoring": {{"appearance": {{}}, "goals": {{}}, "assists": {{"points": ', CAST({key} % 4 + 1 AS STRING), '}}, "clean_sheets": {{"minimum_minutes": 60}}, "saves": {{"per_saves": 3, "points": 1}}, "penalty_saves": {{"points": 5}}, ',
-        '"cards": {{"yellow_points": -1, "red_points": -3, "red_points_include_yellow_deductions": true}}, "own_goals": {{"points": -2}}, "penalty_misses": {{"points": -2}}, "goals_conceded": {{}}, "bonus": {{}}, "defensive_contributions": {{}}}}}}')"""
-
-
-@query(
-    "e10_registry_problems",
-    """SELECT n_nationkey, concat_ws('|', CASE WHEN n_nationkey % 3 = 0 THEN 'missing.deterministic_examples' END, CASE WHEN n_nationkey % 5 = 0 THEN 'wrong.competition' END, CASE WHEN n_nationkey % 4 <> 2 THEN 'wrong.scoring.assists.points' END, CASE WHEN n_nationkey % 7 = 0 THEN 'wrong.effective_season' END) AS problems,
-        n_nationkey % 3 <> 0 AND n_nationkey % 5 <> 0 AND n_nationkey % 4 = 2 AND n_nationkey % 7 <> 0 AS valid FROM nation""",
-)
-def registry_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = table(spark, sf_dir, "nation").select("n_nationkey", F.expr(_document("n_nationkey")).alias("document"))
-    return co.registry_problems(documents).select("n_nationkey", F.array_join("problems", "|").alias("problems"), "valid")
-
-
 @query(
     "v26_training_readiness",
     """SELECT n_nationkey, n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AS prior_join_allowed, n_nationkey % 5 <> 0 AS mapping_safe, n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AND n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 AS training_ready FROM nation""",

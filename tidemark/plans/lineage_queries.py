@@ -120,7 +120,7 @@ def run_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "v24_run_problems",
-    f"""WITH {RUNS} SELECT event_id, concat_ws('|', CASE WHEN run_type = 'other' THEN 'unknown_run_type' END, CASE WHEN period IS NOT NULL AND horizon IS NULL THEN 'horizon_required' END,
+    f"""WITH {RUNS} SELECT event_id, concat_ws('|', CASE WHEN run_type = 'other' THEN 'unknown_run_type' END, CASE WHEN run_type IN ('feature', 'prediction') AND period IS NULL THEN 'period_required' END, CASE WHEN period IS NOT NULL AND horizon IS NULL THEN 'horizon_required' END,
         CASE WHEN period + horizon - 1 > 38 THEN 'horizon_too_long' END, CASE WHEN as_of > created_at THEN 'as_of_after_created' END, CASE WHEN run_type = 'model' THEN 'model_version_required' END, CASE WHEN run_type = 'prediction' THEN 'model_version_required' END) AS problems FROM runs""",
 )
 def run_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
