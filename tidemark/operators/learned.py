@@ -15,6 +15,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators import gram
+
 SEED = 42
 
 
@@ -62,12 +64,8 @@ def boosted(train: DataFrame, features: Sequence[str], label: str, rounds: int =
 
 
 def alpha_sweep(train: DataFrame, valid: DataFrame, features: Sequence[str], label: str, alphas: Sequence[float]) -> DataFrame:
-    """MAE on the later rows for each penalty, best first."""
-    found = []
-    for alpha in alphas:
-        scored = ridge(train, features, label, alpha).transform(valid.na.drop(subset=[*features, label]))
-        found.append((float(alpha), scored.agg(F.avg(F.abs(F.col(label) - F.col("prediction")))).first()[0]))
-    return train.sparkSession.createDataFrame(found, "alpha double, mae double").orderBy(F.asc_nulls_last("mae"), "alpha")
+    """MAE on the later rows for each penalty, best first; the training rows are gone through once for all of them."""
+    return gram.sweep(train, valid.na.drop(subset=[*features, label]), features, label, alphas)
 
 
 OUTCOMES = ("H", "D", "A")
