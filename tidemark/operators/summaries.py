@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import exact_quantiles
+
 
 def safe_divide(a: str | Column, b: str | Column) -> Column:
     """a / b, null where b is zero or either is null."""
@@ -21,19 +24,35 @@ def zero_sum(x: str | Column) -> Column:
 
 def quantile_bands(df: DataFrame, group: Sequence[str], x: str, labels: Sequence[str] = ("low", "mid", "high", "top")) -> DataFrame:
     """`df` with q25, q50, q75 of its group (linear between values) and the band that its value falls in."""
-    q = df.groupBy(*group).agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-    q = q.select(*group, *(F.col("_q")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
+    q = exact_quantiles(df, group, x, (0.25, 0.5, 0.75))
+    q = q.select(*group, *(F.col("quantiles")[i].alias(n) for i, n in enumerate(("q25", "q50", "q75"))))
     band = F.when(F.col(x) <= F.col("q25"), labels[0]).when(F.col(x) <= F.col("q50"), labels[1]).when(F.col(x) <= F.col("q75"), labels[2]).otherwise(labels[3])
     return df.join(q, list(group)).withColumn("band", F.when(F.col(x).isNotNull(), band))
 
 
+def _medians(df: DataFrame, group: Sequence[str], x: str, into: str) -> DataFrame:
+    found = exact_quantiles(df, group, x, (0.5,))
+    return found.select(*(F.col(g).alias(f"_g{i}") for i, g in enumerate(group)), F.col("quantiles")[0].alias(into))
+
+
+def _with_median(summary: DataFrame, df: DataFrame, group: Sequence[str], x: str, into: str) -> DataFrame:
+    """A summary by `group` with the median of one measure; null groups are groups."""
+    medians = _medians(df, group, x, into)
+    same = reduce(lambda a, b: a & b, (summary[g].eqNullSafe(medians[f"_g{i}"]) for i, g in enumerate(group)))
+    return summary.join(medians, same, "left").select(*summary.columns, into)
+
+
 def group_medians(df: DataFrame, group: Sequence[str], measures: Sequence[str]) -> DataFrame:
-    return df.groupBy(*group).agg(F.count("*").alias("n"), *(F.median(m).alias(f"{m}_median") for m in measures))
+    out = df.groupBy(*group).agg(F.count("*").alias("n"))
+    for m in measures:
+        out = _with_median(out, df, group, m, f"{m}_median")
+    return out
 
 
 def distribution(df: DataFrame, group: Sequence[str], x: str) -> DataFrame:
     """Count, least, median, mean and largest of each group."""
-    return df.groupBy(*group).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.median(x).alias("median"), F.avg(x).alias("mean"), F.max(x).alias("high"))
+    out = df.groupBy(*group).agg(F.count(x).alias("n"), F.min(x).alias("low"), F.avg(x).alias("mean"), F.max(x).alias("high"))
+    return _with_median(out, df, group, x, "median").select(*group, "n", "low", "median", "mean", "high")
 
 
 def value_counts(df: DataFrame, column: str, null_label: str = "null") -> DataFrame:
