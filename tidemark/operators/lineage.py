@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import season_start, season_valid
+from tidemark.sources import versions
 
 LAST_PERIOD = 38
 #: The versions that a run of each type must name.
@@ -99,6 +101,26 @@ def snapshot(df: DataFrame, path: str, record: Mapping[str, str]) -> DataFrame:
     return df.sparkSession.range(1).select(*(F.lit(v).alias(k) for k, v in fields.items()))
 
 
+def publish_snapshot(df: DataFrame, folder: str, record: Mapping[str, str]) -> int:
+    """Write a table beside the earlier snapshots of a folder, count it while it is written, and publish its record as the folder's next version.
+
+    Two exporters at once give two versions; neither loses the other's.
+    """
+    path = f"{folder}/data/{uuid.uuid4().hex}"
+    counted = Observation("snapshot")
+    df.observe(counted, F.count(F.lit(1)).alias("rows")).write.mode("errorifexists").parquet(path)
+    return versions.publish(df.sparkSession, f"{folder}/versions", {**record, "path": path, "rows": counted.get["rows"], "columns": len(df.columns)})
+
+
+def published(spark: SparkSession, folder: str) -> DataFrame:
+    """The records of all snapshots of a folder, with version and is_current: version, path, rows, columns and what was passed (a map)."""
+    known = ("path", "rows", "columns")
+    found = [(n, r := versions.read(spark, f"{folder}/versions", n)) for n in versions.numbers(spark, f"{folder}/versions")]
+    last = max((n for n, _ in found), default=0)
+    rows = [(n, n == last, r["path"], r["rows"], r["columns"], {k: str(v) for k, v in r.items() if k not in known}) for n, r in found]
+    return spark.createDataFrame(rows, "version long, is_current boolean, path string, rows long, columns long, record map<string,string>")
+
+
 #: Policies that say that no fallback was used.
 NO_FALLBACK = ("", "none", "no_fallback", "not_used", "full_prior")
 

@@ -29,4 +29,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tidemark.plans import contract_queries, event_queries, feature_queries, game_queries, learned_queries, lineage_queries, more_queries, readiness_queries, relational_queries, rolling_queries, rule_queries, similarity_queries, summary_queries, window_queries  # noqa: F401
+    from tidemark.plans import contract_queries, event_queries, feature_queries, game_queries, learned_queries, lineage_queries, more_queries, readiness_queries, relational_queries, rolling_queries, rule_queries, similarity_queries, stored_queries, summary_queries, window_queries  # noqa: F401

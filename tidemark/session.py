@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -19,3 +21,13 @@ def local_session(cores: str = "*", partitions: int = 8, memory: str = "8g") ->
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def work_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; a local session without the setting gets a temporary one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-"))
+    return sc.getCheckpointDir()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -61,9 +62,9 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def put_pointer(spark: SparkSession, path: str, value: Mapping) -> None:
-    """Replace a small JSON file in one step: write beside it, then rename over it."""
+    """Replace a small JSON file in one step: write beside it under a name of its own, then rename over it. The last of several writers stays; see `versions` where none may be lost."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    own, target = jvm.org.apache.hadoop.fs.Path(f"{path}.new"), jvm.org.apache.hadoop.fs.Path(path)
+    own, target = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}.new"), jvm.org.apache.hadoop.fs.Path(path)
     fs = target.getFileSystem(conf)
     out = fs.create(own, True)
     out.write(bytearray(json.dumps(dict(value), sort_keys=True).encode()))
