@@ -181,16 +181,39 @@ def test_copies_that_only_the_template_joins_are_found(spark, cell):
     assert len(want) == len(rows) and near_rows(spark, rows, cell=cell) == want
 
 
+def together(*args, **how):
+    return [np.concatenate(x) for x in zip(*simhash.proposals(*args, **how))]
+
+
 def test_proposals_that_do_not_fit_a_round_are_left_for_the_next():
     group, part = np.zeros(9, np.int64), np.arange(9)
-    u, v, more = simhash.proposals(group, group, group + 10, part, 2, 0.8)
+    u, v, more = together(group, group, group + 10, part, 2, 0.8)
     assert len(u) == 15 and (v < u).all() and more.tolist() == [0]
-    u, v, more = simhash.proposals(group, group, group + 10, part, 8, 0.8)
+    u, v, more = together(group, group, group + 10, part, 8, 0.8)
     assert len(u) == 36 and not len(more)
-    u, v, more = simhash.proposals(group, group, group + 10, part // 5, 8, 0.8)
+    u, v, more = together(group, group, group + 10, part // 5, 8, 0.8)
     assert len(u) == 20 and not len(more)
 
 
+def test_proposals_of_a_large_group_come_in_slices():
+    """16,000 members that may all be alike: no slice has more than some 300,000 of the pairs."""
+    group = np.zeros(16_000, np.int64)
+    slices, total = 0, 0
+    for u, v, more in simhash.proposals(group, group, group + 10, np.arange(16_000), 300, 0.8):
+        slices, total = slices + 1, total + len(u)
+        assert len(u) == len(v) <= simhash.PAIRS_AT_ONCE + 16_000
+    assert total == sum(min(300, i) for i in range(16_000)) and slices > 10 and more.tolist() == [0]
+
+
+def test_a_text_with_many_partners(spark):
+    """300 copies at the same distance from one text, which are compared with five copies of it, and rows that repeat an id."""
+    draw = random.Random(21)
+    words = [f"w{draw.randint(0, 10**6)}" for _ in range(120)]
+    rows = [(0, " ".join(words))] + [(i, " ".join([*words[:-2], f"end{i}", f"last{i}"])) for i in range(1, 301)] + [(1, "another text altogether with words of its own"), (400, "another text altogether with words of its own")]
+    got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(i, 0) for i in [*range(301), 400]}
+
+
 def test_texts_that_share_a_fingerprint_are_compared_with_each_other(spark):
     """One frequent line gives unlike texts one fingerprint; copies that repeat passages differ in theirs. Both are told by their sets."""
     draw = random.Random(13)

@@ -15,7 +15,6 @@ with 16 free bits are 65,536 at most, so this ends.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import FIRST, FURTHER, cut, map_arrow, meeting, partitions
+from tidemark.llm.common import FIRST, FURTHER, ROWS_AT_ONCE, cut, map_arrow, meeting, partitions
 from tidemark.llm.components import components
 
 BITS = 64
@@ -44,6 +43,9 @@ PARTNERS = 4
 GROWTH = 16
 #: Rows of one shingle that a task goes through together; those of a larger group are dealt to cells.
 CELL = 1 << 16
+#: Pairs that a task holds at once, and partners that are compared with one copy of a text.
+PAIRS_AT_ONCE = 1 << 18
+TOGETHER = 64
 
 
 # Fingerprints
@@ -271,12 +273,6 @@ def shingle_set(text: str | None, k: int) -> np.ndarray:
     return np.unique(np.concatenate(found)) if found else np.empty(0, "<u8")
 
 
-@lru_cache(maxsize=64)
-def recent_set(text: str | None, k: int) -> np.ndarray:
-    """The set of a text that many pairs name, taken apart once."""
-    return shingle_set(text, k)
-
-
 def jaccard(a: str | None, b: str | None, k: int) -> float:
     """Share of common shingles; two texts without words are alike."""
     return alike(shingle_set(a, k), shingle_set(b, k))
@@ -383,11 +379,11 @@ def _company(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from out.to_batches()
 
 
-def proposals(group: np.ndarray, at: np.ndarray, n: np.ndarray, part: np.ndarray, k: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def proposals(group: np.ndarray, at: np.ndarray, n: np.ndarray, part: np.ndarray, k: int, similarity: float, most_at_once: int = PAIRS_AT_ONCE) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Of each member up to k earlier members of its group and another part that may share `similarity`; and the groups with more.
 
-    group: ascending. A group's largest part comes first, so that what has been joined is not gone
-    through again; otherwise the order is that given.
+    Slice by slice, of some `most_at_once` pairs and one more for each member at most. group: ascending. A group's largest part comes first, so that what
+    has been joined is not gone through again; otherwise the order is that given.
     """
     _, first, inverse, count = np.unique(np.stack([group, part]), axis=1, return_index=True, return_inverse=True, return_counts=True)
     inverse = inverse.ravel()
@@ -395,7 +391,9 @@ def proposals(group: np.ndarray, at: np.ndarray, n: np.ndarray, part: np.ndarray
     group, at, n, inverse = group[order], at[order].astype(np.int64), n[order].astype(np.int64), inverse[order]
     starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
     start = np.repeat(starts, np.diff(np.append(starts, len(group))))
-    given, u, v, more = np.zeros(len(group), np.int64), [], [], []
+    given, u, v, more, held = np.zeros(len(group), np.int64), [], [], [], 0
+    none = np.empty(0, np.int64)
+    joined_up = lambda x: np.concatenate(x) if x else none
     rows, step = np.flatnonzero(inverse != inverse[start]), 0
     while len(rows):
         lead = start[rows] + step
@@ -409,11 +407,14 @@ def proposals(group: np.ndarray, at: np.ndarray, n: np.ndarray, part: np.ndarray
         u.append(rows[good])
         v.append(lead[good])
         given[rows[good]] += 1
+        held += len(u[-1])
+        if held >= most_at_once:
+            yield order[joined_up(u)], order[joined_up(v)], none
+            u, v, held = [], [], 0
         step += 1
         rows = rows[~full]
         rows = rows[rows - start[rows] > step]
-    joined_up = [np.concatenate(x) if x else np.empty(0, np.int64) for x in (u, v, more)]
-    return order[joined_up[0]], order[joined_up[1]], np.unique(joined_up[2])
+    yield order[joined_up(u)], order[joined_up(v)], np.unique(joined_up(more))
 
 
 def _by_group(batches: Iterable[pa.RecordBatch], work: Callable[[pa.Table], Iterable[pa.RecordBatch]]) -> Iterator[pa.RecordBatch]:
@@ -482,11 +483,6 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).where(F.col("_id").isNotNull())
     spark, kind = docs.sparkSession, rows.schema["_id"].dataType.simpleString()
 
-    def alike_enough(batch: pa.RecordBatch) -> dict:
-        same = [alike(recent_set(x, shingle), recent_set(y, shingle)) >= similarity for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        keep = pa.array(same, pa.bool_())
-        return {"src": batch.column(0).filter(keep), "dst": batch.column(1).filter(keep)}
-
     sketches = cut(_sketches(rows, shingle), "sketches")
 
     def possible(batch: pa.RecordBatch) -> dict:
@@ -502,9 +498,28 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
         pairs = cut(map_arrow(sketched, possible, f"a {kind}, b {kind}"), "pairs")
         ids = pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
         texts = cut(rows.join(ids, "_id", "left_semi"), "texts")
-        side = lambda c: texts.select(F.col("_id").alias(c), F.col("_text").alias(f"{c}_text"))
-        whole = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "a_text", "b_text")
-        return cut(map_arrow(whole, alike_enough, f"src {kind}, dst {kind}"), "links")
+        # the partners of a text come to it, some to each of its copies, and not the text to every pair
+        copies = pairs.groupBy("a").agg(F.ceil(F.count("*") / TOGETHER).cast("int").alias("_copies"))
+        dealt = pairs.join(copies, "a").select("a", "b", F.pmod(F.xxhash64("b"), "_copies").cast("int").alias("_copy"))
+        heads = dealt.select("a", "_copy").distinct().select("a", "_copy", F.lit(True).alias("_head"), F.col("a").alias("_id"))
+        sides = heads.unionByName(dealt.select("a", "_copy", F.lit(False).alias("_head"), F.col("b").alias("_id"))).join(texts, "_id")
+        met = sides.select("a", "_copy", "_head", "_id", "_text").repartition(partitions(spark), "a", "_copy").sortWithinPartitions("a", "_copy", F.desc("_head"))
+        return cut(met.mapInArrow(compared, f"src {kind}, dst {kind}"), "links")
+
+    def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Out of a head's texts and its partners', sorted: head and partner where they share enough. Held is the set of the head."""
+        key, heads = None, []
+        for batch in (b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE)):
+            keep = []
+            for a, copy, head, text in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4))):
+                found = shingle_set(text, shingle)
+                if (a, copy) != key:
+                    key, heads = (a, copy), []
+                if head:
+                    heads.append(found)
+                keep.append(not head and any(alike(x, found) >= similarity for x in heads))
+            keep = pa.array(keep, pa.bool_())
+            yield pa.record_batch({"src": batch.column(0).filter(keep), "dst": batch.column(3).filter(keep)})
 
     classes = code_components(sketches.select("_id", "_code"), radius).where(F.col("_id") != F.col("component_id"))
     tried = cut(classes.select(F.col("component_id").alias("a"), F.col("_id").alias("b")).distinct(), "pairs")
@@ -519,10 +534,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = 0.8,
             table = table.combine_chunks()
             ids, part = table.column("_id").chunk(0), table.column("_part").chunk(0).dictionary_encode().indices.to_numpy()
             key, at, n = (table.column(c).to_numpy() for c in ("_key", "_at", "_n"))
-            u, v, more = proposals(key, at, n, part, limit, similarity)
-            more = table.column("_shingle").to_numpy()[np.searchsorted(key, more)]
-            a, b = (pa.concat_arrays([ids.take(pa.array(x)), pa.nulls(len(more), ids.type)]) for x in (u, v))
-            yield pa.record_batch({"a": a, "b": b, "_open": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(more, pa.int64())])})
+            for u, v, more in proposals(key, at, n, part, limit, similarity):
+                more = table.column("_shingle").to_numpy()[np.searchsorted(key, more)]
+                a, b = (pa.concat_arrays([ids.take(pa.array(x)), pa.nulls(len(more), ids.type)]) for x in (u, v))
+                yield pa.record_batch({"a": a, "b": b, "_open": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(more, pa.int64())])})
 
         return lambda batches: _by_group(batches, work)
 
