@@ -56,6 +56,19 @@ def test_held_out_accuracy(spark):
     assert sum(a == b for a, b in said if b == "block") / sum(b == "block" for _, b in said) > 0.9
 
 
+def test_words_that_were_never_seen(spark):
+    """A fifth of the words, with all their URLs, is kept from training: what is to be allowed still is, but few words to block are known without being learnt."""
+    rows = uf.labelled()
+    words = {w: i for i, w in enumerate([*uf.BLOCKED_WORDS, *uf.ALLOWED_WORDS])}
+    word = [w for w in words for _ in range(uf.FORMS)]
+    kept = [i for i, w in enumerate(word) if words[w] % 5 == 0]
+    model = uf.train(spark.createDataFrame([r for i, r in enumerate(rows) if i not in set(kept)], "url string, label string"))
+    said = [(model.score(*brute(rows[i][0])[:2]) > 0.5, rows[i][1]) for i in kept]
+    allowed = [not blocked for blocked, label in said if label == "allow"]
+    assert sum(allowed) / len(allowed) > 0.9
+    print("unseen words to block that are blocked:", sum(b for b, label in said if label == "block"), "of", sum(label == "block" for _, label in said))
+
+
 def test_words_inside_other_words_are_no_ground_to_block(model):
     for host in ("www.essexgardens.example.com", "blog.badgers.example.net", "m.adverbs.example.org", "thered.example.org"):
         assert model.score(host, "/en/12.html") < 0.5
