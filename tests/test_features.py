@@ -95,7 +95,7 @@ def test_relaxed_squads_of_several_scenarios(spark):
     draw = random.Random(9)
     rows = [(s, i, ["GKP", "DEF", "MID", "FWD"][i % 4], draw.randint(1, 6), price, draw.randint(0, 30)) for s, price in (("cheap", 1), ("dear", 9)) for i in range(24)]
     got = p.relaxed_squads(spark.createDataFrame(rows, "scenario string, player_id long, position string, club long, price long, points long"), [(6, 1), (60, 2)], QUOTAS).toPandas()
-    assert got.groupby("scenario")["step"].first().to_dict() == {"cheap": 0, "dear": 1} and len(got) == 12
+    assert got.groupby("scenario")["step"].first().to_dict() == {"cheap": 0, "dear": 1} and len(got) == 12 and got["proved"].all()
 
 
 def test_blocks_keep_misspelt_names(spark):

@@ -139,5 +139,5 @@ def test_locked_players_and_relaxation():
     got = p.greedy_squad(pdf, QUOTAS, 60, 3, locked=[0, 5])
     assert {0, 5} <= set(got["player_id"]) and got["position"].value_counts().to_dict() == QUOTAS and got["price"].sum() <= 60
     assert len(p.greedy_squad(pdf, QUOTAS, 60, 3, locked=[0, 4])) == 0 and len(p.greedy_squad(pdf, QUOTAS, 60, 3, locked=[999])) == 0
-    chosen, step = p.relaxed_squad(pdf, [(1, 1), (2, 3), (60, 2)], QUOTAS)
-    assert step == 2 and chosen["price"].sum() <= 60 and p.relaxed_squad(pdf, [(1, 1)], QUOTAS)[1] == -1
+    chosen, step, proved = p.relaxed_squad(pdf, [(1, 1), (2, 3), (60, 2)], QUOTAS)
+    assert step == 2 and proved and chosen["price"].sum() <= 60 and p.relaxed_squad(pdf, [(1, 1)], QUOTAS)[1] == -1

@@ -105,6 +105,15 @@ def test_relational_rules(spark):
         rel.page(a, [F.col("k")], 0, 500)
 
 
+@pytest.mark.parametrize("how", ["left", "inner", "full", "right", "full_outer"])
+@pytest.mark.parametrize("cardinality", ["one_to_one", "many_to_one"])
+def test_guarded_joins_with_null_keys(spark, how, cardinality):
+    a = spark.createDataFrame([(1, 1, "a"), (1, None, "b"), (None, None, "c"), (None, 1, "d"), (3, 1, "e"), (1, None, "f")], "k int, j int, x string")
+    b = spark.createDataFrame([(1, 1, "p"), (None, 1, "q"), (1, None, "r"), (1, None, "s"), (4, 1, "t")], "k int, j int, y string")
+    got, want = rel.guarded_join(a, b, ["k", "j"], how, cardinality), a.join(b, ["k", "j"], how)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
 def test_summaries(spark):
     rows = spark.createDataFrame([("a", 1, None, 4), ("a", 2, None, None), ("b", 1, 3, 1)], "g string, t long, m long, v long")
     got = {r.g: (r.minutes, r.value_last, r.appearances) for r in s.season_summary(rows.withColumn("p", F.lit(1)), ["g"], "t", "m", "p", "v", 60).collect()}

@@ -194,30 +194,37 @@ def wildcard_squads(horizon: DataFrame, first: int, last: int, locked: Sequence[
     return out.withColumns({"captain": F.col("starts") & (F.col("_place") == 1), "vice": F.col("starts") & (F.col("_place") == 2)}).drop("_place")
 
 
-def relaxed_squad(pool: pd.DataFrame, ladder: Sequence[tuple[int, int]], quotas: Mapping[str, int] = QUOTAS) -> tuple[pd.DataFrame, int]:
-    """The best squad under the first (budget, club limit) of the ladder that allows one, and which step that was (-1: none)."""
+def relaxed_squad(pool: pd.DataFrame, ladder: Sequence[tuple[int, int]], quotas: Mapping[str, int] = QUOTAS) -> tuple[pd.DataFrame, int, bool]:
+    """The best squad under the first (budget, club limit) of the ladder that allows one, which step that was (-1: none), and whether all searches up to it have closed."""
+    sure = True
     for step, (budget, per_club) in enumerate(ladder):
-        chosen, _ = exact_squad(pool, quotas, budget, per_club)
+        chosen, proved = exact_squad(pool, quotas, budget, per_club)
+        sure &= proved
         if len(chosen):
-            return chosen, step
-    return pool.iloc[:0], -1
+            return chosen, step, sure
+    return pool.iloc[:0], -1, sure
 
 
 def relaxed_squads(pool: DataFrame, ladder: Sequence[tuple[int, int]], quotas: Mapping[str, int] = QUOTAS) -> DataFrame:
-    """The best squad of each scenario under the first (budget, club limit) of the ladder that allows one, with `step`; no rows where none does."""
+    """The best squad of each scenario under the first (budget, club limit) of the ladder that allows one, with `step` and `proved`; no rows where none does."""
     columns, quotas, ladder = ["scenario", "player_id", "position", "club", "price", "points"], dict(quotas), list(ladder)
     rows = candidates(pool.select(*columns), per_club=max(n for _, n in ladder)).select("scenario", "player_id", "position", "club", F.col("price").cast("long").alias("price"), F.col("points").cast("double").alias("points"))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        chosen, step = relaxed_squad(pdf, ladder, quotas)
-        return chosen.assign(step=step)[[*columns, "step"]]
+        chosen, step, proved = relaxed_squad(pdf, ladder, quotas)
+        return chosen.assign(step=step, proved=proved)[[*columns, "step", "proved"]].astype({"proved": bool})
 
-    return rows.groupBy("scenario").applyInPandas(pick, rows.withColumn("step", F.lit(0)).schema)
+    return rows.groupBy("scenario").applyInPandas(pick, rows.withColumn("step", F.lit(0)).withColumn("proved", F.lit(True)).schema)
+
+
+def _with_proof(squad: DataFrame) -> list[str]:
+    """The column that says whether a squad is proved, where there is one."""
+    return ["proved"] if "proved" in squad.columns else []
 
 
 def lineups(squad: DataFrame, scenario: str = "scenario") -> DataFrame:
-    """Each squad's players with `starts` by the legal formation of most points. A group is one squad."""
-    rows = squad.select(scenario, "player_id", "position", F.col("points").cast("double").alias("points"))
+    """Each squad's players with `starts` by the legal formation of most points, and `proved` if the squad says it. A group is one squad."""
+    rows = squad.select(scenario, "player_id", "position", F.col("points").cast("double").alias("points"), *_with_proof(squad))
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         return pdf.assign(starts=pdf["player_id"].isin(best_lineup(pdf)))
@@ -395,18 +402,19 @@ def role_squads(pool: DataFrame, quotas: Mapping[str, int] = QUOTAS, budget: int
 
 
 def lineup_plans(squad: DataFrame, scenario: str = "scenario") -> DataFrame:
-    """The plans of each squad as rows: plan, player_id, role (captain, vice, starter, bench_1 ...) and the plan's value. A group is one squad; none legal gives no rows."""
-    rows = squad.select(scenario, "player_id", "position", F.col("points").cast("double").alias("points"))
+    """The plans of each squad as rows: plan, player_id, role (captain, vice, starter, bench_1 ...), the plan's value, and `proved` if the squad says it. A group is one squad; none legal gives no rows."""
+    proof = _with_proof(squad)
+    rows = squad.select(scenario, "player_id", "position", F.col("points").cast("double").alias("points"), *proof)
 
     def pick(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for name, (value, starters, seats, captain, vice) in best_plans(pdf).items():
             role = {i: "starter" for i in starters} | {i: f"bench_{k}" for k, i in enumerate(seats)} | {captain: "captain", vice: "vice"}
-            out += [(key[0], name, i, role[i], value) for i in role]
-        return pd.DataFrame(out, columns=[scenario, "plan", "player_id", "role", "value"])
+            out += [(key[0], name, i, role[i], value, *(bool(pdf[c].all()) for c in proof)) for i in role]
+        return pd.DataFrame(out, columns=[scenario, "plan", "player_id", "role", "value", *proof])
 
     kind = rows.schema
-    return rows.groupBy(scenario).applyInPandas(pick, f"{scenario} {kind[scenario].dataType.simpleString()}, plan string, player_id {kind['player_id'].dataType.simpleString()}, role string, value double")
+    return rows.groupBy(scenario).applyInPandas(pick, f"{scenario} {kind[scenario].dataType.simpleString()}, plan string, player_id {kind['player_id'].dataType.simpleString()}, role string, value double" + "".join(f", {c} boolean" for c in proof))
 
 
 #: What the points of a role count for.

@@ -43,16 +43,23 @@ def guarded_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: st
     """A join that fails if the sides it takes for unique repeat a key: `one_to_one` or `many_to_one`.
 
     Keys are counted in the join's own exchange, so the guard is part of the plan and costs no pass of its own;
-    the query fails when it runs. Null keys match nothing and may repeat.
+    the query fails when it runs. Null keys match nothing and may repeat: where `how` keeps them they are set apart
+    before a guarded side is counted, so that they never meet in one task.
     """
+    known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
+    one_to_one, how = cardinality == "one_to_one", how.replace("outer", "").strip("_") or "full"
 
     def guarded(df: DataFrame, side: str) -> DataFrame:
         times = F.count(F.lit(1)).over(Window.partitionBy(*keys))
-        known = reduce(lambda a, b: a & b, (F.col(k).isNotNull() for k in keys))
-        alone = F.assert_true((F.col("_times") == 1) | ~known, f"the {side} side repeats keys of {list(keys)}")
-        return df.withColumn("_times", times).where(alone.isNull()).drop("_times")
-
-    return (guarded(left, "left") if cardinality == "one_to_one" else left).join(guarded(right, "right"), list(keys), how)
+        alone = F.assert_true(F.col("_times") == 1, f"the {side} side repeats keys of {list(keys)}")
+        return df.where(known).withColumn("_times", times).where(alone.isNull()).drop("_times")
+
+    out = (guarded(left, "left") if one_to_one else left).join(guarded(right, "right"), list(keys), how)
+    if one_to_one and how in ("left", "full", "leftanti", "left_anti"):
+        out = out.unionByName(left.where(~known), allowMissingColumns=True)
+    if how in ("right", "full"):
+        out = out.unionByName(right.where(~known), allowMissingColumns=True)
+    return out
 
 
 def lookup(df: DataFrame, names: DataFrame, key: str, name: str, into: str) -> DataFrame:

@@ -316,9 +316,10 @@ def models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(known, "model", "left").select("model", F.col("is_default").isNotNull().alias("described"), F.coalesce("is_default", F.lit(False)).alias("is_default"))
 
 
-@query("p18_optimizer_rows", f"WITH {USER_DAYS} SELECT user_id AS player_id, day AS period, points FROM user_days WHERE day BETWEEN 1 AND 5 AND points > 0 AND user_id % 11 <> 0")
+@query("p18_optimizer_rows", f"WITH {USER_DAYS} SELECT user_id AS player_id, day AS period, points FROM user_days WHERE day BETWEEN 1 AND 5 AND points > 0 AND cards = 0")
 def optimizer_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = user_days(spark, sf_dir).where("day BETWEEN 1 AND 5 AND points > 0 AND user_id % 11 <> 0")
+    """Days of the horizon with points, of users without an error that day: those are eligible."""
+    rows = user_days(spark, sf_dir).where("day BETWEEN 1 AND 5 AND points > 0 AND cards = 0")
     return rows.select(F.col("user_id").alias("player_id"), F.col("day").alias("period"), "points")
 
 
