@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.text import kickoff
 from tidemark.operators.relational import grid
 
 DISCOUNTS = (1.0, 0.85, 0.70, 0.55, 0.40)
@@ -23,6 +24,50 @@ def fixture_flags(fixtures: DataFrame, first: int, last: int) -> DataFrame:
     return rows.withColumn("valid", ~(F.col("repeated_id") | F.col("self_match") | F.col("out_of_scope")))
 
 
+#: What stops a horizon, and what only has to be told, by the counts of `horizon_report`.
+BLOCKERS = ("missing_identity", "unknown_team", "self_match", "repeated_id", "repeated_key", "repeated_pairing", "missing_periods")
+WARNINGS = ("missing_kickoff", "invalid_kickoff", "changed_kickoff", "newly_known_kickoff", "lost_kickoff", "removed", "started", "finished")
+
+
+def horizon_report(fixtures: DataFrame, teams: DataFrame, first: int, last: int, before: DataFrame | None = None) -> DataFrame:
+    """One row: what is wrong with the fixtures of a horizon, as counts, with blockers, warnings (names of counts that are not 0) and passed.
+
+    `fixtures` has match_id, season, period, kickoff (text in ISO 8601), home_id, away_id, started, finished; `teams` has team_id; `before` is the horizon as it was,
+    with match_id and kickoff. A row that repeats an id, a season's period and sides, or a pair of teams in any order counts, as does each of its like.
+    Without `before` the warnings say no_comparison.
+    """
+    at, status = kickoff("kickoff")
+    size = lambda *keys: F.count(F.lit(1)).over(Window.partitionBy(*keys))
+    pair = (F.least("home_id", "away_id"), F.greatest("home_id", "away_id"))
+    rows = fixtures.withColumns({"_status": status, "_at": at, "_ids": size("match_id"), "_keys": size("season", "period", "home_id", "away_id"), "_pairs": size("season", "period", *pair)})
+    known = teams.select(F.col("team_id").alias("_team"), F.lit(True).alias("_known")).distinct()
+    for side in ("home", "away"):
+        rows = rows.join(known.withColumnsRenamed({"_team": f"_{side}", "_known": f"_{side}_known"}), F.col(f"{side}_id") == F.col(f"_{side}"), "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    unknown = (F.col("home_id").isNotNull() & F.col("_home_known").isNull()) | (F.col("away_id").isNotNull() & F.col("_away_known").isNull())
+    missing = F.col("match_id").isNull() | F.col("home_id").isNull() | F.col("away_id").isNull() | F.col("period").isNull()
+    counts = {
+        "missing_identity": missing, "unknown_team": unknown, "self_match": F.col("home_id") == F.col("away_id"),
+        "repeated_id": (F.col("_ids") > 1) & F.col("match_id").isNotNull(), "repeated_key": (F.col("_keys") > 1) & ~missing, "repeated_pairing": (F.col("_pairs") > 1) & ~missing,
+        "missing_kickoff": F.col("_status") == "missing", "invalid_kickoff": F.col("_status") == "invalid", "started": F.col("started"), "finished": F.col("finished"),
+    }
+    found = F.array_sort(F.collect_set(F.when(F.col("period").between(first, last), F.col("period").cast("long"))))
+    out = rows.agg(F.count("*").alias("fixtures"), found.alias("periods"), *(F.count_if(yes(c)).alias(n) for n, c in counts.items()))
+    out = out.withColumn("missing_periods", F.size(F.array_except(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long")), "periods")).cast("long"))
+    if before is None:
+        out = out.withColumns({c: F.lit(0).cast("long") for c in ("changed_kickoff", "newly_known_kickoff", "lost_kickoff", "removed")})
+    else:
+        was, _ = kickoff("kickoff")
+        old, new = before.select("match_id", was.alias("_was"), F.lit(True).alias("_there")), rows.select("match_id", F.col("_at").alias("_is"), F.lit(True).alias("_here"))
+        both = old.join(new, "match_id", "full")
+        stays = F.col("_there") & F.col("_here")
+        changes = {"changed_kickoff": stays & (F.col("_was") != F.col("_is")), "newly_known_kickoff": stays & F.col("_was").isNull() & F.col("_is").isNotNull(), "lost_kickoff": stays & F.col("_was").isNotNull() & F.col("_is").isNull(), "removed": F.col("_here").isNull()}
+        out = out.crossJoin(F.broadcast(both.agg(*(F.count_if(yes(c)).alias(n) for n, c in changes.items()))))  # one row each
+    named = lambda names: F.filter(F.array(*(F.when(F.col(n) > 0, n) for n in names)), lambda x: x.isNotNull())
+    warnings = named(WARNINGS) if before is not None else F.concat(named(WARNINGS), F.array(F.lit("no_comparison")))
+    return out.withColumns({"blockers": named(BLOCKERS), "warnings": warnings}).withColumn("passed", F.size("blockers") == 0)
+
+
 def side_sequence(sides: DataFrame) -> DataFrame:
     """Sides with their number within the team's period, how many there are, and the double flag."""
     w = Window.partitionBy("team_id", "period")

@@ -110,3 +110,19 @@ def collapse_periods(df: DataFrame, keys: Sequence[str], sums: Sequence[str], si
 def profile(df: DataFrame, distinct: Sequence[str] = (), sums: Sequence[str] = (), counts: dict[str, Column] | None = None) -> DataFrame:
     """One row about a table: rows, distinct counts, sums and conditional counts."""
     return df.agg(F.count("*").alias("rows"), *(F.count_distinct(c).alias(f"{c}_distinct") for c in distinct), *(zero_sum(c).alias(f"{c}_sum") for c in sums), *(F.count_if(c).alias(n) for n, c in (counts or {}).items()))
+
+
+def season_report(fixtures: DataFrame, stats: DataFrame, season: str = "season", period: str = "period") -> DataFrame:
+    """A row for each season of either table: rows, periods and what they span, what is finished, sides, players, totals, repeated keys, and what can be built from it.
+
+    `fixtures` has match_id, home_id, away_id, finished; `stats` has player_id, minutes, points. `ready_for_priors` needs player rows, `ready_for_matches` fixtures.
+    """
+    n = lambda c: F.coalesce(F.count_distinct(c), F.lit(0))
+    spans = lambda p: (F.min(period).alias(f"{p}_first"), F.max(period).alias(f"{p}_last"), n(period).alias(f"{p}_periods"))
+    games = fixtures.groupBy(season).agg(F.count("*").alias("fixtures"), *spans("fixture"), F.count_if("finished").alias("finished"), (n("home_id") + n("away_id")).alias("sides"))
+    rows = stats.groupBy(season).agg(F.count("*").alias("player_rows"), n("player_id").alias("players"), *spans("player"), zero_sum("minutes").alias("minutes"), zero_sum("points").alias("points"))
+    repeated = lambda df, keys, name: df.groupBy(season, *keys).count().where("count > 1").groupBy(season).agg(F.count("*").alias(name))
+    out = games.join(rows, season, "full").join(repeated(fixtures, ["match_id"], "repeated_fixtures"), season, "left").join(repeated(stats, [period, "player_id"], "repeated_player_rows"), season, "left")
+    counts = [c for c in out.columns if c not in (season, "fixture_first", "fixture_last", "player_first", "player_last")]
+    out = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    return out.withColumns({"ready_for_priors": F.col("player_rows") > 0, "ready_for_matches": F.col("fixtures") > 0})

@@ -119,18 +119,27 @@ def safe_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", t.safe_segment(F.element_at(F.split("url", "/"), -1)).alias("safe"))
 
 
+#: Three audit reports for each order, spoilt by what the order is like. The text is read by both engines.
+REPORTS = """SELECT o_orderkey,
+    concat('{"multi_season_model_training_ready": ', CASE WHEN o_orderpriority LIKE '5%' THEN '"true soon"' WHEN o_orderpriority LIKE '4%' THEN 'false' ELSE 'true' END, '}') AS training,
+    concat('{"passed": ', CASE WHEN o_orderstatus = 'P' THEN 'false' ELSE 'true' END, ', "writes_database": ', CASE WHEN o_totalprice > 30000 THEN 'true' ELSE 'false' END, '}') AS mapping,
+    concat('{"passed": true, "ready_for_prior_feature_export": true, "writes_database": false, "blockers": ', CASE WHEN o_orderpriority LIKE '1%' THEN '["rows"]' ELSE '[ ]' END,
+        ', "join_summary": {"row_count_preserved": ', CASE WHEN o_totalprice < 1000 THEN 'false' ELSE 'true' END, ', "joined_feature_key_duplicate_count": ', CASE WHEN o_orderstatus = 'F' AND o_totalprice > 20000 THEN '2' ELSE '0' END, '}}') AS joined
+    FROM orders"""
+
+
 @query(
     "v26_training_readiness",
-    """SELECT n_nationkey, n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AS prior_join_allowed, n_nationkey % 5 <> 0 AS mapping_safe, n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AND n_nationkey % 5 <> 0 AND n_nationkey % 7 <> 0 AS training_ready FROM nation""",
+    f"""WITH r AS (SELECT o_orderkey, CAST(training AS JSON) AS t, CAST(mapping AS JSON) AS m, CAST(joined AS JSON) AS j FROM ({REPORTS})),
+    s AS (SELECT o_orderkey, CAST(j->'$.passed' AS BOOLEAN) AND CAST(j->'$.ready_for_prior_feature_export' AS BOOLEAN) AND NOT CAST(j->'$.writes_database' AS BOOLEAN) AND json_array_length(j->'$.blockers') = 0
+            AND CAST(j->'$.join_summary.row_count_preserved' AS BOOLEAN) AND CAST(j->'$.join_summary.joined_feature_key_duplicate_count' AS INT) = 0 AS prior_join_allowed,
+        CAST(m->'$.passed' AS BOOLEAN) AND NOT CAST(m->'$.writes_database' AS BOOLEAN) AS mapping_safe, t->>'$.multi_season_model_training_ready' = 'true' AS says FROM r)
+    SELECT o_orderkey, prior_join_allowed, mapping_safe, prior_join_allowed AND mapping_safe AND says AS training_ready FROM s""",
 )
 def training_readiness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.col("n_nationkey")
-    audit = F.struct((key % 7 != 0).alias("multi_season_model_training_ready"))
-    mapping = F.struct((key % 5 != 0).alias("passed"), F.lit(False).alias("writes_database"))
-    blockers = F.when(key % 3 == 0, F.array(F.lit("rows"))).otherwise(F.array().cast("array<string>"))
-    join = F.struct((key % 2 == 0).alias("passed"), F.lit(True).alias("ready_for_prior_feature_export"), F.lit(False).alias("writes_database"), blockers.alias("blockers"), F.struct(F.lit(True).alias("row_count_preserved"), F.lit(0).alias("joined_feature_key_duplicate_count")).alias("join_summary"))
-    reports = table(spark, sf_dir, "nation").select("n_nationkey", *(F.to_json(x).alias(n) for n, x in (("training", audit), ("mapping", mapping), ("join", join))))
-    return co.training_readiness(reports).select("n_nationkey", "prior_join_allowed", "mapping_safe", "training_ready")
+    columns = [c.strip() for c in REPORTS.removeprefix("SELECT").rsplit("FROM", 1)[0].split(",\n    concat")]
+    reports = table(spark, sf_dir, "orders").selectExpr(columns[0], *(f"concat{c}" for c in columns[1:]))
+    return co.training_readiness(reports, join="joined").select("o_orderkey", "prior_join_allowed", "mapping_safe", "training_ready")
 
 
 @query(

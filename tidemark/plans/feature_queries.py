@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import features as f
+from tidemark.operators import horizon as h
+from tidemark.operators import summaries as su
 from tidemark.operators.rolling import last_per_group
 from tidemark.plans.event_queries import CONTEXT
-from tidemark.plans.frames import SIDES, USER_DAYS, matches, sides, user_days
+from tidemark.plans.frames import MATCHES, SIDES, USER_DAYS, matches, sides, user_days
 from tidemark.plans.registry import query
 from tidemark.sources.readers import table
 
@@ -123,3 +125,41 @@ def preseason_players(spark: SparkSession, sf_dir: str) -> DataFrame:
     strengths = strengths.select("fixture_id", "team_id", (F.col("team_id") < 3).alias("team_fallback"), (F.col("opponent_id") < 3).alias("opponent_fallback"), "team_points", "opponent_points")
     out = f.preseason_players(players, teams, fixtures, mapping, priors, strengths, ["T1", "T2"], ["points_prior"], ["team_points", "opponent_points"], {"target_season": "1996_97"})
     return out.select("player_id", "team_id", "team", "fixture_id", "opponent_id", "raw_key", "mapping_status", "minutes_prior", "points_prior", F.round("team_points", 6).alias("team_points"), F.round("opponent_points", 6).alias("opponent_points"), *FLAGS, "target_season")
+
+
+TEAMS_KNOWN = 24
+
+
+@query(
+    "v13_horizon_report",
+    f"""WITH {MATCHES}, f AS (SELECT match_id, season, period, kickoff, CASE WHEN home_score = 0 THEN NULL ELSE kickoff END AS now_at, home_id, away_id, home_score + away_score > 7 AS started FROM matches WHERE period BETWEEN 30 AND 34),
+    k AS (SELECT *, count(*) OVER (PARTITION BY season, period, home_id, away_id) AS keys, count(*) OVER (PARTITION BY season, period, least(home_id, away_id), greatest(home_id, away_id)) AS pairs FROM f),
+    b AS (SELECT match_id, CASE WHEN away_score = 0 THEN NULL WHEN home_score = 2 THEN kickoff + INTERVAL 1 DAY ELSE kickoff END AS was FROM matches WHERE period BETWEEN 29 AND 33),
+    c AS (SELECT count(*) FILTER (was <> now_at) AS changed_kickoff, count(*) FILTER (f.match_id IS NOT NULL AND was IS NULL AND now_at IS NOT NULL) AS newly_known_kickoff, count(*) FILTER (was IS NOT NULL AND f.match_id IS NOT NULL AND now_at IS NULL) AS lost_kickoff, count(*) FILTER (f.match_id IS NULL) AS removed FROM b LEFT JOIN f USING (match_id))
+    SELECT count(*) AS fixtures, count(*) FILTER (home_id >= {TEAMS_KNOWN} OR away_id >= {TEAMS_KNOWN}) AS unknown_team, count(*) FILTER (keys > 1) AS repeated_key, count(*) FILTER (pairs > 1) AS repeated_pairing, 35 - 30 - count(DISTINCT period) AS missing_periods,
+        count(*) FILTER (now_at IS NULL) AS missing_kickoff, count(*) FILTER (started) AS started, any_value(changed_kickoff) AS changed_kickoff, any_value(newly_known_kickoff) AS newly_known_kickoff, any_value(lost_kickoff) AS lost_kickoff, any_value(removed) AS removed,
+        count(*) FILTER (home_id >= {TEAMS_KNOWN} OR away_id >= {TEAMS_KNOWN} OR pairs > 1) = 0 AND count(DISTINCT period) = 5 AS passed FROM k, c""",
+)
+def horizon_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five periods of matches against the horizon of a period before: one nation is not known, some kickoffs are not known yet or were not then, or have moved."""
+    rows = matches(spark, sf_dir)
+    text = lambda c: c.cast("string")
+    now = rows.where("period BETWEEN 30 AND 34").withColumns({"kickoff": F.when(F.col("home_score") != 0, text(F.col("kickoff"))), "started": F.col("home_score") + F.col("away_score") > 7, "finished": F.lit(False)})
+    moved = F.when(F.col("home_score") == 2, F.col("kickoff") + F.expr("INTERVAL 1 DAY")).otherwise(F.col("kickoff"))
+    before = rows.where("period BETWEEN 29 AND 33").select("match_id", F.when(F.col("away_score") != 0, text(moved)).alias("kickoff"))
+    teams = table(spark, sf_dir, "nation").where(F.col("n_nationkey") < TEAMS_KNOWN).select(F.col("n_nationkey").cast("long").alias("team_id"))
+    names = ("fixtures", "unknown_team", "repeated_key", "repeated_pairing", "missing_periods", "missing_kickoff", "started", "changed_kickoff", "newly_known_kickoff", "lost_kickoff", "removed", "passed")
+    return h.horizon_report(now, teams, 30, 34, before).select(*names)
+
+
+@query(
+    "v03_season_report",
+    f"""WITH {MATCHES}, {PLAYER_ROWS}, g AS (SELECT season, count(*) AS fixtures, min(period) AS fixture_first, max(period) AS fixture_last, count(DISTINCT period) AS fixture_periods, count(*) FILTER (home_score > 0) AS finished, count(DISTINCT home_id) + count(DISTINCT away_id) AS sides FROM matches GROUP BY 1),
+    p AS (SELECT season, count(*) AS player_rows, count(DISTINCT player_id) AS players, min(period) AS player_first, max(period) AS player_last, CAST(sum(minutes) AS BIGINT) AS minutes, CAST(sum(points) AS BIGINT) AS points FROM player_rows GROUP BY 1)
+    SELECT coalesce(g.season, p.season) AS season, coalesce(fixtures, 0) AS fixtures, fixture_first, fixture_last, coalesce(fixture_periods, 0) AS fixture_periods, coalesce(finished, 0) AS finished, coalesce(sides, 0) AS sides, coalesce(player_rows, 0) AS player_rows, coalesce(players, 0) AS players,
+        player_first, player_last, coalesce(minutes, 0) AS minutes, coalesce(points, 0) AS points, 0::BIGINT AS repeated_player_rows, coalesce(player_rows, 0) > 0 AS ready_for_priors, coalesce(fixtures, 0) > 0 AS ready_for_matches FROM g FULL JOIN p ON g.season = p.season""",
+)
+def season_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fixtures = matches(spark, sf_dir).withColumn("finished", F.col("home_score") > 0)
+    names = ("season", "fixtures", "fixture_first", "fixture_last", "fixture_periods", "finished", "sides", "player_rows", "players", "player_first", "player_last", "minutes", "points", "repeated_player_rows", "ready_for_priors", "ready_for_matches")
+    return su.season_report(fixtures, player_rows(spark, sf_dir)).select(*names)

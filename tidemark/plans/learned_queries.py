@@ -9,6 +9,7 @@ from tidemark.operators import asof, boosting, gram
 from tidemark.operators import events as e
 from tidemark.operators import learned as l
 from tidemark.operators import rolling as r
+from tidemark.plans import feature_queries
 from tidemark.plans.frames import USER_DAYS, sides, user_days
 from tidemark.plans.registry import query
 from tidemark.sources.readers import table
@@ -134,6 +135,17 @@ def outcome_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return l.outcome_chances(l.outcome_logistic(train, MATCH_FEATURES, "label"), valid, MATCH_FEATURES).select("match_id", "pred", *(F.round(c, 4).alias(c) for c in ("p_home", "p_draw", "p_away")))
 
 
+@query("m11_outcome_logistic_v2")
+def outcome_logistic_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three outcomes from the full match features: standing, recent strength, rest, difficulty and last meetings of both sides; what is missing counts as 0."""
+    rows = feature_queries.match_features(spark, sf_dir)
+    features = [c for c in (*feature_queries.WHOLE, *feature_queries.REAL) if c not in ("home_score", "away_score", "home_goals", "away_goals")]
+    rows = rows.select("match_id", "period", "label", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
+    rows = rows.cache()  # the fit goes through the rows some dozens of times
+    train, valid = l.temporal_split(rows, "period", 70)
+    return l.outcome_chances(l.outcome_logistic(train, features, "label", rounds=50), valid, features).select("match_id", "pred", *(F.round(c, 4).alias(c) for c in ("p_home", "p_draw", "p_away")))
+
+
 def _boosted(spark: SparkSession, sf_dir: str, growth: boosting.Growth, rounds: int) -> DataFrame:
     train, valid = _matches(spark, sf_dir)
     model = boosting.fit(train, MATCH_FEATURES, "label", l.OUTCOMES, rounds=rounds, growth=growth)
