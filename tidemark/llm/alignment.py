@@ -31,7 +31,7 @@ from tidemark.llm.bpe import byte_symbols
 from tidemark.llm.common import cut
 
 #: Bytes of text of a batch, pieces that are encoded as one text, and such texts at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 RUN = 256
 RUNS_AT_ONCE = 64
 #: What B writes for a space.
@@ -83,13 +83,23 @@ def components(nodes: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             root = up
 
 
+def cuts_surely(a_spec: str, b_model: bytes) -> bool:
+    """Whether both vocabularies cut before the space of a word wherever CUT finds one. The files are taken apart for this on the driver alone."""
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
+
+    before, proto = json.loads(a_spec), ModelProto.FromString(b_model)
+    split, rules = before["pre_tokenizer"] or {}, proto.normalizer_spec
+    sure_a = before["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
+    sure_b = rules.name == "identity" and rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces
+    return bool(sure_a and sure_b and not any(SPACE in p.piece.lstrip(SPACE) for p in proto.pieces))
+
+
 class Aligner:
     """Aligns pieces of text that start with a space (which B adds by itself)."""
 
-    def __init__(self, a_spec: str, b_model: bytes, links: str):
+    def __init__(self, a_spec: str, b_model: bytes, links: str, sure: bool):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
-        from sentencepiece.sentencepiece_model_pb2 import ModelProto
         from tokenizers import Tokenizer
 
         if links not in LINKS:
@@ -103,11 +113,7 @@ class Aligner:
         self.bytes_a = {i: special[i].encode() if i in special else bytes(map(byte.__getitem__, t)) for t, i in self._a.get_vocab().items()}
         pieces = [self._b.id_to_piece(i) for i in range(self._b.get_piece_size())]
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self._b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(pieces)]
-        before, proto = json.loads(a_spec), ModelProto.FromString(b_model)
-        split, rules = before["pre_tokenizer"] or {}, proto.normalizer_spec
-        sure_a = before["normalizer"] is None and split.get("type") == "ByteLevel" and split["use_regex"] and not split["add_prefix_space"]
-        sure_b = rules.name == "identity" and rules.add_dummy_prefix and rules.escape_whitespaces and not rules.remove_extra_whitespaces
-        self.sure = bool(sure_a and sure_b and not any(SPACE in p.lstrip(SPACE) for p in pieces))
+        self.sure = sure
         self._size_a = np.array([len(self.bytes_a.get(i, b"")) for i in range(max(self.bytes_a) + 1)], np.int64)
         self._size_b = np.array([len(x) for x in self.bytes_b], np.int64)
         self._first_b = len(self._size_a)
@@ -177,8 +183,8 @@ class Aligner:
 
 
 @lru_cache(maxsize=2)
-def aligner(a_spec: str, b_model: bytes, links: str) -> Aligner:
-    return Aligner(a_spec, b_model, links)
+def aligner(a_spec: str, b_model: bytes, links: str, sure: bool) -> Aligner:
+    return Aligner(a_spec, b_model, links, sure)
 
 
 class _Slots(dict):
@@ -187,13 +193,13 @@ class _Slots(dict):
         return slot
 
 
-def _read(a_spec, b_model, links: str, buckets: int, limit: int, keep: bool, id_type: pa.DataType):
+def _read(a_spec, b_model, sure: bool, links: str, buckets: int, limit: int, keep: bool, id_type: pa.DataType):
     """Documents with the places of their pieces, a row with the links of the batch's pieces, and the pairs of ids to be counted, by bucket of B's id."""
     names = ("n_a", "n_b", "n_groups", "n_links")
     schema = pa.schema([("batch", pa.int64()), ("id", id_type), *((x, pa.int64()) for x in names), ("groups_sha256", pa.string()), ("groups", pa.string()), ("words", pa.binary()), ("bucket", pa.int32()), *((x, pa.binary()) for x in ("a", "b", "n", "sizes"))])
 
     def run(rows: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = aligner(a_spec.value, b_model.value, links)
+        made = aligner(a_spec.value, b_model.value, links, sure)
         for number, batch in in_batches(rows, limit):
             slots, docs = _Slots(), []
             for doc, text in batch:
@@ -266,10 +272,11 @@ def align(docs: DataFrame, a_vocabulary: str, b_model: str, links: str = "ends",
     repeated ids pass through, each row by itself, and count each time; other columns are not read; an empty table gives no rows.
     """
     context = docs.sparkSession.sparkContext
-    a_spec, model = context.broadcast(Path(a_vocabulary).read_text()), context.broadcast(Path(b_model).read_bytes())
+    a_text, b_bytes = Path(a_vocabulary).read_text(), Path(b_model).read_bytes()
+    a_spec, model = context.broadcast(a_text), context.broadcast(b_bytes)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType
-    read = _read(a_spec, model, links, buckets_for(rows, "text"), batch_bytes, keep_groups, to_arrow_type(kind))
+    read = _read(a_spec, model, cuts_surely(a_text, b_bytes), links, buckets_for(rows, "text"), batch_bytes, keep_groups, to_arrow_type(kind))
     stored = cut(rows.mapInArrow(read, STORED.format(id=kind.simpleString())), "aligned")
     asked = stored.where("bucket IS NOT NULL").select("bucket", "batch", "a", "b", "n")
     answers = cut(answered(asked, _count, _ANSWERS, ANSWERS), "pairs")
