@@ -5,7 +5,7 @@ import json
 import pytest
 
 from tidemark.operators import rulebook as rb
-from tidemark.plans.rule_queries import rules_document
+from tidemark.plans.rule_queries import document_problems, rules_document
 
 
 def event_row(**events):
@@ -116,3 +116,19 @@ def test_matches_that_cannot_be_scored(spark):
     docs = spark.createDataFrame([(rules_document("2025_26"),)], "document string")
     got = {r.i: (r.problem, r.total_points) for r in rb.score_by_rules(matches, rb.rule_rows(docs)).collect()}
     assert got == {0: ("negative.goals", None), 1: ("bonus_not_given", None), 2: ("no_rules", None), 3: ("no_rules", None), 4: ("unknown_position", None), 5: (None, 3), 6: (None, 0)}
+
+
+def test_documents_of_other_shapes(spark):
+    shape = lambda path, value: rules_document("2025_26", {path: value})
+    got = problems(spark, shape("scoring", []), shape("scoring", None), "[1]", "null", shape("scoring.cards", "x"), shape("deterministic_examples", {}), shape("source_notes", None))
+    assert got[:4] == [["kind.scoring"]] * 2 + [["unreadable"]] * 2
+    assert got[4] == sorted(f"wrong.scoring.cards.{k}" for k in ("yellow_points", "red_points", "red_points_include_yellow_deductions"))
+    assert got[5:] == [["kind.deterministic_examples"], ["kind.source_notes"]]
+
+
+def test_documents_are_opened_once_and_dealt_to_all_cores(spark):
+    """The documents of a small file went to one task, which looked every path up from the top of the document."""
+    found = document_problems(spark, "/root/testdata/sf0.001")
+    assert found.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("try_variant_get") < 2 * len(rb.REQUIRED) and plan.count("schemaOfVariant") < 3 * len(rb.REQUIRED)

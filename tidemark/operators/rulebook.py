@@ -65,6 +65,29 @@ def _at(path: str, document: str = "_doc") -> Column:
     return F.try_variant_get(document, "".join(["$", *(f'["{k}"]' for k in path.split("."))]), "variant")
 
 
+def _opened(rows: DataFrame, paths: Sequence[str], document: str = "_doc") -> tuple[DataFrame, dict[str, Column], dict[str, Column]]:
+    """`rows` with the values at paths of keys, the column of each path, and of each path above another whether an object is there.
+
+    The columns are as of `_at`, but an object is opened once for all of its keys.
+    """
+    every = {".".join(keys[: i + 1]) for keys in (p.split(".") for p in paths) for i in range(len(keys))}
+    below: dict[str, list[str]] = {}
+    for p in sorted(every):
+        below.setdefault(p.rpartition(".")[0], []).append(p)
+    at, objects, level = {"": F.col(document)}, {}, [""]
+    while level:
+        opened = {}
+        for above in level:
+            names = [p.rpartition(".")[2] for p in below[above]]
+            keys = f"_keys{len(objects)}"
+            opened[keys] = F.try_variant_get(at[above], "$", "struct<" + ", ".join(f"`{k}`: variant" for k in names) + ">")
+            at |= {p: F.col(keys)[k] for p, k in zip(below[above], names)}
+            objects[above] = F.col(keys).isNotNull()
+        rows = rows.withColumns(opened)
+        level = [p for above in level for p in below[above] if p in below]
+    return rows, at, objects
+
+
 def _kind(value: Column) -> Column:
     """BIGINT, STRING, BOOLEAN, OBJECT<...>, ARRAY<...>, VOID (a null that is written), or null where there is no value."""
     return F.schema_of_variant(value)
@@ -81,7 +104,12 @@ def _text(value: Column) -> Column:
 def _same(value: Column, wanted: object) -> Column:
     """Equal in kind and value; keys of an object may stand in any order."""
     other = F.parse_json(F.lit(json.dumps(wanted)))
-    return F.coalesce((_kind(value) == _kind(other)) & (F.to_json(value) == F.to_json(other)), F.lit(False))
+    return F.coalesce((F.to_json(value) == F.to_json(other)) & (_kind(value) == _kind(other)), F.lit(False))
+
+
+def _parts(value: Column) -> Column:
+    """The values of a list; null for what is no list."""
+    return F.try_variant_get(value, "$", "array<variant>")
 
 
 def _keys(value: Column) -> Column:
@@ -100,35 +128,36 @@ def document_problems(documents: DataFrame, document: str = "document", season:
     not the season asked for. `examples.few` and `examples.<position>`: fewer examples than positions, none for a position. Text that is not a JSON object is `unreadable`.
     """
     rows = documents.withColumn("_doc", F.try_parse_json(document))
-    scoring, examples = _at("scoring"), _at("deterministic_examples")
-    there = lambda path: _at(path).isNotNull()
+    policies = "scoring.defensive_contributions.by_position"
+    asked = [*TOP_KEYS, *(f"scoring.{k}" for k in RULE_KEYS), *TEXTS, *LISTS, *(f"{p}.{x}" for p in POINTS_BY_POSITION for x in POSITIONS), policies, *required]
+    rows, at, objects = _opened(rows, asked)
+    there = lambda path: at[path].isNotNull()
     found = [F.when(~there(k), f"missing.{k}") for k in TOP_KEYS]
-    found += [F.when(_is("OBJECT", scoring) & ~there(f"scoring.{k}"), f"missing.scoring.{k}") for k in RULE_KEYS]
-    found += [F.when(there(p) & (~_is("STRING", _at(p)) | (F.trim(_text(_at(p))) == "")), f"kind.{p}") for p in TEXTS if "." not in p]
-    found += [F.when(there("scoring.assists") & ~(_is("STRING", _at(p)) & (F.trim(_text(_at(p))) != "")), f"kind.{p}") for p in TEXTS if "." in p]
-    found += [F.when(there(p) & ~_is("ARRAY", _at(p)), f"kind.{p}") for p in LISTS]
-    found += [F.when(there("scoring") & ~_is("OBJECT", scoring), "kind.scoring")]
+    found += [F.when(objects["scoring"] & ~there(f"scoring.{k}"), f"missing.scoring.{k}") for k in RULE_KEYS]
+    found += [F.when(there(p) & (~_is("STRING", at[p]) | (F.trim(_text(at[p])) == "")), f"kind.{p}") for p in TEXTS if "." not in p]
+    found += [F.when(there("scoring.assists") & ~(_is("STRING", at[p]) & (F.trim(_text(at[p])) != "")), f"kind.{p}") for p in TEXTS if "." in p]
+    found += [F.when(there(p) & _parts(at[p]).isNull(), f"kind.{p}") for p in LISTS]
+    found += [F.when(there("scoring") & ~objects["scoring"], "kind.scoring")]
     for p in POINTS_BY_POSITION:
-        numbers = [_is("BIGINT", _at(f"{p}.{x}")) for x in POSITIONS]
-        good = _has_keys(_at(p), POSITIONS) & numbers[0] & numbers[1] & numbers[2] & numbers[3]
+        numbers = [_is("BIGINT", at[f"{p}.{x}"]) for x in POSITIONS]
+        good = _has_keys(at[p], POSITIONS) & numbers[0] & numbers[1] & numbers[2] & numbers[3]
         found.append(F.when(there(p.rpartition(".")[0]) & ~good, f"kind.{p}"))
-    policies = "scoring.defensive_contributions.by_position"
-    found.append(F.when(there("scoring.defensive_contributions") & ~_has_keys(_at(policies), POSITIONS), f"kind.{policies}"))
+    found.append(F.when(there("scoring.defensive_contributions") & ~_has_keys(at[policies], POSITIONS), f"kind.{policies}"))
     for path, value in required.items():
         above = path.split(".")[:2] if path.startswith("scoring.") else [path]
         missing_counts = path.endswith("GKP.threshold")  # no threshold and a null one are the same
-        good = _same(_at(path), value) | (F.lit(missing_counts) & _at(path).isNull())
+        good = _same(at[path], value) | (F.lit(missing_counts) & at[path].isNull())
         found.append(F.when(there(".".join(above)) & ~good, f"wrong.{path}"))
-    said = F.when(_is("STRING", _at("effective_season")), F.trim(_text(_at("effective_season"))))
+    said = F.when(_is("STRING", at["effective_season"]), F.trim(_text(at["effective_season"])))
     found.append(F.when(said.isNotNull() & ~season_valid(said), "wrong.effective_season"))
     if season is not None:
         found.append(F.when(said.isNotNull() & (said != season), "other.effective_season"))
-    positions = F.when(_is("ARRAY", examples), F.transform(F.try_variant_get(examples, "$", "array<variant>"), lambda e: F.try_variant_get(e, "$.position", "string")))
+    rows = rows.withColumn("_positions", F.transform(_parts(at["deterministic_examples"]), lambda e: F.try_variant_get(e, "$.position", "string")))
+    positions = F.col("_positions")
     found.append(F.when(F.size(positions) < len(POSITIONS), "examples.few"))
     found += [F.when(positions.isNotNull() & ~F.coalesce(F.array_contains(positions, p), F.lit(False)), f"examples.{p}") for p in POSITIONS]
-    unreadable = ~_is("OBJECT", F.col("_doc"))
-    problems = F.when(unreadable, F.array(F.lit("unreadable"))).otherwise(F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())))
-    return rows.withColumn("problems", problems).withColumn("valid", F.size("problems") == 0).drop("_doc")
+    problems = F.when(~objects[""], F.array(F.lit("unreadable"))).otherwise(F.array_sort(F.filter(F.array(*found), lambda x: x.isNotNull())))
+    return rows.withColumn("problems", problems).withColumn("valid", F.size("problems") == 0).select(*documents.columns, "problems", "valid")
 
 
 # Rules

@@ -63,6 +63,10 @@ def _spoilt_sql() -> str:
     return out
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 @query(
     "e10_registry_problems",
     f"""WITH d AS (SELECT c_custkey, CAST({_spoilt_sql()} AS JSON) AS j FROM customer),
@@ -84,7 +88,8 @@ def _spoilt_sql() -> str:
 )
 def document_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A document for every customer, spoilt in up to eleven places (one of which does no harm), read by JSON paths on both sides."""
-    documents = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_spoilt_sql()).alias("document"))
+    keys = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").repartition(_tasks(spark))  # a small file is one task's, whose documents are not small
+    documents = keys.select("c_custkey", F.expr(_spoilt_sql()).alias("document"))
     return rb.document_problems(documents).select("c_custkey", F.array_join("problems", "|").alias("problems"), "valid")
 
 
