@@ -148,6 +148,18 @@ def test_boosting_equals_a_plain_version(spark, growth):
     assert all(1 < sum(f < 0 for f in t.feature) <= growth.leaves for trees in model.rounds for t in trees)
 
 
+def test_boosting_goes_through_different_rows_alone(spark, monkeypatch):
+    """Trees were grown over every row again and again; rows of the same bins and class are one with a weight."""
+    df = spark.range(6000).select((F.col("id") % 7).cast("double").alias("a"), F.when(F.col("id") % 5 < 3, F.col("id") % 3).cast("double").alias("b"), F.when(F.col("id") % 7 + F.col("id") % 11 > 8, "H").otherwise("A").alias("label"))
+    gone, grow = [], boosting.grow
+    monkeypatch.setattr(boosting, "grow", lambda rows, *how: gone.append((rows.count(), rows.rdd.getNumPartitions())) or grow(rows, *how))
+    model = boosting.fit(df, ["a", "b"], "label", ["A", "H"], rounds=2, growth=boosting.Growth(leaves=3, rows=50))
+    assert gone == [(df.distinct().count(), 1)] * 2 and all(n < 60 for n, _ in gone)
+    once = boosting.scored(df.distinct(), model).select("a", "b", "p_A", "p_H").distinct()
+    share = df.agg(F.avg((F.col("label") == "A").cast("double"))).first()[0]
+    assert once.count() == df.select("a", "b").distinct().count() and df.join(once, (df.a == once.a) & df.b.eqNullSafe(once.b)).agg(F.avg("p_A")).first()[0] == pytest.approx(share, abs=0.01)
+
+
 def test_boosting_of_nothing(spark):
     empty = spark.createDataFrame([], "a double, label string")
     model = boosting.fit(empty, ["a"], "label", ["A", "H"], rounds=2)

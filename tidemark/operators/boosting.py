@@ -1,9 +1,9 @@
 """Joint boosting of several classes: softmax gradients, histograms over binned features, leaf-wise trees.
 
 Each round grows one tree a class against the gradients of all classes' common softmax, so the chances of a row sum to one. The rows are
-binned once. What a split needs is the sum of gradients and curvatures by leaf, feature and bin: tasks add these up for all
+binned once, and rows of the same bins and class are one with a weight. What a split needs is the sum of gradients and curvatures by leaf, feature and bin: tasks add these up for all
 classes and open leaves at once, and one grouping adds up the tasks. The driver holds trees and histograms, whose sizes do not
-depend on the rows; a row's place and score are worked out from the trees, so nothing but the binned rows is kept.
+depend on the rows; a row's place and score are worked out from the trees, so nothing but the different binned rows is kept.
 """
 
 from __future__ import annotations
@@ -113,29 +113,31 @@ def best_split(histogram: np.ndarray, growth: Growth) -> tuple[float, int, int,
     return float(best), j, b, (value(*left), value(*right)), (int(n[j, b]), int(n_all[j, 0] - n[j, b]))
 
 
+#: Different binned rows that are too few to be dealt over several tasks.
+ROWS_A_TASK = 50_000
 HISTOGRAM = "class int, node int, feature int, bin int, g double, h double, n long"
 
 
 def histograms(rows: DataFrame, model: Boosted, trees: list[Tree], wanted: list[list[int]], width: int) -> dict[tuple[int, int], np.ndarray]:
     """Sums of gradient, curvature and rows by feature and bin of the wanted leaves of each class's growing tree.
 
-    A task gives one row for each class, leaf, feature and bin that it has; these are added up by one grouping.
+    `rows` has the bins, the class and how many rows are alike. A task gives one row for each class, leaf, feature and bin that it has; these are added up by one grouping.
     """
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = {(k, node): np.zeros((3, len(model.features), width)) for k, nodes in enumerate(wanted) for node in nodes}
         for batch in batches:
             bins = np.stack([batch.column(j).to_numpy() for j in range(len(model.features))], axis=1)
-            label = batch.column(len(model.features)).to_numpy()
+            label, weight = (batch.column(len(model.features) + i).to_numpy() for i in range(2))
             p = model.chances(bins)
             for k, tree in enumerate(trees):
                 if not wanted[k]:
                     continue
-                leaf, g, h = tree.leaves(bins), p[:, k] - (label == k), p[:, k] * (1 - p[:, k])
+                leaf, g, h = tree.leaves(bins), weight * (p[:, k] - (label == k)), weight * p[:, k] * (1 - p[:, k])
                 for node in wanted[k]:
                     mine = np.flatnonzero(leaf == node)
                     for j in range(len(model.features)):
-                        for i, w in enumerate((g[mine], h[mine], None)):
+                        for i, w in enumerate((g[mine], h[mine], weight[mine])):
                             total[k, node][i, j] += np.bincount(bins[mine, j], w, width)
         for (k, node), sums in total.items():
             j, b = np.nonzero(sums[2])
@@ -199,14 +201,17 @@ def fit(train: DataFrame, features: Sequence[str], label: str, classes: Sequence
             found = model.bins(values)
             yield pa.record_batch([*(pa.array(found[:, j], pa.int32()) for j in range(len(names))), pa.array([place[x] for x in batch.column(len(names)).to_pylist()], pa.int32())], [*names, "label"])
 
-    data = rows.mapInArrow(binned, ", ".join(f"{n} int" for n in [*names, "label"])).persist()
+    each = rows.mapInArrow(binned, ", ".join(f"{n} int" for n in [*names, "label"]))
+    data = each.groupBy(*names, "label").agg(F.count("*").cast("double").alias("weight")).persist()
     try:
-        n = {r.label: r["count"] for r in data.groupBy("label").count().collect()}
+        sizes = data.groupBy("label").agg(F.sum("weight").alias("n"), F.count("*").alias("different")).collect()
+        n, different = {r.label: r.n for r in sizes}, sum(r.different for r in sizes)
         total = sum(n.values())
         if total:
             model.prior = [float(np.log(max(n.get(k, 0), 1e-9) / total)) for k in range(len(classes))]
+            dealt = data.coalesce(1 + different // ROWS_A_TASK)
             for _ in range(rounds):
-                model.rounds.append(grow(data, model, growth, width))
+                model.rounds.append(grow(dealt, model, growth, width))
     finally:
         data.unpersist()
     return model

@@ -28,6 +28,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     side = lambda home, c: F.max(F.when(F.col("is_home") == home, F.col(c)))
     rows = form.groupBy("match_id", "period").agg(side(True, "form").alias("home_form"), side(False, "form").alias("away_form"), side(True, "scored").cast("double").alias("home_goals"), side(True, "conceded").cast("double").alias("away_goals"))
     rows = rows.withColumn("form_diff", F.col("home_form") - F.col("away_form")).withColumn("label", e.result_label("home_goals", "away_goals"))
+    rows = rows.cache()  # the fit goes through the early rows, the scores through the late ones
     return l.temporal_split(rows, "period", 70)
 
 
