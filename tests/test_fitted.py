@@ -167,6 +167,40 @@ def test_boosting_of_nothing(spark):
     assert all((x.p_A, x.p_H, x.pred) == (0.5, 0.5, "A") for x in got)
 
 
+@pytest.fixture(scope="module")
+def repeated(spark):
+    """Rows of few different values: features, goals and a label that follow them."""
+    draw = np.random.default_rng(5)
+    x = draw.integers(0, 12, size=(9000, 2)) / 5
+    goals = draw.poisson(0.4 + x).astype(float)
+    rows = [(*map(float, a), float(a[0] - a[1]), *map(float, g), "H" if g[0] > g[1] else "A" if g[0] < g[1] else "D") for a, g in zip(x, goals)]
+    return spark.createDataFrame(rows, "a double, b double, c double, home double, away double, label string").cache()
+
+
+def test_a_weight_stands_for_rows(spark, repeated):
+    """Logistic regression and boosted trees of different rows with weights, against those of all rows, fewest rows of a leaf included."""
+    features = ["a", "b", "c"]
+    few = learned.collapsed(repeated, [*features, "label"])
+    assert few.agg(F.sum("weight")).first()[0] == 9000 and few.count() == repeated.select(*features, "label").distinct().count() < 500
+    asked = repeated.select(*features).distinct()
+    chances = lambda rows, **how: sorted(learned.outcome_chances(learned.outcome_logistic(rows, features, "label", **how), asked, features).select("a", "b", "p_home", "p_draw", "p_away").collect())
+    for got, want in zip(chances(few, weight="weight"), chances(repeated)):
+        assert list(got) == pytest.approx(list(want), abs=1e-5)
+    for leaf in (20, 1500, 5000):
+        values = lambda rows, **how: sorted(learned.boosted(rows, features, "home", rounds=3, leaf=leaf, **how).transform(asked).select("a", "b", "prediction").collect())
+        got, want = values(learned.collapsed(repeated, [*features, "home"]), weight="weight"), values(repeated)
+        assert [list(x) for x in got] == [pytest.approx(list(x), abs=1e-9) for x in want]
+
+
+def test_goal_models_do_not_depend_on_how_rows_are_dealt(repeated):
+    """The edges of features came from a sample of 10,000 rows, which differed with the tasks; and every row was gone through for each level of each tree."""
+    features = ["a", "b", "c"]
+    rows = repeated.union(repeated.where("home < 2")).union(repeated.where("away > 0"))
+    asked = repeated.select(*features).distinct()
+    found = [[sorted(m.transform(asked).select("a", "b", F.round("prediction", 6)).collect()) for m in learned.goal_models(rows.repartition(n), features, "home", "away")] for n in (3, 7)]
+    assert found[0] == found[1]
+
+
 # As of
 
 

@@ -25,6 +25,11 @@ def temporal_split(df: DataFrame, period: str, last_train: int) -> tuple[DataFra
     return df.where(F.col(period) <= last_train), df.where(F.col(period) > last_train)
 
 
+def collapsed(rows: DataFrame, columns: Sequence[str], weight: str = "weight") -> DataFrame:
+    """A row for each different set of values, none of them missing, and how many rows have it: all that a fit of few different values has to go through."""
+    return rows.na.drop(subset=list(columns)).groupBy(*columns).agg(F.count("*").cast("double").alias(weight))
+
+
 def one_hot(column: str, categories: Sequence[str]) -> list[Column]:
     """A 0/1 column for each of a pinned list of categories."""
     return [(F.col(column) == c).cast("int").alias(f"{column}_{c}") for c in categories]
@@ -58,8 +63,18 @@ def elastic_net(train: DataFrame, features: Sequence[str], label: str, alpha: fl
     return _linear(train.na.drop(subset=[*features, label]), features, label, alpha * l1_ratio, alpha * (1 - l1_ratio), maxIter=200)
 
 
-def boosted(train: DataFrame, features: Sequence[str], label: str, rounds: int = 20, depth: int = 3, rate: float = 0.1, leaf: int = 20) -> PipelineModel:
-    model = GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=leaf, seed=SEED)
+def boosted(train: DataFrame, features: Sequence[str], label: str, rounds: int = 20, depth: int = 3, rate: float = 0.1, leaf: int = 20, weight: str | None = None) -> PipelineModel:
+    """Boosted trees whose leaves have at least `leaf` rows. `weight` is the column that says how many rows a row stands for."""
+    model = GBTRegressor(featuresCol="features", labelCol=label, maxIter=rounds, maxDepth=depth, stepSize=rate, seed=SEED)
+    if weight is None:
+        model.setMinInstancesPerNode(leaf)
+    else:
+        n = train.na.drop(subset=[*features, label]).agg(F.sum(weight)).first()[0] or 0.0
+        model.setWeightCol(weight)
+        if n < 2 * leaf:
+            model.setMaxDepth(0)  # no split leaves enough rows on both sides
+        else:
+            model.setMinWeightFractionPerNode((leaf - 0.5) / n)
     return Pipeline(stages=[_features(features), model]).fit(train.na.drop(subset=[*features, label]))
 
 
@@ -75,10 +90,13 @@ def _labelled(label: str) -> StringIndexer:
     return StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
 
 
-def outcome_logistic(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, rounds: int = 100) -> PipelineModel:
-    """Three-way logistic regression; the penalty is 1 / (c n) on unscaled features."""
+def outcome_logistic(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, rounds: int = 100, weight: str | None = None) -> PipelineModel:
+    """Three-way logistic regression; the penalty is 1 / (c n) on unscaled features. `weight` is the column that says how many rows a row stands for."""
     rows = train.na.drop(subset=[*features, label])
-    model = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", regParam=1.0 / (c * max(rows.count(), 1)), standardization=False, maxIter=rounds)
+    n = rows.agg(F.count("*") if weight is None else F.sum(weight)).first()[0] or 0
+    model = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=rounds)
+    if weight is not None:
+        model.setWeightCol(weight)
     return Pipeline(stages=[_labelled(label), _features(features), model]).fit(rows)
 
 
@@ -108,5 +126,13 @@ def outcome_chances(model: PipelineModel, rows: DataFrame, features: Sequence[st
 
 
 def goal_models(train: DataFrame, features: Sequence[str], home: str, away: str) -> tuple[PipelineModel, PipelineModel]:
-    """A regressor for the goals of each side."""
-    return boosted(train, features, home), boosted(train, features, away)
+    """A regressor for the goals of each side. Rows of the same features and goals are one with a weight, so the trees grow over the different ones."""
+
+    def model(goals: str) -> PipelineModel:
+        rows = collapsed(train, [*features, goals]).persist()
+        try:
+            return boosted(rows, features, goals, weight="weight")
+        finally:
+            rows.unpersist()
+
+    return model(home), model(away)

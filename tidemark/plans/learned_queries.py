@@ -170,5 +170,7 @@ def outcome_leafwise(spark: SparkSession, sf_dir: str) -> DataFrame:
 def goals(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid = _matches(spark, sf_dir)
     home, away = l.goal_models(train, MATCH_FEATURES, "home_goals", "away_goals")
-    scored = lambda m, n: m.transform(valid).select("match_id", F.round("prediction", 4).alias(n))
-    return scored(home, "home_expected").join(scored(away, "away_expected"), "match_id")
+    scored = valid.select("match_id", *MATCH_FEATURES)
+    for model, name in ((home, "home_expected"), (away, "away_expected")):
+        scored = model.transform(scored).withColumn(name, F.round("prediction", 4)).drop("features", "prediction")
+    return scored.select("match_id", "home_expected", "away_expected")
