@@ -133,7 +133,8 @@ def boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m10_outcome_logistic")
 def outcome_logistic(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, valid = _matches(spark, sf_dir)
-    return l.outcome_chances(l.outcome_logistic(train, MATCH_FEATURES, "label"), valid, MATCH_FEATURES).select("match_id", "pred", *(F.round(c, 4).alias(c) for c in ("p_home", "p_draw", "p_away")))
+    few = l.collapsed(train, [*MATCH_FEATURES, "label"]).cache()  # forms of five matches take few values
+    return l.outcome_chances(l.outcome_logistic(few, MATCH_FEATURES, "label", weight="weight"), valid, MATCH_FEATURES).select("match_id", "pred", *(F.round(c, 4).alias(c) for c in ("p_home", "p_draw", "p_away")))
 
 
 @query("m11_outcome_logistic_v2")
