@@ -11,6 +11,9 @@ from tidemark.operators import identity as idt
 from tidemark.operators import models as m
 from tidemark.operators import picks as p
 from tidemark.operators import rules as ru
+from tidemark.plans.registry import QUERIES, load
+
+load()
 
 EVENTS = "position string, minutes long, goals long, assists long, saves long, penalty_saves long, yellow_cards long, red_cards long, own_goals long, penalty_misses long, conceded long, bonus long, contributions long, clean_sheet boolean, as_goalkeeper boolean"
 
@@ -108,6 +111,18 @@ def test_missing_predictions_stay_missing(spark):
     assert totals == {1: (4.0, "2"), 2: (0.0, "2"), 3: (None, "1|2")}
 
 
+def test_predictions_meet_players_before_fixtures_multiply_them(spark):
+    """What the fixtures multiply was dealt and sorted again for the join with the predictions."""
+    players = spark.createDataFrame([(1, 10, True), (2, 11, True), (3, 10, False)], "player_id long, team_id long, selectable boolean")
+    sides = spark.createDataFrame([(10, 1, 5, 11), (10, 1, 6, 12), (11, 1, 5, 10), (10, 3, 7, 11)], "team_id long, period long, match_id long, opponent_id long").withColumn("kickoff", F.lit(0))
+    predictions = spark.createDataFrame([(1, 1, 4.0), (2, 1, 0.0), (2, 2, None), (9, 1, 1.0)], "player_id long, period long, points double")
+    late = h.long_horizon(h.eligibility(players, sides, 1, 3), predictions, 1)
+    early = h.long_horizon(h.eligibility(players, sides, 1, 3, predictions), None, 1)
+    assert early.count() == late.count() == 11 and early.select(*late.columns).exceptAll(late).isEmpty()
+    joins = [x for x in QUERIES["p16_long_horizon"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert "team_id" in joins[0] and "player_id" in joins[1]
+
+
 def test_checks_find_what_is_wrong(spark):
     df = spark.createDataFrame([(1, 0.5), (1, 1.5), (None, None)], "k long, p double")
     got = {r.name: (r.passed, r.value) for r in ck.suite(ck.column_spec(df, "t", unique=["k"], required=["k"]), ck.row_checks(df, "t", {"range": ~F.col("p").between(0, 1)})).collect()}

@@ -88,24 +88,31 @@ def period_summary(weeks: DataFrame) -> DataFrame:
     return weeks.groupBy("period").agg(F.sum("fixtures").alias("sides"), n("blank"), n("single"), n("double"))
 
 
-def eligibility(players: DataFrame, sides: DataFrame, first: int, last: int) -> DataFrame:
+def _predicted(cells: DataFrame, predictions: DataFrame) -> DataFrame:
+    known = predictions.select("player_id", "period", F.col("points").alias("points"), F.lit(True).alias("_known"))
+    return cells.join(known, ["player_id", "period"], "left")
+
+
+def eligibility(players: DataFrame, sides: DataFrame, first: int, last: int, predictions: DataFrame | None = None) -> DataFrame:
     """Players in every period with each of their team's fixtures, or one row without one in a blank period.
 
-    `players` has player_id, team_id, selectable. `reason` is the first that holds.
+    `players` has player_id, team_id, selectable. `reason` is the first that holds. `predictions` are those of `long_horizon`, which then needs none:
+    a player's period meets its prediction before the team's fixtures multiply it, so what they multiply is not dealt again.
     """
     cells = grid(players.select("player_id", "team_id", "selectable"), first, last)
+    if predictions is not None:
+        cells = _predicted(cells, predictions)
     rows = cells.join(sides.select("team_id", "period", "match_id", "opponent_id", "kickoff"), ["team_id", "period"], "left")
     reason = F.when(~F.col("selectable"), "not_selectable").when(F.col("match_id").isNull(), "blank").when(F.col("kickoff").isNull(), "no_kickoff").otherwise("eligible")
     return rows.withColumn("has_fixture", F.col("match_id").isNotNull()).withColumn("reason", reason).withColumn("eligible", F.col("reason") == "eligible")
 
 
-def long_horizon(cells: DataFrame, predictions: DataFrame, start: int, discounts: Sequence[float] = DISCOUNTS) -> DataFrame:
+def long_horizon(cells: DataFrame, predictions: DataFrame | None, start: int, discounts: Sequence[float] = DISCOUNTS) -> DataFrame:
     """Eligibility rows with the period's prediction. What is missing stays missing: it is never zero.
 
-    `predictions` has player_id, period, points.
+    `predictions` has player_id, period, points; none if `eligibility` had them.
     """
-    known = predictions.select("player_id", "period", F.col("points").alias("points"), F.lit(True).alias("_known"))
-    rows = cells.join(known, ["player_id", "period"], "left")
+    rows = cells if predictions is None else _predicted(cells, predictions)
     found = F.col("_known").isNotNull()
     status = F.when(found, "available").when(F.col("period") > start, "missing_future").otherwise("missing_required")
     discount = F.element_at(F.array(*map(F.lit, discounts)), (F.col("period") - start + 1).cast("int"))

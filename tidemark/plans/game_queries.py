@@ -78,8 +78,8 @@ def _players(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = h.eligibility(_players(spark, sf_dir), _day_sides(spark, sf_dir), 1, 5)
-    return h.long_horizon(cells, user_days(spark, sf_dir).select(F.col("user_id").alias("player_id"), F.col("day").alias("period"), "points"), 1)
+    predictions = user_days(spark, sf_dir).where("day BETWEEN 1 AND 5").select(F.col("user_id").alias("player_id"), F.col("day").alias("period"), "points")
+    return h.long_horizon(h.eligibility(_players(spark, sf_dir), _day_sides(spark, sf_dir), 1, 5, predictions), None, 1)
 
 
 @query("p15_eligibility", f"WITH {HORIZON} SELECT player_id, period, match_id, has_fixture, reason, reason = 'eligible' AS eligible FROM cells")
