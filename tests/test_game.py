@@ -149,6 +149,17 @@ def test_probabilities(spark):
     assert [r.score for r in m.top_scores(grid, ["k"], 2).orderBy("place").collect()] == ["1-0", "1-1"]
 
 
+def test_score_grid_within_the_row(spark):
+    """Every scoreline was a row that was dealt twice, to be summed and to be ranked."""
+    rows = spark.createDataFrame([(i, 0.3 + i % 7 / 3, 0.3 + i // 7 / 3) for i in range(49)], "k long, lh double, la double")
+    grid = m.score_grid(rows, ["k"], "lh", "la")
+    want = m.outcome_chances(grid, ["k"]).join(m.top_scores(grid, ["k"], 1).select("k", "score"), "k")
+    got = m.scored_grid(rows, "lh", "la")
+    assert got.count() == 49 and got.select(want.columns).exceptAll(want).isEmpty()
+    plan = QUERIES["m18_scoreline_preview"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode" not in plan and "row_number" not in plan
+
+
 def test_locked_players_and_relaxation():
     pdf = pool(3, 40)
     got = p.greedy_squad(pdf, QUOTAS, 60, 3, locked=[0, 5])

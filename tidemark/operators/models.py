@@ -66,6 +66,21 @@ def top_scores(grid: DataFrame, keys: Sequence[str], k: int = 5) -> DataFrame:
     return grid.withColumn("place", place).where(F.col("place") <= k).withColumn("score", F.format_string("%d-%d", "h", "a"))
 
 
+def scored_grid(df: DataFrame, home: str, away: str, most: int = 10) -> DataFrame:
+    """`df` with the chances and tail of `outcome_chances` and the score of `top_scores` of its own score grid, which stays within the row: nothing is grouped."""
+    side = lambda mean: F.transform(F.sequence(F.lit(0), F.lit(most)), lambda k: poisson(F.col(mean), k))
+    cell = lambda x, h: lambda y, a: F.struct((x * y).alias("p"), (-h).alias("h"), (-a).alias("a"))
+    rows = df.withColumns({"_home": side(home), "_away": side(away)})
+    rows = rows.withColumn("_grid", F.flatten(F.transform("_home", lambda x, h: F.transform("_away", cell(x, h)))))
+    part = lambda c: F.aggregate("_grid", F.lit(0.0), lambda total, x: total + F.when(c(x), F.coalesce(x["p"], F.lit(0.0))).otherwise(0.0))
+    mass = F.aggregate("_grid", F.lit(0.0), lambda total, x: total + x["p"])
+    # goals are negative in the grid, so of equal chances the lower score is the larger
+    rows = rows.withColumns({"_mass": mass, "_H": part(lambda x: x["h"] < x["a"]), "_D": part(lambda x: x["h"] == x["a"]), "_A": part(lambda x: x["h"] > x["a"]), "_top": F.array_max("_grid")})
+    chances = {f"p_{n}": F.col(f"_{c}") / F.col("_mass") for c, n in (("H", "home"), ("D", "draw"), ("A", "away"))}
+    out = rows.withColumns(chances | {"tail": 1 - F.col("_mass"), "score": F.format_string("%d-%d", -F.col("_top.h"), -F.col("_top.a"))})
+    return out.select(*df.columns, *chances, "tail", "score")
+
+
 def availability_ceiling(chance: Column, *scaled: Column) -> list[Column]:
     """The official chance (0 to 1, null: none given) as a ceiling on the first column; the others shrink by the same factor."""
     first, *rest = scaled

@@ -242,10 +242,7 @@ def scoreline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _paired(spark, sf_dir).withColumn("signal", pre.match_signal())
     home, away = pre.expected_goals()
     chances = pre.signal_chances(rows, "signal", "fallback").select("match_id", "label", home.alias("lh"), away.alias("la"))
-    grid = m.score_grid(chances, ["match_id"], "lh", "la")
-    by_goals = m.outcome_chances(grid, ["match_id"]).withColumn("goal_label", m.argmax_label({"H": F.col("p_home"), "D": F.col("p_draw"), "A": F.col("p_away")}))
-    top = m.top_scores(grid, ["match_id"], 1).select("match_id", "score")
-    joined = chances.join(by_goals.select("match_id", "goal_label", "tail"), "match_id").join(top, "match_id")
+    joined = m.scored_grid(chances, "lh", "la").withColumn("goal_label", m.argmax_label({"H": F.col("p_home"), "D": F.col("p_draw"), "A": F.col("p_away")}))
     return joined.select("match_id", "label", "goal_label", "score", (F.col("label") != F.col("goal_label")).alias("disagree"), F.round("tail", 6).alias("tail"))
 
 
