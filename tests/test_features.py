@@ -54,6 +54,25 @@ def test_match_features_see_nothing_of_their_own_period(spark, matches):
         assert g["home_points_mean"] == (pytest.approx(sum(3 if d > 0 else 1 if d == 0 else 0 for d in diffs) / len(diffs)) if diffs else None)
 
 
+def test_match_features_are_rounded_by_period(spark, matches):
+    """What a team's period says was spread over the sides, grouped back by match in 22 columns and rounded for every match."""
+    odd = spark.createDataFrame([(901, 2024, 3, datetime(2024, 2, 1), None, 2, 1, 1), (902, 2024, 3, datetime(2024, 2, 1), 4, None, 0, 1), (903, 2024, 3, datetime(2024, 2, 1), None, None, 0, 1), (904, None, 3, datetime(2024, 2, 1), 1, 2, 0, 1)], MATCH)
+    rows = matches.union(odd)
+    exact, rounded = f.match_features(rows), f.match_features(rows, digits=2)
+    real = [c for c, kind in exact.dtypes if kind == "double"]
+    assert exact.dtypes == rounded.dtypes and len(real) == 25
+    want = exact.withColumns({c: F.round(c, 2) for c in real})
+    assert want.exceptAll(rounded).isEmpty() and rounded.exceptAll(want).isEmpty()
+    got = {x.match_id: x for x in exact.collect()}
+    assert len(got) == matches.count() + 2 and not {903, 904} & set(got)  # a match of one known side stays, with what that side says
+    one = got[901]
+    assert one.away_rank_before is not None and one.away_rest_days is not None and one.away_difficulty == one.away_difficulty_attack == pytest.approx(2 / 3) and one.away_difficulty_defence == 0
+    assert all(one[f"home_{c}"] is None for c in f.SIDE) and one.rank_diff is None and one.strength_diff is None
+    assert got[902].home_difficulty == pytest.approx(2 / 3) and got[902].away_difficulty is None
+    plan = f.match_features(matches, digits=2)._jdf.queryExecution().optimizedPlan().toString()
+    assert max(line.count("max(") for line in plan.splitlines()) == 2  # by match only the two sides' days of rest are grouped
+
+
 def test_player_features(spark, matches):
     rows = [(2024, i, period, i % 7, "MID" if i else None, "a", 5.0, period * (i + 1), 90 if period % 2 else 0, 1, 0, 0) for i in range(9) for period in range(1, 6)]
     rows.append((2024, 50, 1, 0, "GKP", "d", None, 1, None, 0, 0, 0))

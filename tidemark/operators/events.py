@@ -80,10 +80,15 @@ def attach_opponent(sides: DataFrame, context: DataFrame) -> DataFrame:
     return sides.join(other, ["season", "period", "opponent_id"], "left")
 
 
+def difficulty(attack: str | Column, defence: str | Column) -> dict[str, Column]:
+    """How hard an opponent of such recent strength is to score against and to keep from scoring."""
+    return {"difficulty_attack": 1.0 / (F.coalesce(defence, F.lit(1.0)) + 0.5), "difficulty_defence": F.coalesce(attack, F.lit(0.0))}
+
+
 def fixture_context(sides: DataFrame, context: DataFrame | None = None) -> DataFrame:
     """Sides with opponent context and difficulty: 1 / (conceded + 0.5) against attack, goals scored against defence."""
     rows = attach_opponent(sides, team_context(sides) if context is None else context)
-    return rows.withColumn("difficulty_attack", 1.0 / (F.coalesce("opponent_defence_recent", F.lit(1.0)) + 0.5)).withColumn("difficulty_defence", F.coalesce("opponent_attack_recent", F.lit(0.0)))
+    return rows.withColumns(difficulty("opponent_attack_recent", "opponent_defence_recent"))
 
 
 def recent_form(sides: DataFrame, n: int, prior: float | None = None, entity: Sequence[str] = ("season", "team_id")) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import events
@@ -46,26 +46,43 @@ def player_features(rows: DataFrame, sides: DataFrame, positions: Sequence[str],
 SIDE = ["rank_before", "points_per_match", "goal_diff_per_match", "scored_recent", "conceded_recent", "attack_recent", "defence_recent", "rest_days", "difficulty", "difficulty_attack", "difficulty_defence"]
 
 
-def match_features(matches: DataFrame, meetings: int = 3) -> DataFrame:
+def match_features(matches: DataFrame, meetings: int = 3, digits: int | None = None) -> DataFrame:
     """One row for each match, in 40 columns: result, both sides' standing, recent strength, rest and difficulty before it, their differences, and the last meetings in the season.
 
     A difference is home less away, that of the ranks away less home, so that more is always better for the home team.
+    With `digits`, what is no whole number is rounded, after the differences are taken. What a team's period says is worked out and rounded once for
+    the period, not for each of its matches; only the days of rest go through the sides.
     """
+    rounded = (lambda c: c) if digits is None else (lambda c: F.round(c.cast("double"), digits))
     sides = events.two_sided(matches)
-    context = events.team_context(sides)
-    rows = events.fixture_context(events.side_rest(sides, ("season", "team_id")), context).join(context.select(*TEAM_PERIOD, *OWN), TEAM_PERIOD)
-    rows = rows.withColumns({"scored_recent": F.col("attack_recent"), "conceded_recent": F.col("defence_recent"), "difficulty": F.col("difficulty_attack")})
-    wide = rows.groupBy("match_id").agg(*(F.max(F.when(F.col("is_home") == home, F.col(c))).alias(f"{side}_{c}") for c in SIDE for side, home in (("home", True), ("away", False))))
-    difference = lambda name, c: (F.col(f"home_{c}") - F.col(f"away_{c}")).alias(name)
-    history = events.pair_history(matches, meetings, ["season"])
-    out = history.join(wide, "match_id")
+    context = events.team_context(sides).select(*TEAM_PERIOD, *OWN)
+    own = {"rank_before": F.col("rank_before")} | {c: rounded(F.col(c)) for c in OWN[1:]}
+    faced = {c: rounded(v) for c, v in events.difficulty("attack_recent", "defence_recent").items()}
+    context = context.select(*TEAM_PERIOD, F.struct(*(v.alias(c) for c, v in own.items())).alias("own"), F.struct(*(v.alias(c) for c, v in faced.items())).alias("faced"), F.struct(*OWN[1:4]).alias("exact"))
+    rest = events.side_rest(sides.select("match_id", "season", "team_id", "is_home", "kickoff"), ("season", "team_id"))
+    rest = rest.groupBy("match_id").agg(*(F.max(F.when(F.col("is_home") == home, F.col("rest_days"))).alias(f"{side}_rest") for side, home in (("home", True), ("away", False))))
+    out = events.pair_history(matches, meetings, ["season"]).join(rest, "match_id")
+    for side in ("home", "away"):
+        out = out.join(context.select("season", F.col("team_id").alias(f"{side}_id"), "period", *(F.col(c).alias(f"{side}_{c}") for c in ("own", "faced", "exact"))), ["season", f"{side}_id", "period"], "left")
+    out = out.where("home_own IS NOT NULL OR away_own IS NOT NULL")
+    nobody = {c: rounded(v) for c, v in events.difficulty(F.lit(None).cast("double"), F.lit(None).cast("double")).items()}
+
+    def of_side(side: str, other: str) -> dict[str, Column]:
+        found = {c: F.col(f"{side}_own.{c}") for c in OWN}
+        found |= {"scored_recent": found["attack_recent"], "conceded_recent": found["defence_recent"]}
+        known = F.col(f"{side}_own").isNotNull()
+        found |= {c: F.when(known, F.coalesce(F.col(f"{other}_faced.{c}"), v)) for c, v in nobody.items()}
+        return found | {"difficulty": found["difficulty_attack"], "rest_days": rounded(F.when(known, F.col(f"{side}_rest")))}
+
+    values = {"home": of_side("home", "away"), "away": of_side("away", "home")}
+    difference = lambda name, c: rounded(F.col(f"home_exact.{c}") - F.col(f"away_exact.{c}")).alias(name)
     return out.select(
         "season", "match_id", "period", "kickoff", "home_id", "away_id", "home_score", "away_score",
         F.col("home_score").alias("home_goals"), F.col("away_score").alias("away_goals"), events.result_label("home_score", "away_score").alias("label"),
-        *(f"{side}_{c}" for c in SIDE for side in ("home", "away")),
+        *(values[side][c].alias(f"{side}_{c}") for c in SIDE for side in ("home", "away")),
         difference("strength_diff", "attack_recent"), difference("points_per_match_diff", "points_per_match"), difference("goal_diff_per_match_diff", "goal_diff_per_match"),
-        (F.col("away_rank_before") - F.col("home_rank_before")).alias("rank_diff"),
-        "meetings", "home_points_mean", "home_goal_diff_mean",
+        (values["away"]["rank_before"] - values["home"]["rank_before"]).alias("rank_diff"),
+        "meetings", *(rounded(F.col(c)).alias(c) for c in ("home_points_mean", "home_goal_diff_mean")),
     )
 
 

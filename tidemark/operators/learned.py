@@ -30,6 +30,17 @@ def collapsed(rows: DataFrame, columns: Sequence[str], weight: str = "weight") -
     return rows.na.drop(subset=list(columns)).groupBy(*columns).agg(F.count("*").cast("double").alias(weight))
 
 
+def split_collapsed(rows: DataFrame, key: Sequence[str], period: str, last_train: int, columns: Sequence[str], weight: str = "weight") -> tuple[DataFrame, DataFrame]:
+    """As `temporal_split`, but of the earlier rows one for each different set of values with how many rows have it, of the later ones all with their keys.
+
+    Both come from one grouping, which is cached: rows are built once, and the earlier ones are never held one by one.
+    """
+    late = F.col(period) > last_train
+    few = rows.where(F.col(period).isNotNull()).groupBy(late.alias("_late"), *(F.when(late, F.col(k)).alias(k) for k in key), *columns).agg(F.count("*").cast("double").alias(weight)).cache()
+    repeats = F.explode(F.array_repeat(F.lit(True), F.col(weight).cast("int"))).alias("_late")  # a key that occurs twice stays two rows
+    return few.where("NOT _late").select(*columns, weight), few.where("_late").select(*key, *columns, repeats).drop("_late")
+
+
 def one_hot(column: str, categories: Sequence[str]) -> list[Column]:
     """A 0/1 column for each of a pinned list of categories."""
     return [(F.col(column) == c).cast("int").alias(f"{column}_{c}") for c in categories]
@@ -90,14 +101,24 @@ def _labelled(label: str) -> StringIndexer:
     return StringIndexer(inputCol=label, outputCol="_label", stringOrderType="alphabetAsc", handleInvalid="skip")
 
 
-def outcome_logistic(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, rounds: int = 100, weight: str | None = None) -> PipelineModel:
-    """Three-way logistic regression; the penalty is 1 / (c n) on unscaled features. `weight` is the column that says how many rows a row stands for."""
+def outcome_logistic(train: DataFrame, features: Sequence[str], label: str, c: float = 1.0, rounds: int = 100, weight: str | None = None, repeats: str | None = None) -> PipelineModel:
+    """Three-way logistic regression; the penalty is 1 / (c n) on unscaled features.
+
+    `weight` is the column that says how many rows a row stands for. The fit then comes to the same place by other steps, as Spark scales features by
+    a deviation that depends on the weights; one that ends before it gets there differs. With `repeats` in its stead a row is
+    assembled once and laid down so many times, so each step is that of all rows.
+    """
     rows = train.na.drop(subset=[*features, label])
-    n = rows.agg(F.count("*") if weight is None else F.sum(weight)).first()[0] or 0
+    count = weight or repeats
+    n = rows.agg(F.count("*") if count is None else F.sum(count)).first()[0] or 0
     model = LogisticRegression(featuresCol="features", labelCol="_label", family="multinomial", regParam=1.0 / (c * max(n, 1)), standardization=False, maxIter=rounds)
     if weight is not None:
         model.setWeightCol(weight)
-    return Pipeline(stages=[_labelled(label), _features(features), model]).fit(rows)
+    before = Pipeline(stages=[_labelled(label), _features(features)]).fit(rows)
+    ready = before.transform(rows)
+    if repeats is not None:
+        ready = ready.select("_label", "features", F.explode(F.array_repeat(F.lit(True), F.col(repeats).cast("int"))))
+    return PipelineModel(stages=[*before.stages, model.fit(ready)])
 
 
 def outcome_boosted(train: DataFrame, features: Sequence[str], label: str, rounds: int = 10, depth: int = 2, rate: float = 0.1) -> PipelineModel:

@@ -87,8 +87,8 @@ REAL = [f"{side}_{c}" for c in f.SIDE if c != "rank_before" for side in ("home",
 )
 def match_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Standing, recent strength, rest, difficulty and last meetings of both sides, one row per match, 40 columns."""
-    out = f.match_features(matches(spark, sf_dir))
-    return out.select("season", "match_id", "period", "kickoff", "home_id", "away_id", "label", *(F.col(c).cast("long").alias(c) for c in WHOLE), *(F.round(F.col(c).cast("double"), 6).alias(c) for c in REAL))
+    out = f.match_features(matches(spark, sf_dir), digits=6)
+    return out.select("season", "match_id", "period", "kickoff", "home_id", "away_id", "label", *(F.col(c).cast("long").alias(c) for c in WHOLE), *REAL)
 
 
 FLAGS = ("has_fixture", "blank", "has_prior", "no_prior", "promoted", "opponent_promoted", "uncertain_status", "missing_price", "missing_position", "missing_strength", "missing_fixture", "team_fallback", "opponent_fallback", "write_allowed", "production_ready")

@@ -143,9 +143,8 @@ def outcome_logistic_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = feature_queries.match_features(spark, sf_dir)
     features = [c for c in (*feature_queries.WHOLE, *feature_queries.REAL) if c not in ("home_score", "away_score", "home_goals", "away_goals")]
     rows = rows.select("match_id", "period", "label", *(F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features))
-    rows = rows.cache()  # the fit goes through the rows some dozens of times
-    train, valid = l.temporal_split(rows, "period", 70)
-    return l.outcome_chances(l.outcome_logistic(train, features, "label", rounds=50), valid, features).select("match_id", "pred", *(F.round(c, 4).alias(c) for c in ("p_home", "p_draw", "p_away")))
+    train, valid = l.split_collapsed(rows, ["match_id"], "period", 70, ["label", *features])  # the fit goes through the early rows some dozens of times
+    return l.outcome_chances(l.outcome_logistic(train, features, "label", rounds=50, repeats="weight"), valid, features).select("match_id", "pred", *(F.round(c, 4).alias(c) for c in ("p_home", "p_draw", "p_away")))
 
 
 def _boosted(spark: SparkSession, sf_dir: str, growth: boosting.Growth, rounds: int) -> DataFrame:
