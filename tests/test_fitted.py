@@ -1,5 +1,6 @@
 """Linear models from one pass, joint boosting, as-of rows and next periods against plain versions."""
 
+import dataclasses
 import math
 import random
 from collections import defaultdict
@@ -161,6 +162,41 @@ def test_boosting_goes_through_different_rows_alone(spark, monkeypatch):
     assert once.count() == df.select("a", "b").distinct().count() and df.join(once, (df.a == once.a) & df.b.eqNullSafe(once.b)).agg(F.avg("p_A")).first()[0] == pytest.approx(share, abs=0.01)
 
 
+def test_boosting_of_few_rows_is_a_job_a_round(spark, monkeypatch):
+    """Every step of a round was a job and went through all trees before; the trees are those of rows dealt over tasks, whenever the scores are kept."""
+    df = spark.range(3000).select("id", (F.col("id") * 7 % 19).cast("double").alias("a"), (F.col("id") * 5 % 13).cast("double").alias("b")).withColumn("label", F.when((F.col("a") * F.col("b") + F.col("id") % 11) % 7 > 3, "H").when(F.col("a") > F.col("b"), "D").otherwise("A")).cache()
+    jobs, histograms = [], boosting.histograms
+    monkeypatch.setattr(boosting, "histograms", lambda *how: jobs.append(len(how[1].rounds)) or histograms(*how))
+    fit = lambda: boosting.fit(df, ["a", "b"], "label", learned.OUTCOMES, rounds=5, growth=boosting.Growth(rate=0.3, leaves=5, rows=10, penalty=1.0))
+    alone = fit()
+    assert not jobs
+    monkeypatch.setattr(boosting, "ROWS_A_TASK", 200)
+    monkeypatch.setattr(boosting, "KEPT_ROUNDS", 2)
+    dealt = fit()
+    assert set(jobs) == {0, 1}  # no job goes through more than the trees since the last kept scores
+    shape = lambda m: [[(t.feature, t.bin, t.left) for t in trees] for trees in m.rounds]
+    assert len(alone.rounds) == 5 and shape(alone) == shape(dealt)
+    assert [v for trees in alone.rounds for t in trees for v in t.value] == pytest.approx([v for trees in dealt.rounds for t in trees for v in t.value], abs=1e-9)
+    bins = np.array([[i, j] for i in range(20) for j in range(14)])
+    assert alone.chances(bins) == pytest.approx(dealt.chances(bins), abs=1e-9)
+
+
+def test_leafwise_outcomes_take_every_round(spark, monkeypatch):
+    """Four rounds were fitted of the original's 200."""
+    models, scored = [], boosting.scored
+    monkeypatch.setattr(boosting, "scored", lambda df, model: models.append(model) or scored(df, model))
+    rows = learned_queries.outcome_leafwise(spark, "/root/testdata/sf0.001").collect()
+    (model,) = models
+    sizes = [[sum(f < 0 for f in t.feature) for t in trees] for trees in model.rounds]
+    assert len(sizes) == 200 and all(1 < n <= 15 for trees in sizes for n in trees) and max(map(max, sizes)) == 15
+    train, valid = learned_queries._matches(spark, "/root/testdata/sf0.001")
+    assert len(rows) == valid.count() and all(abs(x.p_home + x.p_draw + x.p_away - 1) < 3e-6 for x in rows)
+    known = train.select(*learned_queries.MATCH_FEATURES, "label").toPandas()
+    bins, place = model.bins(known[learned_queries.MATCH_FEATURES].to_numpy()), known.label.map(learned.OUTCOMES.index).to_numpy()
+    loss = lambda m: -np.log(m.chances(bins)[np.arange(len(place)), place]).mean()
+    assert loss(model) < loss(dataclasses.replace(model, rounds=model.rounds[:100])) < loss(dataclasses.replace(model, rounds=model.rounds[:4]))
+
+
 def test_boosting_of_nothing(spark):
     empty = spark.createDataFrame([], "a double, label string")
     model = boosting.fit(empty, ["a"], "label", ["A", "H"], rounds=2)

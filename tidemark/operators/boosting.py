@@ -2,20 +2,23 @@
 
 Each round grows one tree a class against the gradients of all classes' common softmax, so the chances of a row sum to one. The rows are
 binned once, and rows of the same bins and class are one with a weight. What a split needs is the sum of gradients and curvatures by leaf, feature and bin: tasks add these up for all
-classes and open leaves at once, and one grouping adds up the tasks. The driver holds trees and histograms, whose sizes do not
-depend on the rows; a row's place and score are worked out from the trees, so nothing but the different binned rows is kept.
+classes and open leaves at once, and one grouping adds up the tasks. Where the different binned rows are few enough for one task, it grows
+the trees of a round by itself. The driver holds trees and histograms, whose sizes do not
+depend on the rows; a row's place is worked out from the trees, and nothing is kept but the different binned rows with their scores of some rounds ago.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.session import work_dir
+
 
 @dataclass
 class Tree:
@@ -55,15 +58,16 @@ class Boosted:
     prior: list[float]
     rounds: list[list[Tree]] = field(default_factory=list)
 
-    def margins(self, bins: np.ndarray) -> np.ndarray:
-        out = np.tile(np.array(self.prior), (len(bins), 1))
+    def margins(self, bins: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        """Scores by row and class. `start` has those of the rounds before the model's first, if it is the later part of another."""
+        out = np.tile(np.array(self.prior), (len(bins), 1)) if start is None else start.copy()
         for trees in self.rounds:
             for k, tree in enumerate(trees):
                 out[:, k] += tree.scores(bins)
         return out
 
-    def chances(self, bins: np.ndarray) -> np.ndarray:
-        m = self.margins(bins)
+    def chances(self, bins: np.ndarray, start: np.ndarray | None = None) -> np.ndarray:
+        m = self.margins(bins, start)
         e = np.exp(m - m.max(axis=1, keepdims=True))
         return e / e.sum(axis=1, keepdims=True)
 
@@ -115,31 +119,51 @@ def best_split(histogram: np.ndarray, growth: Growth) -> tuple[float, int, int,
 
 #: Different binned rows that are too few to be dealt over several tasks.
 ROWS_A_TASK = 50_000
+#: After so many rounds their trees are added to the scores that the rows keep.
+KEPT_ROUNDS = 20
 HISTOGRAM = "class int, node int, feature int, bin int, g double, h double, n long"
+NODE = "class int, node int, feature int, bin int, left int, value double"
+
+Histograms = dict[tuple[int, int], np.ndarray]
+
+
+def _arrays(batch: pa.RecordBatch, model: Boosted) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, class, how many rows are alike, and the kept scores."""
+    columns, n = [c.to_numpy() for c in batch.columns], len(model.features)
+    return np.stack(columns[:n], axis=1), columns[n], columns[n + 1], np.stack(columns[n + 2 :], axis=1)
+
+
+def _slopes(batch: pa.RecordBatch, model: Boosted) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bins, gradients and curvatures by class, and how many rows are alike."""
+    bins, label, weight, kept = _arrays(batch, model)
+    p, weights = model.chances(bins, kept), weight[:, None]
+    return bins, weights * (p - (label[:, None] == np.arange(len(model.classes)))), weights * p * (1 - p), weight
 
 
-def histograms(rows: DataFrame, model: Boosted, trees: list[Tree], wanted: list[list[int]], width: int) -> dict[tuple[int, int], np.ndarray]:
+def _sums(parts: Iterable[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], model: Boosted, trees: list[Tree], wanted: list[list[int]], width: int) -> Histograms:
+    """Gradient, curvature and rows by feature and bin of the wanted leaves, over a task's rows."""
+    total = {(k, node): np.zeros((3, len(model.features), width)) for k, nodes in enumerate(wanted) for node in nodes}
+    for bins, g, h, weight in parts:
+        for k, tree in enumerate(trees):
+            if not wanted[k]:
+                continue
+            leaf = tree.leaves(bins)
+            for node in wanted[k]:
+                mine = np.flatnonzero(leaf == node)
+                for j in range(len(model.features)):
+                    for i, w in enumerate((g[mine, k], h[mine, k], weight[mine])):
+                        total[k, node][i, j] += np.bincount(bins[mine, j], w, width)
+    return total
+
+
+def histograms(rows: DataFrame, model: Boosted, trees: list[Tree], wanted: list[list[int]], width: int) -> Histograms:
     """Sums of gradient, curvature and rows by feature and bin of the wanted leaves of each class's growing tree.
 
-    `rows` has the bins, the class and how many rows are alike. A task gives one row for each class, leaf, feature and bin that it has; these are added up by one grouping.
+    `rows` has the bins, the class, how many rows are alike and their scores before the model's rounds. A task gives one row for each class, leaf, feature and bin that it has; these are added up by one grouping.
     """
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {(k, node): np.zeros((3, len(model.features), width)) for k, nodes in enumerate(wanted) for node in nodes}
-        for batch in batches:
-            bins = np.stack([batch.column(j).to_numpy() for j in range(len(model.features))], axis=1)
-            label, weight = (batch.column(len(model.features) + i).to_numpy() for i in range(2))
-            p = model.chances(bins)
-            for k, tree in enumerate(trees):
-                if not wanted[k]:
-                    continue
-                leaf, g, h = tree.leaves(bins), weight * (p[:, k] - (label == k)), weight * p[:, k] * (1 - p[:, k])
-                for node in wanted[k]:
-                    mine = np.flatnonzero(leaf == node)
-                    for j in range(len(model.features)):
-                        for i, w in enumerate((g[mine], h[mine], weight[mine])):
-                            total[k, node][i, j] += np.bincount(bins[mine, j], w, width)
-        for (k, node), sums in total.items():
+        for (k, node), sums in _sums((_slopes(b, model) for b in batches), model, trees, wanted, width).items():
             j, b = np.nonzero(sums[2])
             if len(j):
                 fixed = lambda x: pa.array(np.full(len(j), x), pa.int32())
@@ -152,9 +176,9 @@ def histograms(rows: DataFrame, model: Boosted, trees: list[Tree], wanted: list[
     return out
 
 
-def grow(rows: DataFrame, model: Boosted, growth: Growth, width: int) -> list[Tree]:
-    """One tree a class, leaf by leaf: the leaf with the largest gain is split next. The histograms of all open leaves of all classes are one job."""
-    trees = [Tree() for _ in model.classes]
+def _grown(classes: int, growth: Growth, find: Callable[[list[Tree], list[list[int]]], Histograms]) -> list[Tree]:
+    """One tree a class, leaf by leaf: the leaf with the largest gain is split next. `find` gives the histograms of all wanted leaves of all classes."""
+    trees = [Tree() for _ in range(classes)]
     splits: list[dict[int, tuple | None]] = [{} for _ in trees]
     counts = [1] * len(trees)
     while True:
@@ -164,8 +188,7 @@ def grow(rows: DataFrame, model: Boosted, growth: Growth, width: int) -> list[Tr
             wanted.append([i for i, f in enumerate(tree.feature) if f < 0 and i not in known] if counts[k] < growth.leaves else [])
         if not any(wanted):
             return trees
-        found = histograms(rows, model, trees, wanted, width)
-        for (k, node), histogram in found.items():
+        for (k, node), histogram in find(trees, wanted).items():
             splits[k][node] = best_split(histogram, growth)
         for k, tree in enumerate(trees):
             while counts[k] < growth.leaves:
@@ -183,6 +206,43 @@ def grow(rows: DataFrame, model: Boosted, growth: Growth, width: int) -> list[Tr
                     break  # a child may gain more than what else is known
 
 
+def grow(rows: DataFrame, model: Boosted, growth: Growth, width: int, kept: int, alone: bool) -> list[Tree]:
+    """The trees of the next round. `rows` have the scores of the first `kept` rounds.
+
+    The histograms of all open leaves of all classes are one job. Rows that are `alone` in one task need no adding up: the round is one job.
+    """
+    later = replace(model, rounds=model.rounds[kept:])
+    if not alone:
+        return _grown(len(model.classes), growth, lambda trees, wanted: histograms(rows, later, trees, wanted, width))
+
+    def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [_slopes(b, later) for b in batches]
+        for k, t in enumerate(_grown(len(later.classes), growth, lambda trees, wanted: _sums(parts, later, trees, wanted, width))):
+            integers = ([k] * len(t.feature), range(len(t.feature)), t.feature, t.bin, t.left)
+            yield pa.record_batch([*(pa.array(x, pa.int32()) for x in integers), pa.array(t.value)], ["class", "node", "feature", "bin", "left", "value"])
+
+    nodes = sorted(rows.mapInArrow(whole, NODE).collect(), key=lambda r: r.node)  # classes x twice the leaves at most
+    return [Tree(*([r[c] for r in nodes if r["class"] == k] for c in ("feature", "bin", "left", "value"))) for k in range(len(model.classes))]
+
+
+def _moved(rows: DataFrame, later: Boosted) -> DataFrame:
+    """`rows` with the scores after the rounds of `later`."""
+
+    def move(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins, _, _, kept = _arrays(batch, later)
+            scores = later.margins(bins, kept)
+            yield pa.record_batch([*batch.columns[: len(later.features) + 2], *(pa.array(scores[:, k]) for k in range(len(later.classes)))], batch.schema.names)
+
+    return rows.mapInArrow(move, rows.schema)
+
+
+def _stored(rows: DataFrame) -> DataFrame:
+    """`rows` without their lineage, as the plan of every round would be that of all before, and held for the jobs of the next rounds."""
+    work_dir(rows.sparkSession)
+    return rows.checkpoint().persist()
+
+
 def fit(train: DataFrame, features: Sequence[str], label: str, classes: Sequence[str], rounds: int = 50, growth: Growth = Growth(), bins: int = 32) -> Boosted:
     """A model of the classes from the rows whose label is one of them. A missing feature has a bin of its own, below all others.
 
@@ -203,17 +263,23 @@ def fit(train: DataFrame, features: Sequence[str], label: str, classes: Sequence
 
     each = rows.mapInArrow(binned, ", ".join(f"{n} int" for n in [*names, "label"]))
     data = each.groupBy(*names, "label").agg(F.count("*").cast("double").alias("weight")).persist()
+    held = data
     try:
         sizes = data.groupBy("label").agg(F.sum("weight").alias("n"), F.count("*").alias("different")).collect()
         n, different = {r.label: r.n for r in sizes}, sum(r.different for r in sizes)
         total = sum(n.values())
         if total:
             model.prior = [float(np.log(max(n.get(k, 0), 1e-9) / total)) for k in range(len(classes))]
-            dealt = data.coalesce(1 + different // ROWS_A_TASK)
-            for _ in range(rounds):
-                model.rounds.append(grow(dealt, model, growth, width))
+            tasks, kept = 1 + different // ROWS_A_TASK, 0
+            dealt = data.coalesce(tasks).sortWithinPartitions(*names, "label").select("*", *(F.lit(p).alias(f"m{k}") for k, p in enumerate(model.prior)))
+            for done in range(rounds):
+                if done % KEPT_ROUNDS == 0:
+                    dealt, kept = _stored(_moved(dealt, replace(model, rounds=model.rounds[kept:]))), done
+                    held.unpersist()
+                    held = dealt
+                model.rounds.append(grow(dealt, model, growth, width, kept, tasks == 1))
     finally:
-        data.unpersist()
+        held.unpersist()
     return model
 
 
@@ -225,7 +291,8 @@ def scored(df: DataFrame, model: Boosted, prefix: str = "p_", into: str = "pred"
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.stack([batch.column(j + 1).to_numpy(zero_copy_only=False).astype(float) for j in range(len(names))], axis=1)
-            p = model.chances(model.bins(values))
+            different, place = np.unique(model.bins(values), axis=0, return_inverse=True)
+            p = model.chances(different)[place]
             best = pa.array([model.classes[k] for k in p.argmax(axis=1).tolist()], pa.string())
             yield pa.record_batch([batch.column(0), *(p[:, k] for k in range(len(model.classes))), best], ["_row", *(f"_p{k}" for k in range(len(model.classes))), "_pred"])
 
